@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 import zlib
 
 import pyarrow as pa
@@ -23,14 +25,40 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; one of our own only where none is set, as in tests."""
+    known = spark.conf.get("spark.checkpoint.dir", None)
+    if not known:
+        found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        known = found.get() if found.isDefined() else None
+    if not known:
+        known = "file://" + tempfile.mkdtemp(prefix="marlspan-")
+        spark.sparkContext.setCheckpointDir(known)
+    return known.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The rows, written to the shared checkpoint folder and read from there."""
+    """The rows, written as a table to the shared folder and read from there: lineage ends here."""
     spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="marlspan-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_dir(spark)}/marlspan-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if not _written:
+        atexit.register(_remove_written)
+    _written.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove_written() -> None:
+    for spark, path in _written:
+        try:
+            jvm = spark.sparkContext._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # noqa: BLE001  the session may be gone; the folder is its owner's to clear
+            return
 
 
 def text_bytes(df: DataFrame, text: str = "text") -> int:
