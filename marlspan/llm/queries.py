@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, ngram_join, pii, quality, substring_dedup
+from . import bpe, decontaminate, ngram_join, pii, quality, secret_scan, substring_dedup
 from .cluster import table
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -35,6 +35,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op3_quality_rules": op3_quality_rules,
@@ -42,4 +46,5 @@ QUERIES = {
     "op5_substring_dedup": op5_substring_dedup,
     "op6_pii": op6_pii,
     "op7_byte_bpe": op7_byte_bpe,
+    "op9_secret_scan": op9_secret_scan,
 }
