@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, ngram_join, pii, quality, secret_scan, substring_dedup
+from . import bpe, decontaminate, ngram_join, pii, quality, secret_scan, substring_dedup, toxicity
 from .cluster import table
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -39,6 +39,10 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op3_quality_rules": op3_quality_rules,
@@ -47,4 +51,5 @@ QUERIES = {
     "op6_pii": op6_pii,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_secret_scan": op9_secret_scan,
+    "op10_toxicity": op10_toxicity,
 }
