@@ -23,13 +23,14 @@ outside the smallest node's component are verified against the other
 components, chunk by chunk.  No pairs are made within a component.
 
 Defined results.  Null, empty and white-space texts have no shingles and are alone.
-Fewer words than a shingle: the whole sequence is one.  Rows that share a doc_id are one
-node of the link graph.  A null doc_id names nothing: such a row takes the component of an equal
+Fewer words than a shingle: the whole sequence is one.  Rows that share a doc_id are judged each by
+its text; their sets share the name.  A null doc_id names nothing: such a row takes the component of an equal
 set that has a name, else null.  Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -84,17 +85,23 @@ def _cells(h: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
     return (h & mask).astype(np.int64), ((h >> np.uint64(32)) & mask).astype(np.int64) + cells
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    # the counts of one task are small numbers: a byte or two each, and those alike
+    return zlib.compress(counts.tobytes(), 1)
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(raw), np.uint32)
+
+
 def _merge(batches):
     total: dict[int, np.ndarray] = {}
     for b in batches:
         for part, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            one = np.frombuffer(raw, np.uint32)
-            if part in total:
-                total[part] += one
-            else:
-                total[part] = one.copy()
+            one = _unpacked(raw)
+            total[part] = total[part] + one if part in total else one
     for part, sums in total.items():
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([sums.tobytes()], pa.binary())], ["part", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([_packed(sums)], pa.binary())], ["part", "counts"])
 
 
 def shingle_sketch(docs: DataFrame, p: Params) -> np.ndarray:
@@ -110,7 +117,7 @@ def shingle_sketch(docs: DataFrame, p: Params) -> np.ndarray:
                 for at in _cells(h, cells):
                     np.add.at(total, at, np.uint32(1))
         for k in range(0, 2 * cells, part):
-            yield pa.RecordBatch.from_arrays([pa.array([k // part], pa.int32()), pa.array([total[k : k + part].tobytes()], pa.binary())], ["part", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([k // part], pa.int32()), pa.array([_packed(total[k : k + part])], pa.binary())], ["part", "counts"])
 
     schema = "part int, counts binary"
     partial = docs.select("text").mapInArrow(run, schema)
@@ -119,7 +126,7 @@ def shingle_sketch(docs: DataFrame, p: Params) -> np.ndarray:
     merged = merged.repartition(8, "part").mapInArrow(_merge, schema)
     out = np.zeros(2 * cells, np.uint32)
     for row in merged.collect():
-        out[row.part * part : row.part * part + part] = np.frombuffer(row.counts, np.uint32)
+        out[row.part * part : row.part * part + part] = _unpacked(row.counts)
     return out
 
 
@@ -264,64 +271,50 @@ def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 # ---- verification ----
 
 
-def _full_sets(docs: DataFrame, nodes: DataFrame, p: Params) -> DataFrame:
-    """(node, n, shingles) of the nodes: a small list of ids is broadcast, a larger one joined by shuffle."""
-    ids = nodes.select(F.col("node").alias("doc_id"))
-    ids = F.broadcast(ids) if ids.count() <= p.broadcast_rows else ids
-
-    def run(batches):
-        for b in batches:
-            buf, off = tk.text_buffer(b.column(1))
-            for i, j in tk.chunks(off):
-                h, first = sets_of(buf[off[i] : off[j]], off[i : j + 1] - off[i], p.words)
-                lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.diff(first)), lists], ["node", "n", "shingles"])
-
-    found = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
-    return found.mapInArrow(run, "node long, n long, shingles array<long>").where("n > 0")
-
-
-def _enough(both, n_a, n_b, p: Params):
-    return 100 * both >= p.percent * (n_a + n_b - both)
-
-
 def _near_sizes(n_a, n_b, p: Params):
     return 100 * F.least(n_a, n_b) >= p.percent * F.greatest(n_a, n_b)
 
 
-def _verify_pairs(pairs: DataFrame, full: DataFrame, p: Params) -> DataFrame:
-    left = full.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
-    right = full.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
-    joined = pairs.join(left, "a").join(right, "b")
-    both = F.size(F.array_intersect("sa", "sb"))
-    return joined.where(_enough(both, F.col("na"), F.col("nb"), p)).select("a", "b")
-
-
-def _verify_chunks(members: DataFrame, probes: DataFrame, p: Params) -> DataFrame:
-    """Links between the members and the probes of each chunk (comp, part, share)."""
-    percent = p.percent
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        a, b = left.column("node").to_numpy(), right.column("node").to_numpy()
+def _verify(docs: DataFrame, members: DataFrame, probes: DataFrame, p: Params) -> DataFrame:
+    """Links (a, b) between the members and the probes of each group.
+
+    members: (comp, part, node), at most about p.chunk of a group; probes: (comp, part, node), any number,
+    dealt into shares, each with all members of its group.  Texts travel, not sets: they are smaller.
+    """
+    keys = ["comp", "part"]
+    shares = probes.groupBy(*keys).agg(F.ceil(F.count("*") / p.probes).cast("int").alias("shares"))
+    dealt = probes.join(shares, keys).select(*keys, F.pmod(F.xxhash64("node"), F.col("shares")).cast("int").alias("share"), F.lit(1).alias("probe"), "node")
+    copied = members.join(shares, keys).select(*keys, F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("probe"), "node")
+    roles = cut(dealt.unionByName(copied))
+    # a small list of ids is broadcast to the texts, a larger one joined by shuffle
+    roles = F.broadcast(roles) if roles.count() <= p.broadcast_rows else roles
+    words, percent = p.words, p.percent
+
+    def run(group: pa.Table) -> pa.Table:
+        probe = group.column("probe").to_numpy() == 1
+        node = group.column("node").to_numpy()
         out_a, out_b = [], []
-        if len(a) and len(b):
-            sets = left.column("shingles").combine_chunks()
-            flat, size = sets.flatten().to_numpy(), np.diff(sets.offsets.to_numpy())
-            by = np.argsort(flat, kind="stable")
-            flat, owner = flat[by], np.repeat(np.arange(len(a)), size)[by]
-            for k, s in enumerate(right.column("shingles")):
-                s = s.values.to_numpy()
-                lo, hi = np.searchsorted(flat, s, "left"), np.searchsorted(flat, s, "right")
-                n = hi - lo
-                at = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-                both = np.bincount(owner[at], minlength=len(a))
-                good = np.flatnonzero(100 * both >= percent * (size + len(s) - both))
-                out_a += a[good].tolist()
-                out_b += [int(b[k])] * len(good)
+        if probe.any() and not probe.all():
+            mine = np.flatnonzero(~probe)
+            h, first = sets_of(*tk.text_buffer(group.column("text").combine_chunks().take(pa.array(mine))), words)
+            size = np.diff(first)
+            by = np.argsort(h, kind="stable")
+            flat, owner = h[by], np.repeat(np.arange(len(mine)), size)[by]
+            theirs = np.flatnonzero(probe)
+            h, first = sets_of(*tk.text_buffer(group.column("text").combine_chunks().take(pa.array(theirs))), words)
+            for k, t in enumerate(theirs):
+                s = h[first[k] : first[k + 1]]
+                lo, n = np.searchsorted(flat, s, "left"), np.searchsorted(flat, s, "right")
+                n = n - lo
+                at = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(s) else np.zeros(0, np.int64)
+                both = np.bincount(owner[at], minlength=len(mine))
+                good = mine[(both > 0) & (100 * both >= percent * (size + len(s) - both))]
+                out_a += node[good].tolist()
+                out_b += [int(node[t])] * len(good)
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
-    keys = ["comp", "part", "share"]
-    return members.groupBy(*keys).cogroup(probes.groupBy(*keys)).applyInArrow(run, "a long, b long")
+    texts = docs.select(F.col("doc_id").alias("node"), "text").join(roles, "node").select(*keys, "share", "probe", "node", "text")
+    return texts.groupBy(*keys, "share").applyInArrow(run, "a long, b long")
 
 
 # ---- the operator ----
@@ -339,10 +332,10 @@ def jaccard_components(docs: DataFrame, params: Params | None = None) -> DataFra
     bucket = Window.partitionBy("sig")
     shared = nodes.select("node", "n", F.explode("sigs").alias("sig")).withColumns({"least": F.min(F.struct("node", "n")).over(bucket), "most": F.max("node").over(bucket)})
     shared = cut(shared.where("least.node < most").select("sig", "node", "n", "least"))
-    full = cut(_full_sets(docs, shared.select("node").distinct(), p))
-    pairs = shared.where((F.col("node") != F.col("least.node")) & _near_sizes(F.col("n"), F.col("least.n"), p))
-    links = cut(_verify_pairs(pairs.select(F.col("least.node").alias("a"), F.col("node").alias("b")).distinct(), full, p))
-    links = links.unionByName(_across(shared, components(links), full, p))
+    stars = shared.where((F.col("node") != F.col("least.node")) & _near_sizes(F.col("n"), F.col("least.n"), p))
+    stars = stars.select(F.col("least.node").alias("comp"), F.lit(0).alias("part"), "node").distinct()
+    links = cut(_verify(docs, stars.select("comp", "part", F.col("comp").alias("node")).distinct(), stars, p))
+    links = links.unionByName(_across(docs, shared, components(links), p))
     found = components(links)
 
     # Back to the rows.
@@ -352,7 +345,7 @@ def jaccard_components(docs: DataFrame, params: Params | None = None) -> DataFra
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _across(shared: DataFrame, found: DataFrame, full: DataFrame, p: Params) -> DataFrame:
+def _across(docs: DataFrame, shared: DataFrame, found: DataFrame, p: Params) -> DataFrame:
     """Links between the components so far: nodes outside the component of a combination's smallest node against the others there."""
     bucket = Window.partitionBy("sig")
     comp = F.coalesce("component", "node")
@@ -367,14 +360,9 @@ def _across(shared: DataFrame, found: DataFrame, full: DataFrame, p: Params) ->
     others = spread.groupBy("sig", "comp", "part", "main").agg(F.min("n").alias("n_least"), F.max("n").alias("n_most"))
     meets = minor.join(others, "sig").where("comp != probe_comp and (comp = main or comp < probe_comp)")
     meets = meets.where((100 * F.col("n_most") >= p.percent * F.col("probe_n")) & (100 * F.col("probe_n") >= p.percent * F.col("n_least")))
-    probes = cut(meets.select("comp", "part", "probe").distinct())
-    shares = probes.groupBy("comp", "part").agg(F.ceil(F.count("*") / p.probes).cast("int").alias("shares"))
-    probes = probes.join(shares, ["comp", "part"]).withColumn("share", F.pmod(F.xxhash64("probe"), F.col("shares")).cast("int"))
-    probes = probes.join(full.select(F.col("node").alias("probe"), "shingles"), "probe").select("comp", "part", "share", F.col("probe").alias("node"), "shingles")
-    members = spread.select("comp", "part", "node").distinct().join(shares, ["comp", "part"])
-    members = members.select("comp", "part", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "node").join(full.select("node", "shingles"), "node")
-    columns = ["comp", "part", "share", "node", "shingles"]
-    return _verify_chunks(members.select(*columns).toDF(*columns), probes.select(*columns).toDF(*columns), p)
+    probes = cut(meets.select("comp", "part", F.col("probe").alias("node")).distinct())
+    members = spread.select("comp", "part", "node").distinct().join(probes.select("comp", "part").distinct(), ["comp", "part"], "left_semi")
+    return _verify(docs, members, probes, p)
 
 
 def one_of_each(docs: DataFrame, params: Params | None = None) -> DataFrame:
