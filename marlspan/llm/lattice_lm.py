@@ -38,7 +38,7 @@ class Params:
 
     modulus: int = 7
     held_out: int = 2
-    rounds: int = 1
+    rounds: int = 2
     smoothing: float = 500.0
     block_bytes: int = 12 << 20
     keep_words: int = 400_000
