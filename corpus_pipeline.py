@@ -1,9 +1,61 @@
-"""The corpus pipeline: quality, near duplicates, benchmark passages, personal data, tokens."""
+"""The corpus pipeline: quality, near duplicates, benchmark passages, personal data, tokens.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
+again as the next stage's documents.  All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from marlspan.llm import bpe, decontaminate, ngram_join, pii, quality
+from marlspan.llm.cluster import cut, table
+from marlspan.llm.queries import BPE_RANKS
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that fail go; documents that lose too much, or fail the base rules, go."""
+    return quality.keep_documents(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near-equal documents the one with the smallest id stays."""
+    return ngram_join.one_of_each(docs)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Contaminated documents go."""
+    return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans of personal data are replaced by their kind."""
+    return pii.redact_documents(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each text, with the digests of the ids and of the text decoded from them."""
+    return bpe.digests(bpe.encode_decode(docs, public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("benchmark_passages", benchmark_passages),
+    ("personal_data", personal_data),
+    ("tokens", tokens),
+]
+
+#: SQL cannot express the line rules' byte-level counts, the personal-data validators or byte-level BPE: brute-force tests instead.
+ORACLE_SQL = None
+
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over the documents."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = cut(docs)
+    return docs

@@ -279,18 +279,18 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, max_index_bytes: int
     """The documents that are not contaminated, all columns."""
     small_batches(docs.sparkSession)
     matchers = _matchers(docs, benchmark, WINDOW, SHINGLE, max_index_bytes)
-    at = docs.columns.index("text")
-    for matcher in matchers if len(matchers) == 1 else []:
+    if len(matchers) > 1:
+        bad = _by_passes(docs, matchers).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
+        return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")
+    at, matcher = docs.columns.index("text"), matchers[0]
 
-        def run(batches):
-            m = Matcher(matcher.value)
-            for b in batches:
-                buf, off = tk.text_buffer(b.column(at))
-                for i, j in tk.chunks(off):
-                    words, hit, _ = m.judge(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-                    n, hits = words.per_text(), tk.per_text_sum(hit, words.first)
-                    yield b.slice(i, j - i).filter(pa.array(~((hits > 0) & (20 * hits >= n))))
+    def run(batches):
+        m = Matcher(matcher.value)
+        for b in batches:
+            buf, off = tk.text_buffer(b.column(at))
+            for i, j in tk.chunks(off):
+                words, hit, _ = m.judge(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+                n, hits = words.per_text(), tk.per_text_sum(hit, words.first)
+                yield b.slice(i, j - i).filter(pa.array(~((hits > 0) & (20 * hits >= n))))
 
-        return docs.mapInArrow(run, docs.schema)
-    bad = _by_passes(docs, matchers).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")
+    return docs.mapInArrow(run, docs.schema)
