@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import signals, tracks  # noqa: F401
+from . import answers, signals, tracks  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
