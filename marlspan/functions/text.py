@@ -14,7 +14,7 @@ LETTERS = "ABCDEFGH"
 
 def option_map(text: Column | str, separator: str = ";") -> Column:
     """'A: x; B: y' or 'A. x' to a map; null if an option is malformed, empty or repeated, or fewer than two are there."""
-    parts = F.filter(F.transform(F.split(col(text), separator), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(col(text), separator), lambda p: F.trim(p)), lambda p: p != "")
     letter = lambda p: F.regexp_extract(p, r"^([A-Z])\s*[:.]\s*(.+)$", 1)
     body = lambda p: F.trim(F.regexp_extract(p, r"^([A-Z])\s*[:.]\s*(.+)$", 2))
     letters = F.transform(parts, letter)

@@ -4,90 +4,76 @@ from __future__ import annotations
 
 import ast
 import json
+import math
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-_DECODER = json.JSONDecoder()
+def decoded(text: str | None) -> Iterator[tuple[object, int, int]]:
+    """(value, start, end) of the JSON values that begin with a brace, from every brace on."""
+    decoder, at = json.JSONDecoder(), (text or "").find("{")
+    while at >= 0:
+        try:
+            value, end = decoder.raw_decode(text, at)
+            yield value, at, end
+        except ValueError:
+            pass
+        at = text.find("{", at + 1)
 
 
 def json_objects(text: str | None, keys: tuple[str, ...] = ("action", "name")) -> list[tuple[str, int, int]]:
     """(canonical object, start, end) of the objects with one of the keys, none within another."""
-    out, at = [], (text or "").find("{")
-    while at >= 0:
-        try:
-            value, end = _DECODER.raw_decode(text, at)
-        except ValueError:
-            end = at + 1
-        else:
-            if isinstance(value, dict) and any(k in value for k in keys):
-                out.append((json.dumps(value, sort_keys=True), at, end))
-            else:
-                end = at + 1
-        at = text.find("{", end)
+    out, free = [], 0
+    for value, start, end in decoded(text):
+        if start >= free and any(k in value for k in keys):
+            out.append((json.dumps(value, sort_keys=True), start, end))
+            free = end
     return out
 
 
-ACTION = "struct<value:string,start:int,end:int>"
+def only_field(text: str | None, field: str) -> str | None:
+    """The value, as JSON, of the first object whose only key is the field."""
+    return next((json.dumps(v[field]) for v, _, _ in decoded(text) if set(v) == {field}), None)
 
 
-@F.pandas_udf(f"array<{ACTION}>")
-def actions(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """All actions of a text, in order."""
-    for texts in batches:
-        yield texts.map(lambda t: [{"value": v, "start": a, "end": b} for v, a, b in json_objects(t)])
+def numbers_of(text: str | None) -> list[float] | None:
+    """Every finite number at any depth of a JSON text, in order; booleans are none; null for no JSON."""
 
+    def walk(v):
+        if isinstance(v, dict | list):
+            for x in v.values() if isinstance(v, dict) else v:
+                yield from walk(x)
+        elif isinstance(v, int | float) and not isinstance(v, bool) and math.isfinite(v):
+            yield float(v)
 
-def first_action(text: Column | str) -> Column:
-    """The first action with its span; null if there is none."""
-    return F.get(actions(text), F.lit(0))
+    try:
+        return list(walk(json.loads(text)))
+    except (TypeError, ValueError):
+        return None
 
 
-@F.pandas_udf("string")
-def strict_field(texts: pd.Series, field: pd.Series) -> pd.Series:
-    """The value, as JSON, of the first object whose only key is the field."""
+ACTION = T.StructType([T.StructField("value", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 
-    def one(text: str | None, name: str) -> str | None:
-        at = (text or "").find("{")
-        while at >= 0:
-            try:
-                value, _ = _DECODER.raw_decode(text, at)
-                if isinstance(value, dict) and set(value) == {name}:
-                    return json.dumps(value[name])
-            except ValueError:
-                pass
-            at = text.find("{", at + 1)
-        return None
 
-    return pd.Series([one(t, f) for t, f in zip(texts, field)])
+def actions(text: Column | str) -> Column:
+    """All actions of a text, in order: value, start, end."""
+    run = lambda texts: texts.map(lambda t: [{"value": v, "start": a, "end": b} for v, a, b in json_objects(t)])
+    return F.pandas_udf(run, T.ArrayType(ACTION), F.PandasUDFType.SCALAR)(text)
 
 
-@F.pandas_udf("array<double>")
-def finite_numbers(texts: pd.Series) -> pd.Series:
-    """Every finite number at any depth of a JSON text, in order; booleans are none."""
+def first_action(text: Column | str) -> Column:
+    """The first action with its span; null if there is none."""
+    return F.get(actions(text), F.lit(0))
 
-    def walk(v):
-        if isinstance(v, bool):
-            return
-        if isinstance(v, int | float):
-            if abs(v) != float("inf") and v == v:
-                yield float(v)
-        elif isinstance(v, dict):
-            for x in v.values():
-                yield from walk(x)
-        elif isinstance(v, list):
-            for x in v:
-                yield from walk(x)
 
-    def one(text):
-        try:
-            return list(walk(json.loads(text)))
-        except (TypeError, ValueError):
-            return None
+def strict_field(text: Column | str, field: str) -> Column:
+    return F.pandas_udf(lambda texts: texts.map(lambda t: only_field(t, field)), T.StringType(), F.PandasUDFType.SCALAR)(text)
+
 
-    return texts.map(one)
+def finite_numbers(text: Column | str) -> Column:
+    return F.pandas_udf(lambda texts: texts.map(numbers_of), T.ArrayType(T.DoubleType()), F.PandasUDFType.SCALAR)(text)
 
 
 # ---- the calculator ----
