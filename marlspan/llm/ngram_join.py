@@ -30,6 +30,7 @@ set that has a name, else null.  Columns other than doc_id and text are not read
 
 from __future__ import annotations
 
+import math
 import zlib
 from dataclasses import dataclass
 
@@ -139,8 +140,9 @@ class Order:
 
     def __post_init__(self):
         load = int(self.counts[: self.cells].mean()) if len(self.counts) else 0
-        self.frequent = 32 + 2 * load
-        self.very_frequent = 16 * self.frequent
+        # beyond what the other shingles of a cell explain
+        self.frequent = load + 4 * int(load**0.5) + 16
+        self.very_frequent = self.frequent + 15 * (self.frequent - load)
 
     def estimate(self, h: np.ndarray) -> np.ndarray:
         a, b = _cells(h, self.cells)
@@ -308,7 +310,7 @@ def _verify(docs: DataFrame, members: DataFrame, probes: DataFrame, p: Params) -
                 n = n - lo
                 at = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(s) else np.zeros(0, np.int64)
                 both = np.bincount(owner[at], minlength=len(mine))
-                good = mine[(both > 0) & (100 * both >= percent * (size + len(s) - both))]
+                good = mine[(both > 0) & (node[mine] != node[t]) & (100 * both >= percent * (size + len(s) - both))]
                 out_a += node[good].tolist()
                 out_b += [int(node[t])] * len(good)
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
@@ -333,7 +335,7 @@ def jaccard_components(docs: DataFrame, params: Params | None = None) -> DataFra
     shared = nodes.select("node", "n", F.explode("sigs").alias("sig")).withColumns({"least": F.min(F.struct("node", "n")).over(bucket), "most": F.max("node").over(bucket)})
     shared = cut(shared.where("least.node < most").select("sig", "node", "n", "least"))
     stars = shared.where((F.col("node") != F.col("least.node")) & _near_sizes(F.col("n"), F.col("least.n"), p))
-    stars = stars.select(F.col("least.node").alias("comp"), F.lit(0).alias("part"), "node").distinct()
+    stars = stars.select(F.col("least.node").alias("comp"), F.struct(F.lit(0).alias("k")).alias("part"), "node").distinct()
     links = cut(_verify(docs, stars.select("comp", "part", F.col("comp").alias("node")).distinct(), stars, p))
     links = links.unionByName(_across(docs, shared, components(links), p))
     found = components(links)
@@ -346,19 +348,26 @@ def jaccard_components(docs: DataFrame, params: Params | None = None) -> DataFra
 
 
 def _across(docs: DataFrame, shared: DataFrame, found: DataFrame, p: Params) -> DataFrame:
-    """Links between the components so far: nodes outside the component of a combination's smallest node against the others there."""
+    """Links between the components so far.
+
+    Of each combination's nodes those outside the main component, that of the smallest node, are
+    verified against all others there, whole chunks of near sizes at a time.
+    """
     bucket = Window.partitionBy("sig")
-    comp = F.coalesce("component", "node")
-    parts = found.groupBy("component").agg(F.ceil(F.count("*") / p.chunk).alias("parts"))
-    known = found.join(parts, "component")
-    spread = shared.join(known, "node", "left").select("sig", "node", "n", comp.alias("comp"), F.coalesce("parts", F.lit(1)).alias("parts"))
-    spread = spread.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    spread = shared.join(found, "node", "left").select("sig", "node", "n", F.coalesce("component", "node").alias("comp"))
     spread = spread.withColumn("main", F.min(F.struct("node", "comp")).over(bucket)["comp"])
-    spread = cut(spread.withColumn("mixed", F.max(F.col("comp") != F.col("main")).over(bucket)).where("mixed").drop("mixed", "parts"))
-
-    minor = spread.where("comp != main").select("sig", F.col("node").alias("probe"), F.col("comp").alias("probe_comp"), F.col("n").alias("probe_n"))
-    others = spread.groupBy("sig", "comp", "part", "main").agg(F.min("n").alias("n_least"), F.max("n").alias("n_most"))
-    meets = minor.join(others, "sig").where("comp != probe_comp and (comp = main or comp < probe_comp)")
+    spread = cut(spread.withColumn("mixed", F.max(F.col("comp") != F.col("main")).over(bucket)).where("mixed").drop("mixed"))
+    # the nodes met with one main component, its own and the others, by size; so many parts as keep each small
+    band = F.floor(F.log("n") / math.log(100 / p.percent)).cast("int")
+    spread = spread.select("sig", "node", "n", "main", (F.col("comp") != F.col("main")).alias("minor"), band.alias("band"))
+    group = ["main", "minor", "band"]
+    nodes = spread.select(*group, "node").distinct()
+    parts = nodes.groupBy(*group).agg(F.ceil(F.count("*") / p.chunk).alias("parts"))
+    spread = spread.join(parts, group).withColumn("part", F.struct("minor", "band", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("k"))).withColumnRenamed("main", "comp")
+
+    minor = spread.where("minor").select("sig", F.col("node").alias("probe"), F.col("n").alias("probe_n"))
+    others = spread.groupBy("sig", "comp", "part").agg(F.min("n").alias("n_least"), F.max("n").alias("n_most"))
+    meets = minor.join(others, "sig")
     meets = meets.where((100 * F.col("n_most") >= p.percent * F.col("probe_n")) & (100 * F.col("probe_n") >= p.percent * F.col("n_least")))
     probes = cut(meets.select("comp", "part", F.col("probe").alias("node")).distinct())
     members = spread.select("comp", "part", "node").distinct().join(probes.select("comp", "part").distinct(), ["comp", "part"], "left_semi")
