@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..functions.text import option_list_map, option_map
 
@@ -39,9 +40,10 @@ def json_records(spark: SparkSession, folder: str, schema: T.StructType | str, k
     """One record per file; a record without the key takes the file's stem; unreadable files have `_corrupt_record`."""
     schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     schema = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("pathGlobFilter", "*.json").json(folder)
     name = F.col("_metadata.file_name")
-    rows = rows.select("*", name.alias("file_name"), F.regexp_replace(name, r"\.json$", "").alias("file_stem")).where(~F.col("file_name").isin(*skip))
+    files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.json")
+    files = files.select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r"), name.alias("file_name"), F.regexp_replace(name, r"\.json$", "").alias("file_stem"))
+    rows = files.where(~F.col("file_name").isin(*skip)).select("r.*", "file_name", "file_stem")
     return rows.withColumn(key, F.coalesce(key, "file_stem"))
 
 
@@ -82,20 +84,22 @@ def alignment_scale(spark: SparkSession, path: str, prefix: int = 4 << 20) -> Da
     """A positive scale from the head of a large text file, before its tracks."""
     head = F.substring_index(F.left("value", F.lit(prefix)), '"tracks"', 1)
     scale = F.expr("try_cast(regexp_extract(head, '\"scale\"\\\\s*:\\\\s*([0-9.eE+-]+)', 1) as double)")
-    rows = spark.read.option("wholetext", True).text(path).select(head.alias("head")).select(scale.alias("scale"))
+    rows = spark.read.text(path, wholetext=True).select(head.alias("head")).select(scale.alias("scale"))
     return rows.select(F.when((F.col("scale") > 0) & (F.col("scale") < float("inf")), F.col("scale")).alias("scale"))
 
 
 def markdown_table(spark: SparkSession, path: str, heading: str) -> DataFrame:
     """(row, column, name, text, value, bold) of the first pipe table after the heading; dashes are null."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.split("value", "\n").alias("l"))
-    lines = lines.select(F.slice("l", F.array_position("l", heading).cast("int") + 1, F.size("l")).alias("l")).where(F.size("l") > 0)
-    after = F.filter(F.sequence(F.lit(0), F.size("l") - 1), lambda i: F.get("l", i).startswith("|"))
-    # the table's lines: those whose places are one after the other
-    rows = lines.select("l", after.alias("at")).select(F.transform(F.filter("at", lambda i: i - F.get("at", F.lit(0)) == F.array_position("at", i).cast("int") - 1), lambda i: F.get("l", i)).alias("t"))
-    cells = lambda line: F.transform(F.slice(F.split(line, r"\|"), F.lit(2), F.size(F.split(line, r"\|")) - 2), lambda c: F.trim(c))
-    body = rows.select(cells(F.get("t", F.lit(0))).alias("names"), F.posexplode(F.slice("t", F.lit(3), F.size("t"))).alias("row", "line"))
-    flat = body.select("row", "names", F.posexplode(cells(F.col("line"))).alias("column", "cell"))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("at", "line"))
+    start = F.min(F.when(F.col("line") == heading, F.col("at"))).over(Window.partitionBy("file"))
+    after = files.withColumn("start", start).where("at > start").withColumn("pipe", F.col("line").startswith("|"))
+    # lines of one table have the same number of other lines before them
+    before = F.count_if(~F.col("pipe")).over(Window.partitionBy("file").orderBy("at"))
+    pipes = after.withColumn("run", before).where("pipe").withColumn("first", F.min("run").over(Window.partitionBy("file"))).where("run = first")
+    cells = F.split(F.regexp_replace("line", r"^\|\s*|\s*\|\s*$", ""), r"\s*\|\s*")
+    table = pipes.select("file", (F.row_number().over(Window.partitionBy("file").orderBy("at")) - 3).alias("row"), cells.alias("cells"))
+    table = table.withColumn("names", F.first("cells").over(Window.partitionBy("file").orderBy("row"))).where("row >= 0")
+    flat = table.select("row", "names", F.posexplode("cells").alias("column", "cell"))
     text = F.regexp_replace("cell", r"\*\*|`", "")
     value = F.regexp_extract(text, r"^(-?[0-9]+(?:\.[0-9]+)?)\s*%?$", 1)
     return flat.select("row", "column", F.get("names", F.col("column")).alias("name"), F.when(~text.isin("-", "–", "—", ""), text).alias("text"), F.when(value != "", value.cast("double")).alias("value"), F.col("cell").startswith("**").alias("bold"))
@@ -118,8 +122,6 @@ def media(files: DataFrame, candidates: DataFrame) -> DataFrame:
 
 def frame_stride(frames: DataFrame, key: str, frame: str) -> DataFrame:
     """(key, n, stride): the constant distance between neighbouring frames, null if it varies."""
-    from pyspark.sql.window import Window
-
     step = F.col(frame) - F.lag(frame).over(Window.partitionBy(key).orderBy(frame))
     return frames.withColumn("__s", step).groupBy(key).agg(F.count("*").alias("n"), F.when(F.count_distinct("__s") == 1, F.max("__s")).alias("stride"))
 
