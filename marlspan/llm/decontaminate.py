@@ -78,9 +78,9 @@ class Index:
             at = np.arange(len(words) - size + 1)
             found.setdefault(size, []).extend(zip(tk.sequence_hash(sums, at, size).tolist(), [w] * len(at), at.tolist()))
         for size, rows_ in found.items():
-            h, w, o = (np.array(x) for x in zip(*rows_))
-            order = np.argsort(h.astype(np.uint64), kind="stable")
-            out.shingles[size] = h.astype(np.uint64)[order], w[order], o[order]
+            h, w, o = (np.array(x, kind) for x, kind in zip(zip(*rows_), (np.uint64, np.int64, np.int64)))
+            order = np.argsort(h, kind="stable")
+            out.shingles[size] = h[order], w[order], o[order]
         return out
 
     def distinct(self) -> dict[int, np.ndarray]:
