@@ -23,6 +23,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from dataclasses import dataclass
+from math import exp, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -45,14 +46,16 @@ class Params:
 
 
 SPACE_MARK = "▁"
+#: What no piece begins with.
+NO_HEAD = 1.0
 
 
 @dataclass
 class Pieces:
-    """piece -> log weight; heads: the beginnings of pieces; bytes: log weights of the byte pieces."""
+    """weight: piece -> log weight; table: that, and None for the beginnings of pieces; bytes: log weights of the byte pieces."""
 
     weight: dict[str, float]
-    heads: frozenset[str]
+    table: dict[str, float | None]
     bytes: list[float]
     names: list[str]
 
@@ -72,61 +75,80 @@ class Pieces:
     def of(cls, names: list[str], mass: list[float]) -> Pieces:
         log = dict(zip(names, (math.log(m) for m in mass)))
         single = [log.pop(f"<0x{b:02X}>") for b in range(256)]
-        return cls(log, frozenset(n[:k] for n in log for k in range(1, len(n) + 1)), single, names)
+        heads = dict.fromkeys(n[:k] for n in log for k in range(1, len(n)))
+        return cls(log, heads | log, single, names)
 
     def spelled(self, char: str) -> float:
         return math.fsum(self.bytes[b] for b in char.encode())
 
-    def arcs(self, word: str) -> list[list[tuple[int, float, str | None]]]:
-        """By end position: (start, log weight, piece or None for spelling) of the word, its space mark included."""
-        s, weight, heads = SPACE_MARK + word, self.weight, self.heads
-        out: list[list[tuple[int, float, str | None]]] = [[] for _ in range(len(s) + 1)]
-        for i in range(len(s)):
-            for j in range(i + 1, len(s) + 1):
-                piece = s[i:j]
-                if piece not in heads:
-                    break
-                w = weight.get(piece)
-                if w is not None:
-                    out[j].append((i, w, piece))
-            if s[i] not in weight:
-                out[i + 1].append((i, self.spelled(s[i]), None))
-        return out
-
-    def forward(self, arcs) -> list[float]:
-        alpha = [0.0] * len(arcs)
-        for j in range(1, len(arcs)):
-            terms = [alpha[i] + w for i, w, _ in arcs[j]]
-            top = max(terms)
-            alpha[j] = top if len(terms) == 1 else top + math.log(sum([math.exp(t - top) for t in terms]))
-        return alpha
-
     def log_probability(self, word: str) -> float:
-        """Natural log of the sum over all segmentations."""
-        return self.forward(self.arcs(word))[-1]
+        """Natural log of the sum over all segmentations of the word, its space mark included."""
+        s, get = SPACE_MARK + word, self.table.get
+        n = len(s)
+        terms: list[list[float]] = [[] for _ in range(n + 1)]
+        terms[0].append(0.0)
+        for i in range(n):
+            a = _log_sum(terms[i])
+            for j in range(i + 1, n + 1):
+                w = get(s[i:j], NO_HEAD)
+                if w is None:
+                    continue
+                if w is NO_HEAD:
+                    break
+                terms[j].append(a + w)
+            if s[i] not in self.weight:
+                terms[i + 1].append(a + self.spelled(s[i]))
+        return _log_sum(terms[n])
 
     def expect(self, word: str, times: int, into: dict[str, float]) -> None:
-        """Adds the expected number of each piece."""
-        arcs = self.arcs(word)
-        alpha = self.forward(arcs)
-        n = len(arcs)
-        beta = [-math.inf] * n
-        beta[-1] = 0.0
-        for j in range(n - 1, 0, -1):
-            for i, w, _ in arcs[j]:
-                t = beta[j] + w
-                b = beta[i]
-                beta[i] = t if b == -math.inf else max(b, t) + math.log1p(math.exp(-abs(b - t)))
-        s = SPACE_MARK + word
-        for j in range(1, n):
-            for i, w, piece in arcs[j]:
-                p = times * math.exp(alpha[i] + w + beta[j] - alpha[-1])
-                if piece is None:
+        """Adds the expected number of each piece: forward, then backward."""
+        s, get = SPACE_MARK + word, self.table.get
+        n = len(s)
+        terms: list[list[float]] = [[] for _ in range(n + 1)]
+        terms[0].append(0.0)
+        alpha, arcs = [], []
+        for i in range(n):
+            a = _log_sum(terms[i])
+            alpha.append(a)
+            here = []
+            for j in range(i + 1, n + 1):
+                piece = s[i:j]
+                w = get(piece, NO_HEAD)
+                if w is None:
+                    continue
+                if w is NO_HEAD:
+                    break
+                terms[j].append(a + w)
+                here.append((j, w, piece))
+            if s[i] not in self.weight:
+                w = self.spelled(s[i])
+                terms[i + 1].append(a + w)
+                here.append((i + 1, w, None))
+            arcs.append(here)
+        whole = _log_sum(terms[n])
+        beta = [-math.inf] * n + [0.0]
+        for i in range(n - 1, -1, -1):
+            rest = [w + beta[j] for j, w, _ in arcs[i]]
+            beta[i] = _log_sum(rest)
+            base = alpha[i] - whole
+            for t, (_, _, piece) in zip(rest, arcs[i]):
+                p = times * math.exp(base + t)
+                if piece is not None:
+                    into[piece] = into.get(piece, 0.0) + p
+                else:
                     for b in s[i].encode():
                         name = f"<0x{b:02X}>"
                         into[name] = into.get(name, 0.0) + p
-                else:
-                    into[piece] = into.get(piece, 0.0) + p
+
+
+def _log_sum(terms: list[float]) -> float:
+    if len(terms) == 1:
+        return terms[0]
+    if len(terms) == 2:
+        a, b = terms
+        return a + log1p(exp(b - a)) if a >= b else b + log1p(exp(a - b))
+    top = max(terms)
+    return top + log(sum([exp(t - top) for t in terms]))
 
 
 def _words(text: str | None) -> list[bytes]:
