@@ -10,8 +10,8 @@ layouts of menus, headers, footers, sidebars, notices, adverts, forms and reader
 Adam on the driver, from fixed seeds; its size and its training set are parameters.
 
 Defined results.  Null and empty html: empty text.  Scripts, styles, comments and the head are no blocks.
-Character references are decoded, ASCII white space in a block becomes one space, ends are
-trimmed, blocks left empty go; blocks are joined in page order by one newline.  Unclosed and
+Character references are decoded, white space in a block (of any kind) becomes one space, ends
+are trimmed, blocks left empty go; blocks are joined in page order by one newline.  Unclosed and
 stray tags are borne.  Pages are read whole.  Repeated rows give equal rows; columns other
 than page_id, url and html are not read.
 """
@@ -61,7 +61,6 @@ _TAG = re.compile(
 )
 _NAMES = re.compile(r"""(?i)\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _WORD = re.compile(r"[a-z]+")
-_ASCII_SPACE = re.compile(r"[ \t\n\r\f\v]+")
 
 
 @dataclass
@@ -82,7 +81,7 @@ def blocks_of(html: str | None) -> list[Block]:
     def flush() -> None:
         nonlocal linked
         if parts:
-            text = _ASCII_SPACE.sub(" ", unescape("".join(parts))).strip(" ")
+            text = " ".join(unescape("".join(parts)).split())
             if text:
                 out.append(Block(tuple(n for _, names in stack for n in names), text, linked))
             parts.clear()
