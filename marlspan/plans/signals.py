@@ -147,15 +147,15 @@ def second_difference_jitter(spark, sf_dir):
 @query(
     E
     + """, n as (select user_id, min(frame) as a, max(frame) as b from e group by 1 having min(frame) < max(frame)),
-  g as (select user_id, a + k * (b - a) / 10.0 as at, k from n, (select unnest(range(0, 11)) as k)),
-  x as (select g.user_id, k as segment, at, e.value + coalesce((at - e.frame) * (f.value - e.value), 0) as value from g join e on e.user_id = g.user_id and e.frame = floor(at + 1e-9) left join e f on f.user_id = g.user_id and f.frame = e.frame + 1)
-  select user_id, segment, round(at, 4) as at, round(value, 4) as value, round(lead(value) over (partition by user_id order by segment) - value, 4) as delta from x"""
+  g as (select user_id, a + k * (b - a) / 10.0 as tm, k from n, (select unnest(range(0, 11)) as k)),
+  x as (select g.user_id, k as segment, tm, e.value + coalesce((tm - e.frame) * (f.value - e.value), 0) as value from g join e on e.user_id = g.user_id and e.frame = floor(tm + 1e-9) left join e f on f.user_id = g.user_id and f.frame = e.frame + 1)
+  select user_id, segment, round(tm, 4) as sample_frame, round(value, 4) as value, round(lead(value) over (partition by user_id order by segment) - value, 4) as delta from x"""
 )
 def uniform_segments(spark, sf_dir):
     """Ten even segments of each series, with what changes over each."""
     rows = windows.uniform_segments(events(spark, sf_dir), ("value",), "user_id")
     delta = F.lead("value").over(windows._by("user_id", "segment")) - F.col("value")
-    return rows.select("user_id", "segment", F.round("at", 4).alias("at"), F.round("value", 4).alias("value"), F.round(delta, 4).alias("delta"))
+    return rows.select("user_id", "segment", F.round("at", 4).alias("sample_frame"), F.round("value", 4).alias("value"), F.round(delta, 4).alias("delta"))
 
 
 @query("select event_type, round(median(value), 6) as median, round(avg(value), 6) as mean, round(quantile_cont(value, 0.9), 6) as p90, round(max(value), 6) as most, quantile_cont(value, 0.9) < 0.05 * max(value) as within from events group by 1")
