@@ -63,3 +63,56 @@ def ledger(df: DataFrame, key: str, order: str, kind: str, created: Column) -> D
 def reasons(*rules: tuple[str, Column]) -> Column:
     """The names of the rules that hold, in order."""
     return F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in rules)))
+
+
+#: Columns of an agent trace that every step must have.
+TRACE_FIELDS = ("raw", "effective", "suffix", "status", "available")
+HOST_TURN = r"(?im)^\s*(Tool result\b|HOST TURN\b)"
+
+
+def trace_rules(key: str = "question_id", step: str = "step") -> list[Rule]:
+    """Rules on agent traces.
+
+    Columns: raw, effective and suffix texts; span_start, span_end of the action in raw (null: none); action (null: none parsed);
+    status (ok, rejected, error); evidence_id that the step made; refs that it cites; available ids before it, in order.
+    """
+    w = Window.partitionBy(key).orderBy(step)
+    raw, effective, suffix, end = F.col("raw"), F.col("effective"), F.col("suffix"), F.col("span_end")
+    texts = raw.isNotNull() & effective.isNotNull() & suffix.isNotNull()
+    spanned = F.col("span_start").isNotNull()
+    good_span = (F.col("span_start") >= 0) & (F.col("span_start") < end) & (end <= F.length("raw"))
+    rebuilt = F.when(spanned, (effective == F.trim(F.left("raw", end))) & (suffix == F.substring(raw, end + 1, F.length("raw")))).otherwise((effective == raw) & (suffix == ""))
+    made = F.collect_list("evidence_id").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    prefix, number = F.regexp_extract("evidence_id", "^(.*)_[0-9]+$", 1), F.regexp_extract("evidence_id", "_([0-9]+)$", 1).cast("long")
+
+    def unknown_evidence(df: DataFrame) -> DataFrame:
+        cited = df.where("status = 'ok'").select(key, step, F.explode("refs").alias("ref"))
+        known = df.where("evidence_id is not null").select(F.col(key).alias("__k"), F.col(step).alias("__s"), F.col("evidence_id").alias("__e"))
+        bad = cited.join(known, (F.col(key) == F.col("__k")) & (F.col("ref") == F.col("__e")) & (F.col("__s") < F.col(step)), "left_anti")
+        return bad.select(F.col(key).alias("key"), F.col(step).cast("long").alias("step"), F.lit("accepted_unknown_evidence").alias("code")).distinct()
+
+    def counter_gap(df: DataFrame) -> DataFrame:
+        ids = df.where("evidence_id is not null").select(key, prefix.alias("p"), number.alias("n")).distinct()
+        gaps = ids.groupBy(key, "p").agg(F.max("n").alias("most"), F.count("*").alias("n")).where("most != n")
+        return gaps.select(F.col(key).alias("key"), F.lit(None).cast("long").alias("step"), F.lit("evidence_counter_gap").alias("code")).distinct()
+
+    missing = F.lit(False)
+    for name in TRACE_FIELDS:
+        missing = missing | F.col(name).isNull()
+    rule = lambda code, bad: row_rule(code, F.coalesce(bad, F.lit(False)), key, step)
+    return [
+        rule("missing_trace_fields", missing),
+        rule("invalid_boundary_text", ~texts),
+        rule("invalid_action_span", spanned & ~good_span),
+        rule("boundary_reconstruction_mismatch", texts & (~spanned | good_span) & ~rebuilt),
+        rule("missing_action_boundary", ~spanned & raw.contains('{"action"')),
+        rule("parsed_action_without_boundary", ~spanned & F.col("action").isNotNull()),
+        rule("multiple_effective_actions", F.regexp_count("effective", F.lit(r'\{"action"')) > 1),
+        rule("simulated_host_in_effective_history", effective.rlike(HOST_TURN)),
+        unknown_evidence,
+        rule("missing_call_id", (F.col("status") == "ok") & (F.col("action") == "query") & F.col("evidence_id").isNull()),
+        rule("duplicate_evidence_id", F.col("evidence_id").isNotNull() & (F.row_number().over(Window.partitionBy(key, "evidence_id").orderBy(step)) > 1)),
+        rule("rejection_created_evidence", (F.col("status") != "ok") & F.col("evidence_id").isNotNull()),
+        rule("ledger_registry_mismatch", F.col("available") != made),
+        counter_gap,
+    ]

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as num
 from ..operators import robust, windows
-from .registry import query
+from .registry import SQL, query
+from .signals import distance_change_report
 from .tracks import T, XYZ, tracks
 
 _SEGMENTS = """, n as (select label, min(frame) as a, max(frame) as b from t group by 1 having min(frame) < max(frame)), k as (select unnest(range(0, 11)) as k),
@@ -82,6 +83,48 @@ def noise_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sigma.select("label", F.round(robust.noise_floor(F.col("sigma"), 0.05, 1e-6), 6).alias("displacement_floor"), F.round(robust.noise_floor(F.col("sigma"), 2.0), 6).alias("angle_floor"))
 
 
+@query(
+    "with r as ("
+    + SQL["distance_change_report"]
+    + """) select user_id, 'Initially, at frame ' || first_frame || ', the distance was ' || printf('%.2f', d_initial) || ' units. By the midpoint at frame ' || middle_frame || ', it had '
+  || case trend_midpoint when 'grew' then 'grown to ' when 'shrank' then 'shrunk to ' else 'stayed approximately the same at ' end || printf('%.2f', d_midpoint) || ' units. By the final frame ' || last_frame || ', it had '
+  || case trend_final when 'grew' then 'grown to ' when 'shrank' then 'shrunk to ' else 'stayed approximately the same at ' end || printf('%.2f', d_final) || ' units.' as text from r"""
+)
+def distance_change_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The range report as a sentence for each checkpoint."""
+    rows = distance_change_report(spark, sf_dir)
+    word = lambda c: F.when(F.col(c) == "grew", "grown to ").when(F.col(c) == "shrank", "shrunk to ").otherwise("stayed approximately the same at ")
+    number = lambda c: F.format_string("%.2f", F.col(c))
+    text = F.concat(
+        F.lit("Initially, at frame "), F.col("first_frame").cast("string"), F.lit(", the distance was "), number("d_initial"), F.lit(" units. By the midpoint at frame "), F.col("middle_frame").cast("string"), F.lit(", it had "),
+        word("trend_midpoint"), number("d_midpoint"), F.lit(" units. By the final frame "), F.col("last_frame").cast("string"), F.lit(", it had "), word("trend_final"), number("d_final"), F.lit(" units."),
+    )
+    return rows.select("user_id", text.alias("text"))
+
+
+def motion_reading(net: str, turn: str, displacement_floor: str, angle_floor: str):
+    """What a camera did, from its net sideways motion and its turn, each against its floor."""
+    moves, turns = F.abs(net) > F.col(displacement_floor), F.abs(turn) > F.col(angle_floor)
+    return (
+        F.when(~moves & ~turns, "stationary").when(~moves, "turning on the spot").when(~turns, "sideways")
+        .when((F.col(net) < 0) & (F.col(turn) > 0), "orbit clockwise").when((F.col(net) > 0) & (F.col(turn) < 0), "orbit counter-clockwise").otherwise("curved")
+    )
+
+
+@query(
+    T
+    + """, f as (select label, first(cx order by frame) as c0, last(cx order by frame) as c1, first(degrees(atan2(x, z)) order by frame) as a0, last(degrees(atan2(x, z)) order by frame) as a1, 0.05 as df, 10.0 as af from t group by 1),
+  m as (select label, c1 - c0 as net, (((a1 - a0 + 180) % 360) + 360) % 360 - 180 as turn, df, af from f)
+  select label, round(net, 6) as net, round(turn, 4) as turn, case when abs(net) <= df and abs(turn) <= af then 'stationary' when abs(net) <= df then 'turning on the spot' when abs(turn) <= af then 'sideways'
+    when net < 0 and turn > 0 then 'orbit clockwise' when net > 0 and turn < 0 then 'orbit counter-clockwise' else 'curved' end as reading from m"""
+)
+def motion_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tracks(spark, sf_dir).withColumn("a", F.degrees(F.atan2("x", "z")))
+    ends = rows.groupBy("label").agg(F.min_by("cx", "frame").alias("c0"), F.max_by("cx", "frame").alias("c1"), F.min_by("a", "frame").alias("a0"), F.max_by("a", "frame").alias("a1"))
+    ends = ends.select("label", (F.col("c1") - F.col("c0")).alias("net"), num.wrapped_difference("a1", "a0").alias("turn"), F.lit(0.05).alias("df"), F.lit(10.0).alias("af"))
+    return ends.select("label", F.round("net", 6).alias("net"), F.round("turn", 4).alias("turn"), motion_reading("net", "turn", "df", "af").alias("reading"))
+
+
 BUILDERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (traj_subject_own_frame, traj_camera_own_frame, orient_camera_subject_frame)}
 
 

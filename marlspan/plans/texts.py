@@ -300,3 +300,56 @@ def option_length_median(spark, sf_dir):
 @query("select conv_id, count(*) as steps, count(*) filter (role = 'assistant') as accepted, count(*) filter (role = 'system') as rejected, round(avg(length(text)), 4) as mean_length, max(turn) as last_step from conversations group by 1")
 def trace_counters(spark, sf_dir):
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("steps"), F.count_if(F.col("role") == "assistant").alias("accepted"), F.count_if(F.col("role") == "system").alias("rejected"), F.round(F.avg(F.length("text")), 4).alias("mean_length"), F.max("turn").alias("last_step"))
+
+
+_TRACES = """with e as (select user_id as question_id, event_id, event_type, row_number() over (partition by user_id order by ts, event_id) - 1 as step from events),
+  q as (select *, case when event_type = 'click' then 'query' else event_type end as act, case when event_id % 13 = 0 then 'rejected' else 'ok' end as status, sum((event_type = 'click')::int) over (partition by question_id order by step) as k from e),
+  t as (select question_id, step, event_id, 'think {"action": "' || act || '"}' || case event_id % 17 when 0 then ' {"action": "x"}' when 1 then chr(10) || 'Tool result: y' else '' end as raw, case when event_id % 19 > 0 then 6 end as s0,
+    case when event_id % 19 > 0 then 6 + length('{"action": "' || act || '"}') + case event_id % 17 when 0 then 16 when 1 then 15 else 0 end - case when event_id % 23 = 0 then 2 else 0 end end as s1, case when event_id % 29 > 0 then act end as action, status,
+    case when event_type = 'click' and event_id % 31 > 0 then 'query_' || (k + case when event_id % 37 = 0 then 5 when event_id % 41 = 0 then -1 else 0 end) end as evidence_id,
+    case when event_id % 43 = 0 then ['query_999'] when event_type = 'view' and k > 0 then ['query_1'] else [] end as refs from q),
+  a as (select *, coalesce(list(evidence_id) filter (evidence_id is not null) over (partition by question_id order by step rows between unbounded preceding and 1 preceding), []) as made,
+    case when event_id % 47 = 0 then null when s0 is null then raw else trim(left(raw, s1)) end as effective, case when s0 is null then '' else substr(raw, s1 + 1) || case when event_id % 53 = 0 then 'z' else '' end end as suffix from t),
+  b as (select *, case when event_id % 59 = 0 then ['query_0'] else made end as available from a)"""
+
+
+@query(
+    _TRACES
+    + """, v as (select question_id, step, 'missing_trace_fields' as code from b where effective is null union all select question_id, step, 'invalid_boundary_text' from b where effective is null
+   union all select question_id, step, 'boundary_reconstruction_mismatch' from b where effective is not null and case when s0 is null then not (effective = raw and suffix = '') else not (effective = trim(left(raw, s1)) and suffix = substr(raw, s1 + 1)) end
+   union all select question_id, step, 'missing_action_boundary' from b where s0 is null union all select question_id, step, 'parsed_action_without_boundary' from b where s0 is null and action is not null
+   union all select question_id, step, 'multiple_effective_actions' from b where len(regexp_extract_all(effective, '\\{"action"')) > 1
+   union all select question_id, step, 'simulated_host_in_effective_history' from b where regexp_matches(effective, '(?im)^\\s*(Tool result\\b|HOST TURN\\b)')
+   union all select distinct question_id, step, 'accepted_unknown_evidence' from (select question_id, step, made, unnest(refs) as ref from b where status = 'ok') where not list_contains(made, ref)
+   union all select question_id, step, 'missing_call_id' from b where status = 'ok' and action = 'query' and evidence_id is null
+   union all select question_id, step, 'duplicate_evidence_id' from (select *, row_number() over (partition by question_id, evidence_id order by step) as rn from b where evidence_id is not null) where rn > 1
+   union all select question_id, step, 'rejection_created_evidence' from b where status <> 'ok' and evidence_id is not null
+   union all select question_id, step, 'ledger_registry_mismatch' from b where available <> made
+   union all select question_id, null, 'evidence_counter_gap' from (select question_id, max(n) as most, count(*) as n from (select distinct question_id, regexp_extract(evidence_id, '_([0-9]+)$', 1)::bigint as n from b where evidence_id is not null) group by 1) where most <> n)
+  select code, count(*) as n, count(distinct question_id) as questions from v group by 1"""
+)
+def agent_trace_audit(spark, sf_dir):
+    """Violations by rule over agent traces made from events, with faults of every kind in them."""
+    w = Window.partitionBy("question_id").orderBy("step")
+    e = F.col("event_id")
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("question_id"), "event_id", "ts", "event_type")
+    rows = rows.withColumn("step", (F.row_number().over(Window.partitionBy("question_id").orderBy("ts", "event_id")) - 1).cast("long"))
+    click = F.col("event_type") == "click"
+    rows = rows.withColumn("k", F.sum(click.cast("int")).over(w)).withColumn("act", F.when(click, "query").otherwise(F.col("event_type")))
+    call = F.concat(F.lit('{"action": "'), "act", F.lit('"}'))
+    tail = F.when(e % 17 == 0, ' {"action": "x"}').when(e % 17 == 1, "\nTool result: y").otherwise("")
+    spanned = e % 19 > 0
+    rows = rows.withColumns({
+        "raw": F.concat(F.lit("think "), call, tail), "span_start": F.when(spanned, 6), "span_end": F.when(spanned, 6 + F.length(call) + F.length(tail) - F.when(e % 23 == 0, 2).otherwise(0)),
+        "action": F.when(e % 29 > 0, F.col("act")), "status": F.when(e % 13 == 0, "rejected").otherwise("ok"),
+        "evidence_id": F.when(click & (e % 31 > 0), F.concat(F.lit("query_"), (F.col("k") + F.when(e % 37 == 0, 5).when(e % 41 == 0, -1).otherwise(0)).cast("string"))),
+        "refs": F.when(e % 43 == 0, F.array(F.lit("query_999"))).when((F.col("event_type") == "view") & (F.col("k") > 0), F.array(F.lit("query_1"))).otherwise(F.array().cast("array<string>")),
+    })
+    made = F.collect_list("evidence_id").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumns({
+        "effective": F.when(e % 47 == 0, None).when(~spanned, F.col("raw")).otherwise(F.trim(F.left("raw", F.col("span_end")))),
+        "suffix": F.when(~spanned, "").otherwise(F.concat(F.substring("raw", F.col("span_end") + 1, F.length("raw")), F.when(e % 53 == 0, "z").otherwise(""))),
+        "available": F.when(e % 59 == 0, F.array(F.lit("query_0"))).otherwise(made),
+    })
+    found = audit.violations(rows, audit.trace_rules())
+    return found.groupBy("code").agg(F.count("*").alias("n"), F.count_distinct("key").alias("questions"))
