@@ -86,15 +86,15 @@ def noise_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "with r as ("
     + SQL["distance_change_report"]
-    + """) select user_id, 'Initially, at frame ' || first_frame || ', the distance was ' || printf('%.2f', d_initial) || ' units. By the midpoint at frame ' || middle_frame || ', it had '
-  || case trend_midpoint when 'grew' then 'grown to ' when 'shrank' then 'shrunk to ' else 'stayed approximately the same at ' end || printf('%.2f', d_midpoint) || ' units. By the final frame ' || last_frame || ', it had '
-  || case trend_final when 'grew' then 'grown to ' when 'shrank' then 'shrunk to ' else 'stayed approximately the same at ' end || printf('%.2f', d_final) || ' units.' as text from r"""
+    + """) select user_id, 'Initially, at frame ' || first_frame || ', the distance was ' || printf('%.2f', floor(d_initial * 100) / 100) || ' units. By the midpoint at frame ' || middle_frame || ', it had '
+  || case trend_midpoint when 'grew' then 'grown to ' when 'shrank' then 'shrunk to ' else 'stayed approximately the same at ' end || printf('%.2f', floor(d_midpoint * 100) / 100) || ' units. By the final frame ' || last_frame || ', it had '
+  || case trend_final when 'grew' then 'grown to ' when 'shrank' then 'shrunk to ' else 'stayed approximately the same at ' end || printf('%.2f', floor(d_final * 100) / 100) || ' units.' as text from r"""
 )
 def distance_change_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The range report as a sentence for each checkpoint."""
     rows = distance_change_report(spark, sf_dir)
     word = lambda c: F.when(F.col(c) == "grew", "grown to ").when(F.col(c) == "shrank", "shrunk to ").otherwise("stayed approximately the same at ")
-    number = lambda c: F.format_string("%.2f", F.col(c))
+    number = lambda c: F.format_string("%.2f", F.floor(F.col(c) * 100) / 100)  # noqa: E731  cut, so that no tie is left to the formatter
     text = F.concat(
         F.lit("Initially, at frame "), F.col("first_frame").cast("string"), F.lit(", the distance was "), number("d_initial"), F.lit(" units. By the midpoint at frame "), F.col("middle_frame").cast("string"), F.lit(", it had "),
         word("trend_midpoint"), number("d_midpoint"), F.lit(" units. By the final frame "), F.col("last_frame").cast("string"), F.lit(", it had "), word("trend_final"), number("d_final"), F.lit(" units."),
