@@ -47,12 +47,13 @@ from .components import components
 
 @dataclass(frozen=True)
 class Params:
-    """percent: of the union that two sets must share; sketch: cells per row, two rows; chunk: members verified at a time."""
+    """percent: of the union that two sets must share; sketch: cells per row, two rows; few: nodes of a combination that are verified one by one; chunk: members verified at a time."""
 
     words: int = 5
     percent: int = 80
     sketch_cells: int = 1 << 20
     small: int = 8
+    few: int = 32
     chunk: int = 256
     probes: int = 512
     broadcast_rows: int = 1_000_000
@@ -355,23 +356,32 @@ def _across(docs: DataFrame, shared: DataFrame, found: DataFrame, p: Params) ->
     verified against all others there, whole chunks of near sizes at a time.
     """
     bucket = Window.partitionBy("sig")
-    spread = shared.join(found, "node", "left").select("sig", "node", "n", F.coalesce("component", "node").alias("comp"))
-    spread = spread.withColumn("main", F.min(F.struct("node", "comp")).over(bucket)["comp"])
-    spread = cut(spread.withColumn("mixed", F.max(F.col("comp") != F.col("main")).over(bucket)).where("mixed").drop("mixed"))
-    # the nodes met with one main component, its own and the others, by size; so many parts as keep each small
+    spread = shared.join(found, "node", "left").select("sig", "node", "n", F.col("least.node").alias("least"), F.coalesce("component", "node").alias("comp"))
+    spread = spread.withColumns({"main": F.min(F.struct("node", "comp")).over(bucket)["comp"], "size": F.count("*").over(bucket)})
+    spread = spread.withColumn("minor", F.col("comp") != F.col("main"))
+    spread = cut(spread.withColumn("mixed", F.max("minor").over(bucket)).where("mixed").drop("mixed"))
+
+    # Combinations of few nodes: node by node, but for the smallest, which has met them all.
+    few = spread.where(F.col("size") <= p.few)
+    other = few.where("node != least").select("sig", F.col("node").alias("member"), F.col("n").alias("member_n"), F.col("comp").alias("member_comp"), F.col("minor").alias("member_minor"))
+    pairs = few.where("minor").select("sig", "node", "n", "comp").join(other, "sig").where("comp != member_comp and (not member_minor or member < node)")
+    part = F.struct(F.lit(False).alias("minor"), F.lit(-1).alias("band"), F.lit(1).alias("of"), F.lit(0).alias("k"))
+    single = pairs.where(_near_sizes(F.col("n"), F.col("member_n"), p)).select(F.col("member").alias("comp"), part.alias("part"), "node").distinct()
+
+    # Combinations of many: against chunks of the nodes met with the same main component, its own and the others, by size.
     band = F.floor(F.log("n") / math.log(100 / p.percent)).cast("int")
-    spread = spread.select("sig", "node", "n", "main", (F.col("comp") != F.col("main")).alias("minor"), band.alias("band"))
-    group = ["main", "minor", "band"]
-    nodes = spread.select(*group, "node").distinct()
-    parts = nodes.groupBy(*group).agg(F.ceil(F.count("*") / p.chunk).alias("parts"))
-    spread = spread.join(parts, group).withColumn("part", F.struct("minor", "band", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("k"))).withColumnRenamed("main", "comp")
-
-    minor = spread.where("minor").select("sig", F.col("node").alias("probe"), F.col("n").alias("probe_n"))
-    others = spread.groupBy("sig", "comp", "part").agg(F.min("n").alias("n_least"), F.max("n").alias("n_most"))
-    meets = minor.join(others, "sig")
-    meets = meets.where((100 * F.col("n_most") >= p.percent * F.col("probe_n")) & (100 * F.col("probe_n") >= p.percent * F.col("n_least")))
-    probes = cut(meets.select("comp", "part", F.col("probe").alias("node")).distinct())
-    members = spread.select("comp", "part", "node").distinct().join(probes.select("comp", "part").distinct(), ["comp", "part"], "left_semi")
+    of = F.greatest(F.lit(1), F.pow(F.lit(2.0), F.ceil(F.log2(F.col("size") / p.chunk))).cast("int"))
+    part = F.struct("minor", band.alias("band"), of.alias("of"), F.pmod(F.xxhash64("node"), of).cast("int").alias("k"))
+    many = spread.where(F.col("size") > p.few).select("sig", "node", "n", "minor", F.col("main").alias("comp"), part.alias("part"))
+    chunks = many.groupBy("sig", "comp", "part").agg(F.min("n").alias("n_least"), F.max("n").alias("n_most"))
+    meets = many.where("minor").select("sig", "node", "n").join(chunks, "sig")
+    meets = meets.where((100 * F.col("n_most") >= p.percent * F.col("n")) & (100 * F.col("n") >= p.percent * F.col("n_least")))
+    chunked = cut(meets.select("comp", "part", "node").distinct())
+    members = many.select("comp", "part", "node").distinct().join(chunked.select("comp", "part").distinct(), ["comp", "part"], "left_semi")
+
+    single = cut(single)
+    probes = single.unionByName(chunked)
+    members = members.unionByName(single.select("comp", "part").distinct().select("comp", "part", F.col("comp").alias("node")))
     return _verify(docs, members, probes, p)
 
 

@@ -53,7 +53,7 @@ def brute_components(rows):
     return [(i, len(sets[i]), find(i)) for i, _ in rows]
 
 
-@pytest.mark.parametrize("params", [ngram_join.Params(), ngram_join.Params(sketch_cells=1 << 17, chunk=2, probes=2, broadcast_rows=0)])
+@pytest.mark.parametrize("params", [ngram_join.Params(), ngram_join.Params(sketch_cells=1 << 17, few=1, chunk=2, probes=2, broadcast_rows=0), ngram_join.Params(few=4, chunk=3)])
 def test_jaccard_components(corpus, params):
     rows, docs = corpus
     assert multiset(ngram_join.jaccard_components(docs, params).collect()) == multiset(brute_components(rows))
