@@ -372,9 +372,9 @@ def _across(docs: DataFrame, shared: DataFrame, found: DataFrame, p: Params) ->
     band = F.floor(F.log("n") / math.log(100 / p.percent)).cast("int")
     of = F.greatest(F.lit(1), F.pow(F.lit(2.0), F.ceil(F.log2(F.col("size") / p.chunk))).cast("int"))
     part = F.struct("minor", band.alias("band"), of.alias("of"), F.pmod(F.xxhash64("node"), of).cast("int").alias("k"))
-    many = spread.where(F.col("size") > p.few).select("sig", "node", "n", "minor", F.col("main").alias("comp"), part.alias("part"))
-    chunks = many.groupBy("sig", "comp", "part").agg(F.min("n").alias("n_least"), F.max("n").alias("n_most"))
-    meets = many.where("minor").select("sig", "node", "n").join(chunks, "sig")
+    many = spread.where(F.col("size") > p.few).select("node", "n", "minor", F.col("main").alias("comp"), part.alias("part")).distinct()
+    chunks = many.groupBy("comp", "part").agg(F.min("n").alias("n_least"), F.max("n").alias("n_most"))
+    meets = many.where("minor").select("comp", "node", "n").distinct().join(chunks, "comp")
     meets = meets.where((100 * F.col("n_most") >= p.percent * F.col("n")) & (100 * F.col("n") >= p.percent * F.col("n_least")))
     chunked = cut(meets.select("comp", "part", "node").distinct())
     members = many.select("comp", "part", "node").distinct().join(chunked.select("comp", "part").distinct(), ["comp", "part"], "left_semi")
