@@ -1,5 +1,6 @@
 """Queries that do the whole job: every row of their table, every round of their search."""
 
+import json
 import math
 
 from marlspan.plans.catalog import QUERIES
@@ -18,3 +19,9 @@ def test_calculator_takes_every_line_item(spark):
         want.append((key, line, m, math.sqrt(sum((x - m) ** 2 for x in d) / 3), math.hypot(*d), d[0] % 7 + max(d) ** 0.5 - d[1] / 2))
     assert len(got) == len(want) > 5000
     assert all(g[:2] == w[:2] and all(math.isclose(x, y, abs_tol=2e-6) for x, y in zip(g[2:], w[2:])) for g, w in zip(got, sorted(want)))
+
+
+def test_numeric_scalars_of_every_event(spark):
+    events = table(spark, SF, "events").select("event_id", "props").collect()
+    got = {r.event_id: r.numbers for r in QUERIES["numeric_scalars"](spark, SF).collect()}
+    assert got == {r.event_id: [float(json.loads(r.props)["k"]), 1.5] for r in events} and len(got) == len(events) > 500
