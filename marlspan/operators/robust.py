@@ -139,7 +139,7 @@ def rigid_fits(df: DataFrame, source: list[str], target: list[str], key: str, or
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
-        fit = ransac_rigid(pdf[source].to_numpy(float), pdf[target].to_numpy(float), rounds=200)
+        fit = ransac_rigid(pdf[source].to_numpy(float), pdf[target].to_numpy(float))
         r, t, rmse, good = fit if fit else (np.full((3, 3), np.nan), np.full(3, np.nan), None, np.zeros(0))
         return pd.DataFrame({key: [pdf[key].iloc[0]], "r": [r.ravel().tolist()], "t": [t.tolist()], "rmse": [rmse], "inliers": [int(good.sum())]})
 

@@ -3,6 +3,9 @@
 import json
 import math
 
+import numpy as np
+
+from marlspan.operators import robust
 from marlspan.plans.catalog import QUERIES
 from marlspan.session import table
 
@@ -25,3 +28,18 @@ def test_numeric_scalars_of_every_event(spark):
     events = table(spark, SF, "events").select("event_id", "props").collect()
     got = {r.event_id: r.numbers for r in QUERIES["numeric_scalars"](spark, SF).collect()}
     assert got == {r.event_id: [float(json.loads(r.props)["k"]), 1.5] for r in events} and len(got) == len(events) > 500
+
+
+def test_rigid_fits_search_all_rounds(spark):
+    """Three of 24 points fit together and chance finds them late: after 200 rounds there is no fit, after 1000 there is."""
+    for seed in range(100):
+        rng = np.random.default_rng(seed)
+        a, b = rng.normal(size=(24, 3)), 5 * rng.normal(size=(24, 3))
+        b[:3] = a[:3] + [1, 2, 3]
+        if robust.ransac_rigid(a, b, rounds=200) is None and (fit := robust.ransac_rigid(a, b, rounds=1000)):
+            break
+    assert fit
+    rows = [(0, k, *p, *q) for k, (p, q) in enumerate(zip(a.tolist(), b.tolist()))]
+    df = spark.createDataFrame(rows, "k int, i int, x double, y double, z double, u double, v double, w double")
+    got = robust.rigid_fits(df, ["x", "y", "z"], ["u", "v", "w"], "k", "i").first()
+    assert got.inliers == fit[3].sum() >= 3 and math.isclose(got.rmse, fit[2], abs_tol=1e-9)
