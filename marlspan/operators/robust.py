@@ -148,7 +148,7 @@ def rigid_fits(df: DataFrame, source: list[str], target: list[str], key: str, or
 
 def plane_ups(df: DataFrame, xyz: list[str], key: str, order: str) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        up, share = plane_up(pdf.sort_values(order)[xyz].to_numpy(float), rounds=200)
+        up, share = plane_up(pdf.sort_values(order)[xyz].to_numpy(float))
         return pd.DataFrame({key: [pdf[key].iloc[0]], "up": [None if up is None else up.tolist()], "share": [share]})
 
     return df.select(key, order, *xyz).groupBy(key).applyInPandas(run, f"{key} {dict(df.dtypes)[key]}, up array<double>, share double")

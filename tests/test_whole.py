@@ -43,3 +43,16 @@ def test_rigid_fits_search_all_rounds(spark):
     df = spark.createDataFrame(rows, "k int, i int, x double, y double, z double, u double, v double, w double")
     got = robust.rigid_fits(df, ["x", "y", "z"], ["u", "v", "w"], "k", "i").first()
     assert got.inliers == fit[3].sum() >= 3 and math.isclose(got.rmse, fit[2], abs_tol=1e-9)
+
+
+def test_plane_ups_search_all_rounds(spark):
+    """A cloud whose plane reaches the least share only between round 200 and round 800."""
+    for seed in range(200):
+        points = np.random.default_rng(seed).normal(size=(60, 3))
+        up, share = robust.plane_up(points, rounds=800)
+        if up is not None and robust.plane_up(points, rounds=200)[0] is None:
+            break
+    assert up is not None
+    df = spark.createDataFrame([(0, k, *p) for k, p in enumerate(points.tolist())], "k int, i int, x double, y double, z double")
+    got = robust.plane_ups(df, ["x", "y", "z"], "k", "i").first()
+    assert got.up is not None and np.allclose(got.up, up) and got.share == share
