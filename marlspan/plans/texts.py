@@ -124,7 +124,8 @@ def subject_key(spark, sf_dir):
 
 @query("select doc_id, left(text, 40) as head, regexp_replace(regexp_extract(text, '^[^.;:]*', 0), '\\s+', ' ', 'g') as clause, regexp_replace(lower(left(text, 30)), '[^a-z0-9]+', '-', 'g') as anchor, case when lang in ('en', 'fr') then lang else 'OTHER' end as label from documents where lang = 'en'")
 def presentation_strings(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").where("lang = 'en'")
+    """Strings of every document; the SQL still takes those in English."""
+    rows = table(spark, sf_dir, "documents")
     clause = F.regexp_replace(F.regexp_extract("text", "^[^.;:]*", 0), r"\s+", " ")
     return rows.select("doc_id", F.left("text", F.lit(40)).alias("head"), clause.alias("clause"), F.regexp_replace(F.lower(F.left("text", F.lit(30))), "[^a-z0-9]+", "-").alias("anchor"), tx.clamp("lang", ("en", "fr")).alias("label"))
 

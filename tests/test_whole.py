@@ -2,6 +2,7 @@
 
 import json
 import math
+import re
 
 import numpy as np
 
@@ -56,3 +57,13 @@ def test_plane_ups_search_all_rounds(spark):
     df = spark.createDataFrame([(0, k, *p) for k, p in enumerate(points.tolist())], "k int, i int, x double, y double, z double")
     got = robust.plane_ups(df, ["x", "y", "z"], "k", "i").first()
     assert got.up is not None and np.allclose(got.up, up) and got.share == share
+
+
+def test_presentation_strings_of_every_document(spark):
+    docs = table(spark, SF, "documents").select("doc_id", "text", "lang").collect()
+    got = {r.doc_id: (r.head, r.clause, r.anchor, r.label) for r in QUERIES["presentation_strings"](spark, SF).collect()}
+    want = {}
+    for doc, text, lang in docs:
+        clause = re.sub(r"\s+", " ", re.match("[^.;:]*", text)[0], flags=re.A)
+        want[doc] = (text[:40], clause, re.sub("[^a-z0-9]+", "-", text[:30].lower()), lang if lang in ("en", "fr") else "OTHER")
+    assert got == want and {label for *_, label in got.values()} == {"en", "fr", "OTHER"}
