@@ -69,13 +69,21 @@ def water_fill(available: DataFrame, name: str, amount: str, total: int) -> Data
     return rows.select(name, out.cast("long").alias("quota"))
 
 
-def balanced_seed(df: DataFrame, label: str, key: str, size: int, low: int, high: int, seeds: int, letters: list[str]) -> DataFrame:
-    """The least seed whose draw of `size` rows holds each label low to high times; the candidates are counted per seed."""
-    draws = df.select(key, label).withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
-    draws = draws.withColumn("__h", F.md5(F.concat_ws(":", F.col("seed").cast("string"), F.col(key).cast("string")).cast("binary")))
-    rank = F.row_number().over(Window.partitionBy("seed").orderBy("__h", key))
-    counts = draws.withColumn("__r", rank).where(F.col("__r") <= size).groupBy("seed").agg(*(F.count_if(F.col(label) == x).alias(f"n_{k}") for k, x in enumerate(letters)))
-    good = F.lit(True)
-    for k in range(len(letters)):
-        good = good & F.col(f"n_{k}").between(low, high)
-    return counts.where(good).agg(F.min("seed").cast("long").alias("seed"))
+def balanced_seed(df: DataFrame, label: str, key: str, size: int, bounds: dict[str, tuple[int, int]], seeds: int = 500, step: int = 20) -> DataFrame:
+    """The least of `seeds` seeds whose draw of `size` rows holds each label within its bounds, null if none does.
+
+    Seeds are counted `step` at a time, and the scan stops at the first range that has one.
+    """
+    rows, found = df.select(key, label), None
+    for first in range(0, seeds, step):
+        draws = rows.withColumn("seed", F.explode(F.sequence(F.lit(first), F.lit(min(first + step, seeds) - 1))))
+        draws = draws.withColumn("__h", hash_order(F.col("seed"), key))
+        rank = F.row_number().over(Window.partitionBy("seed").orderBy("__h", key))
+        counts = draws.withColumn("__r", rank).where(F.col("__r") <= size).groupBy("seed").agg(*(F.count_if(F.col(label) == x).alias(f"n_{k}") for k, x in enumerate(bounds)))
+        good = F.lit(True)
+        for k, (low, high) in enumerate(bounds.values()):
+            good = good & F.col(f"n_{k}").between(low, high)
+        found = counts.where(good).agg(F.min("seed")).first()[0]
+        if found is not None:
+            break
+    return df.sparkSession.range(1).select(F.lit(found).cast("long").alias("seed"))

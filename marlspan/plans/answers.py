@@ -189,11 +189,7 @@ def water_fill(spark, sf_dir):
   c as (select seed, count(*) filter (lang = 'en') as a, count(*) filter (lang = 'fr') as b, count(*) filter (lang = 'de') as c from r where r <= 25 group by 1) select min(seed)::bigint as seed from c where a between 10 and 20 and b between 2 and 12 and c between 2 and 12"""
 )
 def balanced_seed(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang").withColumn("lang", F.col("lang"))
-    rows = docs.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(19)))).withColumn("__h", F.md5(F.concat_ws(":", F.col("seed").cast("string"), F.col("doc_id").cast("string")).cast("binary")))
-    drawn = rows.withColumn("r", F.row_number().over(Window.partitionBy("seed").orderBy("__h", "doc_id"))).where("r <= 25")
-    counts = drawn.groupBy("seed").agg(*(F.count_if(F.col("lang") == x).alias(x) for x in ("en", "fr", "de")))
-    return counts.where("en between 10 and 20 and fr between 2 and 12 and de between 2 and 12").agg(F.min("seed").cast("long").alias("seed"))
+    return sampling.balanced_seed(table(spark, sf_dir, "documents"), "lang", "doc_id", 25, {"en": (10, 20), "fr": (2, 12), "de": (2, 12)})
 
 
 @query("with h as (select lang, count(*) as n from documents group by 1) select lang, n, (select bool_and(n between 10 and 900) from h) as balanced from h")

@@ -1,12 +1,14 @@
 """Queries that do the whole job: every row of their table, every round of their search."""
 
 import json
+import hashlib
 import math
 import re
 
 import numpy as np
 
 from marlspan.operators import robust
+from marlspan.plans import answers
 from marlspan.plans.catalog import QUERIES
 from marlspan.session import table
 
@@ -67,3 +69,22 @@ def test_presentation_strings_of_every_document(spark):
         clause = re.sub(r"\s+", " ", re.match("[^.;:]*", text)[0], flags=re.A)
         want[doc] = (text[:40], clause, re.sub("[^a-z0-9]+", "-", text[:30].lower()), lang if lang in ("en", "fr") else "OTHER")
     assert got == want and {label for *_, label in got.values()} == {"en", "fr", "OTHER"}
+
+
+def test_balanced_seed_scans_500_seeds(spark, monkeypatch):
+    """French is rare, so that no draw of the first 20 seeds holds two of it."""
+
+    def balanced(seed, docs):
+        drawn = [lang for _, lang in sorted(docs, key=lambda d: (hashlib.md5(f"{seed}:{d[0]}".encode()).hexdigest(), d[0]))[:25]]
+        return 10 <= drawn.count("en") <= 20 and 2 <= drawn.count("fr") <= 12 and 2 <= drawn.count("de") <= 12
+
+    for start in range(0, 100_000, 1000):
+        docs = [(start + k, "fr" if k < 3 else ("en", "de")[k % 2]) for k in range(300)]
+        want = next((s for s in range(500) if balanced(s, docs)), None)
+        if want is not None and want >= 20:
+            break
+    assert want >= 20
+    for given, seed in ((docs, want), ([d for d in docs if d[1] != "fr"], None)):
+        df = spark.createDataFrame(given, "doc_id long, lang string").coalesce(1)
+        monkeypatch.setattr(answers, "table", lambda *_: df)
+        assert [r.seed for r in QUERIES["balanced_seed"](spark, SF).collect()] == [seed]
