@@ -4,7 +4,8 @@ Each kind has a pattern, a validator (digit counts, Luhn, mod-97, octet range) a
 a base score.  Context words of the kind near a span raise its score, words
 that speak against it lower it.  The four base kinds (email, ip, card, phone) always
 stay once their validator passes; the added kinds (iban, national phone numbers,
-social security numbers) need the score to reach the threshold.
+social security numbers) need the score to reach the threshold, and those without a
+checksum (all but iban) give way to base spans that they overlap.
 
 Defined results.  Null is the empty text and has no spans.  Spans count code
 points, the end exclusive.  Very long texts are scanned whole.  Equal rows give equal
@@ -71,6 +72,7 @@ class Kind:
     valid: Callable[[str], bool]
     score: float
     context: tuple[str, ...] = ()
+    confirmed: bool = False
 
 
 CATALOGUE = (
@@ -78,10 +80,12 @@ CATALOGUE = (
     Kind("ip", IP, lambda s: all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in s.split(".")), 0.7, ("ip", "host", "server", "address")),
     Kind("card", CARD, _card_ok, 0.8, ("card", "visa", "credit", "payment", "account")),
     Kind("phone", PHONE, lambda s: 9 <= len(_digits(s)) <= 15, 0.8, ("phone", "call", "tel", "mobile", "fax")),
-    Kind("iban", _IBAN, mod97, 0.8, ("iban", "bank", "account", "transfer")),
+    Kind("iban", _IBAN, mod97, 0.8, ("iban", "bank", "account", "transfer"), confirmed=True),
     Kind("national", _NATIONAL, lambda s: 9 <= len(_digits(s)) <= 11, 0.3, ("phone", "call", "tel", "mobile", "fax", "contact")),
     Kind("ssn", _SSN, lambda s: s[:3] not in ("000", "666") and s[0] != "9" and s[4:6] != "00" and s[7:] != "0000", 0.4, ("ssn", "social", "security")),
 )
+#: Kinds whose spans stay beside any other: the base kinds, and what a checksum confirms.
+_STAY = frozenset(k.name for k in CATALOGUE if k.name in BASE or k.confirmed)
 _CONTEXT = {k.name: re.compile(r"(?i)\b(?:" + "|".join(re.escape(c) for c in k.context) + r")") for k in CATALOGUE}
 _AGAINST = re.compile(r"(?i)\b(?:version|isbn|serial|example|invoice|order)\b")
 
@@ -129,7 +133,7 @@ def find(text: str | None, threshold: float = 0.6, near: int = 40) -> list[Span]
             if kind.name in BASE or score >= threshold:
                 out.append(Span(kind.name, start, end, round(min(1.0, max(0.0, score)), 2)))
     base = [(s.start, s.end) for s in out if s.kind in BASE]
-    out = [s for s in out if s.kind in BASE or not any(a < s.end and s.start < b for a, b in base)]
+    out = [s for s in out if s.kind in _STAY or not any(a < s.end and s.start < b for a, b in base)]
     return sorted(out, key=lambda s: (s.start, KINDS.index(s.kind)))
 
 
