@@ -12,7 +12,8 @@ Adam on the driver, from fixed seeds; its size and its training set are paramete
 Defined results.  Null and empty html: empty text.  Scripts, styles, comments and the head are no blocks.
 Character references are decoded, white space in a block (of any kind) becomes one space, ends
 are trimmed, blocks left empty go; blocks are joined in page order by one newline.  Unclosed and
-stray tags are borne.  Pages are read whole.  Repeated rows give equal rows; columns other
+stray tags are borne: a head ends at the first element or text that cannot stand in it, and a
+self-closed svg or math is empty.  Pages are read whole.  Repeated rows give equal rows; columns other
 than page_id, url and html are not read.
 """
 
@@ -53,10 +54,14 @@ BLOCKS = frozenset(
     " header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset(["hr"])
+#: Elements that may stand in a head.
+HEAD = frozenset("html head title base basefont bgsound link meta style script noscript noframes template".split())
 #: Open elements that a start tag ends.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: The rest of a self-closed tag; a slash that ends an unquoted value belongs to the value.
+_EMPTY = r"""(?:"[^"]*"|'[^']*'|=\s*+(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*+)|[^"'>=/]|=|/(?!>))*+/>"""
 _TAG = re.compile(
-    rf"""<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])[^>]*+>.*?(?:</\1\s*+>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+|[^>]*+)>|<[!?/][^>]*+>""",
+    rf"""<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])(?:(?:(?<=svg)|(?<=math)){_EMPTY}|[^>]*+>.*?(?:</\1\s*+>|\Z))|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+|[^>]*+)>|<[!?/][^>]*+>""",
     re.S | re.I,
 )
 _NAMES = re.compile(r"""(?i)\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -88,7 +93,9 @@ def blocks_of(html: str | None) -> list[Block]:
         linked = 0
 
     def add(text: str) -> None:
-        nonlocal linked
+        nonlocal linked, in_head
+        if in_head and text.strip():
+            in_head = False
         if text and not in_head:
             parts.append(text)
             if links:
@@ -99,6 +106,8 @@ def blocks_of(html: str | None) -> list[Block]:
         add(html[at : m.start()])
         at = m.end()
         name = (m[3] or "").lower()
+        if in_head and not m[2] and (name or (m[1] or "head").lower()) not in HEAD:
+            in_head = False
         if not name:
             continue
         if name == "head":

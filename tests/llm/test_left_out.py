@@ -1,6 +1,6 @@
 """Training-data operators that leave nothing out."""
 
-from marlspan.llm import pii
+from marlspan.llm import html_extract, pii
 
 
 def unspaced_iban(country, bank, length):
@@ -25,3 +25,22 @@ def test_pii_keeps_an_iban_that_holds_a_card():
 def test_pii_unconfirmed_spans_give_way():
     """A national number within an international one is no span of its own."""
     assert [s.kind for s in pii.find("phone +1 (988) 555-2485")] == ["phone"]
+
+
+def texts(html):
+    return [b.text for b in html_extract.blocks_of(html)]
+
+
+def test_html_head_without_end_tag():
+    head = "<!DOCTYPE html><html><head>\n<meta charset=utf-8><title>T</title><!-- c --><style>p{}</style><link rel=x href=y>\n"
+    for start in ("", "</head>", "<body>", "</head><body>"):
+        assert texts(f"{head}{start}<p>One.<p>Two.") == ["One.", "Two."]
+    for body in ("<a href=x>One.</a>", "<img src=x>One.", "<svg/>One.", "One."):
+        assert texts(head + body) == ["One."]
+
+
+def test_html_self_closed_svg_and_math():
+    for empty in ("<svg/>", '<svg class="i > j" />', "<SVG width=10 />", "<math a='b'/>"):
+        assert texts(f"<p>One.{empty}</p><p>Two.</p><svg><text>no</text></svg><p>Three.</p>") == ["One.", "Two.", "Three."]
+    assert texts("<p>One.</p><svg width=10/><text>no</text></svg><p>Two.</p>") == ["One.", "Two."]
+    assert texts("<p>One.</p><script src=x /><p>no</p></script><p>Two.</p>") == ["One.", "Two."]
