@@ -55,6 +55,37 @@ def test_digests(spark, corpus):
         assert r.decoded_sha256 == hashlib.sha256(text[r.doc_id].encode()).hexdigest()
 
 
+def odd_spaces(seed, n):
+    """Texts with white space of every kind, at ends, alone and in runs, and other characters that end in the same bytes."""
+    rng = random.Random(seed)
+    parts = ["word", "a", "Été", "don't", "42", "中文", "😀", "\u2019", "«", "\u1681", "\u3001", "!?", " ", " ", " ", " ", "  ", "\n", "\t ", "\x1c", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u202f", "\u205f", "\u3000"]
+    return ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(n)]
+
+
+def test_ids_through_spark_equal_the_library(spark, ranks):
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = [None, "", " ", "<|endoftext|>", "x " * 50_000, "y" * 30_000, *odd_spaces(8, 400)]
+    rows = [(k, t, 1, "z") for k, t in enumerate(texts)] + [(3, texts[3], 1, "z")] * 2 + [(None, "a b", 1, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, ids int, decoded string").repartition(3)
+    got = [tuple(r) for r in bpe.digests(bpe.encode_decode(docs, PATH, public_tokenizers.PATTERN)).collect()]
+    want = []
+    for i, t, *_ in rows:
+        ids = library.encode_ordinary(t or "")
+        want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert bpe.encode_decode(docs.where("doc_id > 99999"), PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_batch_decoding_of_any_ids(ranks):
+    """Ids that are no text: every maximal bad part gives one U+FFFD, as in the token-by-token decoder."""
+    rng, decoder = random.Random(5), bpe.Decoder(ranks)
+    odd = [ranks[bytes([b])] for b in (0xC3, 0xA9, 0xE4, 0xB8, 0xAD, 0xF0, 0x9F, 0x98, 0x80, 0xFF, 0xC0)] + [ranks[b"a"], ranks[b" the"]]
+    lists = [[rng.choice(odd) for _ in range(rng.randint(0, 12))] for _ in range(800)]
+    first = np.cumsum([0, *map(len, lists)])
+    got = decoder.decode_all(np.array([i for x in lists for i in x], np.int64), first).to_pylist()
+    assert got == [b"".join(decoder.tokens[i] for i in x).decode("utf-8", "replace") for x in lists]
+
+
 # ---- pages ----
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><script>var x="</p>";</script></head><body>
