@@ -35,7 +35,7 @@ from .cluster import cut, fold_of, fold_of_value, in_blocks, small_batches, text
 
 @dataclass(frozen=True)
 class Params:
-    """keep_words: distinct words that a task of the first pass holds before it passes them on."""
+    """keep_words: distinct words that a task of the first pass holds before it passes them on; together: words whose lattices are made at once."""
 
     modulus: int = 7
     held_out: int = 2
@@ -43,6 +43,7 @@ class Params:
     smoothing: float = 500.0
     block_bytes: int = 12 << 20
     keep_words: int = 400_000
+    together: int = 65_536
 
 
 SPACE_MARK = "▁"
@@ -141,6 +142,166 @@ class Pieces:
                         into[name] = into.get(name, 0.0) + p
 
 
+class Lattices:
+    """The lattices of many words at once: words of one length are rows of a table, and the recursions run along its columns.
+
+    The pieces form a trie; one step of all walks is one lookup in an open hash table of (node, character).
+    """
+
+    #: Longer words, and those fewer than characters, go one by one; cells of a table at most.
+    LONG, CELLS = 48, 1 << 15
+
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+        order = sorted(pieces.table, key=len)
+        node = {"": 0} | {s: k for k, s in enumerate(order, 1)}
+        chars = sorted({s[-1] for s in order})
+        self.code = np.zeros(0x110000, np.int64)
+        self.code[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.step = len(chars) + 1
+        self.longest = max(map(len, order))
+        self.weight = np.array([-np.inf] + [-np.inf if pieces.table[s] is None else pieces.table[s] for s in order])
+        self.name = ["", *order]
+        size = 1 << (4 * len(order)).bit_length()
+        self.mask, self.keys, self.child = size - 1, np.full(size, -1, np.int64), np.zeros(size, np.int64)
+        keys = np.array([node[s[:-1]] * self.step + self.code[ord(s[-1])] for s in order])
+        left = np.arange(len(keys))
+        at = self._slot(keys)
+        while len(left):
+            free = self.keys[at[left]] < 0
+            self.keys[at[left[free]]] = keys[left[free]]  # one of those that meet stays
+            done = self.keys[at[left]] == keys[left]
+            self.child[at[left[done]]] = left[done] + 1
+            left = left[~done]
+            at[left] = (at[left] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) & self.mask
+
+    def _go(self, node: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The child of each node by each character, 0 where there is none."""
+        keys = node * self.step + code
+        at = self._slot(keys)
+        found = self.keys[at]
+        out = np.where(found == keys, self.child[at], 0)
+        more = np.flatnonzero((found != keys) & (found >= 0))
+        while len(more):
+            at[more] = (at[more] + 1) & self.mask
+            found = self.keys[at[more]]
+            hit = found == keys[more]
+            out[more[hit]] = self.child[at[more[hit]]]
+            more = more[~hit & (found >= 0)]
+        return out
+
+    def _arcs(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(w, node, spelled) of words as rows of code points: by length less one, the log weight and node of the piece from each place; the places of spelled characters."""
+        m, n = points.shape
+        code = self.code[points].ravel()
+        w = np.full((min(n, self.longest), m * n), -np.inf)
+        nodes = np.zeros(w.shape, np.int64)
+        place = np.flatnonzero(code)
+        node = np.zeros(len(place), np.int64)
+        for k in range(len(w)):
+            node = self._go(node, code[place + k])
+            on = node > 0
+            place, node = place[on], node[on]
+            w[k, place], nodes[k, place] = self.weight[node], node
+            on = place % n + k + 1 < n
+            place, node = place[on], node[on]
+        spelled = np.flatnonzero(w[0] == -np.inf)
+        if len(spelled):
+            chars, which = np.unique(points.ravel()[spelled], return_inverse=True)
+            w[0, spelled] = np.array([self.pieces.spelled(chr(c)) for c in chars.tolist()])[which]
+        return w.reshape(len(w), m, n), nodes.reshape(len(w), m, n), spelled
+
+    @staticmethod
+    def _forward(w: np.ndarray) -> np.ndarray:
+        longest, m, n = w.shape
+        alpha = np.full((n + 1, m), -np.inf)
+        alpha[0] = 0.0
+        for j in range(1, n + 1):
+            alpha[j] = _log_sums(np.stack([alpha[j - k - 1] + w[k, :, j - k - 1] for k in range(min(j, longest))]))
+        return alpha
+
+    def _tables(self, words: list[str]):
+        """(rows, points) for words of one length; rows alone where they go one by one."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(lengths, kind="stable")
+        bounds = np.flatnonzero(np.diff(lengths[order])) + 1
+        for rows in np.split(order, bounds):
+            n = int(lengths[rows[0]]) + 1 if len(rows) else 0
+            if len(rows) < n or n > self.LONG:
+                yield rows, None
+                continue
+            for k in range(0, len(rows), max(1, self.CELLS // n)):
+                part = rows[k : k + max(1, self.CELLS // n)]
+                text = "".join([SPACE_MARK + words[i] for i in part.tolist()])
+                yield part, np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64).reshape(len(part), n)
+
+    def log_probabilities(self, words: list[str]) -> np.ndarray:
+        """Natural log of the sum over all segmentations of each word."""
+        out = np.zeros(len(words))
+        for rows, points in self._tables(words):
+            if points is None:
+                out[rows] = [self.pieces.log_probability(words[i]) for i in rows.tolist()]
+            else:
+                out[rows] = self._forward(self._arcs(points)[0])[-1]
+        return out
+
+    def expect(self, words: list[str], times: np.ndarray, into: dict[str, float]) -> None:
+        """Adds the expected number of each piece over all words."""
+        total = np.zeros(len(self.name))
+        for rows, points in self._tables(words):
+            if points is None:
+                for i in rows.tolist():
+                    self.pieces.expect(words[i], int(times[i]), into)
+                continue
+            w, nodes, spelled = self._arcs(points)
+            longest, m, n = w.shape
+            alpha = self._forward(w)
+            beta = np.full((n + 1, m), -np.inf)
+            beta[n] = 0.0
+            here = times[rows].astype(np.float64)
+            in_bytes = np.zeros(m * n, bool)
+            in_bytes[spelled] = True
+            in_bytes = in_bytes.reshape(m, n)
+            for i in range(n - 1, -1, -1):
+                rest = np.stack([w[k, :, i] + beta[i + k + 1] for k in range(min(longest, n - i))])
+                beta[i] = _log_sums(rest)
+                p = here * np.exp(rest + (alpha[i] - alpha[n]))
+                odd = np.flatnonzero(in_bytes[:, i])
+                for r in odd.tolist():
+                    for b in chr(int(points[r, i])).encode():
+                        name = f"<0x{b:02X}>"
+                        into[name] = into.get(name, 0.0) + float(p[0, r])
+                p[0, odd] = 0.0
+                total += np.bincount(nodes[: len(p), :, i].ravel(), p.ravel(), len(total))
+        for k in np.flatnonzero(total).tolist():
+            if k:
+                into[self.name[k]] = into.get(self.name[k], 0.0) + float(total[k])
+
+
+def _log_sums(terms: np.ndarray) -> np.ndarray:
+    """Log of the sum of exponentials down the rows; each column has a finite term."""
+    if len(terms) == 1:
+        return terms[0]
+    top = terms.max(axis=0)
+    return top + np.log(np.exp(terms - top).sum(axis=0))
+
+
+def gathered(batches, rows: int, most_bytes: int = 16 << 20):
+    """The batches, joined up to about so many rows or bytes."""
+    held, n, size = [], 0, 0
+    for b in batches:
+        held.append(b)
+        n, size = n + b.num_rows, size + b.nbytes
+        if n >= rows or size >= most_bytes:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, n, size = [], 0, 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def _log_sum(terms: list[float]) -> float:
     if len(terms) == 1:
         return terms[0]
@@ -190,9 +351,9 @@ def learn(vocabulary: DataFrame, path: str, p: Params) -> Pieces:
 
         def run(batches, shared=shared):
             into: dict[str, float] = {}
-            for b in batches:
-                for word, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    shared.value.expect(word, n, into)
+            lattices = Lattices(shared.value)
+            for b in gathered(batches, p.together):
+                lattices.expect(b.column(0).to_pylist(), b.column(1).to_numpy(), into)
             yield pa.RecordBatch.from_arrays([pa.array(list(into), pa.string()), pa.array(list(into.values()), pa.float64())], ["piece", "e"])
 
         rows = vocabulary.where("n > 0").mapInArrow(run, "piece string, e double").groupBy("piece").agg(F.sum("e").alias("e")).collect()
@@ -219,9 +380,10 @@ def score_documents(docs: DataFrame, pieces_path: str, params: Params | None = N
     end, on = math.log10((ends + 1) / (tokens + 2)), math.log10((n + 1) / (tokens + 2))
 
     def marginal(batches):
-        for b in batches:
-            log = [shared.value.log_probability(w) / math.log(10) + on for w in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(log, pa.float64())], ["word", "n", "log10"])
+        lattices = Lattices(shared.value)
+        for b in gathered(batches, p.together):
+            log = lattices.log_probabilities(b.column(0).to_pylist()) / math.log(10) + on
+            yield from pa.table([b.column(0), b.column(1), pa.array(log)], ["word", "n", "log10"]).to_batches()
 
     scored = vocabulary.mapInArrow(marginal, "word string, n long, log10 double")
     blocks, _ = in_blocks(docs, ["doc_id", "text"], text_bytes(docs), p.block_bytes)

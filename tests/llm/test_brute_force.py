@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -337,6 +338,47 @@ def test_language_model_base(corpus):
         assert all(r.score < 0 for r in rows_)
 
 
+def test_lattices_of_many_words_equal_those_of_one():
+    import public_tokenizers
+
+    pieces = lattice_lm.Pieces.read(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abeinorstéçß中😀.,'") for _ in range(rng.choice((0, 1, 2, 3, 5, 5, 5, 8, 8, 12, 47, 48, 70)))) for _ in range(900)]
+    times = [rng.randint(1, 9) for _ in words]
+    many = lattice_lm.Lattices(pieces)
+    assert all(math.isclose(a, pieces.log_probability(w), rel_tol=1e-9) for a, w in zip(many.log_probabilities(words), words))
+    got, want = {}, {}
+    many.expect(words, np.array(times), got)
+    for w, n in zip(words, times):
+        pieces.expect(w, n, want)
+    assert got.keys() == want.keys() and all(math.isclose(got[k], v, rel_tol=1e-9, abs_tol=1e-12) for k, v in want.items())
+
+
+def test_language_model_score(corpus):
+    """The score of each document, from plain loops over words and segmentations."""
+    import public_tokenizers
+
+    rows, docs = corpus
+    path, p = public_tokenizers.path("piece_bpe_32k.model"), lattice_lm.Params()
+    words = [(i, WORD.findall(lower(t))) for i, t in rows]
+    train = [w for i, w in words if zlib.crc32(str(i).encode()) % 7 != 2]
+    c = Counter(x for w in train for x in w)
+    first = pieces = lattice_lm.Pieces.read(path)
+    prior = {n: first.weight[n] if n in first.weight else first.bytes[int(n[1:-1], 16)] for n in first.names}
+    for _ in range(p.rounds):
+        expected = {}
+        for w, n in c.items():
+            pieces.expect(w, n, expected)
+        total = math.fsum(expected.values()) + p.smoothing
+        pieces = lattice_lm.Pieces.of(first.names, [(expected.get(n, 0.0) + p.smoothing * math.exp(prior[n])) / total for n in first.names])
+    n, ends = sum(c.values()), len(train)
+    on, end = math.log10((n + 1) / (n + ends + 2)), math.log10((ends + 1) / (n + ends + 2))
+    one = {x: math.log10(brute_probability(pieces, "▁" + x)) + on for _, w in words for x in w}
+    want = Counter((i, round(sum(one[x] for x in w) + end, 6)) for i, w in words)
+    got = lattice_lm.score_documents(docs, path, lattice_lm.Params(together=7)).select("doc_id", "score").collect()
+    assert Counter((i, round(s, 6)) for i, s in got) == want
+
+
 # ---- empty tables ----
 
 
