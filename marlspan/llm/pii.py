@@ -8,16 +8,18 @@ social security numbers) need the score to reach the threshold, and those withou
 checksum (all but iban) give way to base spans that they overlap.
 
 Defined results.  Null is the empty text and has no spans.  Spans count code
-points, the end exclusive.  Very long texts are scanned whole.  Equal rows give equal
-spans; other columns are not read.
+points, the end exclusive.  Very long texts are scanned whole, in time that grows with their length.  Equal rows give equal
+spans, an empty table no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,8 +36,8 @@ KINDS = (*BASE, "iban", "national", "ssn")
 
 _DIGIT = re.compile("[0-9]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]+\Z")
-_NUMBERS = re.compile(r"[0-9](?:[\x20.-]?[0-9])*")
+#: The same matches as IP, without going back into a run of digits or starting within one: linear on any text.
+_IP_ONCE = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _NATIONAL = re.compile(r"(?<![0-9+])\(?[0-9]{2,4}\)?[\x20-][0-9]{3}[\x20-][0-9]{3,4}(?![0-9])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
@@ -77,7 +79,7 @@ class Kind:
 
 CATALOGUE = (
     Kind("email", EMAIL, lambda s: True, 0.9, ("mail", "contact", "write", "@")),
-    Kind("ip", IP, lambda s: all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in s.split(".")), 0.7, ("ip", "host", "server", "address")),
+    Kind("ip", IP, lambda s: all(len(d) <= 3 and int(d or "0") <= 255 for d in (p.lstrip("0") for p in s.split("."))), 0.7, ("ip", "host", "server", "address")),
     Kind("card", CARD, _card_ok, 0.8, ("card", "visa", "credit", "payment", "account")),
     Kind("phone", PHONE, lambda s: 9 <= len(_digits(s)) <= 15, 0.8, ("phone", "call", "tel", "mobile", "fax")),
     Kind("iban", _IBAN, mod97, 0.8, ("iban", "bank", "account", "transfer"), confirmed=True),
@@ -117,7 +119,7 @@ def _proposed(kind: Kind, text: str, digits: bool) -> list[tuple[int, int]]:
         return _emails(text)
     if not digits or kind.name == "phone" and "+" not in text:
         return []
-    return [m.span() for m in kind.pattern.finditer(text)]
+    return [m.span() for m in (_IP_ONCE if kind.name == "ip" else kind.pattern).finditer(text)]
 
 
 def find(text: str | None, threshold: float = 0.6, near: int = 40) -> list[Span]:
@@ -132,8 +134,11 @@ def find(text: str | None, threshold: float = 0.6, near: int = 40) -> list[Span]
             score = kind.score + 0.35 * bool(_CONTEXT[kind.name].search(around)) - 0.25 * bool(_AGAINST.search(around))
             if kind.name in BASE or score >= threshold:
                 out.append(Span(kind.name, start, end, round(min(1.0, max(0.0, score)), 2)))
-    base = [(s.start, s.end) for s in out if s.kind in BASE]
-    out = [s for s in out if s.kind in _STAY or not any(a < s.end and s.start < b for a, b in base)]
+    base = sorted((s.start, s.end) for s in out if s.kind in BASE)
+    starts, reach = [a for a, _ in base], list(accumulate((b for _, b in base), max))
+    # the base spans that begin before a span's end: does one of them reach into it
+    before = lambda s: bisect_left(starts, s.end)
+    out = [s for s in out if s.kind in _STAY or not (before(s) and reach[before(s) - 1] > s.start)]
     return sorted(out, key=lambda s: (s.start, KINDS.index(s.kind)))
 
 

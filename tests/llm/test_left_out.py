@@ -44,3 +44,67 @@ def test_html_self_closed_svg_and_math():
         assert texts(f"<p>One.{empty}</p><p>Two.</p><svg><text>no</text></svg><p>Three.</p>") == ["One.", "Two.", "Three."]
     assert texts("<p>One.</p><svg width=10/><text>no</text></svg><p>Two.</p>") == ["One.", "Two."]
     assert texts("<p>One.</p><script src=x /><p>no</p></script><p>Two.</p>") == ["One.", "Two."]
+
+
+def test_addresses_in_long_runs_of_digits():
+    """Linear, and the same matches as the contract's pattern."""
+    import random
+    import re
+    import time
+
+    start = time.time()
+    assert [s for s in pii.find("7" * 1_000_000 + " 10.0.0.1") if s.kind == "ip"][0].start == 1_000_001
+    assert not [s for s in pii.find("0" * 6_000 + "300.1.1.1") if s.kind == "ip"]
+    assert [s.end for s in pii.find("0" * 6_000 + "200.1.1.1") if s.kind == "ip"] == [6_009]
+    pii.find("+49 301 234567 or 030 123 4567, " * 20_000)
+    assert time.time() - start < 60
+    rng = random.Random(6)
+    for _ in range(3000):
+        text = "".join(rng.choice("12345 ..00x") for _ in range(rng.randint(0, 40)))
+        assert [m.span() for m in pii._IP_ONCE.finditer(text)] == [m.span() for m in pii.IP.finditer(text)]
+
+
+def test_pii_rows(spark):
+    """Nulls, repeated rows, clashing names, a long text of digits and an empty table."""
+    rows = [(1, None, 5, "x"), (2, "mail a@b.co or call +49 30 1234567", 5, "x"), (2, "mail a@b.co or call +49 30 1234567", 5, "x"), (3, "1" * 300_000, 5, "x"), (None, "8.8.8.8", 5, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_email int, spans string")
+    got = sorted(((r.doc_id, r.n_email, r.n_ip, r.n_phone, r.spans) for r in pii.find_pii(docs).collect()), key=repr)
+    found = ",".join(f"{s.kind}:{s.start}:{s.end}" for s in pii.find(rows[1][1]))
+    assert got == sorted([(1, 0, 0, 0, ""), (2, 1, 0, 1, found), (2, 1, 0, 1, found), (3, 0, 0, 0, ""), (None, 0, 1, 0, "ip:0:7")], key=repr)
+    assert pii.find_pii(docs.limit(0)).count() == 0
+
+
+def test_index_of_a_large_benchmark_stays_small():
+    """The arrays of an index take about twenty bytes for each of text."""
+    import random
+    import tracemalloc
+
+    from marlspan.llm import decontaminate
+
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(50_000)]
+    rows = [(k, " ".join(rng.choices(words, k=200))) for k in range(600)]
+    size = sum(len(t) for _, t in rows)
+    decontaminate.Index.build(rows[:2], 13, 3)
+    tracemalloc.start()
+    index = decontaminate.Index.build(rows, 13, 3)
+    index = index.prefixes({3: (index.distinct()[3], index.distinct()[3].view("int64") % 7)})
+    kept, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert kept < 40 * size and peak < 120 * size
+    assert len(index.at) == 600 * 188
+
+
+def test_decontamination_of_repeated_items_and_ids(spark):
+    """Equal items count each; rows of one doc_id are judged each by its text, at once and in passes."""
+    from marlspan.llm import decontaminate
+
+    item = " ".join(f"q{k}" for k in range(15))
+    benchmark = spark.createDataFrame([(10, item), (9, item), (None, item), (10, item), (7, "other words here")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"see {item} there", 3), (1, "clean words alone", 3), (2, "x" * 100_000, 3), (3, None, 3), (None, item, 3)], "doc_id long, text string, n_hit int")
+    for most in (8 << 20, 40):
+        got = sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, r.contaminated) for r in decontaminate.decontaminate(docs, benchmark, max_index_bytes=most).collect()), key=repr)
+        assert got == sorted([(1, 17, 15, 2, True), (1, 3, 0, 0, False), (2, 1, 0, 0, False), (3, 0, 0, 0, False), (None, 15, 15, 2, True)], key=repr)
+        kept = sorted(((r.doc_id, r.text and r.text[:5]) for r in decontaminate.clean_documents(docs, benchmark, max_index_bytes=most).collect()), key=repr)
+        assert kept == sorted([(1, "clean"), (2, "xxxxx"), (3, None)], key=repr)
+        assert decontaminate.decontaminate(docs.limit(0), benchmark, max_index_bytes=most).count() == 0
