@@ -1,12 +1,14 @@
 """Quality rules, line first.
 
-Every line of a text is judged by itself: symbol-heavy lines, navigation bars,
-shouting, boilerplate phrases and repeats of earlier lines fail and are removed;
-then a document that loses too much of its text is rejected, as is one that fails
-the base rules (too few words, too many words in repeated eight-word windows).
+Every line of a text is judged by itself.  Punctuation rules: symbol-heavy lines, shouting, and lines that break off
+in dots fail.  Navigation rules: lines of bars fail, and runs of very short lines without end punctuation, as menus are.
+Boilerplate rules: repeats of earlier lines fail, and lines that boilerplate phrases make up for the most part; a
+phrase in passing does no harm.  Lines that fail are removed; then a document that loses too much of its text is
+rejected, as is one that fails the base rules (too few words, too many words in repeated eight-word windows).
 
 Defined results.  Null or empty text: zero counts, base_failed, not kept.  A text
-of one long line is one line.  Repeated rows are judged alike, each by itself.
+of one long line is one line.  Repeated rows are judged alike; what stands in other rows, or in which order and
+batches they come, changes nothing.
 Columns other than the two named are not read, so clashing names do no harm.
 """
 
@@ -28,13 +30,20 @@ SYMBOLS = b"#*$%&|<>"
 
 @dataclass(frozen=True)
 class Rules:
-    """Thresholds; shares are of a line's or a text's words."""
+    """Thresholds; shares are of a line's or a text's words.
+
+    menu_lines: lines of at most menu_words words without end punctuation that make a menu, side by side;
+    words_per_phrase: words that a line has at most for each boilerplate phrase in it if it fails.
+    """
 
     min_words: int = 20
     max_repeat_percent: int = 30
     symbols_per_word: float = 0.5
     bars_per_word: float = 0.25
     bangs_per_word: float = 0.5
+    menu_lines: int = 4
+    menu_words: int = 3
+    words_per_phrase: int = 15
     max_lost: float = 0.5
     boilerplate: tuple[str, ...] = (
         "cookie", "javascript", "all rights reserved", "released under the", "terms of use", "terms of service",
@@ -44,6 +53,8 @@ class Rules:
 
 _IS_SYMBOL = np.isin(np.arange(256), np.frombuffer(SYMBOLS, np.uint8))
 _IS_LEAD = (np.arange(256) & 0xC0) != 0x80
+#: Last bytes of a line that ends a sentence or introduces something: . ! ? : ; , and closing quotes and brackets.
+_ENDS = np.isin(np.arange(256), np.frombuffer(b".!?:;,\"')]}", np.uint8)) | (np.arange(256) >= 128)
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -61,6 +72,14 @@ def repeated_window_words(w: tk.Words, length: int = 8) -> np.ndarray:
     return tk.covered(len(w), starts[same], length)
 
 
+def _phrases_in(low: np.ndarray, off: np.ndarray, start: np.ndarray, phrases: tuple[str, ...]) -> np.ndarray:
+    """The number of phrases in each line; the lines begin at start.  Texts are held apart, so that none is found across two."""
+    apart = np.insert(low, off[1:-1], 10).tobytes()
+    found = np.fromiter((m.start() for m in re.finditer(b"|".join(re.escape(p.encode()) for p in phrases), apart)), np.int64)
+    text = np.searchsorted(off[:-1] + np.arange(len(off) - 1), found, "right") - 1
+    return np.bincount(np.searchsorted(start, found - text, "right") - 1, minlength=len(start)) if len(found) else np.zeros(len(start), np.int64)
+
+
 def judge(buf: np.ndarray, off: np.ndarray, rules: Rules) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
     """Per text: counts and verdicts; and of the lines: start, end, kept."""
     w = tk.Words(buf, off, tk.SPACE)
@@ -99,10 +118,20 @@ def judge(buf: np.ndarray, off: np.ndarray, rules: Rules) -> tuple[dict[str, np.
     sums = lambda s: s[end] - s[start]
     fails = dup | (sums(symbols) > rules.symbols_per_word * words) | (sums(bangs) > rules.bangs_per_word * words)
     fails |= (sums(bars) >= 2) & (sums(bars) >= rules.bars_per_word * words)
-    phrases = re.compile(b"|".join(re.escape(p.encode()) for p in rules.boilerplate))
-    found = np.fromiter((m.start() for m in phrases.finditer(low.tobytes())), np.int64)
-    if len(found):
-        fails[np.searchsorted(start, found, "right") - 1] = True
+    fails |= _phrases_in(low, off, start, rules.boilerplate) * rules.words_per_phrase >= np.maximum(words, 1)
+    # the end of a line's last word
+    last = w.end[np.maximum(first_word + words - 1, 0)] if len(w) else np.zeros(len(start), np.int64)
+    tail = buf[np.maximum(last - 1, 0)] if len(buf) else np.zeros(len(start), np.uint8)
+    if len(buf):
+        dots = (tail == ord(".")) & (buf[np.maximum(last - 2, 0)] == ord(".")) & (buf[np.maximum(last - 3, 0)] == ord(".")) & (last - start >= 3)
+        dots |= (tail == 0xA6) & (buf[np.maximum(last - 2, 0)] == 0x80) & (buf[np.maximum(last - 3, 0)] == 0xE2) & (last - start >= 3)
+        fails |= dots
+    # menus: runs of short open lines among the lines that have words
+    brief = (words[at] <= rules.menu_words) & ~_ENDS[tail[at]]
+    turn = np.ones(len(at), bool)
+    turn[1:] = (brief[1:] != brief[:-1]) | (line_text[at][1:] != line_text[at][:-1])
+    run = np.cumsum(turn) - 1
+    fails[at] |= brief & (np.bincount(run)[run] >= rules.menu_lines if len(at) else False)
     fails &= has
     lost = np.bincount(line_text, np.where(fails, words, 0), minlength=texts).astype(np.int64)
     out["n_lines_removed"] = np.bincount(line_text[fails], minlength=texts).astype(np.int64)

@@ -7,11 +7,14 @@ punctuation, digits and symbols, rates of obfuscated spellings, and lengths.
 Learning uses a bounded sample of the labelled rows outside the held-out fold
 (`max_train` rows, the first by hash of the id), in three parts: the lexicon comes from the first,
 the trees from the second, the calibration from the third.  Scoring covers all rows.
+A score is the calibrated probability, read off between the knots of the isotonic steps by straight lines, with
+2 % of the trees' own probability mixed in, so that texts on one step keep their order.
 
 Defined results.  Null is the empty text and scores what its features give.  Rows without a
 label are scored alike.  Without labels of both classes every score is the share of
-label 1 (0 with none at all).  Repeated rows score alike; a doc_id with several labels counts
-with each.  Columns other than doc_id and text (labels: doc_id and toxic) are not read.
+label 1 (0 with none at all).  Repeated rows score alike, and what stands in other rows of a batch changes no
+score; a doc_id with several labels counts with each.  An empty table gives no rows.  Very long texts are
+measured whole.  Columns other than doc_id and text (labels: doc_id and toxic) are not read.
 """
 
 from __future__ import annotations
@@ -24,15 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .cluster import fold_of, fold_of_value, small_batches
+from .cluster import cut, fold_of, fold_of_value, small_batches
 
 
 @dataclass(frozen=True)
 class Params:
-    """max_train: labelled rows used at most; max_terms: lexicon terms kept at most."""
+    """max_train: labelled rows used at most; support, log_odds: what a lexicon term needs."""
 
     max_train: int = 30_000
-    max_terms: int = 4_000
     support: int = 4
     log_odds: float = 2.5
     prefixes: tuple[int, ...] = (4, 5, 6)
@@ -139,6 +141,10 @@ def features(buf: np.ndarray, off: np.ndarray, lexicon: Lexicon, near: int) -> n
     if len(buf) > 2:
         inner[1:-1] = _ALPHA[buf[:-2]] & _SYMBOL[buf[1:-1]] & _ALPHA[buf[2:]]
         triple[2:] = _ALPHA[buf[2:]] & (buf[2:] == buf[1:-1]) & (buf[1:-1] == buf[:-2])
+        # none of them across the end of a text
+        begin = off[off < len(buf)]
+        inner[begin] = triple[begin] = False
+        inner[begin[begin > 0] - 1] = triple[begin[begin < len(buf) - 1] + 1] = False
     obfuscated = per(mixed) + tk.per_text_sum(inner, off)
     letters = np.maximum(count(_ALPHA), 1)
     out = [
@@ -253,7 +259,7 @@ def sample_of(labels: DataFrame, p: Params) -> DataFrame:
 
 
 def learn_lexicon(train: DataFrame, p: Params) -> Lexicon:
-    """Terms that documents of label 1 hold far oftener than the others: at most max_terms are fetched."""
+    """Terms that documents of label 1 hold far oftener than the others; their number is bounded as the sample is."""
 
     def run(batches):
         for b in batches:
@@ -279,14 +285,13 @@ def learn_lexicon(train: DataFrame, p: Params) -> Lexicon:
     terms = terms.groupBy("length", "term").agg(F.sum("ones").alias("ones"), F.sum("others").alias("others"))
     odds = F.log((F.col("ones") + 0.5) / (n1 + 1.0)) - F.log((F.col("others") + 0.5) / (n0 + 1.0))
     best = terms.where(F.col("ones") >= p.support).withColumn("odds", odds).where(F.col("odds") >= p.log_odds)
-    best = best.orderBy(F.desc(F.col("odds") * F.log("ones")), "length", "term").limit(p.max_terms)
     return Lexicon([(r["length"], r["term"], r["odds"]) for r in best.collect()])
 
 
 def learn(docs: DataFrame, labels: DataFrame, p: Params) -> Model:
     spark = docs.sparkSession
     sample = sample_of(labels, p)
-    train = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    train = cut(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"))
     sizes = {(r.toxic, r["part"] < 2): r["n"] for r in train.groupBy("toxic", "part").agg(F.count("*").alias("n")).collect()}
     ones = sum(n for (t, _), n in sizes.items() if t == 1)
     total = sum(sizes.values())
