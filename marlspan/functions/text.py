@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .numeric import col
 
@@ -23,17 +28,27 @@ def option_map(text: Column | str, separator: str = ";") -> Column:
 
 
 def option_list_map(options: Column | str) -> Column:
-    """An array of 'A. x', 'B) y' or plain texts to a map; an option without a letter, or with one that came before, takes the letter of its place and stays whole."""
+    """An array of 'A. x', 'B) y' or plain texts to a map; null if a place beyond H has to name an option.
+
+    An option without a letter, or with one that is taken by then, takes the letter of its place, and stays whole.
+    The letter of a place overrides an option that has it already.
+    """
     options = col(options)
-    pattern = r"^\s*([A-Ha-h])\s*[.):]\s*(.*)$"
-    letters = F.transform(options, lambda o: F.upper(F.regexp_extract(o, pattern, 1)))
+    pattern = r"(?s)^\s*([A-Za-z])\s*[.):]\s*(.*)$"
+    bare = lambda t: F.regexp_replace(t, r"^\s+|\s+$", "")
 
-    def entry(o: Column, i: Column) -> Column:
-        letter = F.element_at(letters, i + 1)
-        named = (letter != "") & (F.array_position(letters, letter) == i + 1)
-        return F.struct(F.when(named, letter).otherwise(F.substring(F.lit(LETTERS), i + 1, F.lit(1))).alias("k"), F.when(named, F.trim(F.regexp_extract(o, pattern, 2))).otherwise(F.trim(o)).alias("v"))
+    def add(done: Column, i: Column) -> Column:
+        text = F.element_at(options, i)
+        letter = F.upper(F.regexp_extract(text, pattern, 1))
+        named = (letter != "") & ~F.exists(done, lambda e: e["k"] == letter)
+        place = F.substring(F.lit(LETTERS), i, F.lit(1))
+        key = F.when(named, letter).otherwise(place)
+        value = F.when(named, bare(F.regexp_extract(text, pattern, 2))).otherwise(bare(text))
+        return F.concat(F.filter(done, lambda e: e["k"] != key), F.array(F.struct(key.alias("k"), value.alias("v"))))
 
-    return F.map_from_entries(F.transform(options, entry))
+    none = F.array().cast("array<struct<k:string,v:string>>")
+    entries = F.aggregate(F.sequence(F.lit(1), F.size(options)), none, add)
+    return F.when(F.size(options) == 0, F.map_from_entries(none)).when(~F.exists(entries, lambda e: e["k"] == ""), F.map_from_entries(entries))
 
 
 def map_text(m: Column | str) -> Column:
@@ -45,7 +60,7 @@ def map_text(m: Column | str) -> Column:
 #: From the most to the least explicit way to name a letter.
 CHOICE_PATTERNS = (
     r"<answer>\s*([A-Za-z])\s*</answer>",
-    r"<\s*([A-Za-z])\s*(?:[^A-Za-z\s]|$)",
+    r"<\s*([A-Za-z])\s*(?![A-Za-z])",
     r"^\**\s*([A-Za-z])\s*[.):,]",
     r"^\**\s*([A-Za-z])\**\s*$",
     r"\banswer\s*(?:is)?\s*[:\-]?\s*([A-Za-z])\b",
@@ -144,22 +159,29 @@ def all_families(question: Column | str, options: Column | str, families: tuple[
 
 
 def slug(path: Column | str, length: int = 60, digest: int = 8) -> Column:
-    """A file name for a path: lower case, no extension, runs of spaces and slashes to one mark, the end of it, and a digest."""
+    """A file name for a path: lower case, no extension, runs of spaces and slashes to one mark, other dots kept, the end of it, and a digest."""
     stem = F.regexp_replace(F.lower(col(path)), r"\.[^.]*$", "")
-    stem = F.regexp_replace(F.regexp_replace(stem, r"[\s/]+", "_"), "[^a-z0-9_-]", "")
+    stem = F.regexp_replace(F.regexp_replace(stem, r"[\s/]+", "_"), "[^a-z0-9._-]", "")
     stem = F.regexp_replace(F.right(F.regexp_replace(stem, "^_+|_+$", ""), F.lit(length)), "^_+|_+$", "")
     return F.concat(stem, F.lit("_"), F.left(F.sha1(col(path).cast("binary")), F.lit(digest)))
 
 
 def subject_key(subject: Column | str) -> Column:
-    """A short readable stem and a digest; null is 'camera_only'."""
-    stem = F.left(F.regexp_replace(F.lower(col(subject)), "[^a-z0-9]+", "_"), F.lit(32))
-    return F.coalesce(F.concat(stem, F.lit("_"), F.left(F.sha1(col(subject).cast("binary")), F.lit(10))), F.lit("camera_only"))
-
-
-def ascii_key(text: Column | str) -> Column:
-    """Trimmed, white space collapsed, lower case: what NFKC and case folding give for ASCII."""
-    return F.lower(F.trim(F.regexp_replace(col(text), r"\s+", " ")))
+    """A short readable stem, one mark for each other character, and a digest, both of the trimmed lower-case text; null and empty are 'camera_only'."""
+    plain = F.lower(F.regexp_replace(col(subject), r"^\s+|\s+$", ""))
+    stem = F.regexp_replace(F.left(F.regexp_replace(plain, r"[^\p{L}\p{N}]", "_"), F.lit(32)), "^_+|_+$", "")
+    return F.when(F.coalesce(col(subject), F.lit("")) == "", "camera_only").otherwise(F.concat(stem, F.lit("_"), F.left(F.sha1(plain.cast("binary")), F.lit(10))))
+
+
+@F.arrow_udf(StringType())
+def normal_key(text: pa.Array) -> pa.Array:
+    """NFKC, trimmed, white space collapsed, case folded; what is not ASCII goes one by one."""
+    wide = pc.invert(pc.fill_null(pc.string_is_ascii(text), True))
+    out = pc.utf8_lower(pc.replace_substring_regex(pc.utf8_trim_whitespace(text), r"[\s\x0B\x1C-\x1F]+", " "))
+    if not pc.any(wide).as_py():
+        return out
+    folded = [re.sub(r"\s+", " ", unicodedata.normalize("NFKC", t).strip()).casefold() for t in text.filter(wide).to_pylist()]
+    return pc.replace_with_mask(out, wide, pa.array(folded, pa.string()))
 
 
 def composite_id(*parts: Column | str, length: int = 12) -> Column:

@@ -26,22 +26,37 @@ def option_map_string(spark, sf_dir):
     return options(spark, sf_dir).select("r_regionkey", tx.map_text(tx.option_map("s")).alias("options"))
 
 
-@query(f"with o as ({_PAIRS}) select r_regionkey, array_to_string(list_transform(l, lambda x, i: substr('ABCDEFGH', i, 1) || '=' || x), ';') as options from o where l[1] is not null")
+@query(
+    r"""with recursive p as (select p_partkey, [case p_partkey % 4 when 0 then 'A. ' || p_name when 1 then p_name when 2 then ' z) ' || p_name else 'b: ' || p_name || chr(10) || p_type || ' ' end,
+    case when p_partkey % 3 = 0 then 'B. ' || p_brand when p_partkey % 3 = 1 then 'a) ' || p_brand else p_brand end, case when p_partkey % 5 < 2 then 'C: ' || p_type else 'm ' || p_type end] as l from part),
+  f as (select p_partkey, l, 0 as i, map([]::varchar[], []::varchar[]) as m from p union all
+    select p_partkey, l, i + 1, case when named and not list_contains(map_keys(m), letter) then map_concat(m, map([letter], [body])) else map_concat(m, map([chr(65 + i)], [trim(t)])) end from
+      (select *, upper(regexp_extract(t, '(?s)^\s*([A-Za-z])\s*[.):]', 1)) as letter, regexp_matches(t, '(?s)^\s*[A-Za-z]\s*[.):]') as named, trim(regexp_replace(t, '(?s)^\s*[A-Za-z]\s*[.):]\s*', '')) as body from (select *, l[i + 1] as t from f where i < 3)))
+  select p_partkey, array_to_string(list_transform(list_sort(map_keys(m)), lambda k: k || '=' || m[k]), ';') as options from f where i = 3"""
+)
 def option_map_list(spark, sf_dir):
-    """Options with their letters in the text, one in two; the letter of the place is the same."""
-    rows = options(spark, sf_dir).where("l is not null")
-    texts = F.transform("l", lambda x, i: F.when(i % 2 == 0, F.concat(F.substring(F.lit(tx.LETTERS), i + 1, F.lit(1)), F.lit(". "), x)).otherwise(x))
-    return rows.select("r_regionkey", tx.map_text(tx.option_list_map(texts)).alias("options"))
+    """Options with letters of any case, out of order, taken twice, over several lines, and without one."""
+    part, key = table(spark, sf_dir, "part"), F.col("p_partkey")
+    first = F.when(key % 4 == 0, F.concat(F.lit("A. "), "p_name")).when(key % 4 == 1, F.col("p_name")).when(key % 4 == 2, F.concat(F.lit(" z) "), "p_name")).otherwise(F.concat(F.lit("b: "), "p_name", F.lit("\n"), "p_type", F.lit(" ")))
+    second = F.when(key % 3 == 0, F.concat(F.lit("B. "), "p_brand")).when(key % 3 == 1, F.concat(F.lit("a) "), "p_brand")).otherwise(F.col("p_brand"))
+    third = F.when(key % 5 < 2, F.concat(F.lit("C: "), "p_type")).otherwise(F.concat(F.lit("m "), "p_type"))
+    return part.select("p_partkey", F.array(first, second, third).alias("l")).select("p_partkey", tx.map_text(tx.option_list_map("l")).alias("options"))
 
 
-_REPLIES = """with r as (select conv_id, turn, case turn % 6 when 0 then '<answer> b </answer>' when 1 then 'I think the answer is C' when 2 then '**A**' when 3 then '<D>' when 4 then 'B) it is' else 'none ' || left(text, 40) end as reply from conversations)"""
-_LETTER = "coalesce(" + ", ".join(f"case when upper(regexp_extract(trim(reply), '(?im){p}', 1)) in ('A','B','C','D') then upper(regexp_extract(trim(reply), '(?im){p}', 1)) end" for p in tx.CHOICE_PATTERNS) + ")"
+_REPLIES = """with r as (select conv_id, turn, case turn % 7 when 0 then text || ' <answer> b </answer>' when 1 then 'I think the answer is C. ' || text when 2 then text || chr(10) || '**A**' when 3 then '<D because ' || text
+  when 4 then 'B) it is ' || text when 5 then '<Q> ' || text || ' answer: c' else 'none ' || text end as reply from conversations)"""
+#: The patterns in SQL's own words: its engine has no lookahead, and what follows a letter is then a character of its own.
+_NAMED = (
+    "<answer>\\s*([A-Za-z])\\s*</answer>", "<\\s*([A-Za-z])(?:[^A-Za-z]|$)", "^\\**\\s*([A-Za-z])\\s*[.):,]", "^\\**\\s*([A-Za-z])\\**\\s*$", "\\banswer\\s*(?:is)?\\s*[:-]?\\s*([A-Za-z])\\b",
+)
+_LETTER = "coalesce(" + ", ".join(f"case when upper(regexp_extract(trim(reply), '(?im){p}', 1)) in ('A','B','C','D') then upper(regexp_extract(trim(reply), '(?im){p}', 1)) end" for p in _NAMED) + ")"
 
 
 def replies(spark: SparkSession, sf_dir: str):
-    kind = F.col("turn") % 6
-    text = F.when(kind == 0, "<answer> b </answer>").when(kind == 1, "I think the answer is C").when(kind == 2, "**A**").when(kind == 3, "<D>").when(kind == 4, "B) it is").otherwise(F.concat(F.lit("none "), F.left("text", F.lit(40))))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.alias("reply"))
+    kind, text = F.col("turn") % 7, F.col("text")
+    made = F.when(kind == 0, F.concat(text, F.lit(" <answer> b </answer>"))).when(kind == 1, F.concat(F.lit("I think the answer is C. "), text)).when(kind == 2, F.concat(text, F.lit("\n**A**")))
+    made = made.when(kind == 3, F.concat(F.lit("<D because "), text)).when(kind == 4, F.concat(F.lit("B) it is "), text)).when(kind == 5, F.concat(F.lit("<Q> "), text, F.lit(" answer: c")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", made.otherwise(F.concat(F.lit("none "), text)).alias("reply"))
 
 
 @query(_REPLIES + f" select conv_id, turn, {_LETTER} as letter from r")
@@ -106,7 +121,7 @@ def family_overlap(spark, sf_dir):
     return rows.groupBy(F.array_join("f", "+").alias("families")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "families").limit(20)
 
 
-@query("with s as (select page_id, url, regexp_replace(regexp_replace(regexp_replace(lower(url), '\\.[^.]*$', ''), '[\\s/]+', '_', 'g'), '[^a-z0-9_-]', '', 'g') as stem from pages) select page_id, regexp_replace(right(regexp_replace(stem, '^_+|_+$', '', 'g'), 60), '^_+|_+$', '', 'g') || '_' || left(sha1(url), 8) as slug from s")
+@query("with s as (select page_id, url, regexp_replace(regexp_replace(regexp_replace(lower(url), '\\.[^.]*$', ''), '[\\s/]+', '_', 'g'), '[^a-z0-9._-]', '', 'g') as stem from pages) select page_id, regexp_replace(right(regexp_replace(stem, '^_+|_+$', '', 'g'), 60), '^_+|_+$', '', 'g') || '_' || left(sha1(url), 8) as slug from s")
 def path_slug(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", tx.slug("url").alias("slug"))
 
@@ -116,10 +131,17 @@ def composite_ids(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", tx.composite_id("page_id", "url").alias("probe_id"), tx.composite_id("url", length=16).alias("url_key"))
 
 
-@query("select p_partkey, coalesce(left(regexp_replace(lower(s), '[^a-z0-9]+', '_', 'g'), 32) || '_' || left(sha1(s), 10), 'camera_only') as subject_key, coalesce(lower(trim(regexp_replace(s, '\\s+', ' ', 'g'))), '') as name_key from (select p_partkey, case when p_partkey % 5 > 0 then p_name end as s from part)")
+@query("with s as (select doc_id, case doc_id % 5 when 0 then null when 1 then '' when 2 then '  ' || left(text, 50) || ' ' else left(text, 40) end as s from documents), l as (select *, lower(trim(s, ' ' || chr(9) || chr(10) || chr(13))) as t from s) select doc_id, case when s is null or s = '' then 'camera_only' else trim(left(regexp_replace(t, '[^\\p{L}\\p{N}]', '_', 'g'), 32), '_') || '_' || left(sha1(t), 10) end as subject_key from l")
 def subject_key(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 5 > 0, F.col("p_name")).alias("s"))
-    return rows.select("p_partkey", tx.subject_key("s").alias("subject_key"), F.coalesce(tx.ascii_key("s"), F.lit("")).alias("name_key"))
+    by, text = F.col("doc_id") % 5, F.col("text")
+    s = F.when(by == 0, F.lit(None).cast("string")).when(by == 1, "").when(by == 2, F.concat(F.lit("  "), F.left(text, F.lit(50)), F.lit(" "))).otherwise(F.left(text, F.lit(40)))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.subject_key(s).alias("subject_key"))
+
+
+@query("select doc_id, replace(lower(trim(regexp_replace(nfc_normalize(text), '[\\s\\x0B]+', ' ', 'g'))), 'ß', 'ss') as name_key from documents")
+def name_key(spark, sf_dir):
+    """The key of every whole text; in SQL the texts' only letter that case folding takes further than lower case is written out."""
+    return table(spark, sf_dir, "documents").select("doc_id", tx.normal_key("text").alias("name_key"))
 
 
 @query("select doc_id, left(text, 40) as head, regexp_replace(regexp_extract(text, '^[^.;:]*', 0), '\\s+', ' ', 'g') as clause, regexp_replace(lower(left(text, 30)), '[^a-z0-9]+', '-', 'g') as anchor, case when lang in ('en', 'fr') then lang else 'OTHER' end as label from documents")

@@ -219,3 +219,32 @@ def test_protocol_stream(spark, tmp_path):
     run.awaitTermination()
     got = [(r.step, r.accepted) for r in spark.sql("select * from protocol where question_id = 1 order by step").collect()]
     assert got == [(0, True), (1, False), (2, True), (3, True), (4, True)]
+
+
+# ---- text functions: more of their cases ----
+
+
+def test_options_with_any_letter_and_lines(spark):
+    got = one(spark, tx.option_list_map("t"), t=["q: x\ny ", "second", " A) z"])
+    assert got == {"Q": "x\ny", "B": "second", "A": "z"}
+    assert one(spark, tx.option_list_map("t"), t=["x", "A. y"]) == {"A": "x", "B": "A. y"}
+    assert one(spark, tx.option_list_map("t"), t=["B. x", "y"]) == {"B": "y"}
+    assert one(spark, tx.option_list_map("t"), t=list("stuvwxyzq")) is None
+
+
+def test_letters_in_angles(spark):
+    assert [one(spark, tx.choice_letter("t"), t=t) for t in ("<B because", "<b</answer>", "<Best", "< c", "<answer>D", "<Q> answer: a")] == ["B", "B", None, "C", None, "A"]
+
+
+def test_slug_keeps_dots(spark):
+    assert one(spark, tx.slug("t"), t="Set A/my.clip v2.mp4").startswith("set_a_my.clip_v2_")
+
+
+def test_subject_keys(spark):
+    keys = [one(spark, tx.subject_key(F.lit(t).cast("string"))) for t in (None, "", "  The Dog's  ", "the dog's", "Ünter - x")]
+    assert keys[:2] == ["camera_only"] * 2 and keys[2] == keys[3] and keys[2].startswith("the_dog_s_") and keys[4].startswith("ünter___x_")
+
+
+def test_normal_keys(spark):
+    got = [one(spark, tx.normal_key(F.lit(t).cast("string"))) for t in (" A\t B ", "Stra\u00dfe", "\ufb01n\u3000 X", "e\u0301", "\u0130", None)]
+    assert got == ["a b", "strasse", "fin x", "\u00e9", "i\u0307", None]
