@@ -18,9 +18,14 @@ set of a pair; a set that can be the larger one of a pair in the next lower band
 indexed in that band too.
 
 Equal sets are one node.  Within a combination's nodes, each is verified against the
-smallest; what then lies in one component needs no further check, and only nodes
-outside the smallest node's component are verified against the other
-components, chunk by chunk.  No pairs are made within a component.
+smallest; what then lies in one component needs no further check.  Of the nodes of a combination
+that spans components, those outside its largest component are still to be met with the others.  All
+combinations with the same largest component pool their nodes, so that nodes that share many
+combinations meet once: in chunks of near sizes and in shares of fixed size.  No pairs are made.
+
+Before texts are fetched, bit maps of the sets, two to four bits a shingle, bound every overlap from above: a bit that
+one map has and the other has not is a shingle that is missing there.  Only nodes that some bound leaves a partner are
+verified by their texts.
 
 Defined results.  Null, empty and white-space texts have no shingles and are alone.
 Fewer words than a shingle: the whole sequence is one.  Rows that share a doc_id are judged each by
@@ -47,16 +52,15 @@ from .components import components
 
 @dataclass(frozen=True)
 class Params:
-    """percent: of the union that two sets must share; sketch: cells per row, two rows; few: nodes of a combination that are verified one by one; chunk: members verified at a time."""
+    """percent: of the union that two sets must share; sketch_cells: per row, two rows; chunk, probes: nodes on either side that meet at a time; broadcast_rows: of ids, some sixty bytes each, up to which they are broadcast."""
 
     words: int = 5
     percent: int = 80
     sketch_cells: int = 1 << 20
     small: int = 8
-    few: int = 32
     chunk: int = 256
     probes: int = 512
-    broadcast_rows: int = 1_000_000
+    broadcast_rows: int = 200_000
 
 
 def sets_of(buf: np.ndarray, off: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -245,7 +249,7 @@ def _combined(h, estimate, text, chosen, band, missing, order):
 
 
 def document_signatures(docs: DataFrame, p: Params) -> DataFrame:
-    """doc_id, n (set size), d1, d2 (a digest of the set), sigs."""
+    """doc_id, n (set size), d1, d2 (a digest of the set), sigs, bits (a map of the set)."""
     spark = docs.sparkSession
     counts = spark.sparkContext.broadcast(shingle_sketch(docs, p))
 
@@ -260,9 +264,20 @@ def document_signatures(docs: DataFrame, p: Params) -> DataFrame:
                 sig, text = signatures(h, first, order, p)
                 at = np.searchsorted(text, np.arange(j - i + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(at), pa.array(sig.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.diff(first)), pa.array(d1), pa.array(d2), lists], ["doc_id", "n", "d1", "d2", "sigs"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.diff(first)), pa.array(d1), pa.array(d2), lists, bit_maps(h, first)], ["doc_id", "n", "d1", "d2", "sigs", "bits"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, sigs array<long>, bits binary")
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, sigs array<long>")
+
+def bit_maps(h: np.ndarray, first: np.ndarray) -> pa.Array:
+    """A map of each set, of a power of two of bits: at least two for each shingle, 64 at least."""
+    sizes = np.diff(first)
+    width = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(2 * sizes, 1))).astype(np.int64))
+    begin = np.append(0, np.cumsum(width))
+    flags = np.zeros(int(begin[-1]), bool)
+    flags[np.repeat(begin[:-1], sizes) + (h & (np.repeat(width, sizes) - 1).astype(np.uint64)).astype(np.int64)] = True
+    raw = np.packbits(flags, bitorder="little")
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(begin // 8), pa.py_buffer(raw)]).cast(pa.binary())
 
 
 def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -274,50 +289,102 @@ def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 # ---- verification ----
 
 
-def _near_sizes(n_a, n_b, p: Params):
-    return 100 * F.least(n_a, n_b) >= p.percent * F.greatest(n_a, n_b)
+def _fold(maps: np.ndarray, words: int) -> np.ndarray:
+    """Maps (rows of 64-bit words) with their bits taken modulo that many words."""
+    return np.bitwise_or.reduce(maps.reshape(len(maps), -1, words), axis=1)
+
+
+def partners(bits: list[bytes], n: np.ndarray, member: np.ndarray, probe: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which members and which probes the bounds leave a partner."""
+    words = np.array([len(x) // 8 for x in bits])
+    of_width = {int(w): member[words[member] == w] for w in np.unique(words[member])}
+    maps = {w: np.frombuffer(b"".join([bits[i] for i in rows.tolist()]), np.uint64).reshape(len(rows), w) for w, rows in of_width.items()}
+    folded: dict[tuple[int, int], np.ndarray] = {}
+    good_member, good_probe = np.zeros(len(n), bool), np.zeros(len(n), bool)
+    for t in probe.tolist():
+        w = int(words[t])
+        own = np.frombuffer(bits[t], np.uint64)
+        for other, rows in of_width.items():
+            # sets of near sizes have maps of near widths: these are powers of two
+            if percent * max(w, other) >= 200 * min(w, other):
+                continue
+            if other > w:
+                if (other, w) not in folded:
+                    folded[other, w] = _fold(maps[other], w)
+                theirs, mine = folded[other, w], own
+            else:
+                theirs, mine = maps[other], own if other == w else _fold(own[None], other)[0]
+            most = np.minimum(n[t] - np.bitwise_count(mine & ~theirs).sum(axis=1), n[rows] - np.bitwise_count(theirs & ~mine).sum(axis=1))
+            good = rows[(100 * most >= percent * (n[t] + n[rows] - most)) & (rows != t)]
+            good_member[good] = True
+            good_probe[t] |= len(good) > 0
+    return good_member, good_probe
+
+
+def _possible(sets: DataFrame, roles: DataFrame, p: Params) -> DataFrame:
+    """The roles that have a partner by the bounds of their maps."""
+    percent = p.percent
+
+    def run(group: pa.Table) -> pa.Table:
+        member, probe = (np.flatnonzero(group.column(c).to_numpy()) for c in ("member", "probe"))
+        good = partners(group.column("bits").to_pylist(), group.column("n").to_numpy(), member, probe, percent)
+        some = np.flatnonzero(good[0] | good[1])
+        flags = [pa.array(g[some].astype(np.int32)) for g in good]
+        return pa.table([*(group.column(c).take(pa.array(some)) for c in ("comp", "part", "share", "node")), *flags], ["comp", "part", "share", "node", "member", "probe"])
+
+    maps = sets.where("n > 0").select(F.col("doc_id").alias("node"), "n", "bits").join(roles, "node").select("comp", "part", "share", "node", "member", "probe", "n", "bits")
+    return maps.groupBy("comp", "part", "share").applyInArrow(run, roles.select("comp", "part", "share", "node", "member", "probe").schema)
+
+
+def _small(ids: DataFrame, p: Params) -> DataFrame:
+    """The ids, to be broadcast if they are few: beyond that they are joined by shuffle."""
+    return F.broadcast(ids) if ids.count() <= p.broadcast_rows else ids
 
 
-def _verify(docs: DataFrame, members: DataFrame, probes: DataFrame, p: Params) -> DataFrame:
-    """Links (a, b) between the members and the probes of each group.
+def _verify(docs: DataFrame, sets: DataFrame, roles: DataFrame, p: Params) -> DataFrame:
+    """Links (a, b) between the members and the probes of each group and share.
 
-    members: (comp, part, node), at most about p.chunk of a group; probes: (comp, part, node), any number,
-    dealt into shares, each with all members of its group.  Texts travel, not sets: they are smaller.
+    roles: (comp, part, share, node, member, probe); a node can be both.  A group's members are at most about
+    p.chunk, and so are the probes of a share, each of which has all members.  Texts travel, not sets: they are smaller.
     """
-    keys = ["comp", "part"]
-    shares = probes.groupBy(*keys).agg(F.ceil(F.count("*") / p.probes).cast("int").alias("shares"))
-    dealt = probes.join(shares, keys).select(*keys, F.pmod(F.xxhash64("node"), F.col("shares")).cast("int").alias("share"), F.lit(1).alias("probe"), "node")
-    copied = members.join(shares, keys).select(*keys, F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("probe"), "node")
-    roles = cut(dealt.unionByName(copied))
-    # a small list of ids is broadcast to the texts, a larger one joined by shuffle
-    roles = F.broadcast(roles) if roles.count() <= p.broadcast_rows else roles
+    roles = _small(cut(_possible(sets, _small(cut(roles), p), p)), p)
     words, percent = p.words, p.percent
 
     def run(group: pa.Table) -> pa.Table:
-        probe = group.column("probe").to_numpy() == 1
+        member, probe = (np.flatnonzero(group.column(c).to_numpy()) for c in ("member", "probe"))
         node = group.column("node").to_numpy()
         out_a, out_b = [], []
-        if probe.any() and not probe.all():
-            mine = np.flatnonzero(~probe)
-            h, first = sets_of(*tk.text_buffer(group.column("text").combine_chunks().take(pa.array(mine))), words)
+        if len(member) and len(probe):
+            h, first = sets_of(*tk.text_buffer(group.column("text")), words)
             size = np.diff(first)
-            by = np.argsort(h, kind="stable")
-            flat, owner = h[by], np.repeat(np.arange(len(mine)), size)[by]
-            theirs = np.flatnonzero(probe)
-            h, first = sets_of(*tk.text_buffer(group.column("text").combine_chunks().take(pa.array(theirs))), words)
-            for k, t in enumerate(theirs):
-                s = h[first[k] : first[k + 1]]
+            rows = np.repeat(np.arange(len(size)), size)
+            # the members' shingles, each with its owner, in order of hash
+            mine = np.flatnonzero(np.isin(rows, member))
+            mine = mine[np.argsort(h[mine], kind="stable")]
+            flat, owner = h[mine], rows[mine]
+            for t in probe.tolist():
+                s = h[first[t] : first[t + 1]]
                 lo, n = np.searchsorted(flat, s, "left"), np.searchsorted(flat, s, "right")
                 n = n - lo
-                at = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(s) else np.zeros(0, np.int64)
-                both = np.bincount(owner[at], minlength=len(mine))
-                good = mine[(both > 0) & (node[mine] != node[t]) & (100 * both >= percent * (size + len(s) - both))]
+                at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                both = np.bincount(owner[at], minlength=len(size))
+                good = np.flatnonzero((both > 0) & (node != node[t]) & (100 * both >= percent * (size + len(s) - both)))
                 out_a += node[good].tolist()
                 out_b += [int(node[t])] * len(good)
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(roles, "node").select(*keys, "share", "probe", "node", "text")
-    return texts.groupBy(*keys, "share").applyInArrow(run, "a long, b long")
+    texts = docs.select(F.col("doc_id").alias("node"), "text").join(roles, "node").select("comp", "part", "share", "node", "member", "probe", "text")
+    return texts.groupBy("comp", "part", "share").applyInArrow(run, "a long, b long")
+
+
+def _roles(members: DataFrame, probes: DataFrame, p: Params) -> DataFrame:
+    """Roles of members and probes, (comp, part, node) each: the probes of a group are dealt into shares, each with all its members."""
+    keys = ["comp", "part"]
+    shares = probes.groupBy(*keys).agg(F.ceil(F.count("*") / p.probes).cast("int").alias("shares"))
+    no, yes = F.lit(0), F.lit(1)
+    dealt = probes.join(shares, keys).select(*keys, F.pmod(F.xxhash64("node"), F.col("shares")).cast("int").alias("share"), "node", no.alias("member"), yes.alias("probe"))
+    copied = members.join(shares, keys).select(*keys, F.explode(F.sequence(no, F.col("shares") - 1)).alias("share"), "node", yes.alias("member"), no.alias("probe"))
+    return dealt.unionByName(copied).groupBy(*keys, "share", "node").agg(F.max("member").alias("member"), F.max("probe").alias("probe"))
 
 
 # ---- the operator ----
@@ -335,12 +402,13 @@ def jaccard_components(docs: DataFrame, params: Params | None = None) -> DataFra
     bucket = Window.partitionBy("sig")
     shared = nodes.select("node", "n", F.explode("sigs").alias("sig")).withColumns({"least": F.min(F.struct("node", "n")).over(bucket), "most": F.max("node").over(bucket)})
     shared = cut(shared.where("least.node < most").select("sig", "node", "n", "least"))
-    stars = shared.where((F.col("node") != F.col("least.node")) & _near_sizes(F.col("n"), F.col("least.n"), p))
-    stars = stars.select(F.col("least.node").alias("comp"), F.struct(F.lit(0).alias("k")).alias("part"), "node").distinct()
-    links = cut(_verify(docs, stars.select("comp", "part", F.col("comp").alias("node")).distinct(), stars, p))
-    # a node and the smallest node that it is linked to are of one component: enough to know which checks are left
-    links = links.unionByName(_across(docs, shared, links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component")), p))
-    found = components(links)
+    stars = shared.where((F.col("node") != F.col("least.node")) & (100 * F.least("n", "least.n") >= p.percent * F.greatest("n", "least.n")))
+    stars = stars.select(F.col("least.node").alias("comp"), F.struct(F.lit(0).alias("band"), F.lit(0).alias("k")).alias("part"), "node").distinct()
+    links = cut(_verify(docs, sets, _roles(stars.select("comp", "part", F.col("comp").alias("node")).distinct(), stars, p), p))
+    found = cut(components(links))
+    more = cut(_across(docs, sets, shared, found, p))
+    # what the second round has linked joins components of the first
+    found = components(found.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more))
 
     # Back to the rows.
     classes = sets.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("node")).join(found, "node", "left")
@@ -349,40 +417,26 @@ def jaccard_components(docs: DataFrame, params: Params | None = None) -> DataFra
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _across(docs: DataFrame, shared: DataFrame, found: DataFrame, p: Params) -> DataFrame:
-    """Links between the components so far.
-
-    Of each combination's nodes those outside the main component, that of the smallest node, are
-    verified against all others there, whole chunks of near sizes at a time.
-    """
-    bucket = Window.partitionBy("sig")
-    spread = shared.join(found, "node", "left").select("sig", "node", "n", F.col("least.node").alias("least"), F.coalesce("component", "node").alias("comp"))
-    spread = spread.withColumns({"main": F.min(F.struct("node", "comp")).over(bucket)["comp"], "size": F.count("*").over(bucket)})
-    spread = spread.withColumn("minor", F.col("comp") != F.col("main"))
-    spread = cut(spread.withColumn("mixed", F.max("minor").over(bucket)).where("mixed").drop("mixed"))
-
-    # Combinations of few nodes: node by node, but for the smallest, which has met them all.
-    few = spread.where(F.col("size") <= p.few)
-    other = few.where("node != least").select("sig", F.col("node").alias("member"), F.col("n").alias("member_n"), F.col("comp").alias("member_comp"), F.col("minor").alias("member_minor"))
-    pairs = few.where("minor").select("sig", "node", "n", "comp").join(other, "sig").where("comp != member_comp and (not member_minor or member < node)")
-    part = F.struct(F.lit(False).alias("minor"), F.lit(-1).alias("band"), F.lit(1).alias("of"), F.lit(0).alias("k"))
-    single = pairs.where(_near_sizes(F.col("n"), F.col("member_n"), p)).select(F.col("member").alias("comp"), part.alias("part"), "node").distinct()
-
-    # Combinations of many: against chunks of the nodes met with the same main component, its own and the others, by size.
-    band = F.floor(F.log("n") / math.log(100 / p.percent)).cast("int")
-    of = F.greatest(F.lit(1), F.pow(F.lit(2.0), F.ceil(F.log2(F.col("size") / p.chunk))).cast("int"))
-    part = F.struct("minor", band.alias("band"), of.alias("of"), F.pmod(F.xxhash64("node"), of).cast("int").alias("k"))
-    many = spread.where(F.col("size") > p.few).select("node", "n", "minor", F.col("main").alias("comp"), part.alias("part")).distinct()
-    chunks = many.groupBy("comp", "part").agg(F.min("n").alias("n_least"), F.max("n").alias("n_most"))
-    meets = many.where("minor").select("comp", "node", "n").distinct().join(chunks, "comp")
-    meets = meets.where((100 * F.col("n_most") >= p.percent * F.col("n")) & (100 * F.col("n") >= p.percent * F.col("n_least")))
-    chunked = cut(meets.select("comp", "part", "node").distinct())
-    members = many.select("comp", "part", "node").distinct().join(chunked.select("comp", "part").distinct(), ["comp", "part"], "left_semi")
-
-    single = cut(single)
-    probes = single.unionByName(chunked)
-    members = members.unionByName(single.select("comp", "part").distinct().select("comp", "part", F.col("comp").alias("node")))
-    return _verify(docs, members, probes, p)
+def _across(docs: DataFrame, sets: DataFrame, shared: DataFrame, found: DataFrame, p: Params) -> DataFrame:
+    """Links between the components so far."""
+    sizes = found.join(found.groupBy("component").agg(F.count("*").alias("weight")), "component")
+    spread = shared.join(sizes, "node", "left").select("sig", "node", "n", F.coalesce("component", "node").alias("of"), F.coalesce("weight", F.lit(1)).alias("weight"))
+    # Combinations that span components, with the largest one of each; their nodes, pooled by it.
+    top = F.max(F.struct("weight", (-F.col("of")).alias("least"))).alias("top")
+    spans = spread.groupBy("sig").agg(top, F.min("of").alias("low"), F.max("of").alias("high")).where("low < high").select("sig", (-F.col("top.least")).alias("comp"))
+    pool = cut(spread.join(spans, "sig").groupBy("comp", "node").agg(F.any_value("n").alias("n"), F.any_value("of").alias("of")))
+    # A pool of few nodes is one chunk; more are cut by size.
+    counts = pool.groupBy("comp").agg(F.count("*").alias("pooled"))
+    band = F.when(F.col("pooled") <= p.chunk, -1).otherwise(F.floor(F.log("n") / math.log(100 / p.percent))).cast("int")
+    pool = pool.join(counts, "comp").select("comp", "node", "n", "of", band.alias("band"))
+    bands = pool.groupBy("comp", "band").agg(F.ceil(F.count("*") / p.chunk).cast("int").alias("chunks"), F.min("n").alias("n_least"), F.max("n").alias("n_most"), F.min("of").alias("low"), F.max("of").alias("high"))
+    near = (100 * F.col("n_most") >= p.percent * F.col("n")) & (100 * F.col("n") >= p.percent * F.col("n_least"))
+    others = (F.col("low") != F.col("of")) | (F.col("high") != F.col("of"))
+    meets = pool.where("of != comp").select("comp", "node", "n", "of").join(bands, "comp").where(near & others)
+    probes = meets.select("comp", "node", F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct("band", k.alias("k")))).alias("part"))
+    chunk = F.struct("band", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("k"))
+    members = pool.join(bands.select("comp", "band", "chunks"), ["comp", "band"]).select("comp", chunk.alias("part"), "node")
+    return _verify(docs, sets, _roles(members, cut(probes), p), p)
 
 
 def one_of_each(docs: DataFrame, params: Params | None = None) -> DataFrame:

@@ -54,7 +54,7 @@ def brute_components(rows):
     return [(i, len(sets[i]), find(i)) for i, _ in rows]
 
 
-@pytest.mark.parametrize("params", [ngram_join.Params(), ngram_join.Params(sketch_cells=1 << 17, few=1, chunk=2, probes=2, broadcast_rows=0), ngram_join.Params(few=4, chunk=3)])
+@pytest.mark.parametrize("params", [ngram_join.Params(), ngram_join.Params(sketch_cells=1 << 17, chunk=2, probes=2, broadcast_rows=0), ngram_join.Params(chunk=3)])
 def test_jaccard_components(corpus, params):
     rows, docs = corpus
     assert multiset(ngram_join.jaccard_components(docs, params).collect()) == multiset(brute_components(rows))
@@ -97,6 +97,40 @@ def test_signatures_of_linked_sets_meet():
         assert set(sig[text == 0].tolist()) & set(sig[text == 1].tolist())
 
 
+@pytest.mark.parametrize("percent", [80, 45])
+def test_bounds_leave_linked_sets_a_partner(percent):
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        base = rng.integers(0, 1 << 63, int(rng.integers(1, 700))).astype(np.uint64)
+        sets = [np.unique(np.concatenate([base[rng.random(len(base)) > rng.choice([0, 0.05, 0.15, 0.6])], rng.integers(0, 1 << 63, int(rng.integers(0, 40))).astype(np.uint64)])) for _ in range(8)]
+        sets = [s for s in sets if len(s)]
+        if len(sets) < 2:
+            continue
+        h, first = np.concatenate(sets), np.cumsum([0, *map(len, sets)])
+        member, probe = np.arange(len(sets) // 2), np.arange(len(sets) // 2, len(sets))
+        good_member, good_probe = ngram_join.partners(ngram_join.bit_maps(h, first).to_pylist(), np.diff(first), member, probe, percent)
+        for a in member.tolist():
+            for b in probe.tolist():
+                both = len(np.intersect1d(sets[a], sets[b]))
+                if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                    assert good_member[a] and good_probe[b]
+
+
+def test_many_short_texts_that_share_a_line(spark):
+    """One line in all of them, some with a partner, none of the links lost in the common combinations."""
+    rng = random.Random(12)
+    line = "this one common line stands in every text here"
+    rows = []
+    for k in range(260):
+        own = [f"o{rng.randrange(10**6)}" for _ in range(rng.choice((0, 1, 2, 3, 6, 30)))]
+        rows.append((k, f"{line} {' '.join(own)}"))
+        if k % 5 == 0:
+            rows.append((1000 + k, f"{line} {' '.join([*own, 'more'])}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for params in (ngram_join.Params(), ngram_join.Params(chunk=16, probes=16)):
+        assert multiset(ngram_join.jaccard_components(docs, params).collect()) == multiset(brute_components(rows))
+
+
 def test_one_of_each_keeps_the_smallest(corpus):
     rows, docs = corpus
     kept = [r.doc_id for r in ngram_join.one_of_each(docs).select("doc_id").collect()]
