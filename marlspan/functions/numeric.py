@@ -133,3 +133,64 @@ def uniform_indices(n: Column | str, count: int) -> Column:
     """count indices spread evenly over 0..n-1, halves to even; null for fewer rows than that."""
     n = col(n)
     return F.when(n >= count, F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.rint(i * (n - 1) / (count - 1)).cast("long")))
+
+
+# ---- viewpoints and poses ----
+
+
+def viewpoint_axes(azimuth: Column, elevation: Column, roll: Column) -> tuple[Vector, Vector, Vector]:
+    """Forward, lateral and up axes of a subject in camera coordinates (x right, y down, z forward), from the angles in degrees at which it is seen."""
+    az, el = F.radians(azimuth), F.radians(elevation)
+    zero = F.lit(0.0)
+    # the camera's right, down and forward as the subject has them
+    rows = ((-F.sin(az), F.cos(az), zero), (F.sin(el) * F.cos(az), F.sin(el) * F.sin(az), -F.cos(el)), (-F.cos(el) * F.cos(az), -F.cos(el) * F.sin(az), -F.sin(el)))
+    turn = rotation((F.lit(1.0), zero, zero), roll)
+    columns = tuple(zip(*turn))
+    return tuple(tuple(dot(r, c) for r in rows) for c in columns)
+
+
+def ray_turn(u: Column, v: Column, intrinsics: tuple[Column, Column, Column, Column]) -> tuple[Vector, tuple[Column]]:
+    """Axis and degrees of the turn from the optical axis to the ray through a crop's centre; null for a crop on the axis."""
+    fx, fy, cx, cy = intrinsics
+    x, y = (u - cx) / fx, (v - cy) / fy
+    off = F.hypot(x, y)
+    return tuple(a / F.when(off >= 1e-8, off) for a in (-y, x, F.lit(0.0))), (F.degrees(F.atan(off)),)
+
+
+def pose_angles(turned: tuple[Vector, ...]) -> tuple[Column, Column, Column]:
+    """Pan, tilt and roll in degrees of a camera whose axes are the matrix's columns; no roll where it looks along the vertical."""
+    right, _, forward = (unit(c) for c in zip(*turned))
+    pan = F.degrees(F.atan2(forward[0], forward[2]))
+    tilt = -F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), forward[1]))))
+    level = unit(cross(forward, (F.lit(0.0), F.lit(-1.0), F.lit(0.0))))
+    return pan, tilt, F.degrees(F.atan2(dot(cross(level, right), forward), dot(level, right)))
+
+
+def facing_basis(forward: Vector, up: Vector) -> tuple[Vector, Vector, Vector]:
+    """Right, down and forward of a subject: forward stays, down is what the up axis leaves across it."""
+    forward = unit(forward)
+    along = dot(up, forward)
+    down = unit(tuple(along * f - u for u, f in zip(up, forward)))
+    right = unit(cross(down, forward))
+    return right, cross(forward, right), forward
+
+
+def transposed(rows: tuple[Vector, ...]) -> tuple[Vector, ...]:
+    return tuple(zip(*rows))
+
+
+def product(a: tuple[Vector, ...], b: tuple[Vector, ...]) -> tuple[Vector, ...]:
+    return tuple(tuple(dot(r, c) for c in transposed(b)) for r in a)
+
+
+#: Positive and negative word of each axis.
+AXIS_WORDS = (("right", "left"), ("down", "up"), ("forward", "backward"))
+
+
+def ranked_components(step: Vector, digits: int = 3) -> Column:
+    """'0.700 forward, 0.200 left, 0.000 down': the components by size, an earlier axis first of equals."""
+    parts = []
+    for k, (x, (plus, minus)) in enumerate(zip(step, AXIS_WORDS)):
+        size = F.round(F.abs(x), digits).cast(f"decimal(20,{digits})").cast("string")
+        parts.append(F.struct((-F.abs(x)).alias("s"), F.lit(k).alias("k"), F.concat(size, F.lit(" "), F.when(x >= 0, plus).otherwise(minus)).alias("t")))
+    return F.array_join(F.transform(F.array_sort(F.array(*parts)), lambda p: p["t"]), ", ")

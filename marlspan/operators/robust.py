@@ -146,6 +146,20 @@ def rigid_fits(df: DataFrame, source: list[str], target: list[str], key: str, or
     return df.select(key, order, *source, *target).groupBy(key).applyInPandas(run, f"{key} {dict(df.dtypes)[key]}, r array<double>, t array<double>, rmse double, inliers long")
 
 
+def pose_fits(df: DataFrame, source: list[str], target: list[str], keys: list[str], order: str, least: int = 4) -> DataFrame:
+    """One robust fit per group of keys, as rigid_fits(); groups of fewer points than `least` are not tried."""
+    kinds = dict(df.dtypes)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        fit = ransac_rigid(pdf[source].to_numpy(float), pdf[target].to_numpy(float)) if len(pdf) >= least else None
+        r, t, rmse, good = fit if fit else (np.full((3, 3), np.nan), np.full(3, np.nan), None, np.zeros(0))
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "r": [r.ravel().tolist()], "t": [t.tolist()], "rmse": [rmse], "inliers": [int(good.sum())]})
+
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys)
+    return df.select(*keys, order, *source, *target).groupBy(*keys).applyInPandas(run, f"{schema}, r array<double>, t array<double>, rmse double, inliers long")
+
+
 def plane_ups(df: DataFrame, xyz: list[str], key: str, order: str) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         up, share = plane_up(pdf.sort_values(order)[xyz].to_numpy(float))

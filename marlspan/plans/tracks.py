@@ -199,16 +199,6 @@ def mask_centroids(spark, sf_dir):
     return rows.select("label", "area", F.round("u", 6).alias("centroid_u"), F.round("v", 6).alias("centroid_v"), F.round(F.col("lo") - margin, 6).alias("crop_low"), F.round(F.col("hi") + margin, 6).alias("crop_high"))
 
 
-@query(T + ", r as (select label, sqrt(x*x+y*y+z*z) as n, frame from t), c as (select label, degrees(acos(least(1, greatest(-1, (t.x*l.x+t.y*l.y+t.z*l.z)/(sqrt(t.x^2+t.y^2+t.z^2)*sqrt(l.x^2+l.y^2+l.z^2)))))) as turn from t join t l using (label) where l.frame = t.frame - 1) select label, round(sum(turn), 4) as total_turn from c group by 1")
-def cumulative_rotation(spark, sf_dir):
-    """Sum of the angles between neighbouring directions."""
-    w = windows._by("label")
-    rows = tracks(spark, sf_dir).withColumns({f"l{c}": F.lag(c).over(w) for c in XYZ}).where("lx is not null")
-    a, b = tuple(F.col(c) for c in XYZ), tuple(F.col(f"l{c}") for c in XYZ)
-    cosine = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), num.dot(a, b) / (num.norm(a) * num.norm(b))))
-    return rows.groupBy("label").agg(F.round(F.sum(F.degrees(F.acos(cosine))), 4).alias("total_turn"))
-
-
 @query(
     T
     + """, s as (select label, frame, sqrt((x-cx)^2+(y-cy)^2+(z-cz)^2) as score from t), o as (select label, list((score, frame) order by score desc, frame) as l from s group by 1),
