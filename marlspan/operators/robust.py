@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Scale of the median absolute deviation to a standard deviation.
 MAD_SIGMA = 1.4826
@@ -123,6 +124,48 @@ def farthest_points(points: np.ndarray, count: int) -> np.ndarray:
     return np.array(chosen)
 
 
+# ---- selection of whole tracks ----
+
+
+def _distance(columns: tuple[str, ...], prefix: str) -> Column:
+    return F.sqrt(sum(((F.col(c) - F.col(f"{prefix}{c}")) ** 2 for c in columns), F.lit(0.0)))
+
+
+def select_tracks(points: DataFrame, xyz: tuple[str, ...], clip: str, track: str, membership: float = 3.0, motion: float = 2.0, lags: tuple[int, ...] = (4, 8, 16, 31), spread: float = 3.0) -> DataFrame:
+    """(clip, track, radius, residual, jitter, reason): each track's measures and the first stage that drops it, or 'kept'.
+
+    points: (clip, track, frame, x, y, z), null where not valid.  Membership: the median distance from the frame's centre
+    against the cloud's scale.  Bulk motion: the median deviation from the common displacement, the worst of the
+    lags, against the scale and against the tracks kept so far.  Smoothness: the median second difference against
+    the tracks kept by then.  A track without a measure counts as beyond any limit; fewer than three tracks set no limit.
+    """
+    huge, keys = F.lit(1e308), [clip, track]
+    scale = cloud_scale(points.where(F.col(xyz[0]).isNotNull()), xyz, clip)
+    centre = points.groupBy(clip, "frame").agg(*(F.median(c).alias(f"m_{c}") for c in xyz))
+    radius = points.join(centre, [clip, "frame"]).groupBy(*keys).agg(F.median(_distance(xyz, "m_")).alias("radius"))
+    # Each point beside the one `lag` frames before, all lags in one join.
+    shifted = points.withColumn("lag", F.explode(F.array(*map(F.lit, lags)))).select(clip, track, "lag", (F.col("frame") + F.col("lag")).alias("frame"), *(F.col(c).alias(f"p_{c}") for c in xyz))
+    moved = points.join(shifted, [clip, track, "frame"]).select(clip, track, "lag", "frame", *((F.col(c) - F.col(f"p_{c}")).alias(c) for c in xyz))
+    bulk = moved.groupBy(clip, "lag", "frame").agg(*(F.median(c).alias(f"m_{c}") for c in xyz))
+    by_lag = moved.join(bulk, [clip, "lag", "frame"]).groupBy(*keys, "lag").agg(F.coalesce(F.median(_distance(xyz, "m_")), huge).alias("d"))
+    residual = by_lag.groupBy(*keys).agg(F.max("d").alias("residual"))
+    w = Window.partitionBy(*keys).orderBy("frame")
+    second = F.sqrt(sum(((F.lead(c, 2).over(w) - 2 * F.lead(c, 1).over(w) + F.col(c)) ** 2 for c in xyz), F.lit(0.0)))
+    jitter = points.select(*keys, second.alias("s")).groupBy(*keys).agg(F.coalesce(F.median("s"), huge).alias("jitter"))
+    rows = radius.join(residual, keys, "left").join(jitter, keys).join(scale, clip).withColumn("residual", F.coalesce("residual", F.lit(0.0)))
+    # Each stage's limits come from the tracks that are left.
+    rows = rows.withColumn("keep", F.coalesce("radius", huge) <= membership * F.col("scale")).withColumn("reason", F.when(~F.col("keep"), "membership"))
+    for measure, name, limit in (("residual", "bulk_motion", motion * F.col("scale")), ("jitter", "smoothness", None)):
+        left = F.when(F.col("keep"), F.col(measure))
+        all_ = Window.partitionBy(clip)
+        rows = rows.withColumns({"n": F.count(left).over(all_), "centre": F.percentile(left, 0.5).over(all_)})
+        rows = rows.withColumn("sigma", 1.4826 * F.percentile(F.when(F.col("keep"), F.abs(F.col(measure) - F.col("centre"))), 0.5).over(all_))
+        bad = (F.col("n") > 2) & (F.col(measure) > F.col("centre") + spread * F.col("sigma"))
+        bad = bad if limit is None else bad | (F.col(measure) > limit)
+        rows = rows.withColumn("reason", F.when(F.col("keep") & F.coalesce(bad, F.lit(False)), name).otherwise(F.col("reason"))).withColumn("keep", F.col("reason").isNull())
+    return rows.select(*keys, "radius", "residual", "jitter", F.coalesce("reason", F.lit("kept")).alias("reason"))
+
+
 # ---- per group ----
 
 

@@ -46,10 +46,14 @@ SAVGOL = (-2, 3, 6, 7, 6, 3, -2)
 
 
 def savgol(df: DataFrame, value: str, key: str, out: str) -> DataFrame:
-    """Seven-point quadratic smoothing; the ends take the quadratic of their first or last seven frames; series under seven are as they are."""
+    """Seven-point quadratic smoothing; the ends take the quadratic of their first or last seven frames.
+
+    Gaps are filled on the line between their neighbours for it and are gaps afterwards; series with fewer than seven
+    values stay as they are.
+    """
     w, whole = _by(key), Window.partitionBy(key)
-    v = F.col(value)
-    n = F.count("*").over(whole)
+    df = df.withColumns({"__v": filled(F.col(value), key), "__n": F.count("*").over(whole), "__given": F.count(value).over(whole)})
+    v, n = F.col("__v"), F.col("__n")
     centre = sum((c * F.lag(v, 3 - k).over(w) if k < 3 else c * (v if k == 3 else F.lead(v, k - 3).over(w)) for k, c in enumerate(SAVGOL)), F.lit(0.0)) / 21
     all_ = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     first = [F.nth_value(v, k + 1).over(all_) for k in range(7)]
@@ -64,8 +68,8 @@ def savgol(df: DataFrame, value: str, key: str, out: str) -> DataFrame:
         return (s0 - 28 * c) / 7 + s1 / 28 * x + c * x * x
 
     x0, x1 = F.col("frame") - 3, F.col("frame") - (n - 7) - 3
-    smooth = F.when(n < 7, v).when(F.col("frame") < 3, quadratic(first, x0)).when(F.col("frame") >= n - 3, quadratic(last, x1)).otherwise(centre)
-    return df.withColumn(out, smooth)
+    smooth = F.when(F.col("__given") < 7, F.col(value)).when(F.col("frame") < 3, quadratic(first, x0)).when(F.col("frame") >= n - 3, quadratic(last, x1)).otherwise(centre)
+    return df.withColumn(out, F.when(F.col(value).isNotNull(), smooth)).drop("__v", "__n", "__given")
 
 
 def islands(df: DataFrame, flag: Column, key: str) -> DataFrame:

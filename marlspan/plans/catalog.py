@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import answers, poses, reports, signals, texts, tracks  # noqa: F401
+from . import answers, poses, records, reports, signals, texts, tracks  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

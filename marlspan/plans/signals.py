@@ -36,20 +36,18 @@ def running_mean_skipping_gaps(spark, sf_dir):
     return windows.running_mean_skipping(events(spark, sf_dir), "v", "user_id", "smooth").select("user_id", "frame", F.round("smooth", 6).alias("smooth"))
 
 
-_LAST = "(select list(value order by frame) from e x where x.user_id = e.user_id)"
-
-
 @query(
-    E
-    + """, l as (select user_id, list(value order by frame) as s, count(*) as n from e group by user_id),
-  q as (select e.user_id, e.frame, e.value, n, case when frame < 3 then s[1:7] when frame >= n - 3 then s[n-6:n] end as p,
-    case when frame < 3 then frame - 3 else frame - (n - 7) - 3 end as x, s from e join l using (user_id)),
+    SMOOTH
+    + """, l as (select user_id, list(filled order by frame) as s, count(*) as n, count(v) as given from g group by user_id),
+  q as (select g.user_id, g.frame, g.v, n, given, case when frame < 3 then s[1:7] when frame >= n - 3 then s[n-6:n] end as p,
+    case when frame < 3 then frame - 3 else frame - (n - 7) - 3 end as x, s from g join l using (user_id)),
   c as (select *, p[1]+p[2]+p[3]+p[4]+p[5]+p[6]+p[7] as s0, -3*p[1]-2*p[2]-p[3]+p[5]+2*p[6]+3*p[7] as s1, 9*p[1]+4*p[2]+p[3]+p[5]+4*p[6]+9*p[7] as s2 from q)
-  select user_id, frame, round(case when n < 7 then value when p is not null then (s0 - 28*((7*s2-28*s0)/588))/7 + s1/28*x + ((7*s2-28*s0)/588)*x*x
-    else (-2*s[frame-2]+3*s[frame-1]+6*s[frame]+7*s[frame+1]+6*s[frame+2]+3*s[frame+3]-2*s[frame+4])/21 end, 4) as smooth from c"""
+  select user_id, frame, case when v is not null then round(case when given < 7 then v when p is not null then (s0 - 28*((7*s2-28*s0)/588))/7 + s1/28*x + ((7*s2-28*s0)/588)*x*x
+    else (-2*s[frame-2]+3*s[frame-1]+6*s[frame]+7*s[frame+1]+6*s[frame+2]+3*s[frame+3]-2*s[frame+4])/21 end, 4) end as smooth from c"""
 )
 def savgol_smooth(spark, sf_dir):
-    return windows.savgol(events(spark, sf_dir), "value", "user_id", "smooth").select("user_id", "frame", F.round("smooth", 4).alias("smooth"))
+    """Over gaps: errors have no value."""
+    return windows.savgol(events(spark, sf_dir), "v", "user_id", "smooth").select("user_id", "frame", F.round("smooth", 4).alias("smooth"))
 
 
 @query(E + ", i as (select user_id, frame, frame - row_number() over (partition by user_id order by frame) as g from e where v is not null) select user_id, min(frame) as start_frame, max(frame) as end_frame, count(*) as frames from i group by user_id, g")

@@ -48,29 +48,36 @@ def lag_bulk_motion(spark, sf_dir):
     return moved.join(bulk, ["lag", "frame"]).groupBy("lag", "label").agg(F.round(F.median(off), 6).alias("off_bulk"))
 
 
-@query(
-    T
-    + """, c as (select frame, median(x) mx, median(y) my, median(z) mz from t group by 1), r as (select t.*, sqrt((x-mx)^2+(y-my)^2+(z-mz)^2) as d from t join c using (frame)),
-  s as (select median(d) as scale from r), a as (select label, median(d) as radius from r group by 1),
-  j as (select label, median(j) as jitter from (select label, sqrt((lead(x,2) over w - 2*lead(x,1) over w + x)^2 + (lead(y,2) over w - 2*lead(y,1) over w + y)^2 + (lead(z,2) over w - 2*lead(z,1) over w + z)^2) as j from t window w as (partition by label order by frame)) where j is not null group by 1),
-  k as (select median(jitter) as c from j), kk as (select 1.4826 * median(abs(jitter - c)) as sigma from j, k)
-  select label, round(radius, 6) as radius, round(jitter, 6) as jitter, radius <= 1.02 * scale as member, jitter <= c + 2 * sigma as smooth,
-    case when radius > 1.02 * scale then 'membership' when jitter > c + 2 * sigma then 'smoothness' else 'kept' end as reason from a join j using (label), s, k, kk"""
-)
-def track_selection(spark, sf_dir):
-    """Tracks are dropped for lying outside the cloud, then for jitter; each with its reason."""
+#: Tracks of two clips, some of which sit far off, wander away or flicker; unsure points are not valid.
+_CLIPS = T + """, c as (select label % 2 as clip, label as track, frame, 1/(1+exp(-conf)) > 0.48 as valid, x + case label when 3 then 9 when 5 then frame * 0.05 when 6 then (frame % 2) * 0.3 else 0 end as x, y, z from t),
+  v as (select clip, track, frame, case when valid then x end as x, case when valid then y end as y, case when valid then z end as z from c),
+  g as (select clip, median(x) as gx, median(y) as gy, median(z) as gz from v group by 1), s as (select clip, median(sqrt((x-gx)^2+(y-gy)^2+(z-gz)^2)) as scale from v join g using (clip) group by 1),
+  m as (select clip, frame, median(x) as mx, median(y) as my, median(z) as mz from v group by 1, 2), r as (select clip, track, median(sqrt((x-mx)^2+(y-my)^2+(z-mz)^2)) as radius from v join m using (clip, frame) group by 1, 2),
+  k1 as (select r.*, scale, coalesce(radius, 1e308) <= 3 * scale as keep1 from r join s using (clip)),
+  d as (select clip, track, b.frame, lag, b.x - a.x as dx, b.y - a.y as dy, b.z - a.z as dz from v b join v a using (clip, track), (select unnest([4, 8, 16, 31]) as lag) where a.frame = b.frame - lag),
+  e as (select clip, lag, frame, median(dx) as ex, median(dy) as ey, median(dz) as ez from d group by 1, 2, 3),
+  f as (select clip, track, lag, coalesce(median(sqrt((dx-ex)^2+(dy-ey)^2+(dz-ez)^2)), 1e308) as dev from d join e using (clip, lag, frame) group by 1, 2, 3), h as (select clip, track, max(dev) as residual from f group by 1, 2),
+  k2a as (select k1.*, residual from k1 join h using (clip, track)), q as (select clip, count(*) as n, median(residual) as c from k2a where keep1 group by 1),
+  q2 as (select clip, n, c, 1.4826 * median(abs(residual - c)) as sigma from k2a join q using (clip) where keep1 group by 1, 2, 3),
+  k2 as (select k2a.*, keep1 and not (residual > 2 * scale or (coalesce(n, 0) > 2 and residual > c + 3 * sigma)) as keep2 from k2a left join q2 using (clip)),
+  j as (select clip, track, coalesce(median(sqrt((x2-2*x1+x)^2+(y2-2*y1+y)^2+(z2-2*z1+z)^2)), 1e308) as jitter from (select *, lead(x) over w as x1, lead(x, 2) over w as x2, lead(y) over w as y1, lead(y, 2) over w as y2, lead(z) over w as z1, lead(z, 2) over w as z2 from v window w as (partition by clip, track order by frame)) group by 1, 2),
+  k3a as (select k2.*, jitter from k2 join j using (clip, track)), u as (select clip, count(*) as jn, median(jitter) as jc from k3a where keep2 group by 1),
+  u2 as (select clip, jn, jc, 1.4826 * median(abs(jitter - jc)) as js from k3a join u using (clip) where keep2 group by 1, 2, 3)
+  select clip, track, round(radius, 6) as radius, round(residual, 6) as residual, round(jitter, 6) as jitter, case when not keep1 then 'membership' when not keep2 then 'bulk_motion' when coalesce(jn, 0) > 2 and jitter > jc + 3 * js then 'smoothness' else 'kept' end as reason
+  from k3a left join u2 using (clip)"""
+
+
+def clips(spark: SparkSession, sf_dir: str):
     rows = tracks(spark, sf_dir)
-    center = rows.groupBy("frame").agg(*(F.median(c).alias(f"m_{c}") for c in XYZ))
-    far = rows.join(center, "frame").withColumn("d", F.sqrt(sum(((F.col(c) - F.col(f"m_{c}")) ** 2 for c in XYZ), F.lit(0.0))))
-    scale = far.agg(F.median("d").alias("scale"))
-    radius = far.groupBy("label").agg(F.median("d").alias("radius"))
-    step = F.sqrt(sum((windows.second_difference(c, "label") ** 2 for c in XYZ), F.lit(0.0)))
-    jitter = rows.withColumn("j", step).where("j is not null").groupBy("label").agg(F.median("j").alias("jitter"))
-    limit = robust.mad(jitter, "jitter").select((F.col("center") + 2 * F.col("sigma")).alias("most"))
-    out = radius.join(jitter, "label").crossJoin(F.broadcast(scale)).crossJoin(F.broadcast(limit))  # one row each
-    member, smooth = F.col("radius") <= 1.02 * F.col("scale"), F.col("jitter") <= F.col("most")
-    reason = F.when(~member, "membership").when(~smooth, "smoothness").otherwise("kept")
-    return out.select("label", F.round("radius", 6).alias("radius"), F.round("jitter", 6).alias("jitter"), member.alias("member"), smooth.alias("smooth"), reason.alias("reason"))
+    off = F.when(F.col("label") == 3, 9.0).when(F.col("label") == 5, F.col("frame") * 0.05).when(F.col("label") == 6, (F.col("frame") % 2) * 0.3).otherwise(0.0)
+    sure = num.sigmoid("conf") > 0.48
+    return rows.select((F.col("label") % 2).alias("clip"), F.col("label").alias("track"), "frame", *(F.when(sure, x).alias(c) for c, x in zip(XYZ, (F.col("x") + off, F.col("y"), F.col("z")))))
+
+
+@query(_CLIPS)
+def track_selection(spark, sf_dir):
+    """Whole tracks are dropped for lying outside the cloud, then for moving apart from it over long lags, then for flicker."""
+    return robust.select_tracks(clips(spark, sf_dir), XYZ, "clip", "track").select("clip", "track", *(F.round(c, 6).alias(c) for c in ("radius", "residual", "jitter")), "reason")
 
 
 @query(
