@@ -38,7 +38,7 @@ from . import textkit as tk
 from .cluster import small_batches
 
 #: Bytes of text that are encoded at a time (a longer single text goes alone).
-PASS_BYTES = 4 << 20
+PASS_BYTES = 2 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -55,7 +55,7 @@ class Merges:
     """
 
     #: Kept answers beyond which they are forgotten.
-    MOST = 2_000_000
+    MOST = 500_000
     NEVER = 1 << 60
 
     def __init__(self, ranks: dict[bytes, int]):
@@ -123,7 +123,7 @@ class Transducer:
     """Encodes one piece, byte by byte."""
 
     #: Kept states and moves beyond which both are forgotten and made anew.
-    MOST = 600_000
+    MOST = 300_000
     UNTOLD = -2
 
     def __init__(self, ranks: dict[bytes, int]):
@@ -267,7 +267,7 @@ class Encoder:
     """
 
     #: Pieces whose ids are kept in each of two generations, and the length in characters of one that is kept.
-    MOST, LONG = 300_000, 64
+    MOST, LONG = 150_000, 64
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.transducer = ranks, Transducer(ranks)
