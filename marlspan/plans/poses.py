@@ -83,7 +83,7 @@ def _all(pairs) -> str:
 _OFF = _AXES + ", r as (select *, (u-320)/500 as rx, (v-240)/500 as ry, sqrt(((u-320)/500)^2+((v-240)/500)^2) as rs from a), o as (select label, vec_id, frame, ok, unique_front, x, y, z, cx, cy, cz, cn, turn, vis, " + _all(
     (f"o{w}_{a}", e) for w in "flu" for a, e in zip("xyz", _turned(w, ("-ry/rs", "rx/rs", "0.0"), "1/sqrt(1+rs*rs)", "rs/sqrt(1+rs*rs)"))
 ) + " from r)"
-_IN_FIRST = _OFF + ", c as (select label, vec_id, frame, ok, unique_front, x, y, z, cx, cy, cz, vis, " + _all(
+IN_FIRST = _OFF + ", c as (select label, vec_id, frame, ok, unique_front, x, y, z, cx, cy, cz, vis, " + _all(
     (f"{w}0_{a}", e) for w in "flu" for a, e in zip("xyz", _turned(f"o{w}", ("cx/cn", "cy/cn", "cz/cn"), "cos(radians(turn))", "sin(radians(turn))"))
 ) + " from o)"
 
@@ -100,7 +100,7 @@ def offaxis_facing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("label", "frame", *_named("forward", forward))
 
 
-@query(_IN_FIRST + " select label, frame, case when ok then 'ok' else 'missing' end as status, case when ok then unique_front end as usable, " + ", ".join(f"case when ok then round(f0_{a}, 6) end as forward_{a}" for a in "xyz") + " from c")
+@query(IN_FIRST + " select label, frame, case when ok then 'ok' else 'missing' end as status, case when ok then unique_front end as usable, " + ", ".join(f"case when ok then round(f0_{a}, 6) end as forward_{a}" for a in "xyz") + " from c")
 def compensated_facing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The subject's facing in the first camera's axes; usable only with one distinguishable front."""
     rows, (forward, _, _) = in_first(poses(spark, sf_dir))
@@ -110,7 +110,7 @@ def compensated_facing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    _IN_FIRST
+    IN_FIRST
     + """, h as (select label, frame, case when ok and unique_front then degrees(atan2(f0_x, f0_z)) end as hd, case when ok and unique_front then -degrees(asin(greatest(-1, least(1, f0_y)))) end as ev from c),
   g as (select *, first_value(hd ignore nulls) over w as h0, first_value(ev ignore nulls) over w as e0 from h window w as (partition by label order by frame rows between unbounded preceding and unbounded following))
   select label, frame, round((((hd - h0 + 180) % 360) + 360) % 360 - 180, 6) as heading, round(ev - e0, 6) as elevation from g"""
@@ -124,7 +124,7 @@ def facing_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("label", "frame", F.round(windows.relative_to_first("h", "label"), 6).alias("heading"), F.round(F.col("e") - first, 6).alias("elevation"))
 
 
-_POSE_SQL = P + """, w as (select label, x / sqrt(x*x+y*y+z*z) as gx, y / sqrt(x*x+y*y+z*z) as gy, z / sqrt(x*x+y*y+z*z) as gz from p where frame = 0),
+POSE_SQL = P + """, w as (select label, x / sqrt(x*x+y*y+z*z) as gx, y / sqrt(x*x+y*y+z*z) as gy, z / sqrt(x*x+y*y+z*z) as gz from p where frame = 0),
   b as (select label, -gx as dx, -gy as dy, -gz as dz, (0 - gz*gx)/sqrt(1-gz*gz) as fx, (0 - gz*gy)/sqrt(1-gz*gz) as fy, (1 - gz*gz)/sqrt(1-gz*gz) as fz from w),
   l as (select *, dy*fz-dz*fy as rx, dz*fx-dx*fz as ry, dx*fy-dy*fx as rz from b), e as (select label, frame, cn, cx, cy, cz, turn, 0.0 as e2_x, 0.0 as e2_y, 1.0 as e2_z, 1.0 as e0_x, 0.0 as e0_y, 0.0 as e0_z from p1),
   t as (select label, frame, """ + _all(
@@ -143,7 +143,7 @@ def levelled_angles(rows: DataFrame) -> DataFrame:
     return rows.withColumns(dict(zip(("pan", "tilt", "roll"), num.pose_angles(turned))))
 
 
-@query(_POSE_SQL + ", r as (select *, first_value(pan) over w as p0, first_value(tilt) over w as t0, first_value(roll) over w as r0 from m window w as (partition by label order by frame)) select label, frame, " + ", ".join(f"round(((({n} - {n[0]}0 + 180) % 360) + 360) % 360 - 180, 5) as {n}" for n in ("pan", "tilt", "roll")) + " from r")
+@query(POSE_SQL + ", r as (select *, first_value(pan) over w as p0, first_value(tilt) over w as t0, first_value(roll) over w as r0 from m window w as (partition by label order by frame)) select label, frame, " + ", ".join(f"round(((({n} - {n[0]}0 + 180) % 360) + 360) % 360 - 180, 5) as {n}" for n in ("pan", "tilt", "roll")) + " from r")
 def camera_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = levelled_angles(poses(spark, sf_dir))
     return rows.select("label", "frame", *(F.round(windows.relative_to_first(n, "label"), 5).alias(n) for n in ("pan", "tilt", "roll")))

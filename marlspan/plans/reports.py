@@ -9,23 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as num
 from ..operators import robust, windows
+from . import poses
 from .registry import SQL, query
 from .signals import distance_change_report
 from .tracks import T, XYZ, tracks
 
-_SEGMENTS = """, n as (select label, min(frame) as a, max(frame) as b from t group by 1 having min(frame) < max(frame)), k as (select unnest(range(0, 11)) as k),
-  g as (select label, k, a + k * (b - a) / 10.0 as tm from n, k),
-  s as (select g.label, k, {cols} from g join t e on e.label = g.label and e.frame = floor(tm + 1e-9) left join t f on f.label = g.label and f.frame = e.frame + 1),
-  d as (select label, k, lead({0}) over w - {0} as dx, lead({1}) over w - {1} as dy, lead({2}) over w - {2} as dz from s window w as (partition by label order by k))"""
-
-
-def _segments(names: tuple[str, str, str]) -> str:
-    cols = ", ".join(f"e.{c} + coalesce((tm - e.frame) * (f.{c} - e.{c}), 0) as {c}" for c in names)
-    return T + _SEGMENTS.format(*names, cols=cols)
-
-
 def own_frame_path(rows: DataFrame, names: tuple[str, str, str], segments: int = 10) -> DataFrame:
-    """Per track: net displacement and path over even segments, with the noise floor of the raw path about its smoothed self."""
+    """Per track: net displacement and path over even segments."""
     parts = windows.uniform_segments(rows, names, "label", segments)
     w = windows._by("label", "segment")
     steps = parts.withColumns({f"d{c}": F.lead(c).over(w) - F.col(c) for c in names}).where(f"d{names[0]} is not null")
@@ -33,44 +23,149 @@ def own_frame_path(rows: DataFrame, names: tuple[str, str, str], segments: int =
     return steps.groupBy("label").agg(*(F.sum(f"d{c}").alias(f"net_{k}") for k, c in zip(("right", "down", "forward"), names)), F.sum(length).alias("path"), F.count("*").alias("segments"))
 
 
-def _report(rows: DataFrame, names: tuple[str, str, str]) -> DataFrame:
-    path = own_frame_path(rows, names)
-    net = num.norm((F.col("net_right"), F.col("net_down"), F.col("net_forward")))
-    word = num.direction((F.col("net_right"), F.col("net_down"), F.col("net_forward")))
-    return path.select("label", "segments", *(F.round(f"net_{k}", 4).alias(f"net_{k}") for k in ("right", "down", "forward")), F.round("path", 4).alias("path"), F.round(net / F.col("path"), 6).alias("straightness"), word.alias("direction"))
+#: What a subject must move against its own extent, and a camera against the scene's.
+SUBJECT_FLOOR, CAMERA_FLOOR = 0.10, 0.02
+
+
+def _smoothed(rows: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    for n in names:
+        rows = windows.running_mean(rows, n, "label", f"s{n}")
+    return rows
+
+
+def _motion(rows: DataFrame, names: tuple[str, ...], ratio: float) -> DataFrame:
+    """Per clip: the smoothed path's net vector and length over ten even times, and the floor that a motion must exceed.
+
+    The floor is twice the scatter of the raw path about the smoothed one, but no less than the ratio of the extent.
+    """
+    smooth = tuple(f"s{n}" for n in names)
+    extent = robust.cloud_scale(rows, names, "label")
+    off = num.norm(tuple(F.col(n) - F.col(m) for n, m in zip(names, smooth)))
+    floor = robust.mad(rows.withColumn("off", off), "off", "label").join(extent, "label")
+    floor = floor.select("label", F.greatest(2 * F.col("sigma"), ratio * F.col("scale"), F.lit(1e-6)).alias("floor"))
+    path = own_frame_path(rows, smooth)
+    return path.join(floor, "label")
+
+
+def _framed_report(motion: DataFrame, basis: tuple[num.Vector, ...], *more) -> DataFrame:
+    """The net vector in the basis, its word and its components by size; no motion under the floor."""
+    net = tuple(F.col(f"net_{k}") for k in ("right", "down", "forward"))
+    rows = motion.withColumns({f"own_{k}": num.dot(net, v) for k, v in zip(("right", "down", "forward"), basis)})
+    own = tuple(F.col(f"own_{k}") for k in ("right", "down", "forward"))
+    size = num.norm(own)
+    given = F.col("reason").isNull()
+    told = lambda x: F.when(given, x)
+    return rows.select(
+        "label", given.alias("available"), "reason", *(told(F.round(v, 5)).alias(k) for v, k in zip(own, ("right", "down", "forward"))), told(F.round("path", 5)).alias("path"), told(F.round("floor", 6)).alias("floor"),
+        told(F.when(size > F.col("floor"), num.direction(own)).otherwise("stationary")).alias("direction"), told(num.ranked_components(tuple(F.round(v, 6) for v in own), 2)).alias("components"), *more,
+    )
 
 
 _LATTICE = "(select * from (values " + ", ".join(f"({k}, '{n}', {x}, {y}, {z})" for k, (n, x, y, z) in enumerate(num.LATTICE)) + ") as l(k, name, lx, ly, lz))"
-_REPORT = f""", p as (select label, count(*) as segments, sum(dx) as nx, sum(dy) as ny, sum(dz) as nz, sum(sqrt(dx*dx+dy*dy+dz*dz)) as path from d where dx is not null group by 1),
-  r as (select p.*, name, row_number() over (partition by label order by round((nx*lx+ny*ly+nz*lz)/sqrt(lx*lx+ly*ly+lz*lz), 9) desc, l.k) as rn from p, {_LATTICE} l)
-  select label, segments, round(nx, 4) as net_right, round(ny, 4) as net_down, round(nz, 4) as net_forward, round(path, 4) as path, round(sqrt(nx*nx+ny*ny+nz*nz)/path, 6) as straightness, name as direction from r where rn = 1"""
+_SMOOTH = "".join(f", s{n} as (select label, frame, avg({n}) over (partition by label order by frame rows between 2 preceding and 2 following) as v from p)" for n in ("x", "y", "z", "cx", "cy", "cz"))
 
 
-@query(_segments(XYZ) + _REPORT)
+def _motion_sql(names: tuple[str, str, str], ratio: float) -> str:
+    x, y, z = names
+    cols = ", ".join(f"e.{c} + coalesce((tm - e.frame) * (f.{c} - e.{c}), 0) as {c}" for c in names)
+    joins = " join ".join([f"s{x} a", f"s{y} b using (label, frame)", f"s{z} c using (label, frame)"])
+    return (
+        _SMOOTH + f""", mp as (select label, frame, a.v as {x}, b.v as {y}, c.v as {z} from {joins}), n as (select label, min(frame) as a, max(frame) as b from mp group by 1 having min(frame) < max(frame)), k as (select unnest(range(0, 11)) as k),
+  g as (select label, k, a + k * (b - a) / 10.0::double as tm from n, k), s as (select g.label, k, {cols} from g join mp e on e.label = g.label and e.frame = floor(tm + 1e-9) left join mp f on f.label = g.label and f.frame = e.frame + 1),
+  d as (select label, k, lead({x}) over w - {x} as dx, lead({y}) over w - {y} as dy, lead({z}) over w - {z} as dz from s window w as (partition by label order by k)),
+  pa as (select label, sum(dx) as nx, sum(dy) as ny, sum(dz) as nz, sum(sqrt(dx*dx+dy*dy+dz*dz)) as path from d where dx is not null group by 1),
+  ce as (select label, median({x}) as a, median({y}) as b, median({z}) as c from p group by 1), ex as (select label, median(sqrt(({x}-a)^2+({y}-b)^2+({z}-c)^2)) as scale from p join ce using (label) group by 1),
+  re as (select p.label, sqrt((p.{x}-mp.{x})^2+(p.{y}-mp.{y})^2+(p.{z}-mp.{z})^2) as off from p join mp using (label, frame)), rm as (select label, median(off) as c from re group by 1), rs as (select label, 1.4826 * median(abs(off - c)) as sigma from re join rm using (label) group by 1),
+  mo as (select label, nx, ny, nz, path, greatest(2 * sigma, {ratio} * scale, 1e-6) as floor from pa join ex using (label) join rs using (label))"""
+    )
+
+
+_OWN_SQL = """, ow as (select mo.*, reason, rx*nx+ry*ny+rz*nz as o1, dx*nx+dy*ny+dz*nz as o2, fx*nx+fy*ny+fz*nz as o3{more} from mo left join ba using (label)),
+  ra as (select ow.label, name, row_number() over (partition by ow.label order by round((o1*lx+o2*ly+o3*lz)/sqrt(lx*lx+ly*ly+lz*lz), 9) desc, l.k) as rn from ow, """ + _LATTICE + """ l),
+  co as (select label, string_agg(c.t, ', ' order by c.s desc, c.k) as components from (select label, unnest([{{'s': round(abs(o1), 6), 'k': 0, 't': printf('%.2f', round(round(abs(o1), 6), 2)) || case when round(o1, 6) >= 0 then ' right' else ' left' end}}, {{'s': round(abs(o2), 6), 'k': 1, 't': printf('%.2f', round(round(abs(o2), 6), 2)) || case when round(o2, 6) >= 0 then ' down' else ' up' end}},
+    {{'s': round(abs(o3), 6), 'k': 2, 't': printf('%.2f', round(round(abs(o3), 6), 2)) || case when round(o3, 6) >= 0 then ' forward' else ' backward' end}}]) as c from ow) group by 1)
+  select label, reason is null as available, reason, case when reason is null then round(o1, 5) end as "right", case when reason is null then round(o2, 5) end as down, case when reason is null then round(o3, 5) end as forward, case when reason is null then round(path, 5) end as path, case when reason is null then round(floor, 6) end as floor,
+    case when reason is null then case when sqrt(o1*o1+o2*o2+o3*o3) > floor then name else 'stationary' end end as direction, case when reason is null then components end as components{out} from ow join ra using (label) left join co using (label) where rn = 1"""
+
+
+@query(
+    poses.IN_FIRST
+    + _motion_sql(XYZ, SUBJECT_FLOOR)
+    + """, us as (select label, min(frame) as pose_frame from c where ok and unique_front group by 1), ax as (select c.label, pose_frame, f0_x as fx, f0_y as fy, f0_z as fz, u0_x as ux, u0_y as uy, u0_z as uz from c join us on us.label = c.label and us.pose_frame = c.frame),
+  dn as (select *, (ux*fx+uy*fy+uz*fz) as al from ax), d1 as (select *, al*fx-ux as ex, al*fy-uy as ey, al*fz-uz as ez from dn), d2 as (select *, sqrt(ex*ex+ey*ey+ez*ez) as en from d1),
+  bb as (select label, pose_frame, fx, fy, fz, ex/en as dx, ey/en as dy, ez/en as dz, (ey*fz-ez*fy)/en as rx, (ez*fx-ex*fz)/en as ry, (ex*fy-ey*fx)/en as rz from d2),
+  ba as (select l.label, pose_frame, fx, fy, fz, dx, dy, dz, rx, ry, rz, case when pose_frame is null then 'no unique front' end as reason from (select distinct label from p) l left join bb using (label))"""
+    + _OWN_SQL.format(more=", pose_frame", out=", pose_frame")
+)
 def traj_subject_own_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _report(tracks(spark, sf_dir), XYZ)
+    """How the subject moved, in the axes of its own first resolved pose; declined where its front is never unique."""
+    rows = poses.poses(spark, sf_dir)
+    faced, (forward, _, up) = poses.in_first(rows)
+    faced = faced.where("ok and unique_front").select("label", "frame", F.array(*forward).alias("f"), F.array(*up).alias("u"))
+    pose = faced.groupBy("label").agg(F.min("frame").alias("pose_frame"), F.min_by("f", "frame").alias("f"), F.min_by("u", "frame").alias("u"))
+    at = lambda c: tuple(F.get(c, F.lit(k)) for k in range(3))
+    pose, basis = poses.kept(pose, "basis", num.facing_basis(at("f"), at("u")))
+    motion = _motion(_smoothed(rows, XYZ), XYZ, SUBJECT_FLOOR).join(pose, "label", "left").withColumn("reason", F.when(F.col("pose_frame").isNull(), "no unique front"))
+    return _framed_report(motion, basis, "pose_frame")
 
 
-@query(_segments(("cx", "cy", "cz")) + _REPORT)
+@query(
+    poses.POSE_SQL
+    + _motion_sql(("cx", "cy", "cz"), CAMERA_FLOOR)
+    + """, an as (select label, first(pan order by frame) as p0, last(pan order by frame) as p1, first(tilt order by frame) as t0, last(tilt order by frame) as t1 from m group by 1),
+  ba as (select l.label, rx, ry, rz, dx, dy, dz, fx, fy, fz, null::varchar as reason, (((p1 - p0 + 180) % 360) + 360) % 360 - 180 as pan, (((t1 - t0 + 180) % 360) + 360) % 360 - 180 as tilt from l join an using (label))"""
+    + _OWN_SQL.format(more=", pan, tilt", out=", case when abs(pan) <= 2 then 'no significant change' when pan > 0 then 'right' else 'left' end as pan_turn, case when abs(tilt) <= 2 then 'no significant change' when tilt > 0 then 'up' else 'down' end as tilt_turn")
+)
 def traj_camera_own_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _report(tracks(spark, sf_dir), ("cx", "cy", "cz"))
+    """How the camera moved, levelled by gravity with its first heading kept, and how it turned."""
+    names = ("cx", "cy", "cz")
+    rows = poses.levelled_angles(poses.poses(spark, sf_dir))
+    basis = [F.array(*(F.col(f"level{i}{j}") for j in range(3))) for i in range(3)]
+    ends = rows.groupBy("label").agg(*(F.min_by(b, "frame").alias(f"b{i}") for i, b in enumerate(basis)), *(f(n, "frame").alias(f"{n}{k}") for n in ("pan", "tilt") for k, f in enumerate((F.min_by, F.max_by))))
+    word = lambda n, plus, minus: (lambda d: F.when(F.abs(d) <= 2, "no significant change").when(d > 0, plus).otherwise(minus))(num.wrapped_difference(f"{n}1", f"{n}0"))
+    motion = _motion(_smoothed(poses.poses(spark, sf_dir), names), names, CAMERA_FLOOR).join(ends, "label").withColumn("reason", F.lit(None).cast("string"))
+    own = tuple(tuple(F.get(f"b{i}", F.lit(j)) for j in range(3)) for i in range(3))
+    return _framed_report(motion, own, word("pan", "right", "left").alias("pan_turn"), word("tilt", "up", "down").alias("tilt_turn"))
+
+
+_SIDES = """, us as (select label, frame, 1/(1+exp(-vis)) > 0.5 and ok and unique_front as good, cx-x as qx, cy-y as qy, cz-z as qz, f0_x as fx, f0_y as fy, f0_z as fz, u0_x as ux, u0_y as uy, u0_z as uz from c),
+  e1 as (select *, (ux*fx+uy*fy+uz*fz) as al from us), e2 as (select *, al*fx-ux as ex, al*fy-uy as ey, al*fz-uz as ez from e1), e3 as (select label, frame, good, degrees(atan2((qx*(ey*fz-ez*fy)+qy*(ez*fx-ex*fz)+qz*(ex*fy-ey*fx))/sqrt(ex*ex+ey*ey+ez*ez), qx*fx+qy*fy+qz*fz)) as bearing from e2),
+  sp as (select *, min(frame) over (partition by label) as lo, max(frame) over (partition by label) as hi from e3 where good), k as (select label, min(frame) as a, arg_min(frame, (abs(frame - (lo + hi) / 2.0), frame)) as m, max(frame) as b from sp group by 1 having min(frame) < max(frame)),
+  h as (select k.label, t.checkpoint, t.fr, bearing, floor((bearing + 45) / 90)::bigint as qi, floor((bearing + 22.5) / 45)::bigint as oi from k, lateral (values ('initial', a, 1), ('midpoint', m, 2), ('final', b, 3)) as t(checkpoint, fr, o) join e3 on e3.label = k.label and e3.frame = t.fr),
+  q as (select *, ['front','right','back','left'][((qi % 4 + 4) % 4) + 1] as quadrant, ['front','front-right','right','back-right','back','back-left','left','front-left'][((oi % 8 + 8) % 8) + 1] as octant, 45 - abs((((bearing - 90 * qi + 180) % 360) + 360) % 360 - 180) as margin from h)"""
+
+
+def _sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The observer's bearing about the subject, in each frame's own facing, at the first, middle and last usable frame."""
+    rows, (forward, _, up) = poses.in_first(poses.poses(spark, sf_dir))
+    rows, (right, _, ahead) = poses.kept(rows, "basis", num.facing_basis(forward, up))
+    apart = tuple(F.col(f"c{c}") - F.col(c) for c in XYZ)
+    rows = rows.select("label", "frame", ((num.sigmoid("vis") > 0.5) & F.col("ok") & F.col("unique_front")).alias("good"), F.degrees(F.atan2(num.dot(apart, right), num.dot(apart, ahead))).alias("bearing"))
+    marks = windows.checkpoints(rows, F.col("good"), "label").selectExpr("label", "stack(3, 'initial', first_frame, 'midpoint', middle_frame, 'final', last_frame) as (checkpoint, frame)")
+    return marks.join(rows, ["label", "frame"])
+
+
+@query(poses.IN_FIRST + _SIDES + " select label, checkpoint, fr as frame, round(bearing, 5) as bearing, quadrant, octant, round(margin, 5) as margin from q")
+def orient_camera_subject_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quadrant, margin = num.quadrant("bearing")
+    return _sides(spark, sf_dir).select("label", "checkpoint", "frame", F.round("bearing", 5).alias("bearing"), quadrant.alias("quadrant"), num.octant("bearing")[0].alias("octant"), F.round(margin, 5).alias("margin"))
 
 
 @query(
-    T
-    + """, u as (select label, frame, degrees(atan2(x, z)) as bearing, 1/(1+exp(-vis)) > 0.5 as ok from t),
-  k as (select label, min(frame) as a, arg_min(frame, (abs(frame - (lo + hi) / 2.0), frame)) as m, max(frame) as b from (select *, min(frame) over (partition by label) as lo, max(frame) over (partition by label) as hi from u where ok) group by 1 having min(frame) < max(frame)),
-  s as (select k.label, c.name as checkpoint, c.f as frame from k, lateral (values ('initial', a), ('midpoint', m), ('final', b)) as c(name, f)),
-  q as (select s.*, bearing, floor((bearing + 45) / 90)::bigint as qi from s join u using (label, frame))
-  select label, checkpoint, frame, round(bearing, 6) as bearing, ['front','right','back','left'][((qi % 4 + 4) % 4) + 1] as sector, round(45 - abs((((bearing - 90 * qi + 180) % 360) + 360) % 360 - 180), 6) as margin from q"""
+    poses.IN_FIRST
+    + _SIDES
+    + """, g as (select label, max(case when checkpoint = 'initial' then quadrant end) as q0, max(case when checkpoint = 'midpoint' then quadrant end) as qm, max(case when checkpoint = 'final' then quadrant end) as q1, count(*) filter (margin < 10) as tight from q group by 1)
+  select l.label, case when g.label is null then 'too few frames have both a trajectory and a resolved facing' when q0 = q1 then 'Overall, the observer remained on the subject''s ' || q0 || ' side.' else 'Overall, the observer moved from the subject''s ' || q0 || ' side to its ' || q1 || '.' end as text,
+    g.label is not null as available, tight from (select distinct label from p) l left join g using (label)"""
 )
-def orient_camera_subject_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The observer's sector about the subject at the first, middle and last visible frame."""
-    rows = tracks(spark, sf_dir).select("label", "frame", F.degrees(F.atan2("x", "z")).alias("bearing"), (num.sigmoid("vis") > 0.5).alias("ok"))
-    marks = windows.checkpoints(rows, F.col("ok"), "label")
-    marks = marks.selectExpr("label", "stack(3, 'initial', first_frame, 'midpoint', middle_frame, 'final', last_frame) as (checkpoint, frame)")
-    sector, margin = num.quadrant("bearing")
-    return marks.join(rows, ["label", "frame"]).select("label", "checkpoint", "frame", F.round("bearing", 6).alias("bearing"), sector.alias("sector"), F.round(margin, 6).alias("margin"))
+def side_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the observer went about the subject, and at how many checkpoints the side is close to a boundary; or why that is not known."""
+    quadrant, margin = num.quadrant("bearing")
+    at = lambda k: F.max(F.when(F.col("checkpoint") == k, quadrant))
+    sides = _sides(spark, sf_dir).groupBy("label").agg(at("initial").alias("q0"), at("final").alias("q1"), F.count_if(margin < 10).alias("tight"))
+    all_ = poses.poses(spark, sf_dir).select("label").distinct().join(sides, "label", "left")
+    moved = F.when(F.col("q0") == F.col("q1"), F.concat(F.lit("Overall, the observer remained on the subject's "), F.col("q0"), F.lit(" side."))).otherwise(F.concat(F.lit("Overall, the observer moved from the subject's "), F.col("q0"), F.lit(" side to its "), F.col("q1"), F.lit(".")))
+    return all_.select("label", F.coalesce(moved, F.lit("too few frames have both a trajectory and a resolved facing")).alias("text"), F.col("q0").isNotNull().alias("available"), "tight")
 
 
 @query(
@@ -125,7 +220,7 @@ def motion_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ends.select("label", F.round("net", 6).alias("net"), F.round("turn", 4).alias("turn"), motion_reading("net", "turn", "df", "af").alias("reading"))
 
 
-BUILDERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (traj_subject_own_frame, traj_camera_own_frame, orient_camera_subject_frame)}
+BUILDERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (traj_subject_own_frame, traj_camera_own_frame, orient_camera_subject_frame)} | {"sub_obs_distance_change": distance_change_report}
 
 
 def build_report(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
