@@ -13,7 +13,7 @@ Defined results.  Null and empty html: empty text.  Scripts, styles, comments an
 Character references are decoded, white space in a block (of any kind) becomes one space, ends
 are trimmed, blocks left empty go; blocks are joined in page order by one newline.  Unclosed and
 stray tags are borne: a head ends at the first element or text that cannot stand in it, and a
-self-closed svg or math is empty.  Pages are read whole.  Repeated rows give equal rows; columns other
+self-closed svg is empty; the text of formulas counts as any other.  Pages are read whole.  Repeated rows give equal rows; columns other
 than page_id, url and html are not read.
 """
 
@@ -43,12 +43,13 @@ class Params:
     seed: int = 5
     threshold: float = 0.5
     batch: int = 64
+    cells: int = 1 << 15
 
 
 # ---- blocks ----
 
 #: Elements whose content is no text of the page.
-RAW = "script|style|noscript|template|svg|iframe|object|textarea|select|title|math"
+RAW = "script|style|noscript|template|svg|iframe|object|textarea|select|title"
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6"
     " header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -61,7 +62,7 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 #: The rest of a self-closed tag; a slash that ends an unquoted value belongs to the value.
 _EMPTY = r"""(?:"[^"]*"|'[^']*'|=\s*+(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*+)|[^"'>=/]|=|/(?!>))*+/>"""
 _TAG = re.compile(
-    rf"""<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])(?:(?:(?<=svg)|(?<=math)){_EMPTY}|[^>]*+>.*?(?:</\1\s*+>|\Z))|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+|[^>]*+)>|<[!?/][^>]*+>""",
+    rf"""<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])(?:(?<=svg){_EMPTY}|[^>]*+>.*?(?:</\1\s*+>|\Z))|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+|[^>]*+)>|<[!?/][^>]*+>""",
     re.S | re.I,
 )
 _NAMES = re.compile(r"""(?i)\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -275,11 +276,14 @@ class Labeller:
         return np.concatenate([right, left], 2)
 
     def probabilities(self, pages: list[np.ndarray]) -> list[np.ndarray]:
-        """Of each block of each page; pages of like length go together."""
+        """Of each block of each page; pages of like length go together, as many as stay under the cells when padded to the longest."""
         out: list[np.ndarray] = [np.zeros(0)] * len(pages)
         order = sorted((k for k, v in enumerate(pages) if len(v)), key=lambda k: len(pages[k]))
-        for at in range(0, len(order), self.p.batch):
-            some = order[at : at + self.p.batch]
+        while order:
+            n = min(self.p.batch, len(order))
+            while n > 1 and n * len(pages[order[n - 1]]) > self.p.cells:
+                n -= 1
+            some, order = order[:n], order[n:]
             x, mask = self.padded([pages[k] for k in some])
             prob = _sigmoid(self._outputs(x, mask) @ self.w + self.w0)
             for col, k in enumerate(some):
