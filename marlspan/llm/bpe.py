@@ -14,8 +14,9 @@ Decoding is a transducer of its own: its state is the bytes of an unfinished UTF
 character, its moves are made per token when first needed, and it yields text
 as soon as characters are whole.
 
-Defined results.  Null is the empty text: no tokens, empty text back.  A
-piece that is itself a token is that token.  Bytes that are no UTF-8 decode to
+Defined results.  Null is the empty text: no tokens, empty text back.  Repeated rows give equal rows, an
+empty table none; very long texts are encoded whole, one at a time; columns other than doc_id and text are not read,
+whatever their names.  A piece that is itself a token is that token.  Bytes that are no UTF-8 decode to
 U+FFFD, one for each maximal bad part.  Vocabulary files are read from their path,
 on the driver, once.
 """

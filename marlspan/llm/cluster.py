@@ -29,12 +29,14 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set, as in tests."""
+    """The folder that driver and executors share; one of our own only where none is set and all run on one machine, as in tests."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         known = found.get() if found.isDefined() else None
     if not known:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         known = "file://" + tempfile.mkdtemp(prefix="marlspan-")
         spark.sparkContext.setCheckpointDir(known)
     return known.rstrip("/")
