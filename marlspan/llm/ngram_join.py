@@ -440,9 +440,12 @@ def _across(docs: DataFrame, sets: DataFrame, shared: DataFrame, found: DataFram
 
 
 def one_of_each(docs: DataFrame, params: Params | None = None) -> DataFrame:
-    """The documents with the smallest doc_id of their component, all columns; rows that repeat a doc_id stay once."""
+    """The documents with the smallest doc_id of their component, all columns; rows that repeat a doc_id and its text stay once.
+
+    Rows of one doc_id with different texts all stay: which of them to drop, their name cannot tell.
+    """
     found = jaccard_components(docs, params)
     gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
     left = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
-    named = left.where("doc_id is not null").dropDuplicates(["doc_id"])
+    named = left.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
     return named.unionByName(left.where("doc_id is null"))
