@@ -1,46 +1,50 @@
-"""Audits: each rule is a condition over rows or a query of violations; all are united."""
+"""Audits: each rule is a condition over rows, which may look along the trace, or over a key's rows; all are judged in one pass."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: (key, step, code) of each violation.
-Rule = Callable[[DataFrame], DataFrame]
+from .contracts import Record
 
 
-def row_rule(code: str, bad: Column, key: str, step: str) -> Rule:
-    """A rule over single rows, which may hold window functions."""
-    return lambda df: df.withColumn("__bad", bad).where("__bad").select(F.col(key).alias("key"), F.col(step).cast("long").alias("step"), F.lit(code).alias("code"))
+@dataclass(frozen=True)
+class Rule:
+    """code: of the violation; bad: a condition of a row, or, if whole, an aggregate condition of a key; null is no violation."""
 
+    code: str
+    bad: Column
+    whole: bool = False
 
-def group_rule(code: str, bad: Column, key: str) -> Rule:
-    """A rule over all rows of a key: an aggregate condition."""
-    return lambda df: df.groupBy(key).agg(bad.alias("__bad")).where("__bad").select(F.col(key).alias("key"), F.lit(None).cast("long").alias("step"), F.lit(code).alias("code"))
 
-
-def violations(df: DataFrame, rules: list[Rule]) -> DataFrame:
-    return reduce(DataFrame.unionByName, (rule(df) for rule in rules))
+def violations(df: DataFrame, rules: list[Rule], key: str, step: str) -> DataFrame:
+    """(key, step, code) of each violation; those of whole keys have no step.  One scan and one sort by key for all row rules, one aggregation for the others."""
+    broken = lambda some: F.array_compact(F.array(*(F.when(F.coalesce(r.bad, F.lit(False)), F.lit(r.code)) for r in some)))
+    by_row, whole = [r for r in rules if not r.whole], [r for r in rules if r.whole]
+    parts = []
+    if by_row:
+        parts.append(df.select(F.col(key).alias("key"), F.col(step).cast("long").alias("step"), broken(by_row).alias("codes")))
+    if whole:
+        parts.append(df.groupBy(F.col(key).alias("key")).agg(broken(whole).alias("codes")).select("key", F.lit(None).cast("long").alias("step"), "codes"))
+    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return out.select("key", "step", F.explode("codes").alias("code"))
 
 
 def conversation_rules() -> list[Rule]:
     """A trace's rules on conversations: steps without gaps, roles in turn, no empty and no repeated text."""
     w = Window.partitionBy("conv_id").orderBy("turn")
-    before = F.lag("role").over(w)
-    start = F.row_number().over(w) == 1
     return [
-        row_rule("turn_gap", F.coalesce(F.col("turn") - F.lag("turn").over(w) != 1, F.lit(False)), "conv_id", "turn"),
-        row_rule("system_not_first", (F.col("role") == "system") & ~start, "conv_id", "turn"),
-        row_rule("role_repeated", F.coalesce(before == F.col("role"), F.lit(False)), "conv_id", "turn"),
-        row_rule("unknown_role", ~F.col("role").isin("system", "user", "assistant"), "conv_id", "turn"),
-        row_rule("empty_text", F.coalesce(F.trim("text"), F.lit("")) == "", "conv_id", "turn"),
-        row_rule("repeated_text", F.row_number().over(Window.partitionBy("conv_id", "text").orderBy("turn")) > 1, "conv_id", "turn"),
-        group_rule("no_user_turn", F.count_if(F.col("role") == "user") == 0, "conv_id"),
-        group_rule("ends_with_user", F.max_by("role", "turn") == "user", "conv_id"),
+        Rule("turn_gap", F.col("turn") - F.lag("turn").over(w) != 1),
+        Rule("system_not_first", (F.col("role") == "system") & (F.row_number().over(w) != 1)),
+        Rule("role_repeated", F.lag("role").over(w) == F.col("role")),
+        Rule("unknown_role", ~F.col("role").isin("system", "user", "assistant")),
+        Rule("empty_text", F.coalesce(F.trim("text"), F.lit("")) == ""),
+        Rule("repeated_text", F.row_number().over(Window.partitionBy("conv_id", "text").orderBy("turn")) > 1),
+        Rule("no_user_turn", F.count_if(F.col("role") == "user") == 0, whole=True),
+        Rule("ends_with_user", F.max_by("role", "turn") == "user", whole=True),
     ]
 
 
@@ -83,36 +87,78 @@ def trace_rules(key: str = "question_id", step: str = "step") -> list[Rule]:
     good_span = (F.col("span_start") >= 0) & (F.col("span_start") < end) & (end <= F.length("raw"))
     rebuilt = F.when(spanned, (effective == F.trim(F.left("raw", end))) & (suffix == F.substring(raw, end + 1, F.length("raw")))).otherwise((effective == raw) & (suffix == ""))
     made = F.collect_list("evidence_id").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    prefix, number = F.regexp_extract("evidence_id", "^(.*)_[0-9]+$", 1), F.regexp_extract("evidence_id", "_([0-9]+)$", 1).cast("long")
-
-    def unknown_evidence(df: DataFrame) -> DataFrame:
-        cited = df.where("status = 'ok'").select(key, step, F.explode("refs").alias("ref"))
-        known = df.where("evidence_id is not null").select(F.col(key).alias("__k"), F.col(step).alias("__s"), F.col("evidence_id").alias("__e"))
-        bad = cited.join(known, (F.col(key) == F.col("__k")) & (F.col("ref") == F.col("__e")) & (F.col("__s") < F.col(step)), "left_anti")
-        return bad.select(F.col(key).alias("key"), F.col(step).cast("long").alias("step"), F.lit("accepted_unknown_evidence").alias("code")).distinct()
-
-    def counter_gap(df: DataFrame) -> DataFrame:
-        ids = df.where("evidence_id is not null").select(key, prefix.alias("p"), number.alias("n")).distinct()
-        gaps = ids.groupBy(key, "p").agg(F.max("n").alias("most"), F.count("*").alias("n")).where("most != n")
-        return gaps.select(F.col(key).alias("key"), F.lit(None).cast("long").alias("step"), F.lit("evidence_counter_gap").alias("code")).distinct()
-
+    # the ids of each kind, each once: as many as the highest number
+    ids = F.collect_set(F.when(F.col("evidence_id").isNotNull(), F.struct(F.regexp_extract("evidence_id", "^(.*)_[0-9]+$", 1).alias("p"), F.regexp_extract("evidence_id", "_([0-9]+)$", 1).cast("long").alias("n"))))
+    alike = lambda e: F.filter(ids, lambda o: o["p"] == e["p"])
+    gap = F.exists(ids, lambda e: F.array_max(F.transform(alike(e), lambda o: o["n"])) != F.size(alike(e)))
     missing = F.lit(False)
     for name in TRACE_FIELDS:
         missing = missing | F.col(name).isNull()
-    rule = lambda code, bad: row_rule(code, F.coalesce(bad, F.lit(False)), key, step)
     return [
-        rule("missing_trace_fields", missing),
-        rule("invalid_boundary_text", ~texts),
-        rule("invalid_action_span", spanned & ~good_span),
-        rule("boundary_reconstruction_mismatch", texts & (~spanned | good_span) & ~rebuilt),
-        rule("missing_action_boundary", ~spanned & raw.contains('{"action"')),
-        rule("parsed_action_without_boundary", ~spanned & F.col("action").isNotNull()),
-        rule("multiple_effective_actions", F.regexp_count("effective", F.lit(r'\{"action"')) > 1),
-        rule("simulated_host_in_effective_history", effective.rlike(HOST_TURN)),
-        unknown_evidence,
-        rule("missing_call_id", (F.col("status") == "ok") & (F.col("action") == "query") & F.col("evidence_id").isNull()),
-        rule("duplicate_evidence_id", F.col("evidence_id").isNotNull() & (F.row_number().over(Window.partitionBy(key, "evidence_id").orderBy(step)) > 1)),
-        rule("rejection_created_evidence", (F.col("status") != "ok") & F.col("evidence_id").isNotNull()),
-        rule("ledger_registry_mismatch", F.col("available") != made),
-        counter_gap,
+        Rule("missing_trace_fields", missing),
+        Rule("invalid_boundary_text", ~texts),
+        Rule("invalid_action_span", spanned & ~good_span),
+        Rule("boundary_reconstruction_mismatch", texts & (~spanned | good_span) & ~rebuilt),
+        Rule("missing_action_boundary", ~spanned & raw.contains('{"action"')),
+        Rule("parsed_action_without_boundary", ~spanned & F.col("action").isNotNull()),
+        Rule("multiple_effective_actions", F.regexp_count("effective", F.lit(r'\{"action"')) > 1),
+        Rule("simulated_host_in_effective_history", effective.rlike(HOST_TURN)),
+        Rule("accepted_unknown_evidence", (F.col("status") == "ok") & (F.size(F.array_except("refs", made)) > 0)),
+        Rule("missing_call_id", (F.col("status") == "ok") & (F.col("action") == "query") & F.col("evidence_id").isNull()),
+        Rule("duplicate_evidence_id", F.col("evidence_id").isNotNull() & (F.row_number().over(Window.partitionBy(key, "evidence_id").orderBy(step)) > 1)),
+        Rule("rejection_created_evidence", (F.col("status") != "ok") & F.col("evidence_id").isNotNull()),
+        Rule("ledger_registry_mismatch", F.col("available") != made),
+        Rule("evidence_counter_gap", gap, whole=True),
+    ]
+
+
+#: What the ledger calls a step of each status, and what a grounding and a query must say of where they come from.
+LEDGER_WORDS = {"ok": "accepted", "rejected": "rejected", "error": "failed"}
+GROUNDING_FIELDS, QUERY_FIELDS = ("model", "clip", "frame"), ("grounding_id", "clip")
+
+
+def call_rules(key: str = "question_id", step: str = "step") -> list[Rule]:
+    """Rules on what the tools of a trace gave.
+
+    Columns: span_text (the action's own text) and parsed (the action that was run), as JSON; status; kind (ground, query, math) of an accepted call;
+    evidence_id that it made; ledger (JSON with last_action and new_id); cache_hit and reuse_of; result and registered (the result as
+    kept elsewhere), provenance, as JSON; first_action (text of the first action in the raw reply).
+    """
+    w = Window.partitionBy(key).orderBy(step)
+    made = F.collect_list("evidence_id").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    span, parsed, ledger, source = (Record(F.col(c)) for c in ("span_text", "parsed", "ledger", "provenance"))
+    name = lambda r: F.coalesce(r.at("$.action", "string"), r.at("$.name", "string"))
+    plain = lambda c: F.to_json(F.try_parse_json(c))  # noqa: E731  one form, so that only contents differ
+    ok, hit, cached = F.col("status") == "ok", F.col("cache_hit"), F.col("reuse_of").isNotNull()
+    word = F.create_map(*(F.lit(x) for kv in LEDGER_WORDS.items() for x in kv))
+    lacks = lambda r, fields: ~_all(r.filled(f"$.{f}") | r.is_number(f"$.{f}") for f in fields)
+    cited = source.at("$.grounding_id", "string")
+    clip = source.at("$.clip", "string")
+    # the clip of the grounding that a query cites
+    clips = F.collect_list(F.when((F.col("kind") == "ground") & F.col("evidence_id").isNotNull(), F.struct(F.col("evidence_id").alias("id"), clip.alias("clip")))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    known = F.get(F.filter(clips, lambda c: c["id"] == cited), F.lit(0))
+    grounded, queried = ok & (F.col("kind") == "ground"), ok & (F.col("kind") == "query")
+    return [
+        Rule("action_span_decode_mismatch", F.col("span_text").isNotNull() & ~span.is_object()),
+        Rule("first_action_boundary_mismatch", F.col("span_text").isNotNull() & (F.col("span_text") != F.col("first_action"))),
+        Rule("parsed_action_mismatch", span.is_object() & ~name(span).eqNullSafe(name(parsed))),
+        Rule("parsed_action_payload_mismatch", span.is_object() & name(span).eqNullSafe(name(parsed)) & ~F.to_json(span.at("$.arguments")).eqNullSafe(F.to_json(parsed.at("$.arguments")))),
+        Rule("invalid_ledger", ~ledger.is_object() | ~ledger.is_string("$.last_action")),
+        Rule("ledger_action_mismatch", ledger.is_string("$.last_action") & (ledger.string("$.last_action") != F.coalesce(F.try_element_at(word, F.col("status")), F.lit("")))),
+        Rule("ledger_new_id_mismatch", ledger.is_object() & ~F.when(ledger.is_string("$.new_id"), ledger.string("$.new_id")).eqNullSafe(F.col("evidence_id"))),
+        Rule("invalid_cache_hit", hit & ((F.col("kind") != "ground") | F.col("kind").isNull())),
+        Rule("invalid_cache_reuse", F.coalesce(hit, F.lit(False)) != cached),
+        Rule("reused_unknown_evidence", cached & (~F.array_contains(made, F.col("reuse_of")) | F.col("evidence_id").isNotNull())),
+        Rule("trace_registry_result_mismatch", F.col("evidence_id").isNotNull() & ~plain(F.col("result")).eqNullSafe(plain(F.col("registered")))),
+        Rule("invalid_grounding_provenance", grounded & lacks(source, GROUNDING_FIELDS)),
+        Rule("invalid_query_provenance", queried & (lacks(source, QUERY_FIELDS) | (known.isNotNull() & (known["clip"] != clip)))),
+        Rule("invalid_failure_provenance", (F.col("status") == "error") & (F.col("kind") == "ground") & ~source.filled("$.model")),
+        Rule("cross_clip_registry", F.countDistinct(F.when(grounded, clip)) > 1, whole=True),
     ]
+
+
+def _all(conditions) -> Column:
+    out = F.lit(True)
+    for c in conditions:
+        out = out & c
+    return out

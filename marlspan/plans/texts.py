@@ -264,7 +264,7 @@ def elapsed_times(spark, sf_dir):
   select conv_id as key, turn as step, code from v"""
 )
 def trace_audit(spark, sf_dir):
-    return audit.violations(table(spark, sf_dir, "conversations"), audit.conversation_rules())
+    return audit.violations(table(spark, sf_dir, "conversations"), audit.conversation_rules(), "conv_id", "turn")
 
 
 @query("with f as (select conv_id, turn, lag(role) over (partition by conv_id order by turn) as p, role from conversations) select conv_id, turn, p as from_event, role as to_event, case when p is null then role in ('system', 'user') when p in ('system', 'assistant') then role = 'user' when p = 'user' then role = 'assistant' else false end as allowed from f")
@@ -375,5 +375,51 @@ def agent_trace_audit(spark, sf_dir):
         "suffix": F.when(~spanned, "").otherwise(F.concat(F.substring("raw", F.col("span_end") + 1, F.length("raw")), F.when(e % 53 == 0, "z").otherwise(""))),
         "available": F.when(e % 59 == 0, F.array(F.lit("query_0"))).otherwise(made),
     })
-    found = audit.violations(rows, audit.trace_rules())
+    found = audit.violations(rows, audit.trace_rules(), "question_id", "step")
     return found.groupBy("code").agg(F.count("*").alias("n"), F.count_distinct("key").alias("questions"))
+
+
+_CALLS = """with e as (select user_id as question_id, event_id, event_type, row_number() over (partition by user_id order by ts, event_id) - 1 as step from events),
+  b as (select *, case event_type when 'click' then 'ground' when 'view' then 'query' else 'math' end as kind, case when event_id % 11 = 0 then 'error' when event_id % 13 = 0 then 'rejected' else 'ok' end as status, sum((event_type = 'click')::int) over (partition by question_id order by step) as k from e),
+  c as (select *, '{"action": "' || kind || '", "arguments": {"n": ' || step || '}}' as act, case when status = 'ok' and kind = 'ground' and event_id % 17 > 0 then 'g_' || k when status = 'ok' and kind <> 'ground' then kind || '_' || step end as evidence_id from b),
+  d as (select *, coalesce(list(evidence_id) filter (evidence_id is not null) over (partition by question_id order by step rows between unbounded preceding and 1 preceding), []) as made,
+    coalesce(list({'id': evidence_id, 'clip': 'c' || (question_id % 7)::varchar || case when event_id % 401 = 0 then 'x' else '' end}) filter (kind = 'ground' and evidence_id is not null) over (partition by question_id order by step rows between unbounded preceding and 1 preceding), []) as clips from c)"""
+
+
+@query(
+    _CALLS
+    + """, v as (select question_id, 'action_span_decode_mismatch' as code from d where event_id % 19 = 0 union all select question_id, 'first_action_boundary_mismatch' from d where event_id % 19 = 0 or event_id % 23 = 0 or (event_id % 29 = 0 and event_id % 23 > 0 and event_id % 19 > 0)
+   union all select question_id, 'parsed_action_mismatch' from d where event_id % 19 > 0 and event_id % 31 = 0 union all select question_id, 'parsed_action_payload_mismatch' from d where event_id % 19 > 0 and event_id % 31 > 0 and event_id % 37 = 0
+   union all select question_id, 'invalid_ledger' from d where event_id % 41 = 0 union all select question_id, 'ledger_action_mismatch' from d where event_id % 41 > 0 and event_id % 43 = 0 union all select question_id, 'ledger_new_id_mismatch' from d where event_id % 41 > 0 and event_id % 47 = 0 and evidence_id is distinct from 'other_1'
+   union all select question_id, 'invalid_cache_hit' from d where event_id % 17 = 0 and kind <> 'ground' union all select question_id, 'invalid_cache_reuse' from d where event_id % 17 = 0 and event_id % 5 = 0
+   union all select question_id, 'reused_unknown_evidence' from d where event_id % 17 = 0 and event_id % 5 > 0 and (not list_contains(made, 'g_1') or evidence_id is not null)
+   union all select question_id, 'trace_registry_result_mismatch' from d where evidence_id is not null and event_id % 53 = 0 union all select question_id, 'invalid_grounding_provenance' from d where status = 'ok' and kind = 'ground' and event_id % 59 = 0
+   union all select question_id, 'invalid_query_provenance' from d where status = 'ok' and kind = 'query' and (event_id % 59 = 0 or coalesce(list_filter(clips, lambda x: x.id = 'g_1')[1].clip <> 'c' || (question_id % 7)::varchar || case when event_id % 401 = 0 then 'x' else '' end, false))
+   union all select question_id, 'invalid_failure_provenance' from d where status = 'error' and kind = 'ground' and (event_id % 61 = 0 or event_id % 59 = 0)
+   union all select question_id, 'cross_clip_registry' from (select question_id, count(distinct event_id % 401 = 0) as n from d where status = 'ok' and kind = 'ground' and event_id % 59 > 0 group by 1) where n > 1)
+  select code, count(*) as n, count(distinct question_id) as questions from v group by 1"""
+)
+def tool_trace_audit(spark, sf_dir):
+    """Violations by rule over what tools gave, with faults of every kind planted by the number of the event."""
+    w = Window.partitionBy("question_id").orderBy("step")
+    e = F.col("event_id")
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("question_id"), "event_id", "ts", "event_type")
+    rows = rows.withColumn("step", (F.row_number().over(Window.partitionBy("question_id").orderBy("ts", "event_id")) - 1).cast("long"))
+    kind = F.when(F.col("event_type") == "click", "ground").when(F.col("event_type") == "view", "query").otherwise("math")
+    rows = rows.withColumns({"kind": kind, "status": F.when(e % 11 == 0, "error").when(e % 13 == 0, "rejected").otherwise("ok"), "k": F.sum((F.col("event_type") == "click").cast("int")).over(w)})
+    own = F.when((F.col("kind") == "ground") & (e % 17 > 0), F.concat(F.lit("g_"), F.col("k").cast("string"))).when(F.col("kind") != "ground", F.concat_ws("_", F.col("kind"), F.col("step").cast("string")))
+    act = lambda name, n: F.concat(F.lit('{"action": "'), name, F.lit('", "arguments": {"n": '), n.cast("string"), F.lit("}}"))
+    right = act(F.col("kind"), F.col("step"))
+    broken = e % 19 == 0
+    clip = F.concat(F.lit("c"), (F.col("question_id") % 7).cast("string"), F.when(e % 401 == 0, "x").otherwise(""))
+    status = F.create_map(*(F.lit(x) for kv in audit.LEDGER_WORDS.items() for x in kv))
+    rows = rows.withColumns({"evidence_id": F.when(F.col("status") == "ok", own), "cache_hit": e % 17 == 0, "reuse_of": F.when((e % 17 == 0) & (e % 5 > 0), "g_1")})
+    rows = rows.withColumns({
+        "span_text": F.when(broken, "{ not json").otherwise(right), "first_action": F.when(broken | (e % 23 == 0) | (e % 29 == 0), F.lit("{}")).otherwise(right),
+        "parsed": F.when(e % 31 == 0, act(F.lit("other"), F.col("step"))).when(e % 37 == 0, act(F.col("kind"), F.col("step") + 1)).otherwise(F.concat(F.lit('{ "arguments": {"n": '), F.col("step").cast("string"), F.lit('}, "action": "'), F.col("kind"), F.lit('"}'))),
+        "ledger": F.when(e % 41 == 0, "[]").otherwise(F.to_json(F.struct(F.when(e % 43 == 0, "lost").otherwise(F.element_at(status, F.col("status"))).alias("last_action"), F.when(e % 47 == 0, "other_1").otherwise(F.col("evidence_id")).alias("new_id")))),
+        "result": F.concat(F.lit('{"a": 1, "b": '), F.col("step").cast("string"), F.lit("}")), "registered": F.concat(F.lit('{"b": '), (F.col("step") + F.when(e % 53 == 0, 1).otherwise(0)).cast("string"), F.lit(', "a": 1}')),
+        "provenance": F.to_json(F.struct(F.when((e % 59 > 0) & ((e % 61 > 0) | (F.col("status") != "error")), "m").alias("model"), F.when(e % 59 > 0, clip).alias("clip"), F.lit(3).alias("frame"), F.when(F.col("kind") == "query", "g_1").alias("grounding_id"))),
+    })
+    found = audit.violations(rows, audit.call_rules(), "question_id", "step")
+    return found.groupBy("code").agg(F.count("*").alias("n"), F.countDistinct("key").alias("questions"))

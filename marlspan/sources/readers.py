@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,12 +17,13 @@ QUESTIONS = T.StructType([T.StructField(n, T.IntegerType() if n == "cate" else T
 
 
 def csv_questions(spark: SparkSession, path: str, datasets: tuple[str, ...] = ()) -> DataFrame:
-    """One row per question of a quoted CSV with its header; `problems` names what a row breaks.
+    """One row per question of quoted CSV files with headers; `problems` names what a row breaks.
 
-    The row index counts from 0 in file order: the file is one partition, as an index over lines needs.
+    The row index counts from 0 within each file: a quoted file is read in one piece, so its rows come in order.
     """
-    raw = spark.read.schema(QUESTIONS).csv(path, header=True, multiLine=True, escape='"').coalesce(1)
-    rows = raw.withColumn("csv_row_index", F.monotonically_increasing_id())
+    raw = spark.read.schema(QUESTIONS).csv(path, header=True, multiLine=True, escape='"')
+    rows = raw.withColumns({"__at": F.monotonically_increasing_id(), "__file": F.col("_metadata.file_path")})
+    rows = rows.withColumn("csv_row_index", F.col("__at") - F.min("__at").over(Window.partitionBy("__file"))).drop("__at", "__file")
     rows = rows.withColumn("dataset", F.substring_index("relative_path", "/", 1)).withColumn("option_map", option_map("options"))
     rules = {
         "options": F.col("option_map").isNull(),
@@ -105,6 +110,31 @@ def markdown_table(spark: SparkSession, path: str, heading: str) -> DataFrame:
     return flat.select("row", "column", F.get("names", F.col("column")).alias("name"), F.when(~text.isin("-", "–", "—", ""), text).alias("text"), F.when(value != "", value.cast("double")).alias("value"), F.col("cell").startswith("**").alias("bold"))
 
 
+def npz_values(spark: SparkSession, path: str, names: tuple[str, ...], chunk: int = 1 << 18) -> DataFrame:
+    """(path, name, index, value): the named arrays of compressed numpy files as long rows; NaN is null, a file without an array has no rows of it."""
+
+    def run(batches):
+        for b in batches:
+            for file, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                with np.load(io.BytesIO(content), allow_pickle=False) as arrays:
+                    for name in [n for n in names if n in arrays]:
+                        flat, shape = arrays[name].astype(np.float64).ravel(), arrays[name].shape
+                        for k in range(0, len(flat), chunk):
+                            part = flat[k : k + chunk]
+                            at = np.stack(np.unravel_index(np.arange(k, k + len(part)), shape), 1) if shape else np.zeros((len(part), 0), np.int64)
+                            index = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * at.shape[1]), pa.array(at.ravel(), pa.int64()))
+                            yield pa.RecordBatch.from_arrays([pa.array([file] * len(part)), pa.array([name] * len(part)), index, pa.array(part, mask=np.isnan(part))], ["path", "name", "index", "value"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(run, "path string, name string, index array<long>, value double")
+
+
+def provenance(spark: SparkSession, path: str) -> DataFrame:
+    """The files of a run with their digests, beside what ran: application, Spark version and when it was asked."""
+    context = spark.sparkContext
+    return file_digests(spark, path).withColumns({"application": F.lit(context.applicationId), "spark_version": F.lit(spark.version), "asked_at": F.current_timestamp()})
+
+
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, sha256) of each file: what provenance records."""
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from html import escape
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -39,10 +41,50 @@ def positional(df: DataFrame, index: str, letter: str, last: int, sentinel: str
     return spine.join(df.select(F.col(index).cast("long").alias(index), letter), index, "left").select(index, F.coalesce(letter, F.lit(sentinel)).alias(letter)).orderBy(index)
 
 
-def markdown(df: DataFrame, most: int = 200) -> str:
-    """A small aggregate as a pipe table; larger ones are cut, with a line that says so."""
+def write_tensors(df: DataFrame, path: str, codec: str = "zstd") -> None:
+    """A long tensor table as compressed Parquet, ordered within its files by its index columns, which then take little room."""
+    order = [c for c, t in df.dtypes if t in ("int", "bigint", "string")]
+    without_nan(df).sortWithinPartitions(*order).write.mode("overwrite").option("compression", codec).parquet(path)
+
+
+def discard(spark: SparkSession, folder: str, keep: tuple[str, ...]) -> list[str]:
+    """Deletes what lies in the folder but for the names to keep, once a run's results are written; the names that went."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    gone = []
+    for status in files.listStatus(root):
+        name = status.getPath().getName()
+        if name not in keep and files.delete(status.getPath(), True):
+            gone.append(name)
+    return sorted(gone)
+
+
+def _cells(df: DataFrame, most: int) -> tuple[list[list[str]], bool]:
+    """The first rows as texts, and whether there are more."""
     rows = df.limit(most + 1).collect()
     text = lambda v: "-" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v)
+    return [list(map(text, r)) for r in rows[:most]], len(rows) > most
+
+
+def markdown(df: DataFrame, most: int = 200) -> str:
+    """A small aggregate as a pipe table; larger ones are cut, with a line that says so."""
+    cells, more = _cells(df, most)
     lines = ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
-    lines += ["| " + " | ".join(map(text, r)) + " |" for r in rows[:most]]
-    return "\n".join(lines + ["(more rows follow)"] * (len(rows) > most))
+    lines += ["| " + " | ".join(r) + " |" for r in cells]
+    return "\n".join(lines + ["(more rows follow)"] * more)
+
+
+def html(df: DataFrame, most: int = 200) -> str:
+    """The same as an HTML table, all texts escaped."""
+    cells, more = _cells(df, most)
+    row = lambda tag, texts: "<tr>" + "".join(f"<{tag}>{escape(t)}</{tag}>" for t in texts) + "</tr>"
+    return "<table>" + row("th", df.columns) + "".join(row("td", r) for r in cells) + "</table>" + "<p>more rows follow</p>" * more
+
+
+def console(df: DataFrame, most: int = 200) -> str:
+    """The same in columns of even width."""
+    cells, more = _cells(df, most)
+    width = [max(map(len, column)) for column in zip(df.columns, *cells)]
+    lines = ["  ".join(t.ljust(w) for t, w in zip(r, width)).rstrip() for r in (df.columns, *cells)]
+    return "\n".join(lines + ["(more rows follow)"] * more)

@@ -64,14 +64,26 @@ def check_protocol(stream: DataFrame, most_steps: int = 28) -> DataFrame:
 
 
 def responder(rows: DataFrame, respond, schema: str) -> DataFrame:
-    """Rows through a model, partition by partition: respond takes and gives pandas frames.
+    """Rows through a model, partition by partition: respond takes and gives pandas frames of the schema; `error` is added.
 
-    Stands where a network or a model would be; tests use a deterministic one.  A row whose
-    response fails carries its error instead of ending the run.
+    Stands where a network or a model would be; tests use a deterministic one.  If it fails on a batch, its rows go one by
+    one, and a row whose response fails carries the error's name instead of ending the run: its other columns are null but
+    for those that it came with.
     """
+    names = [f.name for f in T._parse_datatype_string(schema).fields]
+
+    def one(row: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return respond(row).assign(error=None)
+        except Exception as e:  # noqa: BLE001  the row's outcome
+            return row.reindex(columns=names).assign(error=type(e).__name__)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            yield respond(pdf)
+            try:
+                yield respond(pdf).assign(error=None)
+            except Exception:  # noqa: BLE001  some row of the batch
+                for k in range(len(pdf)):
+                    yield one(pdf.iloc[k : k + 1])
 
-    return rows.mapInPandas(run, schema)
+    return rows.mapInPandas(run, f"{schema}, error string")

@@ -163,7 +163,7 @@ def test_calculator(spark):
 
 def test_state_machine_and_rules(spark):
     df = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "user", "a"), (1, 3, "assistant", "")], "conv_id long, turn long, role string, text string")
-    codes = {(r.step, r.code) for r in audit.violations(df, audit.conversation_rules()).collect()}
+    codes = {(r.step, r.code) for r in audit.violations(df, audit.conversation_rules(), "conv_id", "turn").collect()}
     assert codes == {(1, "role_repeated"), (1, "repeated_text"), (3, "turn_gap"), (3, "empty_text")}
 
 
@@ -248,3 +248,48 @@ def test_subject_keys(spark):
 def test_normal_keys(spark):
     got = [one(spark, tx.normal_key(F.lit(t).cast("string"))) for t in (" A\t B ", "Stra\u00dfe", "\ufb01n\u3000 X", "e\u0301", "\u0130", None)]
     assert got == ["a b", "strasse", "fin x", "\u00e9", "i\u0307", None]
+
+
+# ---- more sources, sinks and runs ----
+
+
+def test_question_files_are_numbered_each_by_itself(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.csv").write_text("relative_path,video_type,cate,question,options,GT,others\n" + "".join(f'{name}/{k}.mp4,0,1,"q, ""{k}""","A: x; B: y",A,\n' for k in range(5)))
+    rows = readers.csv_questions(spark, str(tmp_path)).collect()
+    assert sorted((r.dataset, r.csv_row_index, r.relative_path) for r in rows) == [(n, k, f"{n}/{k}.mp4") for n in "ab" for k in range(5)]
+
+
+def test_tensor_files(spark, tmp_path):
+    np.savez_compressed(tmp_path / "t.npz", xyz=np.arange(6.0).reshape(2, 3), one=np.array([np.nan]), other=np.zeros(2))
+    rows = readers.npz_values(spark, f"{tmp_path}/*.npz", ("xyz", "one", "absent")).collect()
+    assert sorted((r.name, tuple(r["index"]), r.value) for r in rows if r.name == "xyz") == [("xyz", (i, j), float(3 * i + j)) for i in range(2) for j in range(3)]
+    assert [(r["index"], r.value) for r in rows if r.name == "one"] == [([0], None)] and len(rows) == 7
+    table = spark.createDataFrame([(1, 2, float("nan")), (0, 1, 2.0)], "track int, frame int, x double")
+    writers.write_tensors(table, f"{tmp_path}/out")
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect())) == [(0, 1, 2.0), (1, 2, None)]
+
+
+def test_retention_and_provenance(spark, tmp_path):
+    for name in ("frames", "masks", "summary"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.txt").write_text(name)
+    assert writers.discard(spark, str(tmp_path), ("summary",)) == ["frames", "masks"]
+    row = readers.provenance(spark, str(tmp_path / "summary")).first()
+    assert row.length == 7 and row.application and row.spark_version == spark.version
+
+
+def test_reports_of_small_tables(spark):
+    df = spark.createDataFrame([(1, "a<b", 0.5), (2, None, None)], "k int, t string, v double").orderBy("k")
+    assert writers.html(df) == "<table><tr><th>k</th><th>t</th><th>v</th></tr><tr><td>1</td><td>a&lt;b</td><td>0.500</td></tr><tr><td>2</td><td>-</td><td>-</td></tr></table>"
+    assert writers.console(df).split("\n") == ["k  t    v", "1  a<b  0.500", "2  -    -"]
+    assert writers.markdown(df, 1).endswith("(more rows follow)")
+
+
+def test_responses_that_fail_stay_with_their_row(spark):
+    def respond(pdf):
+        return pdf.assign(out=[10 // x for x in pdf["x"]])
+
+    rows = incremental.responder(spark.createDataFrame([(x,) for x in (1, 0, 5)], "x long").coalesce(1), respond, "x long, out long").collect()
+    assert sorted((r.x, r.out, r.error) for r in rows if r.error is None) == [(1, 10, None), (5, 2, None)]
+    assert [(r.x, r.out, r.error) for r in rows if r.error] == [(0, None, "ZeroDivisionError")]
