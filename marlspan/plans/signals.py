@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import robust, windows
 from ..session import table
@@ -89,17 +90,20 @@ def runlength_merge(spark, sf_dir):
 )
 def distance_change_report(spark, sf_dir):
     """The range report: smoothed signal at its first, middle and last usable frame, and what changed beyond the noise."""
-    rows = windows.running_mean(events(spark, sf_dir), "v", "user_id", "smooth").where("v is not null").select("user_id", "frame", "v", "smooth")
-    marks = windows.checkpoints(rows, F.lit(True), "user_id")
-    noise = robust.mad(rows, F.col("v") - F.col("smooth"), "user_id")
-    scale = rows.groupBy("user_id").agg(F.median("smooth").alias("scale"))
-    tolerance = noise.join(scale, "user_id").select("user_id", robust.noise_floor(F.col("sigma"), 0.01 * F.col("scale"), 1e-6).alias("tolerance"))
-    # the three values by one aggregation over the rows, not three joins
-    at = lambda c: F.max(F.when(F.col("frame") == F.col(c), F.col("smooth")))
+    rows = windows.running_mean(events(spark, sf_dir), "v", "user_id", "smooth").where("v is not null").select("user_id", "frame", "smooth", (F.col("v") - F.col("smooth")).alias("off"))
+    # what the measures are taken about comes from windows over the user, so that one exchange and one grouping do for all of them
+    user = Window.partitionBy("user_id")
+    rows = rows.withColumns({"middle": (F.min("frame").over(user) + F.max("frame").over(user)) / 2, "center": F.percentile("off", 0.5).over(user)})
+    nearest = F.struct(F.abs(F.col("frame") - F.col("middle")), "frame")
+    values = rows.groupBy("user_id").agg(
+        F.min("frame").alias("first_frame"), F.min_by("frame", nearest).alias("middle_frame"), F.max("frame").alias("last_frame"),
+        F.min_by("smooth", "frame").alias("d0"), F.min_by("smooth", nearest).alias("dm"), F.max_by("smooth", "frame").alias("d1"),
+        (robust.MAD_SIGMA * F.median(F.abs(F.col("off") - F.col("center")))).alias("sigma"), F.median("smooth").alias("scale"),
+    ).where("first_frame < last_frame")
+    values = values.withColumn("tolerance", robust.noise_floor(F.col("sigma"), 0.01 * F.col("scale"), 1e-6))
     frames = ["first_frame", "middle_frame", "last_frame"]
-    values = rows.join(marks, "user_id").groupBy("user_id", *frames).agg(at("first_frame").alias("d0"), at("middle_frame").alias("dm"), at("last_frame").alias("d1"))
     trend = lambda a, b: F.when(F.col(b) - F.col(a) > F.col("tolerance"), "grew").when(F.col(b) - F.col(a) < -F.col("tolerance"), "shrank").otherwise("same")
-    return values.join(tolerance, "user_id").select(
+    return values.select(
         "user_id", *frames, F.round("tolerance", 6).alias("tolerance"), F.round("d0", 6).alias("d_initial"), F.round("dm", 6).alias("d_midpoint"), F.round("d1", 6).alias("d_final"),
         trend("d0", "dm").alias("trend_midpoint"), trend("dm", "d1").alias("trend_final"),
     )
