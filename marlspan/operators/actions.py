@@ -7,9 +7,12 @@ import json
 import math
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
 
 def decoded(text: str | None) -> Iterator[tuple[object, int, int]]:
     """(value, start, end) of the JSON values that begin with a brace, from every brace on."""
@@ -57,10 +60,19 @@ def numbers_of(text: str | None) -> list[float] | None:
 ACTION = T.StructType([T.StructField("value", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 
 
+def _each(work, kind: T.DataType, text: Column | str) -> Column:
+    """A function of one text, for what only a parser can tell, on Arrow batches."""
+    arrow = to_arrow_type(kind)
+
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([work(t) for t in texts.to_pylist()], arrow)
+
+    return F.arrow_udf(run, kind)(text)
+
+
 def actions(text: Column | str) -> Column:
     """All actions of a text, in order: value, start, end."""
-    run = lambda texts: texts.map(lambda t: [{"value": v, "start": a, "end": b} for v, a, b in json_objects(t)])
-    return F.pandas_udf(run, T.ArrayType(ACTION), F.PandasUDFType.SCALAR)(text)
+    return _each(lambda t: [{"value": v, "start": a, "end": b} for v, a, b in json_objects(t)], T.ArrayType(ACTION), text)
 
 
 def first_action(text: Column | str) -> Column:
@@ -69,11 +81,11 @@ def first_action(text: Column | str) -> Column:
 
 
 def strict_field(text: Column | str, field: str) -> Column:
-    return F.pandas_udf(lambda texts: texts.map(lambda t: only_field(t, field)), T.StringType(), F.PandasUDFType.SCALAR)(text)
+    return _each(lambda t: only_field(t, field), T.StringType(), text)
 
 
 def finite_numbers(text: Column | str) -> Column:
-    return F.pandas_udf(lambda texts: texts.map(numbers_of), T.ArrayType(T.DoubleType()), F.PandasUDFType.SCALAR)(text)
+    return _each(numbers_of, T.ArrayType(T.DoubleType()), text)
 
 
 # ---- the calculator ----

@@ -76,7 +76,7 @@ def census(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "source", "lang").orderBy("source", "doc_id")
 
 
-@query("with o as (select user_id, event_type, min((epoch_us(ts), event_id)) as first from events group by 1, 2) select user_id, string_agg(event_type, ',' order by first) as types from o group by 1".replace("min((epoch_us(ts), event_id))", "min({'t': ts, 'e': event_id})"))
+@query("with o as (select user_id, event_type, min({'t': ts, 'e': event_id}) as first from events group by 1, 2) select user_id, string_agg(event_type, ',' order by first) as types from o group by 1")
 def ordered_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's kinds of event, in the order in which they first came."""
     first = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.min(F.struct("ts", "event_id")).alias("first"))

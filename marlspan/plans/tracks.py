@@ -208,9 +208,9 @@ def mask_centroids(spark, sf_dir):
 
 @query(
     T
-    + """, s as (select label, frame, sqrt((x-cx)^2+(y-cy)^2+(z-cz)^2) as score from t), o as (select label, list((score, frame) order by score desc, frame) as l from s group by 1),
+    + """, s as (select label, frame, sqrt((x-cx)^2+(y-cy)^2+(z-cz)^2) as score from t), o as (select label, list({'score': score, 'frame': frame} order by score desc, frame) as l from s group by 1),
   a as (select label, l[1].frame as p1, l from o), b as (select *, list_filter(l, lambda e: abs(e.frame - p1) >= 5)[1].frame as p2 from a), c as (select *, list_filter(l, lambda e: abs(e.frame - p1) >= 5 and abs(e.frame - p2) >= 5)[1].frame as p3 from b)
-  select label, p1 as first_frame, p2 as second_frame, p3 as third_frame from c""".replace("(score, frame)", "{'score': score, 'frame': frame}")
+  select label, p1 as first_frame, p2 as second_frame, p3 as third_frame from c"""
 )
 def separated_topk(spark, sf_dir):
     """Best frames first, each at least five from those chosen: a fold over the frames in order of score."""
