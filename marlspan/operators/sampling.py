@@ -87,3 +87,19 @@ def balanced_seed(df: DataFrame, label: str, key: str, size: int, bounds: dict[s
         if found is not None:
             break
     return df.sparkSession.range(1).select(F.lit(found).cast("long").alias("seed"))
+
+
+def ordered_index(df: DataFrame, first: str, *ties: str, out: str = "index", buckets: int = 64) -> DataFrame:
+    """The rows with their place in the order of a number and then of the others, from 0.
+
+    No task sees all rows: approximate quantiles cut the order into buckets, rows are numbered within theirs, and the
+    counts of the buckets before are added.
+    """
+    bounds = sorted(set(df.approxQuantile(first, [k / buckets for k in range(1, buckets)], 0.001)))
+    bucket = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(first))) if bounds else F.lit(0)
+    rows = df.withColumn("__bucket", bucket)
+    rows = rows.withColumn("__in", F.row_number().over(Window.partitionBy("__bucket").orderBy(first, *ties)))
+    counts = rows.groupBy("__bucket").agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row a bucket
+    counts = counts.select("__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    return rows.join(F.broadcast(counts), "__bucket").withColumn(out, (F.col("__before") + F.col("__in") - 1).cast("long")).drop("__bucket", "__in", "__before")

@@ -305,3 +305,27 @@ def cell_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.cell_rows(table(spark, sf_dir, "documents"), ["lang"], "source", 5, "doc_id").select("doc_id", "lang", "source")
 
 
+
+
+@query('select doc_id, row_number() over (order by n_chars, doc_id) - 1 as "index", (row_number() over (order by n_chars, doc_id) - 1) % 4 as shard from documents')
+def order_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards by place in the selected order, as a run is split over workers."""
+    rows = sampling.ordered_index(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id")
+    return rows.select("doc_id", "index", (F.col("index") % 4).alias("shard"))
+
+
+@query(
+    _ENTRY
+    + """, a as (select p_partkey, list_sort(map_keys(options)) as l from e), d as (select cate, count(*) as n, min(dataset) as example from e group by 1), g as (select string_agg('task ' || cate || ' as in ' || example, chr(10) order by cate) as glossary, string_agg(cate::varchar, ',' order by cate) || ',OTHER' as tasks from d)
+  select p_partkey, array_to_string(list_append(l, 'UNMAPPABLE'), ',') as choices, tasks, length(glossary)::bigint as glossary_chars from a, g"""
+)
+def answer_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a reply may be: a row's own letters and a sentinel, the fixed tasks and OTHER, and the glossary of the tasks without what is scored."""
+    rows = entries(spark, sf_dir)
+    tasks = rows.groupBy("cate").agg(F.min("dataset").alias("example"))
+    listed = F.array_sort(F.collect_list(F.struct("cate", "example")))
+    line = lambda t: F.concat(F.lit("task "), t["cate"].cast("string"), F.lit(" as in "), t["example"])
+    whole = tasks.agg(listed.alias("l")).select(F.array_join(F.transform("l", line), "\n").alias("glossary"), F.concat(F.array_join(F.transform("l", lambda t: t["cate"].cast("string")), ","), F.lit(",OTHER")).alias("tasks"))
+    choices = F.array_join(F.array_append(F.array_sort(F.map_keys("options")), F.lit("UNMAPPABLE")), ",")
+    out = rows.select("p_partkey", choices.alias("choices")).crossJoin(F.broadcast(whole))  # one row
+    return out.select("p_partkey", "choices", "tasks", F.length("glossary").cast("long").alias("glossary_chars"))
