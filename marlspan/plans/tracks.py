@@ -255,12 +255,24 @@ def plane_up(spark, sf_dir):
     return out.select("label", F.col("up").isNotNull().alias("found"), F.round("share", 4).alias("share"))
 
 
-@query()
+@query(
+    T.replace("with t as", "with recursive t as", 1)
+    + """, w as (select label, 0 as i, median(x) as x, median(y) as y, median(z) as z from t group by 1 union all
+    select label, i + 1, sum(px / d) / sum(1 / d), sum(py / d) / sum(1 / d), sum(pz / d) / sum(1 / d) from (select w.label, i, t.x as px, t.y as py, t.z as pz, greatest(sqrt((t.x-w.x)^2+(t.y-w.y)^2+(t.z-w.z)^2), 1e-9) as d from w join t using (label) where i < 64) group by 1, 2)
+  select label, round(x, 5) as x, round(y, 5) as y, round(z, 5) as z from w where i = 64"""
+)
 def weiszfeld(spark, sf_dir):
+    """The point of least summed distance of each track, by repeated weighting; in SQL by as many rounds of a recursion."""
     out = robust.geometric_medians(tracks(spark, sf_dir), list(XYZ), "label")
     return out.select("label", *(F.round(c, 5).alias(c) for c in XYZ))
 
 
-@query()
+@query(
+    T.replace("with t as", "with recursive t as", 1)
+    + """, m as (select label, avg(x) as ax, avg(y) as ay, avg(z) as az from t group by 1), o as (select label, arg_min(vec_id, {'d': sqrt((x-ax)^2+(y-ay)^2+(z-az)^2), 'v': vec_id}) as vec_id from t join m using (label) group by 1),
+  f as (select label, 0 as pick, vec_id, [{'x': x, 'y': y, 'z': z}] as l from o join t using (label, vec_id) union all
+    select label, pick + 1, arg_max(vec_id, k), list_append(any_value(l), arg_max({'x': x, 'y': y, 'z': z}, k)) from (select f.label, pick, l, t.vec_id, t.x, t.y, t.z, {'d': list_min(list_transform(l, lambda c: sqrt((t.x-c.x)^2+(t.y-c.y)^2+(t.z-c.z)^2))), 'v': -t.vec_id} as k from f join t using (label) where pick < 4) group by 1, 2)
+  select label, vec_id, pick::bigint as pick from f"""
+)
 def farthest_points(spark, sf_dir):
     return robust.farthest(tracks(spark, sf_dir), list(XYZ), "label", "vec_id", 5)
