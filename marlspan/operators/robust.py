@@ -22,6 +22,47 @@ def mad(df: DataFrame, value: Column | str, *keys: str) -> DataFrame:
     return out
 
 
+def few_quantiles(df: DataFrame, value: Column | str, probabilities: tuple[float, ...], key: str, accuracy: int = 10_000) -> DataFrame:
+    """(key, q0, q1, ..., n): exact interpolated quantiles where keys are few and their rows are many.
+
+    F.percentile holds every distinct value of a key in one buffer.  Here mergeable sketches of bounded size bracket each quantile
+    first: its rank is off by n / accuracy at most, and the bracket is three times as wide on either side.  Then the rows below are
+    counted, and only those within, a few in ten thousand, are put in order.  The brackets, one row a key, are broadcast.
+    """
+    value = F.col(value) if isinstance(value, str) else value
+    rows = df.select(key, value.cast("double").alias("__v")).where(F.col("__v").isNotNull())
+    off = 3.0 / accuracy
+    sketch = lambda sign: F.percentile_approx("__v", F.array(*(F.lit(min(1.0, max(0.0, p + sign * off))) for p in probabilities)), F.lit(accuracy))
+    same = F.col(key).eqNullSafe(F.col("__k"))
+    brackets = rows.groupBy(F.col(key).alias("__k")).agg(F.count("*").alias("n"), sketch(-1).alias("low"), sketch(1).alias("high"))
+    # a key of fewer rows than tell the places apart is put in order whole
+    wide = lambda c, end: F.when(F.col("n") < 4 * accuracy, F.array_repeat(F.lit(float(end)), len(probabilities))).otherwise(F.col(c)).alias(c)
+    brackets = brackets.select("__k", "n", wide("low", "-inf"), wide("high", "inf"))
+    met = rows.join(F.broadcast(brackets), same).drop("__k")
+    at = range(len(probabilities))
+    below = met.groupBy(F.col(key).alias("__k")).agg(F.first("n").alias("n"), *(F.count_if(F.col("__v") < F.col("low")[i]).alias(f"b{i}") for i in at))
+    within = F.filter(F.array(*map(F.lit, at)), lambda i: F.col("__v").between(F.get("low", i), F.get("high", i)))
+    inside = met.select(key, "__v", F.explode(within).alias("__i"))
+    inside = inside.withColumn("__r", F.row_number().over(Window.partitionBy(key, "__i").orderBy("__v")) - 1)
+    joined = inside.join(F.broadcast(below), same)
+    place = F.col("__r") + F.element_at(F.array(*(F.col(f"b{i}") for i in at)), F.col("__i") + 1)
+    target = F.element_at(F.array(*map(F.lit, probabilities)), F.col("__i") + 1) * (F.col("n") - 1)
+    # the two places about the target
+    near = joined.select(key, "n", "__i", "__v", (place - F.floor(target)).alias("__d"), (target - F.floor(target)).alias("__part")).where("__d in (0, 1)")
+    pick = lambda i, d: F.max(F.when((F.col("__i") == i) & (F.col("__d") == d), F.col("__v")))
+    part = lambda i: F.max(F.when(F.col("__i") == i, F.col("__part")))
+    line = lambda i: pick(i, 0) + F.coalesce((pick(i, 1) - pick(i, 0)) * part(i), F.lit(0.0))
+    return near.groupBy(key).agg(*(line(i).alias(f"q{i}") for i in at), F.first("n").alias("n"))
+
+
+def few_mad(df: DataFrame, value: str, key: str) -> DataFrame:
+    """mad() by few_quantiles()."""
+    center = few_quantiles(df, value, (0.5,), key).select(F.col(key).alias("__k"), F.col("q0").alias("center"))
+    off = df.join(F.broadcast(center), F.col(key).eqNullSafe(F.col("__k")))
+    spread = few_quantiles(off, F.abs(F.col(value) - F.col("center")), (0.5,), key)
+    return spread.join(F.broadcast(center), F.col(key).eqNullSafe(F.col("__k"))).select(spread[key], "center", (MAD_SIGMA * F.col("q0")).alias("sigma"), "n")
+
+
 def noise_floor(sigma: Column, *floors: Column | float) -> Column:
     """Twice the sigma, but none of the floors less."""
     return F.greatest(2 * F.coalesce(sigma, F.lit(0.0)), *(f if isinstance(f, Column) else F.lit(f) for f in floors))

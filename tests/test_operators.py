@@ -293,3 +293,18 @@ def test_responses_that_fail_stay_with_their_row(spark):
     rows = incremental.responder(spark.createDataFrame([(x,) for x in (1, 0, 5)], "x long").coalesce(1), respond, "x long, out long").collect()
     assert sorted((r.x, r.out, r.error) for r in rows if r.error is None) == [(1, 10, None), (5, 2, None)]
     assert [(r.x, r.out, r.error) for r in rows if r.error] == [(0, None, "ZeroDivisionError")]
+
+
+@pytest.mark.parametrize("accuracy", [20, 10_000])
+def test_quantiles_of_few_keys(spark, accuracy):
+    """Against numpy, with ties, one value, a null key and brackets so narrow that most rows lie outside."""
+    rng = np.random.default_rng(2)
+    groups = {"a": rng.normal(size=4001), "b": np.repeat([1.0, 2.0, 5.0], [10, 300, 7]), "c": np.array([3.5]), None: rng.integers(0, 9, 500).astype(float), "d": np.array([1.0, 2.0])}
+    rows = [(k, float(v)) for k, vs in groups.items() for v in vs] + [("a", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(7)
+    got = {r.k: (r.q0, r.q1, r.q2, r.n) for r in robust.few_quantiles(df, "v", (0.5, 0.9, 0.013), "k", accuracy).collect()}
+    assert got.keys() == groups.keys()
+    for k, vs in groups.items():
+        assert np.allclose(got[k][:3], np.quantile(vs, [0.5, 0.9, 0.013])) and got[k][3] == len(vs)
+    mads = {r.k: (r.center, r.sigma) for r in robust.few_mad(df.where("v is not null"), "v", "k").collect()}
+    assert all(np.allclose(mads[k], (np.median(vs), 1.4826 * np.median(np.abs(vs - np.median(vs))))) for k, vs in groups.items())
