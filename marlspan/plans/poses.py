@@ -38,6 +38,27 @@ def camera_matrix(rows: DataFrame) -> tuple[DataFrame, tuple[num.Vector, ...]]:
     return kept(rows, "turn", num.rotation(axis, F.col("turn")))
 
 
+def facing_basis(rows: DataFrame, name: str, forward: num.Vector, up: num.Vector) -> tuple[DataFrame, tuple[num.Vector, ...]]:
+    """num.facing_basis(), step by step: written as one expression it would repeat each step in every use."""
+    rows, (ahead,) = kept(rows, f"{name}_f", (num.unit(forward),))
+    along = num.dot(up, ahead)
+    rows, (across,) = kept(rows, f"{name}_a", (tuple(along * f - u for u, f in zip(up, ahead)),))
+    rows, (down,) = kept(rows, f"{name}_d", (num.unit(across),))
+    rows, (side,) = kept(rows, f"{name}_s", (num.cross(down, ahead),))
+    rows, (right,) = kept(rows, f"{name}_r", (num.unit(side),))
+    return kept(rows, name, (right, num.cross(ahead, right), ahead))
+
+
+def level_basis(rows: DataFrame, name: str, up: num.Vector, heading: num.Vector) -> tuple[DataFrame, tuple[num.Vector, ...]]:
+    """num.level_basis(), step by step."""
+    rows, (top,) = kept(rows, f"{name}_u", (num.unit(up),))
+    along = num.dot(heading, top)
+    rows, (flat,) = kept(rows, f"{name}_h", (tuple(h - along * u for h, u in zip(heading, top)),))
+    rows, (ahead,) = kept(rows, f"{name}_f", (num.unit(flat),))
+    down = tuple(-u for u in top)
+    return kept(rows, name, (num.cross(down, ahead), down, ahead))
+
+
 def axes(rows: DataFrame) -> tuple[DataFrame, tuple[num.Vector, ...]]:
     """Forward, lateral and up as seen."""
     return kept(rows, "axes", num.viewpoint_axes(F.col("az"), F.col("el"), F.col("ro")))
@@ -137,7 +158,7 @@ def levelled_angles(rows: DataFrame) -> DataFrame:
     """pan, tilt and roll of each frame about gravity, here the clip's first upward vector; the heading is the first camera's."""
     first = lambda c: F.first(c).over(windows._by("label").rowsBetween(-(2**63), 2**63 - 1))
     rows = rows.withColumns({f"up_{c}": first(c) for c in "xyz"})
-    rows, level = kept(rows, "level", num.level_basis(tuple(F.col(f"up_{c}") for c in "xyz"), (F.lit(0.0), F.lit(0.0), F.lit(1.0))))
+    rows, level = level_basis(rows, "level", tuple(F.col(f"up_{c}") for c in "xyz"), (F.lit(0.0), F.lit(0.0), F.lit(1.0)))
     rows, matrix = camera_matrix(rows)
     rows, turned = kept(rows, "levelled", num.product(level, matrix))
     return rows.withColumns(dict(zip(("pan", "tilt", "roll"), num.pose_angles(turned))))

@@ -88,27 +88,59 @@ _OWN_SQL = """, ow as (select mo.*, reason, rx*nx+ry*ny+rz*nz as o1, dx*nx+dy*ny
     case when reason is null then case when sqrt(o1*o1+o2*o2+o3*o3) > floor then name else 'stationary' end end as direction, case when reason is null then components end as components{out} from ow join ra using (label) left join co using (label) where rn = 1"""
 
 
-@query(
-    poses.IN_FIRST
-    + _motion_sql(XYZ, SUBJECT_FLOOR)
-    + """, us as (select label, min(frame) as pose_frame from c where ok and unique_front group by 1), ax as (select c.label, pose_frame, f0_x as fx, f0_y as fy, f0_z as fz, u0_x as ux, u0_y as uy, u0_z as uz from c join us on us.label = c.label and us.pose_frame = c.frame),
+_POSE_SQL = """, us as (select label, min(frame) as pose_frame from c where ok and unique_front group by 1), ax as (select c.label, pose_frame, f0_x as fx, f0_y as fy, f0_z as fz, u0_x as ux, u0_y as uy, u0_z as uz from c join us on us.label = c.label and us.pose_frame = c.frame),
   dn as (select *, (ux*fx+uy*fy+uz*fz) as al from ax), d1 as (select *, al*fx-ux as ex, al*fy-uy as ey, al*fz-uz as ez from dn), d2 as (select *, sqrt(ex*ex+ey*ey+ez*ez) as en from d1),
   bb as (select label, pose_frame, fx, fy, fz, ex/en as dx, ey/en as dy, ez/en as dz, (ey*fz-ez*fy)/en as rx, (ez*fx-ex*fz)/en as ry, (ex*fy-ey*fx)/en as rz from d2),
   ba as (select l.label, pose_frame, fx, fy, fz, dx, dy, dz, rx, ry, rz, case when pose_frame is null then 'no unique front' end as reason from (select distinct label from p) l left join bb using (label))"""
+
+
+def _first_pose(rows: DataFrame) -> tuple[DataFrame, tuple[num.Vector, ...]]:
+    """(label, pose_frame, ...) and the subject's axes in the first frame where its front is unique."""
+    faced, (forward, _, up) = poses.in_first(rows)
+    faced = faced.where("ok and unique_front").select("label", "frame", F.array(*forward).alias("f"), F.array(*up).alias("u"))
+    pose = faced.groupBy("label").agg(F.min("frame").alias("pose_frame"), F.min_by("f", "frame").alias("f"), F.min_by("u", "frame").alias("u"))
+    at = lambda c: tuple(F.get(c, F.lit(k)) for k in range(3))
+    return poses.facing_basis(pose, "basis", at("f"), at("u"))
+
+
+@query(
+    poses.IN_FIRST
+    + _motion_sql(XYZ, SUBJECT_FLOOR)
+    + _POSE_SQL
     + _OWN_SQL.format(more=", pose_frame", out=", pose_frame")
 )
 def traj_subject_own_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the subject moved, in the axes of its own first resolved pose; declined where its front is never unique."""
     rows = poses.poses(spark, sf_dir)
-    faced, (forward, _, up) = poses.in_first(rows)
-    faced = faced.where("ok and unique_front").select("label", "frame", F.array(*forward).alias("f"), F.array(*up).alias("u"))
-    pose = faced.groupBy("label").agg(F.min("frame").alias("pose_frame"), F.min_by("f", "frame").alias("f"), F.min_by("u", "frame").alias("u"))
-    at = lambda c: tuple(F.get(c, F.lit(k)) for k in range(3))
-    pose, basis = poses.kept(pose, "basis", num.facing_basis(at("f"), at("u")))
+    pose, basis = _first_pose(rows)
     motion = _motion(_smoothed(rows, XYZ), XYZ, SUBJECT_FLOOR).join(pose, "label", "left").withColumn("reason", F.when(F.col("pose_frame").isNull(), "no unique front"))
     return _framed_report(motion, basis, "pose_frame")
 
 
+@query(
+    poses.IN_FIRST
+    + _motion_sql(XYZ, SUBJECT_FLOOR)
+    + _POSE_SQL
+    + """, ow as (select d.label, k, rx*d.dx+ry*d.dy+rz*d.dz as o1, ba.dx*d.dx+ba.dy*d.dy+ba.dz*d.dz as o2, fx*d.dx+fy*d.dy+fz*d.dz as o3 from d join ba using (label) where d.dx is not null and pose_frame is not null),
+  sg as (select ow.label, ow.k, name, sqrt(o1*o1+o2*o2+o3*o3) as distance, row_number() over (partition by ow.label, ow.k order by round((o1*lx+o2*ly+o3*lz)/sqrt(lx*lx+ly*ly+lz*lz), 9) desc, l.k) as rn from ow, """
+    + _LATTICE
+    + """ l), ch as (select *, (name is distinct from lag(name) over (partition by label order by k))::int as c from sg where rn = 1), rr as (select *, sum(c) over (partition by label order by k) as run from ch)
+  select label, run::bigint as run, name as direction, count(*) as segments, round(sum(distance), 5) as distance, min(k)::bigint as first_segment from rr group by 1, 2, 3"""
+)
+def subject_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subject's ten even stretches of time as runs of one direction in its own axes."""
+    rows = poses.poses(spark, sf_dir)
+    pose, basis = _first_pose(rows)
+    names = tuple(f"s{c}" for c in XYZ)
+    parts = windows.uniform_segments(_smoothed(rows, XYZ), names, "label", 10)
+    w = windows._by("label", "segment")
+    steps = parts.withColumns({f"d{c}": F.lead(c).over(w) - F.col(c) for c in names}).where(f"d{names[0]} is not null").join(pose, "label")
+    steps, (own,) = poses.kept(steps, "own", (tuple(num.dot(tuple(F.col(f"d{c}") for c in names), v) for v in basis),))
+    steps = steps.select("label", F.col("segment").alias("frame"), num.direction(own).alias("direction"), num.norm(own).alias("distance"))
+    runs = windows.run_lengths(steps, "direction", "label", "distance")
+    return runs.select("label", "run", "direction", F.col("n").alias("segments"), F.round("sum_distance", 5).alias("distance"), F.col("start_frame").alias("first_segment"))
+
+
 @query(
     poses.POSE_SQL
     + _motion_sql(("cx", "cy", "cz"), CAMERA_FLOOR)
@@ -138,7 +170,7 @@ _SIDES = """, us as (select label, frame, 1/(1+exp(-vis)) > 0.5 and ok and uniqu
 def _sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The observer's bearing about the subject, in each frame's own facing, at the first, middle and last usable frame."""
     rows, (forward, _, up) = poses.in_first(poses.poses(spark, sf_dir))
-    rows, (right, _, ahead) = poses.kept(rows, "basis", num.facing_basis(forward, up))
+    rows, (right, _, ahead) = poses.facing_basis(rows, "basis", forward, up)
     apart = tuple(F.col(f"c{c}") - F.col(c) for c in XYZ)
     rows = rows.select("label", "frame", ((num.sigmoid("vis") > 0.5) & F.col("ok") & F.col("unique_front")).alias("good"), F.degrees(F.atan2(num.dot(apart, right), num.dot(apart, ahead))).alias("bearing"))
     marks = windows.checkpoints(rows, F.col("good"), "label").selectExpr("label", "stack(3, 'initial', first_frame, 'midpoint', middle_frame, 'final', last_frame) as (checkpoint, frame)")
