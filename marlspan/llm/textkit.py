@@ -132,6 +132,12 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix((sums[end] - sums[start]) * _power(len(sums), inverse=True)[start])
 
 
+def span_hash_without(sums: np.ndarray, start: np.ndarray, end: np.ndarray, gap: np.ndarray, gap_end: np.ndarray) -> np.ndarray:
+    """span_hash() of what is left of each span without the bytes from gap to gap_end."""
+    back = _power(len(sums), inverse=True)
+    return mix((sums[gap] - sums[start] + (sums[end] - sums[gap_end]) * back[gap_end - gap]) * back[start])
+
+
 def sequence_sums(values: np.ndarray) -> np.ndarray:
     """Prefix sums from which sequence_hash() takes hashes of runs of values."""
     out = np.zeros(len(values) + 1, np.uint64)
