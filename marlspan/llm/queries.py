@@ -5,10 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html_extract, lattice_lm, ngram_join, pii, quality, secret_scan, spelling, substring_dedup, toxicity
+from . import bpe, decontaminate, html_extract, lattice_lm, ngram_join, pii, quality, secret_scan, simhash, spelling, substring_dedup, token_align, toxicity
 from .cluster import table
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
+BYTE_LEVEL = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
 
 
@@ -56,6 +57,14 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.align(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_LEVEL), public_tokenizers.path(PIECES))
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_html_extract": op2_html_extract,
@@ -68,4 +77,6 @@ QUERIES = {
     "op9_secret_scan": op9_secret_scan,
     "op10_toxicity": op10_toxicity,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_simhash": op12_simhash,
+    "op13_token_alignment": op13_token_alignment,
 }
