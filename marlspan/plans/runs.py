@@ -10,6 +10,7 @@ from ..functions import numeric as num
 from ..functions import text as tx
 from ..operators import evidence, programs, sampling, stages
 from ..session import table
+from ..streaming import stateful
 from .registry import query
 from .tracks import T, XYZ, tracks
 
@@ -297,6 +298,20 @@ def cached_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stages.once_per_key(rows, "key", lambda d: d.withColumn("measure", F.left(F.sha2(F.col("key"), 256), F.lit(12)))).select("event_id", "measure", "uses")
 
 
+@query(
+    """with r as (select user_id, event_id, event_type || '/' || (props->>'k')::bigint % 2 as request from events),
+  p as (select *, max(event_id) over (partition by user_id, request order by event_id rows between unbounded preceding and 1 preceding) as before from r),
+  u as (select p.user_id, p.event_id, b.request, max(b.event_id) as used from p join r b on b.user_id = p.user_id and b.event_id < p.event_id group by 1, 2, 3),
+  n as (select *, row_number() over (partition by event_id order by used desc) as place from u)
+  select p.user_id, p.event_id, p.request, coalesce(h.place <= 3, false) as hit, case when not coalesce(h.place <= 3, false) then l.request end as evicted
+  from p left join n h on h.event_id = p.event_id and h.request = p.request left join n l on l.event_id = p.event_id and l.place = 3"""
+)
+def cached_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's requests through a cache of three: what it held, and what had to go."""
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", F.concat_ws("/", "event_type", (F.get_json_object("props", "$.k").cast("long") % 2).cast("string")).alias("request"))
+    return stateful.cached_requests(rows, "user_id", "request", "event_id", 3)
+
+
 @query("select event_id, case when (props->>'k')::bigint % 10 = 0 then null else round(value / ((props->>'k')::bigint % 10), 6) end as outcome, case when (props->>'k')::bigint % 10 = 0 then 'ZeroDivisionError' end as error from events")
 def contained_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row that fails carries its error; the others go on."""
