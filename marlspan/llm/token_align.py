@@ -4,7 +4,7 @@ Neither tokenizer joins what stands on both sides of a space between two charact
 the runs of a batch are made distinct: tokens, links and groups of a run are the same wherever it stands.
 
 DuckDB aligns them, in each Arrow partition.  The tokens of both sides are interval tables over the bytes of all distinct runs, one after another.  Two intervals overlap if
-one holds the other's start: an ASOF join finds, for each token of the one side, the token of the other that holds its start, and a range join the tokens of the
+one holds the other's start: an ASOF join finds, for each token of the one side, the token of the other that holds its start; a second one, with the range as a condition, the tokens of the
 other that start within it.  Ends that both sides have close a group; window sums over them number the groups.  A join of documents with their runs' links
 gives each document's pairs, and partial counts of these are merged in Spark; what counts a document needs comes back by a join on the pair, in which a list of pairs is broadcast only up to a number of rows.
 
@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from collections.abc import Callable
 from itertools import chain
 
@@ -35,11 +36,14 @@ from .bpe import spread, white_bytes
 from .cluster import cut, small_batches
 
 #: Bytes of text that are aligned at a time (a longer single text goes alone); pairs that a task counts before it hands them on.
-PASS_BYTES, PAIRS = 6 << 20, 1_500_000
+PASS_BYTES, PAIRS = 2 << 20, 400_000
 #: Pairs, of some thirty bytes each, up to which their counts are broadcast.
 BROADCAST_PAIRS = 2_000_000
-#: Runs whose tokens a worker keeps.
-KEPT = 400_000
+#: Runs whose alignment a worker keeps, some 400 bytes each, and runs that are aligned at a time (those of one batch are all kept).
+KEPT, AT_ONCE = 250_000, 1 << 14
+
+#: Runs that may be encoded side by side: a space and letters and signs up to U+024F, none of them white.
+PLAIN = re.compile(" [!-~\u00a1-\u024f]+")
 
 #: ids of some runs, one after another, and the number of each run's.
 Encoded = tuple[np.ndarray, np.ndarray]
@@ -59,7 +63,7 @@ class Side:
 
     def ids(self, runs: list[str]) -> Encoded:
         """Where it is faster, runs without white space but the first are encoded side by side, as in a text."""
-        side_by_side = [len(r) > 1 and len(r.split()) == 1 and r[1:] == r.strip() and max(r) < "\u0250" for r in runs] if self.cuts and self.together else [False] * len(runs)
+        side_by_side = [PLAIN.fullmatch(r) is not None for r in runs] if self.cuts and self.together else [False] * len(runs)
         flat: list[np.ndarray] = []
         counts = np.zeros(len(runs), np.int64)
         place = np.flatnonzero(side_by_side)
@@ -68,7 +72,7 @@ class Side:
             texts = [runs[i] for i in part.tolist()]
             (found,) = self.encode(["".join(texts)])
             ids = np.array(found, np.int64)
-            ends = np.cumsum(np.fromiter((len(x.encode()) for x in texts), np.int64, len(texts)))
+            ends = np.cumsum(np.fromiter(map(len, map(str.encode, texts)), np.int64, len(texts)))
             at = np.cumsum(self.length[ids])
             last = np.searchsorted(at, ends)
             if last[-1] >= len(at) or not np.array_equal(at[last], ends):
@@ -210,7 +214,9 @@ class Aligner:
         new = np.flatnonzero(out < 0)
         if len(new):
             out[new] = len(self.known["good"]) + np.arange(len(new))
-            self.learn([runs[k] for k in new.tolist()])
+            for k in range(0, len(new), AT_ONCE):
+                self.learn([runs[i] for i in new[k : k + AT_ONCE].tolist()])
+                pa.default_memory_pool().release_unused()
         return out
 
     def learn(self, runs: list[str]) -> None:
@@ -236,11 +242,13 @@ class Aligner:
             counts[f"n_{name}"] = np.bincount(of, minlength=len(runs))
         links = _arrow(self.db, LINKS)
         tokens = _arrow(self.db, GROUPS)
-        of, g, side = (tokens[c].to_numpy() for c in ("run", "g", "side"))
+        of, s, g, side = (tokens[c].to_numpy() for c in ("run", "s", "g", "side"))
+        order = np.argsort((2 * g + side) << 32 | s, kind="stable")  # by group, side, place; a batch has fewer than 2**31 tokens and bytes
+        of, g, side = of[order], g[order], side[order]
         # an id is followed by ; if it is the last of its group, by | if it is the last of its side there
         new_group, new_side = (np.append(x[1:] != x[:-1], True) if len(x) else np.zeros(0, bool) for x in (g, side))
         sign = pa.array([",", "|", ";"]).take(pa.array(np.where(new_group, 2, np.where(new_side, 1, 0))))
-        spelt, bounds = tk.text_buffer(pc.binary_join_element_wise(tokens["id"].cast(pa.string()), sign, "").cast(pa.large_binary()))
+        spelt, bounds = tk.text_buffer(pc.binary_join_element_wise(tokens["id"].take(pa.array(order)).cast(pa.string()), sign, "").cast(pa.large_binary()))
         counts["n_groups"] = np.bincount(of[new_group], minlength=len(runs))
         known, run = self.known.columns, links["run"].to_numpy()
         for name, values, first, size in (("spelt", spelt, "first_letter", np.diff(bounds[np.searchsorted(of, np.arange(len(runs) + 1))])), ("a", links["a"], "first_link", np.bincount(run, minlength=len(runs)))):
@@ -312,10 +320,10 @@ def _structs(columns: dict[str, pa.Array]) -> pa.StructArray:
     return pa.StructArray.from_arrays([columns[c] for c in "abn"], list("abn"))
 
 
-#: Each overlap once: by the start of the one's token within the other's, or by that of the other's strictly within the one's.
+#: Each overlap once: by the start of the one's token within the other's, or by that of the other's strictly within the one's: of the last token that starts before it, if it reaches as far.
 LINKS = """
 with held as (select ta.run, ta.id as a, tb.id as b from ta asof join tb on ta.s >= tb.s),
-within as (select ta.run, ta.id as a, tb.id as b from ta join tb on tb.s > ta.s and tb.s < ta.e)
+within as (select ta.run, ta.id as a, tb.id as b from tb asof join ta on tb.s > ta.s where tb.s < ta.e)
 select run, a, b, count(*)::int as n from (from held union all from within) group by all order by run"""
 
 #: The pairs of each text, by the links of its runs.
@@ -327,7 +335,7 @@ with shared as (select ta.e from ta join tb on ta.e = tb.e),
 sides as (select run, id, s, e, 0 as side from ta union all select run, id, s, e, 1 from tb),
 marked as (select sides.*, (shared.e is not null)::int as ends from sides left join shared on sides.e = shared.e),
 numbered as (select run, id, s, side, sum(ends) over (partition by side order by s rows unbounded preceding) - ends as g from marked)
-select run, id, side, g::bigint as g from numbered order by g, side, s"""
+select run, id, s, side, g::bigint as g from numbered"""
 
 _FIELDS = ["doc_id", "rid", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs"]
 _SCHEMA = "doc_id long, rid long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<struct<a:int,b:int,n:int>>"
