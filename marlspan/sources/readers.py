@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.text import option_list_map, option_map
+from .files import HEAD, file_heads
 
 QUESTIONS = T.StructType([T.StructField(n, T.IntegerType() if n == "cate" else T.StringType()) for n in ("relative_path", "video_type", "cate", "question", "options", "GT", "others")])
 
@@ -85,12 +86,16 @@ def labels(content: Column | str, field: str, allowed: tuple[str, ...], other: s
     return F.when(value.isin(*allowed), value).otherwise(F.lit(other))
 
 
-def alignment_scale(spark: SparkSession, path: str, prefix: int = 4 << 20) -> DataFrame:
-    """A positive scale from the head of a large text file, before its tracks."""
-    head = F.substring_index(F.left("value", F.lit(prefix)), '"tracks"', 1)
-    scale = F.expr("try_cast(regexp_extract(head, '\"scale\"\\\\s*:\\\\s*([0-9.eE+-]+)', 1) as double)")
-    rows = spark.read.text(path, wholetext=True).select(head.alias("head")).select(scale.alias("scale"))
-    return rows.select(F.when((F.col("scale") > 0) & (F.col("scale") < float("inf")), F.col("scale")).alias("scale"))
+def alignment_scale(spark: SparkSession, path: str, prefix: int = HEAD) -> DataFrame:
+    """path, scale: the positive scale of a global median alignment, from the head of each large JSON file, before its tracks; null if there is none.
+
+    No more than the prefix of a file is read.
+    """
+    head = F.substring_index(F.decode("head", "UTF-8"), '\n  "tracks":', 1)
+    pattern = r'(?s)"trackAlignment"\s*:\s*\{.*?"type"\s*:\s*"global_median_scale".*?"scale"\s*:\s*([-+0-9.eE]+)'
+    rows = file_heads(spark, path, prefix).select("path", F.regexp_extract(head, pattern, 1).alias("found"))
+    scale = F.expr("try_cast(found AS double)")
+    return rows.select("path", F.when((scale > 0) & (scale < float("inf")), scale).alias("scale"))
 
 
 def markdown_table(spark: SparkSession, path: str, heading: str) -> DataFrame:
