@@ -148,9 +148,11 @@ def run_comparison(spark, sf_dir):
 # ---- sampling ----
 
 
-@query("select i as dataset_index, (i + k) % 6 as cate from (select unnest(range(0, 5)) as i), (select unnest(range(0, 5)) as k)")
+@query("with s as (select source, row_number() over (order by source) - 1 as i from (select distinct source from documents)) select source, i as row, (i + k) % 6 as cate from s, (select unnest(range(0, 5)) as k)")
 def latin_cells(spark, sf_dir):
-    return sampling.latin_cells(spark)
+    """Five cells for each source, shifted by one from source to source."""
+    rows = sampling.latin_cells(table(spark, sf_dir, "documents"), "source")
+    return rows.select("source", F.col("row").cast("long").alias("row"), "cate")
 
 
 @query("select doc_id from documents order by md5('11:' || doc_id), doc_id limit 50")
@@ -163,13 +165,27 @@ def quota_stratified(spark, sf_dir):
     return sampling.quota(table(spark, sf_dir, "documents").select("lang", "source", "doc_id"), "lang", 8, 3, "doc_id", "source").select("lang", "source", "doc_id")
 
 
+# Sequential draws: in SQL a recursion over the cells, each filters its list by the videos taken so far.
+_QUOTAS = {"click": 12, "view": 12, "purchase": 30, "scroll": 12, "error": 12, "signup": 12}
+
+
 @query(
-    """with d as (select doc_id, lang, n_chars > 5000 as rare, md5('5:' || doc_id) as h from documents), k as (select *, row_number() over (partition by lang, rare order by h, doc_id) as k from d),
-  p as (select *, row_number() over (partition by lang order by case when rare and k <= 4 then 0 else 1 end, h, doc_id) as p from k) select lang, doc_id from p where p <= 20"""
+    """with recursive q(cell, n, turn) as (values ('click', 12, 0), ('view', 12, 1), ('purchase', 30, 2), ('scroll', 12, 3), ('error', 12, 4), ('signup', 12, 5)),
+  e as (select event_id, event_type, user_id, user_id % 2 as task, value > 150 as rare, md5('5:' || event_id) as h from events where event_type in (select cell from q)),
+  k as (select e.*, n, turn, row_number() over (partition by task, event_type, rare order by h, event_id) as k from e join q on cell = event_type),
+  p as (select *, case when not rare then 1 when k <= greatest(1, n // 5) then 0 else 2 end as place from k),
+  b as (select task, turn, user_id, arg_min(event_id, (place, h)) as event_id, min({'p': place, 'h': h, 'e': event_id}) as o from p group by 1, 2, 3),
+  l as (select task, turn, list({'u': user_id, 'e': event_id} order by o) as l from b group by 1, 2), g as (select distinct task from e),
+  r as (select task, 0 as turn, []::struct(u bigint, e bigint)[] as got, []::bigint[] as used from g union all
+    select task, turn + 1, got, used || list_transform(got, lambda x: x.u) from (select r.task, r.turn, r.used, list_slice(list_filter(coalesce(l.l, []), lambda x: not list_contains(r.used, x.u)), 1, q.n) as got from r join q on q.turn = r.turn left join l on l.task = r.task and l.turn = r.turn)),
+  c as (select task, turn - 1 as turn, unnest(got).e as event_id from r where turn > 0),
+  s as (select p.task, p.event_type, p.event_id, p.n - (select count(*) from c where c.task = p.task and c.turn = p.turn) as missing, row_number() over (partition by p.task, p.event_type order by p.place, p.h, p.event_id) as again from p where event_id not in (select event_id from c))
+  select p.task, p.event_type, c.event_id, 0 as turn from c join p using (event_id) union all select task, event_type, event_id, 1 from s where again <= missing"""
 )
 def rare_first_stratified(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("lang", "doc_id", "n_chars")
-    return sampling.rare_first(docs, "lang", F.col("n_chars") > 5000, 20, 5, "doc_id").select("lang", "doc_id")
+    """Events of each type, rare ones first, for two tasks: users differ within a task as far as they suffice."""
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", "value", (F.col("user_id") % 2).alias("task"))
+    return sampling.rare_first(rows, "event_type", F.col("value") > 150, _QUOTAS, 5, "event_id", "user_id", "task").select("task", "event_type", "event_id", "turn")
 
 
 @query(
