@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import masks
 from ..functions import numeric as num
+from ..operators import windows
 from ..session import table
 from . import poses
 from .poses import P
@@ -93,6 +95,21 @@ def best_box_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("frame", F.when(F.col("most") > 0, F.col("best")).alias("matched"), F.round("most", 6).alias("iou"), F.when(F.col("most") > 0, "ok").otherwise("no object overlaps").alias("status"))
 
 
+@query(
+    """with m as (select label, row_number() over (partition by label order by vec_id) - 1 as frame, list_transform(embedding, lambda e: e > 0.05) as m, case when vec_id % 7 = 0 then 4 else 8 end as height from embeddings),
+  p as (select r.frame, m.label, list_sum(list_transform(list_zip(r.m, m.m), lambda z: (z[1] and z[2])::int)) as common, list_sum(list_transform(list_zip(r.m, m.m), lambda z: (z[1] or z[2])::int)) as any_ from m r left join m on m.frame = r.frame and m.label <> 0 and m.height = r.height where r.label = 0),
+  i as (select frame, label, common / nullif(any_, 0) as iou from p)
+  select frame, arg_max(label, (iou, -label)) filter (iou is not null) as matched, round(max(iou), 6) as iou, case when max(iou) is null then 'no object overlaps' else 'ok' end as status from i group by 1"""
+)
+def best_mask_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The object of each frame whose mask overlaps that of the reference most, by its pixels; some masks have another shape."""
+    rows = windows.framed(table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding"), "label", "vec_id")
+    height = F.when(F.col("vec_id") % 7 == 0, 4).otherwise(8).alias("height")
+    m = rows.select("label", "frame", height, F.lit(8).alias("width"), masks.packed(F.transform("embedding", lambda e: e > 0.05)).alias("mask"))
+    found = masks.best_matches(m.where("label != 0"), m.where("label = 0").drop("label"), ["frame"], "label")
+    return found.select("frame", "matched", F.round("iou", 6).alias("iou"), "status")
+
+
 @query(
     T
     + """, s as (select label, frame, x, y, z from t where vec_id % 4 <> 0), c as (select label, frame, cx, cy, cz from t where vec_id % 5 <> 0)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,6 +12,7 @@ from ..functions import numeric as num
 from ..functions import text as tx
 from ..operators import evidence, programs, sampling, stages
 from ..session import table
+from ..sources import images
 from ..streaming import stateful
 from .registry import query
 from .tracks import T, XYZ, tracks
@@ -148,12 +151,23 @@ def point_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", F.col("k").cast("long").alias("k"), F.round("p.u", 5).alias("u"), F.round("p.v", 5).alias("v"))
 
 
-@query("with p as (select label, k, abs(e::double) * 120 as luma from embeddings, lateral (select unnest(embedding[1:12]) as e, unnest(range(0, 12)) as k)) select k, bool_and(luma < 12) as dark, count(*) as frames, round(max(luma), 4) as brightest from (select k, luma from p where label = 0) group by 1")
+@query(
+    """with p as (select label, k, floor(least(abs(e::double) * 100, 255)) as luma from (select label, unnest(embedding) as e, unnest(range(0, len(embedding))) as k from embeddings)),
+  g as (select i, (i % 8) as u, (i // 8) as v from range(0, 64) r(i)) select label as clip, k, bool_and(luma < 12) as dark, count(*) as frames from p join g on g.v * 8 + g.u = k group by 1, 2"""
+)
 def dark_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grid pixels of a clip that are dark in all of its frames, as padding is."""
-    rows = table(spark, sf_dir, "embeddings").where("label = 0").select(F.posexplode(F.slice("embedding", 1, 12)).alias("k", "e"))
-    luma = F.abs(F.col("e").cast("double")) * 120
-    return rows.select(F.col("k").cast("long").alias("k"), luma.alias("luma")).groupBy("k").agg(F.bool_and(F.col("luma") < 12).alias("dark"), F.count("*").alias("frames"), F.round(F.max("luma"), 4).alias("brightest"))
+    """Grid pixels of each clip that are dark in all of its frames, as padding is: the frames are stored images, made of the vectors."""
+    grey = F.transform("embedding", lambda e: F.floor(F.least(F.abs(e.cast("double")) * 100, F.lit(255.0))).cast("int"))
+    rows = table(spark, sf_dir, "embeddings").select("label", grey.alias("grey"))
+
+    def store(batches):
+        for b in batches:
+            files = [images.encoded(np.array(g, np.uint8).reshape(8, -1)) for g in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(files, pa.binary())], ["label", "content"])
+
+    stored = rows.mapInArrow(store, f"label {rows.schema['label'].dataType.simpleString()}, content binary")
+    found = images.dark_in_all_frames(stored, "label", "content", [(k % 8, k // 8) for k in range(64)])
+    return found.select("clip", "k", "dark", "frames")
 
 
 # ---- evidence ----

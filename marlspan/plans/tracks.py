@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import numeric as num
-from ..operators import robust, scoring, windows
+from ..operators import nearest, robust, scoring, windows
 from ..session import table
 from .registry import query
 
@@ -183,14 +183,13 @@ def box_iou_pairs(spark, sf_dir):
     return pairs.groupBy("label", "frame").agg(F.round(F.max(num.box_iou(first, second)), 6).alias("max_iou"), F.round(F.min(num.center_distance(first, second)), 6).alias("min_center_distance"))
 
 
-@query(T + ", p as (select a.vec_id, arg_min(c.label, (round((a.x-c.x)^2+(a.y-c.y)^2+(a.z-c.z)^2, 9), c.label)) as nearest from t a join t c on a.frame = c.frame and a.label <> c.label group by 1) select vec_id, nearest::bigint as nearest_label from p")
+@query(T + ", v as (select *, 1/(1+exp(-vis)) > 0.5 as seen from t), p as (select a.vec_id, arg_min(c.label, (round((a.x-c.x)^2+(a.y-c.y)^2+(a.z-c.z)^2, 9), c.label)) as nearest, min(round((a.x-c.x)^2+(a.y-c.y)^2+(a.z-c.z)^2, 9)) as square from v a join v c on a.frame = c.frame and a.label <> c.label and c.seen group by 1) select vec_id, nearest::bigint as nearest_label, round(sqrt(square), 6) as distance from p")
 def nearest_point(spark, sf_dir):
-    """The nearest track at the same frame (ties: smaller label)."""
-    a = tracks(spark, sf_dir).select("frame", "vec_id", "label", *XYZ)
-    b = a.select("frame", F.col("label").alias("other"), *(F.col(c).alias(f"o_{c}") for c in XYZ))
-    distance = F.round(sum(((F.col(c) - F.col(f"o_{c}")) ** 2 for c in XYZ), F.lit(0.0)), 9)
-    pairs = a.join(b, "frame").where("label != other")
-    return pairs.groupBy("vec_id").agg(F.min_by("other", F.struct(distance, "other")).cast("long").alias("nearest_label"))
+    """The nearest visible track at the same frame (ties: smaller label)."""
+    rows = tracks(spark, sf_dir)
+    points = rows.where(num.sigmoid("vis") > 0.5).select("frame", F.col("label").alias("track"), *XYZ)
+    found = nearest.nearest(rows.select("frame", F.struct("label", "vec_id").alias("asker"), *XYZ), points, ["frame"], XYZ, "asker", "track", F.col("asker.label") != F.col("p_track"))
+    return found.select("asker.vec_id", F.col("nearest").cast("long").alias("nearest_label"), F.round("distance", 6).alias("distance"))
 
 
 @query("select user_id, event_type, event_id, round(value, 6) as value from (select *, row_number() over (partition by user_id, event_type order by ts desc, event_id desc) as rn from events) where rn = 1")

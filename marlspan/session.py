@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: What every session of the engine sets; sizes of partitions are left to adaptive execution.
@@ -20,3 +22,17 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows from the checkpoint folder, without the plan that made them: for rounds that build on each other.
+
+    The folder is the session's, shared by the driver and all executors; one of our own only where none is set and all run on one machine.
+    """
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        known = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not known and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(known or "file://" + tempfile.mkdtemp(prefix="marlspan-"))
+    return df.checkpoint()
