@@ -157,8 +157,20 @@ POSE_SQL = P + """, w as (select label, x / sqrt(x*x+y*y+z*z) as gx, y / sqrt(x*
 def levelled_angles(rows: DataFrame) -> DataFrame:
     """pan, tilt and roll of each frame about gravity, here the clip's first upward vector; the heading is the first camera's."""
     first = lambda c: F.first(c).over(windows._by("label").rowsBetween(-(2**63), 2**63 - 1))
-    rows = rows.withColumns({f"up_{c}": first(c) for c in "xyz"})
-    rows, level = level_basis(rows, "level", tuple(F.col(f"up_{c}") for c in "xyz"), (F.lit(0.0), F.lit(0.0), F.lit(1.0)))
+    return angles_about(rows.withColumn("up", F.array(*(first(c) for c in "xyz"))))
+
+
+def angles_about(rows: DataFrame) -> DataFrame:
+    """pan, tilt and roll of each frame about `up`, an array, with the first camera's heading; about the first camera's own axes where up is null or lies along the heading.
+
+    level00 to level22: the axes right, down and forward; levelled: whether they follow gravity.
+    """
+    rows, level = level_basis(rows, "basis", tuple(F.get("up", F.lit(k)) for k in range(3)), (F.lit(0.0), F.lit(0.0), F.lit(1.0)))
+    known = F.lit(True)
+    for v in level:
+        for x in v:
+            known = known & x.isNotNull()
+    rows, level = kept(rows.withColumn("levelled", known), "level", tuple(tuple(F.when(F.col("levelled"), x).otherwise(float(i == j)) for j, x in enumerate(v)) for i, v in enumerate(level)))
     rows, matrix = camera_matrix(rows)
     rows, turned = kept(rows, "levelled", num.product(level, matrix))
     return rows.withColumns(dict(zip(("pan", "tilt", "roll"), num.pose_angles(turned))))

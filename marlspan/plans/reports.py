@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numeric as num
-from ..operators import robust, windows
+from ..operators import robust, segments, windows
+from ..session import cut
 from . import poses
 from .registry import SQL, query
 from .signals import distance_change_report
@@ -141,23 +142,109 @@ def subject_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.select("label", "run", "direction", F.col("n").alias("segments"), F.round("sum_distance", 5).alias("distance"), F.col("start_frame").alias("first_segment"))
 
 
+# A clip's vertical: its first point vector as a stand-in, none for some clips; one clip has a single usable frame.
+_CAMERA_SQL = poses.POSE_SQL.replace("with p as (", "with p0 as (", 1).replace(" from embeddings), p1 as", " from embeddings), p as (select * from p0 where label <> 8 or frame = 0), p1 as", 1)
+_CAMERA_SQL = _CAMERA_SQL.replace("l as (select *, dy*fz-dz*fy as rx, dz*fx-dx*fz as ry, dx*fy-dy*fx as rz from b)", "l as (select label, " + ", ".join(f"case when label % 4 = 3 then {float(k // 3 == k % 3)} else {e} end as {n}" for k, (n, e) in enumerate(zip(("rx", "ry", "rz", "dx", "dy", "dz", "fx", "fy", "fz"), ("dy*fz-dz*fy", "dz*fx-dx*fz", "dx*fy-dy*fx", "dx", "dy", "dz", "fx", "fy", "fz")))) + " from b)", 1)
+
+
+def _turn_sql(angle: str) -> str:
+    step = f"((({angle} - lag({angle}) over w + 180) % 360) + 360) % 360 - 180"
+    return f""", u{angle} as (select label, frame, sum(coalesce(s, 0)) over (partition by label order by frame) as u from (select label, frame, {step} as s from m window w as (partition by label order by frame))),
+  v{angle} as (select label, u - avg(u) over (partition by label order by frame rows between 2 preceding and 2 following) as r from u{angle}), w{angle} as (select label, median(r) as c from v{angle} group by 1),
+  n{angle} as (select label, greatest(2 * 1.4826 * median(abs(r - c)), 2.0) as noise from v{angle} join w{angle} using (label) group by 1), t{angle} as (select label, last(u order by frame) - first(u order by frame) as {angle}, any_value(noise) as {angle}_noise from u{angle} join n{angle} using (label) group by 1)"""
+
+
+def _word_sql(angle: str) -> str:
+    plus, minus = segments.TURNS[angle]
+    return f"case when reason is null then case when abs({angle}) <= {angle}_noise then 'no significant change' when {angle} > 0 then '{plus}' else '{minus}' end end as {angle}_turn"
+
+
+def camera_motion(rows: DataFrame, ups: DataFrame) -> DataFrame:
+    """label, reason, text and measures of each clip's camera: how it moved and how it turned.
+
+    rows: (label, frame, cx, cy, cz, turn, usable); ups: (label, up), the world's vertical in the first camera's axes, null where it is not known.
+    Up and down are along it, with the first camera's heading kept; where it is not known, or is where the camera looks, they are the camera's own.
+    A clip with fewer than two usable frames has a reason in place of a report.
+    """
+    names = ("cx", "cy", "cz")
+    used = rows.where("usable")
+    axis = [f"level{i}{j}" for i in range(3) for j in range(3)]
+    angles = cut(poses.angles_about(used.join(ups, "label", "left")).select("label", "frame", "up", "levelled", "pan", "tilt", "roll", *axis))
+    level = angles.groupBy("label").agg(*(F.min_by(F.array(*(F.col(f"level{i}{j}") for j in range(3))), "frame").alias(f"b{i}") for i in range(3)), F.min_by("levelled", "frame").alias("levelled"), F.min_by("up", "frame").alias("up"))
+    floors = cut(_motion(_smoothed(used, names), names, CAMERA_FLOOR).select("label", "floor"))
+    smooth = cut(_smoothed(used, names).select("label", "frame", *(F.col(f"s{n}").alias(n) for n in names)))
+    made = segments.report(smooth, names, "label", level.select("label", "b0", "b1", "b2"), floors, {a: angles.select("label", "frame", a) for a in ("pan", "tilt", "roll")})
+    out = rows.select("label").distinct().join(made.join(level.select("label", "levelled", "up"), "label"), "label", "left")
+    few = F.lit("camera pose recovery produced too few usable frames: trajectory needs at least two finite samples")
+    pitch = F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), -F.get("up", F.lit(2)) / num.norm(tuple(F.get("up", F.lit(k)) for k in range(3)))))))
+    lost = F.lit(" NOTE: the world vertical could not be recovered for this clip, so up/down below are the camera's own axes at frame 0, NOT gravity. If the camera was tilted, a vertical motion will appear partly as forward/backward.")
+    tilted = F.concat(F.lit(" (Up/down are measured against gravity. The camera started pitched "), F.format_string("%.0f", F.abs(pitch)), F.lit(" degrees "), F.when(pitch > 0, "down").otherwise("up"), F.lit(", so its own axes would have split this differently.)"))
+    note = F.when(~F.col("levelled"), lost).when(F.abs(pitch) >= 10, tilted).otherwise("")
+    prefix = F.concat(F.lit("In the observer's starting frame"), F.when(F.col("levelled"), ", with up/down measured against gravity").otherwise(""))
+    text = F.concat(segments.prose(prefix, "camera", ("pan", "tilt", "roll")), note)
+    given = F.col("net").isNotNull()
+    return out.withColumns({"reason": F.when(~given, few), "text": F.when(given, text).otherwise(segments.unavailable("traj_camera_own_frame", few)), "coordinate_frame": F.when(given, F.when(F.col("levelled"), "observer-levelled").otherwise("observer"))})
+
+
+def _camera_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return poses.poses(spark, sf_dir).withColumn("usable", (F.col("label") != 8) | (F.col("frame") == 0))
+
+
+def _first_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ups = poses.poses(spark, sf_dir).where("frame = 0").select("label", F.array("x", "y", "z").alias("up"))
+    return ups.select("label", F.when(F.col("label") % 4 != 3, F.col("up")).alias("up"))
+
+
 @query(
-    poses.POSE_SQL
+    _CAMERA_SQL
     + _motion_sql(("cx", "cy", "cz"), CAMERA_FLOOR)
-    + """, an as (select label, first(pan order by frame) as p0, last(pan order by frame) as p1, first(tilt order by frame) as t0, last(tilt order by frame) as t1 from m group by 1),
-  ba as (select l.label, rx, ry, rz, dx, dy, dz, fx, fy, fz, null::varchar as reason, (((p1 - p0 + 180) % 360) + 360) % 360 - 180 as pan, (((t1 - t0 + 180) % 360) + 360) % 360 - 180 as tilt from l join an using (label))"""
-    + _OWN_SQL.format(more=", pan, tilt", out=", case when abs(pan) <= 2 then 'no significant change' when pan > 0 then 'right' else 'left' end as pan_turn, case when abs(tilt) <= 2 then 'no significant change' when tilt > 0 then 'up' else 'down' end as tilt_turn")
+    + "".join(map(_turn_sql, ("pan", "tilt", "roll")))
+    + """, al as (select distinct label from p0), ba as (select al.label, rx, ry, rz, dx, dy, dz, fx, fy, fz, case when mo.label is null then 'camera pose recovery produced too few usable frames: trajectory needs at least two finite samples' end as reason,
+    pan, pan_noise, tilt, tilt_noise, roll, roll_noise, case when mo.label is not null then case when al.label % 4 = 3 then 'observer' else 'observer-levelled' end end as coordinate_frame from al left join mo using (label) left join l on l.label = al.label left join tpan on tpan.label = al.label left join ttilt on ttilt.label = al.label left join troll on troll.label = al.label)"""
+    + _OWN_SQL.format(more=", pan, pan_noise, tilt, tilt_noise, roll, roll_noise, coordinate_frame", out=", " + ", ".join(map(_word_sql, ("pan", "tilt", "roll"))) + ", coordinate_frame").replace("from mo left join ba using (label)", "from ba left join mo using (label)").replace("select mo.*, reason", "select ba.label, path, floor, reason")
 )
 def traj_camera_own_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How the camera moved, levelled by gravity with its first heading kept, and how it turned."""
-    names = ("cx", "cy", "cz")
-    rows = poses.levelled_angles(poses.poses(spark, sf_dir))
-    basis = [F.array(*(F.col(f"level{i}{j}") for j in range(3))) for i in range(3)]
-    ends = rows.groupBy("label").agg(*(F.min_by(b, "frame").alias(f"b{i}") for i, b in enumerate(basis)), *(f(n, "frame").alias(f"{n}{k}") for n in ("pan", "tilt") for k, f in enumerate((F.min_by, F.max_by))))
-    word = lambda n, plus, minus: (lambda d: F.when(F.abs(d) <= 2, "no significant change").when(d > 0, plus).otherwise(minus))(num.wrapped_difference(f"{n}1", f"{n}0"))
-    motion = _motion(_smoothed(poses.poses(spark, sf_dir), names), names, CAMERA_FLOOR).join(ends, "label").withColumn("reason", F.lit(None).cast("string"))
-    own = tuple(tuple(F.get(f"b{i}", F.lit(j)) for j in range(3)) for i in range(3))
-    return _framed_report(motion, own, word("pan", "right", "left").alias("pan_turn"), word("tilt", "up", "down").alias("tilt_turn"))
+    """How the camera moved, levelled by gravity where that is known, with its first heading kept, and how it turned; or why that is not known."""
+    rows = camera_motion(_camera_rows(spark, sf_dir), _first_vectors(spark, sf_dir))
+    given = F.col("reason").isNull()
+    own = tuple(F.col(k) for k in ("right", "down", "forward"))
+    told = lambda x: F.when(given, x)
+    return rows.select(
+        "label", given.alias("available"), "reason", *(F.round(k, 5).alias(k) for k in ("right", "down", "forward")), F.round("path", 5).alias("path"), F.round("floor", 6).alias("floor"), told(F.when(F.col("above"), num.direction(own)).otherwise("stationary")).alias("direction"),
+        told(num.ranked_components(tuple(F.round(v, 6) for v in own), 2)).alias("components"), *(told(segments.turn_word(a)).alias(f"{a}_turn") for a in ("pan", "tilt", "roll")), "coordinate_frame",
+    )
+
+
+@query()
+def traj_camera_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The camera report in words, levelled by the dominant plane of the clip's points, where there is one."""
+    ups = robust.plane_ups(tracks(spark, sf_dir), list(XYZ), "label", "vec_id").select("label", "up")
+    return camera_motion(_camera_rows(spark, sf_dir), ups).select("label", F.col("reason").isNull().alias("available"), "coordinate_frame", "text")
+
+
+def subject_motion(rows: DataFrame) -> DataFrame:
+    """label, reason and text of each clip's subject, in the axes of its own first resolved pose; declined where its front is never unique."""
+    pose, basis = _first_pose(rows)
+    axes = pose.select("label", "pose_frame", *(F.array(*v).alias(f"b{i}") for i, v in enumerate(basis)))
+    smooth = _smoothed(rows, XYZ)
+    floors = cut(_motion(smooth, XYZ, SUBJECT_FLOOR).select("label", "floor"))
+    axes = cut(axes)
+    faced, (forward, _, _) = poses.in_first(rows)
+    heading = cut(faced.where("ok and unique_front").select("label", "frame", F.degrees(F.atan2(forward[0], forward[2])).alias("heading")))
+    path = cut(smooth.select("label", "frame", *(F.col(f"s{c}").alias(c) for c in XYZ)))
+    made = segments.report(path, XYZ, "label", axes.drop("pose_frame"), floors, {"heading": heading})
+    out = rows.select("label").distinct().join(axes.select("label", "pose_frame"), "label", "left").join(made, "label", "left")
+    front = F.lit("no unique front was ever resolved for the subject, so the subject's own forward axis is undefined")
+    reason = F.when(F.col("pose_frame").isNull(), front).when(F.col("net").isNull(), "trajectory needs at least two finite samples")
+    prefix = F.concat(F.lit("In the subject's initial pose (resolved at frame "), F.col("pose_frame").cast("string"), F.lit(")"))
+    out = out.withColumn("reason", reason)
+    return out.withColumn("text", F.when(F.col("reason").isNull(), segments.prose(prefix, "subject", ("heading",))).otherwise(segments.unavailable("traj_subject_own_frame", F.col("reason"))))
+
+
+@query()
+def traj_subject_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subject report in words."""
+    return subject_motion(poses.poses(spark, sf_dir)).select("label", F.col("reason").isNull().alias("available"), "pose_frame", "text")
 
 
 _SIDES = """, us as (select label, frame, 1/(1+exp(-vis)) > 0.5 and ok and unique_front as good, cx-x as qx, cy-y as qy, cz-z as qz, f0_x as fx, f0_y as fy, f0_z as fz, u0_x as ux, u0_y as uy, u0_z as uz from c),
