@@ -197,6 +197,12 @@ def clamp(label: Column | str, allowed: tuple[str, ...], other: str = "OTHER") -
     return F.when(col(label).isin(*allowed), col(label)).otherwise(F.lit(other))
 
 
+def wrapped(text: Column | str, width: int) -> Column:
+    """Lines of at most `width` characters, as many words in each as fit; white space becomes single spaces or line ends, and a longer word is broken."""
+    plain = F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.regexp_replace(F.regexp_replace(plain, rf"(.{{1,{width}}})(?: |$)|(.{{{width}}})", "$1$2\n"), r"\n$", "")
+
+
 def split_at(text: Column | str, start: Column | str, end: Column | str) -> tuple[Column, Column, Column]:
     """What stands before a span, in it and after it (0-based, end exclusive)."""
     text, start, end = col(text), col(start), col(end)

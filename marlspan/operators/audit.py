@@ -20,9 +20,14 @@ class Rule:
     whole: bool = False
 
 
-def violations(df: DataFrame, rules: list[Rule], key: str, step: str) -> DataFrame:
-    """(key, step, code) of each violation; those of whole keys have no step.  One scan and one sort by key for all row rules, one aggregation for the others."""
+def violations(df: DataFrame, rules: list[Rule], key: str, step: str, exempt: str | None = None) -> DataFrame:
+    """(key, step, code) of each violation; those of whole keys have no step.  One scan and one sort by key for all row rules, one aggregation for the others.
+
+    exempt: a column that is true on all rows of keys that the rules do not hold for, as traces older than what they claim.
+    """
     broken = lambda some: F.array_compact(F.array(*(F.when(F.coalesce(r.bad, F.lit(False)), F.lit(r.code)) for r in some)))
+    if exempt:
+        df = df.where(~F.coalesce(exempt, F.lit(False)))
     by_row, whole = [r for r in rules if not r.whole], [r for r in rules if r.whole]
     parts = []
     if by_row:
@@ -157,6 +162,47 @@ def call_rules(key: str = "question_id", step: str = "step") -> list[Rule]:
     ]
 
 
+#: What a trace entry has since traces keep their effective history, and the kinds of evidence.
+SINCE = ("effective_response", "evidence_state")
+EVIDENCE = r"^(qg|d4rt|math)_[0-9]+$"
+
+
+def attempts(records: DataFrame, key: str, payload: str) -> DataFrame:
+    """key, trace (the entries' JSON texts; null: no list), registry (ids in order; null: no object), created (ids of accepted entries in order), legacy.
+
+    An attempt is legacy if it has entries and none of them keeps an effective history.
+    """
+    at = lambda p: F.get_json_object(payload, p)
+    trace = F.when(F.trim(at("$.trace")).startswith("["), F.from_json(at("$.trace"), "array<string>"))
+    registry = F.when(F.trim(at("$.evidence")).startswith("{"), F.json_object_keys(at("$.evidence")))
+    rows = records.select(F.col(key).cast("string").alias("key"), trace.alias("trace"), registry.alias("registry"))
+    entries = F.filter(F.coalesce("trace", F.array().cast("array<string>")), is_entry)
+    field = lambda x, f: F.get_json_object(x, f"$.{f}")
+    made = F.filter(entries, lambda x: (field(x, "status") == "ok") & field(x, "call_id").rlike(EVIDENCE) & (F.coalesce(field(x, "cache_hit"), F.lit("false")) != "true"))
+    keeps = F.exists(entries, lambda x: F.arrays_overlap(F.json_object_keys(x), F.array(*map(F.lit, SINCE))))
+    return rows.withColumns({"created": F.transform(made, lambda x: field(x, "call_id")), "legacy": (F.size(F.coalesce("trace", F.array().cast("array<string>"))) > 0) & ~keeps})
+
+
+def is_entry(x: Column) -> Column:
+    return F.coalesce(F.trim(x).startswith("{"), F.lit(False))
+
+
+def attempt_violations(records: DataFrame, key: str, payload: str) -> DataFrame:
+    """(key, step, code) of records: attempts without a trace or a registry, entries that are no objects, registries that differ from what the trace made; and that there are no records at all.
+
+    payload: the attempt's JSON text.  The last entries' ids are judged only where the attempt is not legacy.
+    """
+    rows = attempts(records, key, payload)
+    none = F.array().cast("array<string>")
+    modern = ~F.col("legacy") & (F.size(F.filter(F.coalesce("trace", none), is_entry)) > 0)
+    codes = reasons(("invalid_trace", F.col("trace").isNull()), ("invalid_registry", F.col("registry").isNull()), ("final_registry_mismatch", modern & (F.coalesce("registry", none) != F.col("created"))))
+    whole = rows.select("key", F.lit(None).cast("long").alias("step"), F.explode(codes).alias("code"))
+    entries = rows.select("key", F.posexplode("trace").alias("at", "entry")).where(~is_entry(F.col("entry")))
+    entries = entries.select("key", (F.col("at") + 1).cast("long").alias("step"), F.lit("invalid_trace_row").alias("code"))
+    empty = records.agg(F.count("*").alias("n")).where("n = 0").select(F.lit("<directory>").alias("key"), F.lit(None).cast("long").alias("step"), F.lit("no_answer_records").alias("code"))
+    return whole.unionByName(entries).unionByName(empty)
+
+
 def _all(conditions) -> Column:
     out = F.lit(True)
     for c in conditions:

@@ -210,12 +210,14 @@ def select_tracks(points: DataFrame, xyz: tuple[str, ...], clip: str, track: str
 # ---- per group ----
 
 
-def geometric_medians(df: DataFrame, xyz: list[str], key: str) -> DataFrame:
+def geometric_medians(df: DataFrame, xyz: list[str], key: str, weight: str | None = None) -> DataFrame:
+    """key, x, y, z: the point of least summed distance of each key's points, weighted if a weight is named."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y, z = geometric_median(pdf[xyz].to_numpy(float))
+        x, y, z = geometric_median(pdf[xyz].to_numpy(float), None if weight is None else pdf[weight].to_numpy(float))
         return pd.DataFrame({key: [pdf[key].iloc[0]], "x": [x], "y": [y], "z": [z]})
 
-    return df.select(key, *xyz).groupBy(key).applyInPandas(run, f"{key} {dict(df.dtypes)[key]}, x double, y double, z double")
+    return df.select(key, *xyz, *([weight] if weight else [])).groupBy(key).applyInPandas(run, f"{key} {dict(df.dtypes)[key]}, x double, y double, z double")
 
 
 def rigid_fits(df: DataFrame, source: list[str], target: list[str], key: str, order: str) -> DataFrame:

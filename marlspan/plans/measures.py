@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import masks
 from ..functions import numeric as num
-from ..operators import windows
+from ..operators import robust, windows
 from ..session import table
 from . import poses
 from .poses import P
@@ -42,11 +42,29 @@ def mask_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
   select vec_id, count(*) as interior, min(k)::bigint as first_pixel from i group by 1"""
 )
 def eroded_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of each mask without its outermost pixels: each pixel tells its neighbours, those told four times stay."""
+    """What is left of each mask without its outermost pixels."""
+    return _interior(spark, sf_dir).groupBy("vec_id").agg(F.count("*").alias("interior"), F.min("k").cast("long").alias("first_pixel"))
+
+
+def _interior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each pixel tells its neighbours; those told four times stay."""
     m = mask_pixels(spark, sf_dir)
     told = m.select("vec_id", F.explode(F.array(*(F.struct((F.col("u") + du).alias("u"), (F.col("v") + dv).alias("v")) for du, dv in ((0, 1), (0, -1), (1, 0), (-1, 0))))).alias("p")).groupBy("vec_id", "p.u", "p.v").agg(F.count("*").alias("n"))
-    inner = m.join(told.where("n = 4"), ["vec_id", "u", "v"])
-    return inner.groupBy("vec_id").agg(F.count("*").alias("interior"), F.min("k").cast("long").alias("first_pixel"))
+    return m.join(told.where("n = 4"), ["vec_id", "u", "v"])
+
+
+@query(
+    _MASK.replace("with m as", "with recursive m as", 1)
+    + """, e as (select a.vec_id, a.k, a.u::double as u, a.v::double as v from m a join m b on b.vec_id = a.vec_id and abs(b.u - a.u) + abs(b.v - a.v) = 1 group by all having count(*) = 4),
+  c as (select vec_id, avg(u) as au, avg(v) as av from e group by 1), o as (select vec_id, arg_min(k, {'d': sqrt((u-au)^2+(v-av)^2), 'k': k}) as k from e join c using (vec_id) group by 1),
+  f as (select vec_id, 0 as pick, k, [{'u': u, 'v': v}] as l from o join e using (vec_id, k) union all
+    select vec_id, pick + 1, arg_max(k, o), list_append(any_value(l), arg_max({'u': u, 'v': v}, o)) from (select f.vec_id, pick, l, e.k, e.u, e.v, {'d': list_min(list_transform(l, lambda x: sqrt((e.u-x.u)^2+(e.v-x.v)^2))), 'k': -e.k} as o from f join e using (vec_id) where pick < 2) where o.d > 0 group by 1, 2)
+  select vec_id, k::bigint as pixel, pick::bigint as pick from f"""
+)
+def interior_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three pixels of each mask, far from each other and within its outermost pixels."""
+    inner = _interior(spark, sf_dir).select("vec_id", "k", F.col("u").cast("double").alias("u"), F.col("v").cast("double").alias("v"))
+    return robust.farthest(inner, ["u", "v"], "vec_id", "k", 3).select("vec_id", F.col("k").cast("long").alias("pixel"), "pick")
 
 
 # ---- cameras ----
@@ -155,17 +173,18 @@ def run_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """with t as (select user_id, event_id, event_type as action, case when event_id % 11 = 0 then 'error' when event_id % 13 = 0 then 'rejected' else 'ok' end as status, event_id % 17 = 0 as hit, event_id % 4 as attempt from events),
-  a as (select user_id, attempt, count(*) as steps, count(*) filter (status = 'ok') as ok, count(*) filter (status = 'rejected') as rejected, count(*) filter (status = 'error') as failed, count(*) filter (hit) as cached, count(distinct action) as actions from t group by 1, 2)
-  select user_id, count(*) as attempts, sum(steps)::bigint as steps, max(steps) as longest, round(avg(steps), 6) as mean_steps, sum(ok)::bigint as ok, sum(rejected)::bigint as rejected, sum(failed)::bigint as failed, sum(cached)::bigint as cached, max(actions) as most_actions from a group by 1"""
+    """with t as (select user_id, event_id, event_type as action, case when event_id % 11 = 0 then 'error' when event_id % 13 = 0 then 'rejected' else 'ok' end as status, event_id % 17 = 0 as hit, event_id % 4 as attempt, event_id % 2 = 0 as boxed, event_id % 19 = 0 as lost, props not like '{%}' or event_id % 23 = 0 as malformed, event_id % 29 = 0 as tail from events),
+  a as (select user_id, attempt, count(*) as steps, count(*) filter (status = 'ok') as ok, count(*) filter (status = 'rejected') as rejected, count(*) filter (status = 'error') as failed, count(*) filter (hit) as cached, count(distinct action) as actions, count(*) filter (action = 'click' and boxed) as boxes, count(*) filter (action = 'click' and not boxed) as points, count(*) filter (action = 'click' and lost) as not_found, count(*) filter (malformed) as malformed, count(*) filter (tail) as suffixes from t group by 1, 2)
+  select user_id, count(*) as attempts, sum(steps)::bigint as steps, max(steps) as longest, round(avg(steps), 6) as mean_steps, sum(ok)::bigint as ok, sum(rejected)::bigint as rejected, sum(failed)::bigint as failed, sum(cached)::bigint as cached, sum(boxes)::bigint as boxes, sum(points)::bigint as points, sum(not_found)::bigint as not_found, sum(malformed)::bigint as malformed, sum(suffixes)::bigint as suffixes, max(actions) as most_actions from a group by 1"""
 )
 def trace_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counters of each attempt, rolled up over the attempts of a question: sums, largest, mean."""
+    """Counters of each attempt, rolled up over the attempts of a question: sums, largest, mean; by status, by mode of grounding, what was not found, what could not be read, what came after the action."""
     e = F.col("event_id")
-    rows = table(spark, sf_dir, "events").select("user_id", (e % 4).alias("attempt"), F.col("event_type").alias("action"), F.when(e % 11 == 0, "error").when(e % 13 == 0, "rejected").otherwise("ok").alias("status"), (e % 17 == 0).alias("hit"))
+    rows = table(spark, sf_dir, "events").select("user_id", (e % 4).alias("attempt"), F.col("event_type").alias("action"), F.when(e % 11 == 0, "error").when(e % 13 == 0, "rejected").otherwise("ok").alias("status"), (e % 17 == 0).alias("hit"), (e % 2 == 0).alias("boxed"), (e % 19 == 0).alias("lost"), (~F.col("props").rlike(r"^\{(?s:.*)\}$") | (e % 23 == 0)).alias("malformed"), (e % 29 == 0).alias("tail"))
+    ground = F.col("action") == "click"
     by = lambda s: F.count_if(F.col("status") == s)
-    attempts = rows.groupBy("user_id", "attempt").agg(F.count("*").alias("steps"), by("ok").alias("ok"), by("rejected").alias("rejected"), by("error").alias("failed"), F.count_if("hit").alias("cached"), F.countDistinct("action").alias("actions"))
-    return attempts.groupBy("user_id").agg(F.count("*").alias("attempts"), F.sum("steps").alias("steps"), F.max("steps").alias("longest"), F.round(F.avg("steps"), 6).alias("mean_steps"), *(F.sum(c).alias(c) for c in ("ok", "rejected", "failed", "cached")), F.max("actions").alias("most_actions"))
+    attempts = rows.groupBy("user_id", "attempt").agg(F.count("*").alias("steps"), by("ok").alias("ok"), by("rejected").alias("rejected"), by("error").alias("failed"), F.count_if("hit").alias("cached"), F.countDistinct("action").alias("actions"), F.count_if(ground & F.col("boxed")).alias("boxes"), F.count_if(ground & ~F.col("boxed")).alias("points"), F.count_if(ground & F.col("lost")).alias("not_found"), F.count_if("malformed").alias("malformed"), F.count_if("tail").alias("suffixes"))
+    return attempts.groupBy("user_id").agg(F.count("*").alias("attempts"), F.sum("steps").alias("steps"), F.max("steps").alias("longest"), F.round(F.avg("steps"), 6).alias("mean_steps"), *(F.sum(c).alias(c) for c in ("ok", "rejected", "failed", "cached", "boxes", "points", "not_found", "malformed", "suffixes")), F.max("actions").alias("most_actions"))
 
 
 @query("with s as (select conv_id, turn, row_number() over w as step, count(*) over (partition by conv_id) as steps from conversations window w as (partition by conv_id order by turn)) select conv_id, turn, step, steps - step as steps_left, case when step = steps then 'last step: answer now' when steps - step <= 2 then 'few steps left' end as notice from s")

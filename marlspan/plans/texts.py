@@ -144,12 +144,12 @@ def name_key(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tx.normal_key("text").alias("name_key"))
 
 
-@query("select doc_id, left(text, 40) as head, regexp_replace(regexp_extract(text, '^[^.;:]*', 0), '\\s+', ' ', 'g') as clause, regexp_replace(lower(left(text, 30)), '[^a-z0-9]+', '-', 'g') as anchor, case when lang in ('en', 'fr') then lang else 'OTHER' end as label from documents")
+@query("select doc_id, left(text, 40) as head, regexp_replace(regexp_extract(text, '^[^.;:]*', 0), '\\s+', ' ', 'g') as clause, regexp_replace(lower(left(text, 30)), '[^a-z0-9]+', '-', 'g') as anchor, case when lang in ('en', 'fr') then lang else 'OTHER' end as label, regexp_replace(regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '(.{1,96})(?: |$)|(.{96})', '\\1\\2' || chr(10), 'g'), '\\n$', '') as wrapped from documents")
 def presentation_strings(spark, sf_dir):
     """Strings of every document."""
     rows = table(spark, sf_dir, "documents")
     clause = F.regexp_replace(F.regexp_extract("text", "^[^.;:]*", 0), r"\s+", " ")
-    return rows.select("doc_id", F.left("text", F.lit(40)).alias("head"), clause.alias("clause"), F.regexp_replace(F.lower(F.left("text", F.lit(30))), "[^a-z0-9]+", "-").alias("anchor"), tx.clamp("lang", ("en", "fr")).alias("label"))
+    return rows.select("doc_id", F.left("text", F.lit(40)).alias("head"), clause.alias("clause"), F.regexp_replace(F.lower(F.left("text", F.lit(30))), "[^a-z0-9]+", "-").alias("anchor"), tx.clamp("lang", ("en", "fr")).alias("label"), tx.wrapped("text", 96).alias("wrapped"))
 
 
 # ---- JSON ----
@@ -278,12 +278,13 @@ def ledger_counters(spark, sf_dir):
     return audit.ledger(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", F.length("text") % 2 == 0)
 
 
-@query("with r as (select doc_id, list_filter([case when quality = 0 then 'hypothesis_differs' end, case when toxic = 1 then 'other_label' end, case when n_chars > 5000 then 'level_mismatch' end], lambda x: x is not null) as rs from labels join documents using (doc_id)) select doc_id, array_to_string(rs, ';') as reasons from r where len(rs) > 0")
+@query("with r as (select doc_id, lang, list_filter([case when quality = 0 then 'hypothesis_differs' end, case when toxic = 1 then 'other_label' end, case when n_chars > 5000 then 'level_mismatch' end], lambda x: x is not null) as rs from labels join documents using (doc_id)) select lang, doc_id, array_to_string(rs, ';') as reasons from r where len(rs) > 0 order by lang, doc_id")
 def review_queue(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    """What a person should look at, sorted as it is read."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
     rows = table(spark, sf_dir, "labels").join(docs, "doc_id")
     found = audit.reasons(("hypothesis_differs", F.col("quality") == 0), ("other_label", F.col("toxic") == 1), ("level_mismatch", F.col("n_chars") > 5000))
-    return rows.select("doc_id", found.alias("r")).where(F.size("r") > 0).select("doc_id", F.array_join("r", ";").alias("reasons"))
+    return rows.select("lang", "doc_id", found.alias("r")).where(F.size("r") > 0).select("lang", "doc_id", F.array_join("r", ";").alias("reasons")).orderBy("lang", "doc_id")
 
 
 @query("with r as (select doc_id, quality, toxic, unnest(list_filter([case when quality = 0 then 'hypothesis' end, case when toxic = 1 then 'other' end], lambda x: x is not null)) as reason from labels) select reason, count(*) as n from r group by 1")
@@ -423,3 +424,26 @@ def tool_trace_audit(spark, sf_dir):
     })
     found = audit.violations(rows, audit.call_rules(), "question_id", "step")
     return found.groupBy("code").agg(F.count("*").alias("n"), F.countDistinct("key").alias("questions"))
+
+
+@query(
+    """with e as (select user_id as u, event_id, event_id % 97 = 0 as broken, event_type = 'click' and event_id % 3 > 0 and event_id % 97 > 0 as made from events), g as (select u, count(*) filter (made) as n, count(*) filter (broken) as broken, count(*) as entries from e group by 1),
+  v as (select u, 'invalid_trace' as code, 1 as n from g where u % 11 = 0 union all select u, 'invalid_registry', 1 from g where u % 13 = 0 union all select u, 'invalid_trace_row', broken from g where u % 11 > 0 and broken > 0
+    union all select u, 'final_registry_mismatch', 1 from g where u % 11 > 0 and u % 5 > 0 and entries > broken and n > 0 and (u % 13 = 0 or u % 7 = 0))
+  select code, sum(n)::bigint as n, count(distinct u) as attempts from v group by 1"""
+)
+def attempt_audit(spark, sf_dir):
+    """Violations of whole attempts, each a JSON record with its trace and its registry, made of a user's events; some are older than the history that others keep."""
+    e, u = F.col("event_id"), F.col("user_id")
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    made = (F.col("event_type") == "click") & (e % 3 > 0)
+    entry = F.struct(F.when(e % 3 > 0, "ok").otherwise("rejected").alias("status"), F.when(made, F.concat(F.lit("qg_"), e.cast("string"))).otherwise("note").alias("call_id"), F.when(u % 5 > 0, "said").alias("effective_response"))
+    rows = rows.select("user_id", e, F.when(e % 97 == 0, F.lit("7")).otherwise(F.to_json(entry)).alias("entry"), F.when(made & (e % 97 > 0), F.concat(F.lit('"qg_'), e.cast("string"), F.lit('": {}'))).alias("id"))
+    parts = rows.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "entry", "id"))).alias("l"))
+    ids = F.array_compact(F.transform("l", lambda x: x["id"]))
+    ids = F.when((u % 7 == 0) & (F.size(ids) > 0), F.slice(ids, F.lit(1), F.size(ids) - 1)).otherwise(ids)
+    trace = F.when(u % 11 == 0, '"none"').otherwise(F.concat(F.lit("["), F.array_join(F.transform("l", lambda x: x["entry"]), ", "), F.lit("]")))
+    registry = F.when(u % 13 == 0, "[]").otherwise(F.concat(F.lit("{"), F.array_join(ids, ", "), F.lit("}")))
+    records = parts.select("user_id", F.concat(F.lit('{"evidence": '), registry, F.lit(', "trace": '), trace, F.lit("}")).alias("payload"))
+    found = audit.attempt_violations(records, "user_id", "payload")
+    return found.groupBy("code").agg(F.count("*").alias("n"), F.countDistinct("key").alias("attempts"))

@@ -230,7 +230,8 @@ def argmax_frame(spark, sf_dir):
     T
     + """, s as (select label, vec_id, x, row_number() over (partition by label order by x desc, vec_id) as rn from t),
   p as (select label, max(case when rn = 1 then x end) as top, max(case when rn = 2 then x end) as runner from s where rn <= 4 group by 1)
-  select label, round(top, 6) as top, round(runner, 6) as runner_up, runner > 0.85 * top or top < 0.40 as ambiguous from p"""
+  select label, round(top, 6) as top, round(runner, 6) as runner_up, runner > 0.85 * top or top < 0.40 as ambiguous,
+    case when top < 0.40 then 'top score ' || printf('%.3f', round(top, 3)) || ' is below the 0.4 confidence floor' when runner > 0.85 * top then 'runner-up ' || printf('%.3f', round(runner, 3)) || ' is within 15% of the top score ' || printf('%.3f', round(top, 3)) end as reason from p"""
 )
 def candidate_ambiguity(spark, sf_dir):
     """The four best candidates of a group; whether the runner-up is close or the best weak."""
@@ -238,7 +239,10 @@ def candidate_ambiguity(spark, sf_dir):
     rows = tracks(spark, sf_dir).withColumn("rn", rank).where("rn <= 4")
     pick = lambda k: F.max(F.when(F.col("rn") == k, F.col("x")))
     out = rows.groupBy("label").agg(pick(1).alias("top"), pick(2).alias("runner"))
-    return out.select("label", F.round("top", 6).alias("top"), F.round("runner", 6).alias("runner_up"), ((F.col("runner") > 0.85 * F.col("top")) | (F.col("top") < 0.40)).alias("ambiguous"))
+    number = lambda c: F.format_string("%.3f", F.round(c, 3))
+    weak = F.concat(F.lit("top score "), number("top"), F.lit(" is below the 0.4 confidence floor"))
+    reason = F.when(F.col("top") < 0.40, weak).when(F.col("runner") > 0.85 * F.col("top"), F.concat(F.lit("runner-up "), number("runner"), F.lit(" is within 15% of the top score "), number("top")))
+    return out.select("label", F.round("top", 6).alias("top"), F.round("runner", 6).alias("runner_up"), ((F.col("runner") > 0.85 * F.col("top")) | (F.col("top") < 0.40)).alias("ambiguous"), reason.alias("reason"))
 
 
 @query()
@@ -266,6 +270,21 @@ def weiszfeld(spark, sf_dir):
     return out.select("label", *(F.round(c, 5).alias(c) for c in XYZ))
 
 
+@query(
+    T.replace("with t as", "with recursive t as", 1)
+    + """, v as (select *, 1/(1+exp(-conf)) as wt from t where 1/(1+exp(-vis)) > 0.5 and 1/(1+exp(-conf)) > 0.2), w as (select frame, 0 as i, median(x) as x, median(y) as y, median(z) as z, false as done from v group by 1 union all
+    select frame, i + 1, case when done then x else nx end, case when done then y else ny end, case when done then z else nz end, done or sqrt((nx-x)^2+(ny-y)^2+(nz-z)^2) < 1e-9 from (select frame, i, x, y, z, done, sum(wt * px / d) / sum(wt / d) as nx, sum(wt * py / d) / sum(wt / d) as ny, sum(wt * pz / d) / sum(wt / d) as nz
+      from (select w.frame, i, w.x, w.y, w.z, done, wt, v.x as px, v.y as py, v.z as pz, greatest(sqrt((v.x-w.x)^2+(v.y-w.y)^2+(v.z-w.z)^2), 1e-9) as d from w join v using (frame) where i < 64) group by 1, 2, 3, 4, 5, 6))
+  select frame, round(x, 4) as x, round(y, 4) as y, round(z, 4) as z, n from w join (select frame, count(*) as n from v group by 1) using (frame) where i = case when n < 4 then 0 else 64 end"""
+)
+def frame_geometric_medians(spark, sf_dir):
+    """Per frame the point of least summed distance to the points that are visible and sure, weighted by how sure, and how many these are; of three or fewer the medians."""
+    ok = (num.sigmoid("vis") > 0.5) & (num.sigmoid("conf") > 0.2)
+    rows = tracks(spark, sf_dir).where(ok).select("frame", *XYZ, num.sigmoid("conf").alias("weight"))
+    out = robust.geometric_medians(rows, list(XYZ), "frame", "weight").join(rows.groupBy("frame").agg(F.count("*").alias("n")), "frame")
+    return out.select("frame", *(F.round(c, 4).alias(c) for c in XYZ), "n")
+
+
 @query(
     T.replace("with t as", "with recursive t as", 1)
     + """, m as (select label, avg(x) as ax, avg(y) as ay, avg(z) as az from t group by 1), o as (select label, arg_min(vec_id, {'d': sqrt((x-ax)^2+(y-ay)^2+(z-az)^2), 'v': vec_id}) as vec_id from t join m using (label) group by 1),
