@@ -29,10 +29,13 @@ p as (select doc_id, i, hash_ from (select doc_id, unnest(range(1, len(w) - 6))
 c as (select *, count(*) over (partition by doc_id, hash_) as c from p),
 x as (select doc_id, count(distinct k) as n_repeat_words from (select doc_id, unnest(range(i, i + 8)) as k from c where c > 1) group by 1),
 l as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(0, len(string_split(text, chr(10))))) as k from d),
-f as (select *, len({_WORDS.format('line')}) as words, length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) as symbols, length(regexp_replace(line, '[^|]', '', 'g')) as bars, length(regexp_replace(line, '[^!]', '', 'g')) as bangs,
-  row_number() over (partition by doc_id, line order by k) > 1 as again from l),
-g as (select *, words > 0 and again as dup, words > 0 and (again or symbols > {r.symbols_per_word} * words or bangs > {r.bangs_per_word} * words or (bars >= 2 and bars >= {r.bars_per_word} * words)
-  or regexp_matches({_LOWER.replace("coalesce(text, '')", 'line')}, '{phrases}')) as fails from f),
+f as (select *, len(lw) as words, length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) as symbols, length(regexp_replace(line, '[^|]', '', 'g')) as bars, length(regexp_replace(line, '[^!]', '', 'g')) as bangs, len(regexp_extract_all(low, '{phrases}')) as phrases,
+  right(lw[-1], 1) as tail, right(lw[-1], 3) = '...' or right(lw[-1], 1) = '\u2026' as breaks_off, row_number() over (partition by doc_id, line order by k) > 1 as again from (select *, {_WORDS.format('line')} as lw, {_LOWER.replace("coalesce(text, '')", 'line')} as low from l)),
+i as (select *, words <= {r.menu_words} and unicode(tail) < 128 and not contains('.!?:;,"'')]}}', tail) as brief from f where words > 0),
+j as (select *, sum(turn) over (partition by doc_id order by k) as run from (select *, (brief is distinct from lag(brief) over (partition by doc_id order by k))::int as turn from i)),
+m as (select doc_id, k from (select doc_id, k, count(*) over (partition by doc_id, run) as together from j where brief) where together >= {r.menu_lines}),
+g as (select f.*, words > 0 and again as dup, words > 0 and (again or symbols > {r.symbols_per_word} * words or bangs > {r.bangs_per_word} * words or (bars >= 2 and bars >= {r.bars_per_word} * words)
+  or phrases * {r.words_per_phrase} >= words or breaks_off or m.k is not null) as fails from f left join m on m.doc_id = f.doc_id and m.k = f.k),
 h as (select doc_id, count(*) filter (dup) as n_dup_lines, count(*) filter (fails) as n_lines_removed, coalesce(sum(words) filter (fails), 0)::bigint as lost from g group by 1),
 b as (select d.doc_id, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda t: length(t))), 0)::bigint as word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
   n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words, n_lines_removed, len(w)::bigint - lost as n_words_left, lost from d join h using (doc_id) left join x using (doc_id)),

@@ -2,10 +2,11 @@
 
 import random
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 
-from marlspan.llm import quality, toxicity
+from marlspan.llm import oracles, quality, toxicity
 from marlspan.llm import textkit as tk
 
 #: Ends and beginnings that would make a phrase, a run of letters or a sign between letters if rows met.
@@ -61,3 +62,34 @@ def test_lines_of_boilerplate_and_menus():
     assert removed("\n".join([prose[0], *menu, *prose[1:]])) == (menu, True)
     assert removed("\n".join([prose[0], *menu[:2], *prose[1:], *menu[2:]])) == ([], True)
     assert removed("\n".join([*prose, "And so it goes on ...", "To be read on…"]))[0] == ["And so it goes on ...", "To be read on…"]
+
+
+def quality_rows():
+    """A case for each rule on lines, on both sides of its threshold."""
+    prose = [" ".join(f"Plain{k}x{j}" for j in range(12)) + "." for k in range(4)]
+    lines = [
+        " ".join(f"word{k}" for k in range(100)) + " cookie", "This site uses cookies, click here.", "we take cookies for granted " * 5, " ".join(["cookie"] + ["w"] * 14), " ".join(["cookie"] + ["w"] * 15), "Lorem IPSUM dolor", "COOKIE javascript " + "w " * 27,
+        "And so it goes on ...", "And so it goes on ..", "to be read on\u2026", "dots... in the middle", "trailing dots... \t ", "...", "\u2026", "a | b | c", "| | |", "one | bar of many many words here", "# # # a b", "# a b c", "no! no! no!", "no! no no no", "100% $5 & more <b>",
+        "", " ", "\r", prose[0], prose[1], " " + prose[0], "\u0130stanbul", "caf\xe9", "Home", "About us", "Our products", "Contact", "end.", "So:", "x)", "four words in line", "Stra\xdfe", "K\u212a", "a\u0300",
+    ]
+    out = ["\n".join([*prose, line]) for line in lines] + ["\n".join([line, *prose, line]) for line in lines] + lines
+    menu = ["Home", "About us", "Our products", "Contact"]
+    for between in ([], [""], [" "], ["end."], [prose[3]], ["caf\xe9"], ["four words in line"], ["Home"]):
+        out += ["\n".join([*prose[:3], *menu[:2], *between, *menu[2:], prose[3]]), "\n".join([*prose, *menu, *between, *menu[:3]]), "\n".join([*menu[:3], *between, *prose])]
+    rng = random.Random(9)
+    out += ["\n".join(rng.choice((*lines, *menu, *menu)) for _ in range(rng.randint(1, 30))) for _ in range(300)]
+    return [None, "", "\n", " ".join(prose), *out, *out[:5]]
+
+
+def test_quality_as_its_sql(spark, tmp_path):
+    """The query and its SQL on crafted rows: every rule decides some line, either way."""
+    rows = list(enumerate(quality_rows()))
+    documents = pa.table({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows], pa.string())})
+    db = duckdb.connect()
+    db.register("documents", documents)
+    expected = db.sql(oracles.SQL["op3_quality_rules"]).to_arrow_table().to_pylist()
+    found = quality.quality(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    key = lambda r: r["doc_id"]
+    for a, b in zip(sorted((r.asDict() for r in found), key=key), sorted(expected, key=key), strict=True):
+        assert a == b, rows[a["doc_id"]]
+    assert {r["kept"] for r in expected} == {True, False} and len({r["n_lines_removed"] for r in expected}) > 8
