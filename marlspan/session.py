@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,15 +25,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, which the driver and all executors share; one of our own only where none is set and all run on one machine."""
+    context = spark.sparkContext
+    found = context._jsc.sc().getCheckpointDir()
+    if found.isDefined():
+        return found.get()
+    known = spark.conf.get("spark.checkpoint.dir", None)
+    if not known and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    context.setCheckpointDir(known or "file://" + tempfile.mkdtemp(prefix="marlspan-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else has."""
+    return f"{shared_folder(spark)}/marlspan-{uuid.uuid4().hex}/{name}"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The rows from the checkpoint folder, without the plan that made them: for rounds that build on each other.
-
-    The folder is the session's, shared by the driver and all executors; one of our own only where none is set and all run on one machine.
-    """
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        known = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not known and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        context.setCheckpointDir(known or "file://" + tempfile.mkdtemp(prefix="marlspan-"))
+    """The rows from the checkpoint folder, without the plan that made them: for rounds that build on each other."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
