@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import cut
+
 
 def hash_order(seed: int | Column, *keys: str) -> Column:
     seed = F.lit(seed) if isinstance(seed, int) else seed
@@ -153,14 +155,12 @@ def balanced_seed(df: DataFrame, label: str, key: str, size: int, bounds: dict[s
 
 
 def ordered_index(df: DataFrame, first: str, *ties: str, out: str = "index", buckets: int = 64) -> DataFrame:
-    """The rows with their place in the order of a number and then of the others, from 0.
+    """The rows with their place in the order of a column and then of the others, from 0.
 
-    No task sees all rows: approximate quantiles cut the order into buckets, rows are numbered within theirs, and the
-    counts of the buckets before are added.
+    No task sees all rows: ranges of the whole order, not of its first column alone, are numbered each by itself, and the
+    counts of the ranges before are added.  So rows that share a value are spread as others are.
     """
-    bounds = sorted(set(df.approxQuantile(first, [k / buckets for k in range(1, buckets)], 0.001)))
-    bucket = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(first))) if bounds else F.lit(0)
-    rows = df.withColumn("__bucket", bucket)
+    rows = cut(df.repartitionByRange(buckets, first, *ties).withColumn("__bucket", F.spark_partition_id()))
     rows = rows.withColumn("__in", F.row_number().over(Window.partitionBy("__bucket").orderBy(first, *ties)))
     counts = rows.groupBy("__bucket").agg(F.count("*").alias("__n"))
     before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row a bucket

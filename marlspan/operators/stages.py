@@ -19,7 +19,7 @@ def once_per_key(rows: DataFrame, key: str, measure: Callable[[DataFrame], DataF
 def contained(rows: DataFrame, columns: list[str], work: Callable, out: str, kind: str) -> DataFrame:
     """The rows with work(*columns) in `out`, or the name of what it raised in `error`: no row ends the run.
 
-    For functions that have no columnar form; rows go to Python in Arrow batches.
+    For functions that have no columnar form (tried() is for those that have); rows go to Python in Arrow batches.
     """
     schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in rows.schema.fields)}, {out} {kind}, error string"
 
@@ -38,6 +38,15 @@ def contained(rows: DataFrame, columns: list[str], work: Callable, out: str, kin
     return rows.mapInPandas(run, schema)
 
 
+def tried(rows: DataFrame, out: str, value: Column, *failures: tuple[str, Column]) -> DataFrame:
+    """The rows with a value in `out`, or the name of the first failure that holds in `error`: for work that has a columnar form.
+
+    value: of functions that give null and no error, as try_divide and try_cast do.
+    """
+    error = F.coalesce(*(F.when(bad, F.lit(name)) for name, bad in failures), F.lit(None).cast("string"))
+    return rows.withColumn("error", error).withColumn(out, F.when(F.col("error").isNull(), value))
+
+
 @dataclass(frozen=True)
 class Runners:
     """Stages by name, in order, each with the condition under which a target passes it."""

@@ -43,12 +43,19 @@ def _literal(cases: tuple[str, ...]) -> str:
 
 
 def chosen(spark: SparkSession, sf_dir: str, cases: tuple[str, ...]) -> DataFrame:
-    """A case for each event, by its number."""
-    return table(spark, sf_dir, "events").select("event_id", F.get(F.array(*map(F.lit, cases)), (F.col("event_id") % len(cases)).cast("int")).alias("t"))
+    """A record for each turn of a conversation: a shape by its number, in which reasons and descriptions are the turn's whole text, and a coordinate and an index follow its length."""
+    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("record_id"), F.coalesce("text", F.lit("")).alias("text"))
+    shape = F.get(F.array(*map(F.lit, cases)), (F.col("record_id") % len(cases)).cast("int"))
+    said = F.to_json(F.struct("text"))
+    said = F.substring(said, F.lit(9), F.length(said) - 9)
+    size = F.length("text")
+    return rows.select("record_id", F.replace(F.replace(F.replace(F.replace(shape, F.lit('"because"'), said), F.lit('"nose"'), said), F.lit("300.5"), (size % 1300).cast("string")), F.lit("31"), (size % 40).cast("string")).alias("t"))
 
 
 def _from(cases: tuple[str, ...]) -> str:
-    return f"with l as (select {_literal(cases)} as l), c as (select event_id, l[event_id % {len(cases)} + 1] as t from events, l), j as (select event_id, t, case when json_valid(t) then t::json end as j from c), k as (select *, json_type(j) as root, json_extract(j, '$.arguments') as a from j), "
+    shape = f"l[record_id % {len(cases)} + 1]"
+    filled = f"""replace(replace(replace(replace({shape}, '"because"', said), '"nose"', said), '300.5', (size % 1300)::varchar), '31', (size % 40)::varchar)"""
+    return f"with l as (select {_literal(cases)} as l), texts as (select conv_id * 1000 + turn as record_id, to_json(coalesce(text, ''))::varchar as said, length(coalesce(text, '')) as size from conversations), c as (select record_id, {filled} as t from texts, l), j as (select record_id, t, case when json_valid(t) then t::json end as j from c), k as (select *, json_type(j) as root, json_extract(j, '$.arguments') as a from j), "
 
 
 def _text(field: str) -> str:
@@ -65,7 +72,7 @@ _INT = "('BIGINT', 'UBIGINT')"
 @query(
     _from(CHOICES)
     + f"""n as (select *, coalesce(nullif(json_extract_string(j, '$.action'), ''), nullif(json_extract_string(j, '$.name'), '')) as name from k)
-  select event_id, case when root is distinct from 'OBJECT' then 'not_an_object' when name is null or name not in ('choose_bucket', 'name_subject', 'choose_candidate', 'final_answer') then 'unknown_action'
+  select record_id, case when root is distinct from 'OBJECT' then 'not_an_object' when name is null or name not in ('choose_bucket', 'name_subject', 'choose_candidate', 'final_answer') then 'unknown_action'
     when a is not null and json_type(a) not in ('OBJECT', 'NULL') then 'arguments_not_an_object' when not {_text('justification')} then 'no_justification'
     when name = 'choose_bucket' then case when {_unknown('bucket', 'justification')} then 'unknown_field' when coalesce(json_extract_string(a, '$.bucket'), '') not in ('traj_subject_own_frame', 'traj_camera_own_frame', 'sub_obs_distance_change', 'orient_camera_subject_frame') then 'unknown_bucket' else 'ok' end
     when name = 'name_subject' then case when {_unknown('subject', 'justification')} then 'unknown_field' when not {_text('subject')} then 'no_subject' when len(string_split_regex(trim(json_extract_string(a, '$.subject')), '\\s+')) > 5 then 'subject_too_long' else 'ok' end
@@ -74,7 +81,7 @@ _INT = "('BIGINT', 'UBIGINT')"
       when length(json_extract_string(a, '$.text')) > 2000 then 'text_too_long' when coalesce(json_type(a, '$.limitations'), 'NULL') not in ('NULL', 'VARCHAR') then 'limitations_not_text' else 'ok' end end as verdict from n"""
 )
 def choice_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chosen(spark, sf_dir, CHOICES).select("event_id", contracts.choice_action(F.col("t")).alias("verdict"))
+    return chosen(spark, sf_dir, CHOICES).select("record_id", contracts.choice_action(F.col("t")).alias("verdict"))
 
 
 _REASON = f"when not {_text('justification')} then 'no_justification' when length(json_extract_string(a, '$.justification')) > 500 then 'justification_too_long'"
@@ -84,7 +91,7 @@ _FRAME = "coalesce(json_type(a, '$.{0}'), '') not in " + _INT + " or json_extrac
 @query(
     _from(TOOLS)
     + f"""n as (select *, coalesce(json_extract_string(j, '$.action'), json_extract_string(j, '$.name')) as name, coalesce(json_extract_string(a, '$.kind'), 'numeric') as kind, json_extract_string(a, '$.mode') as mode from k)
-  select event_id, case when root is distinct from 'OBJECT' then 'not_an_object' when len(json_extract(j, '$..point_mode')) > 0 then 'host_policy' when name is null or name not in ('ground_with_qwen', 'query_d4rt', 'python_math', 'final_answer') then 'unsupported_action'
+  select record_id, case when root is distinct from 'OBJECT' then 'not_an_object' when len(json_extract(j, '$..point_mode')) > 0 then 'host_policy' when name is null or name not in ('ground_with_qwen', 'query_d4rt', 'python_math', 'final_answer') then 'unsupported_action'
     when a is null or json_type(a) <> 'OBJECT' then 'arguments_not_an_object'
     when name = 'ground_with_qwen' then case when {_unknown('mode', 't_src', 'request', 'count', 'justification')} then 'unknown_field' {_REASON} when coalesce(mode, '') not in ('bbox', 'points') then 'mode' when not {_text('request')} then 'no_request' when length(json_extract_string(a, '$.request')) > 500 then 'request_too_long'
       when {_FRAME.format('t_src')} then 'source_frame' when mode = 'bbox' and json_type(a, '$.count') is not null then 'count_in_bbox_mode' when mode = 'points' and coalesce(json_type(a, '$.count'), '') not in {_INT} then 'no_count' when mode = 'points' and json_extract(a, '$.count')::bigint not between 1 and 8 then 'count_range' else 'ok' end
@@ -100,7 +107,7 @@ _FRAME = "coalesce(json_type(a, '$.{0}'), '') not in " + _INT + " or json_extrac
       when kind = 'numeric' and not {_text('unit')} then 'no_unit' when kind = 'text' and not {_text('text')} then 'no_text' when kind = 'text' and length(json_extract_string(a, '$.text')) > 2000 then 'text_too_long' else 'ok' end end as verdict from n"""
 )
 def tool_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chosen(spark, sf_dir, TOOLS).select("event_id", contracts.tool_action(F.col("t")).alias("verdict"))
+    return chosen(spark, sf_dir, TOOLS).select("record_id", contracts.tool_action(F.col("t")).alias("verdict"))
 
 
 def _box(value) -> str:
@@ -112,17 +119,17 @@ BOXES = (_box([10, 20, 300.5, 400]), _box(None), _box([10, 20, 10, 400]), _box([
 
 @query(
     _from(BOXES)
-    + """v as (select *, json_extract(j, '$.bbox_2d_1000') as b from k), w as (select event_id, case when root is distinct from 'OBJECT' or b is null then 'no_field' when json_type(b) = 'NULL' then 'not_found' when len(json_keys(j)) <> 1 then 'no_field' when json_type(b) <> 'ARRAY' or json_array_length(b) <> 4 then 'not_four_numbers'
+    + """v as (select *, json_extract(j, '$.bbox_2d_1000') as b from k), w as (select record_id, case when root is distinct from 'OBJECT' or b is null then 'no_field' when json_type(b) = 'NULL' then 'not_found' when len(json_keys(j)) <> 1 then 'no_field' when json_type(b) <> 'ARRAY' or json_array_length(b) <> 4 then 'not_four_numbers'
     when len(list_filter(json_extract(b, '$[*]'), lambda x: json_type(x) not in ('BIGINT', 'UBIGINT', 'DOUBLE'))) > 0 then 'not_numbers' when len(list_filter(json_extract(b, '$[*]'), lambda x: x::double not between 0 and 1000)) > 0 then 'out_of_range'
     when json_extract(b, '$[2]')::double <= json_extract(b, '$[0]')::double or json_extract(b, '$[3]')::double <= json_extract(b, '$[1]')::double then 'no_area' else 'ok' end as verdict, b from v)
-  select event_id, verdict, case when verdict = 'ok' then round((json_extract(b, '$[2]')::double - json_extract(b, '$[0]')::double) * (json_extract(b, '$[3]')::double - json_extract(b, '$[1]')::double), 3) end as area from w"""
+  select record_id, verdict, case when verdict = 'ok' then round((json_extract(b, '$[2]')::double - json_extract(b, '$[0]')::double) * (json_extract(b, '$[3]')::double - json_extract(b, '$[1]')::double), 3) end as area from w"""
 )
 def box_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replies with a box: the verdict, and the box's area."""
     code, values = contracts.box(F.col("t"))
-    rows = chosen(spark, sf_dir, BOXES).select("event_id", code.alias("verdict"), values.alias("b"))
+    rows = chosen(spark, sf_dir, BOXES).select("record_id", code.alias("verdict"), values.alias("b"))
     at = lambda k: F.get("b", F.lit(k))
-    return rows.select("event_id", "verdict", F.round((at(2) - at(0)) * (at(3) - at(1)), 3).alias("area"))
+    return rows.select("record_id", "verdict", F.round((at(2) - at(0)) * (at(3) - at(1)), 3).alias("area"))
 
 
 def _points(*p) -> str:
@@ -137,17 +144,17 @@ POINT_REPLIES = (
 
 @query(
     _from(POINT_REPLIES)
-    + """v as (select *, json_extract(j, '$.points_2d_1000') as b from k), w as (select event_id, b, case when root is distinct from 'OBJECT' or b is null then 'no_field' when json_type(b) = 'NULL' or (json_type(b) = 'ARRAY' and json_array_length(b) = 0) then 'not_found' when json_type(b) <> 'ARRAY' then 'not_a_list' when json_array_length(b) > 2 then 'too_many'
+    + """v as (select *, json_extract(j, '$.points_2d_1000') as b from k), w as (select record_id, b, case when root is distinct from 'OBJECT' or b is null then 'no_field' when json_type(b) = 'NULL' or (json_type(b) = 'ARRAY' and json_array_length(b) = 0) then 'not_found' when json_type(b) <> 'ARRAY' then 'not_a_list' when json_array_length(b) > 2 then 'too_many'
     when len(list_filter(json_extract(b, '$[*]'), lambda x: coalesce(json_array_length(x, '$.xy'), 0) <> 2 or coalesce(json_type(x, '$.description'), '') <> 'VARCHAR' or len(list_filter(json_extract(x, '$.xy[*]'), lambda y: json_type(y) not in ('BIGINT', 'UBIGINT', 'DOUBLE'))) > 0)) > 0 then 'malformed_point'
     when len(list_filter(json_extract(b, '$[*].xy[*]'), lambda x: x::double not between 0 and 1000)) > 0 then 'out_of_range' when len(list_distinct(list_transform(json_extract(b, '$[*].xy'), lambda x: x::varchar))) < json_array_length(b) then 'repeated_point'
     when len(list_filter(json_extract_string(b, '$[*].description'), lambda x: trim(x) = '' or length(trim(x)) > 200)) > 0 then 'description' else 'ok' end as verdict from v)
-  select event_id, verdict, case when verdict = 'ok' then json_array_length(b)::bigint end as n from w"""
+  select record_id, verdict, case when verdict = 'ok' then json_array_length(b)::bigint end as n from w"""
 )
 def points_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replies with at most two points."""
     code, items = contracts.points(F.col("t"), F.lit(2))
-    rows = chosen(spark, sf_dir, POINT_REPLIES).select("event_id", code.alias("verdict"), items.alias("p"))
-    return rows.select("event_id", "verdict", F.when(F.col("verdict") == "ok", F.size("p").cast("long")).alias("n"))
+    rows = chosen(spark, sf_dir, POINT_REPLIES).select("record_id", code.alias("verdict"), items.alias("p"))
+    return rows.select("record_id", "verdict", F.when(F.col("verdict") == "ok", F.size("p").cast("long")).alias("n"))
 
 
 _OLD = {"bbox_2d_1000": [1, 2.5, 3, 4], "t_src": 0, "t_tgt": [1, 2], "t_cam": 0}
@@ -159,23 +166,23 @@ ACTIONS = (
 
 @query(
     _from(ACTIONS)
-    + """n as (select *, coalesce(json_extract_string(j, '$.action'), json_extract_string(j, '$.name')) as name from k), o as (select event_id, a, list_transform(json_extract_string(a, '$.bbox_2d_1000[*]'), lambda x: try_cast(x as double)) as b, list_transform(json_extract_string(a, '$.t_tgt[*]'), lambda x: try_cast(x as bigint)) as g,
+    + """n as (select *, coalesce(json_extract_string(j, '$.action'), json_extract_string(j, '$.name')) as name from k), o as (select record_id, a, list_transform(json_extract_string(a, '$.bbox_2d_1000[*]'), lambda x: try_cast(x as double)) as b, list_transform(json_extract_string(a, '$.t_tgt[*]'), lambda x: try_cast(x as bigint)) as g,
     try_cast(json_extract_string(a, '$.t_src') as bigint) as s, try_cast(json_extract_string(a, '$.t_cam') as bigint) as c, name = 'query_d4rt' and json_type(a, '$.bbox_2d_1000') = 'ARRAY' and json_type(a, '$.t_tgt') = 'ARRAY' and json_type(a, '$.grounding_id') is null as old from n)
-  select event_id, case when old and s is not null and c is not null and len(list_filter(b, lambda x: x is null)) = 0 and len(list_filter(g, lambda x: x is null)) = 0 then list_sum(b) end as box_sum, case when old and s is not null and c is not null and len(list_filter(b, lambda x: x is null)) = 0 and len(list_filter(g, lambda x: x is null)) = 0 then s + c + list_sum(g)::bigint end as frames from o"""
+  select record_id, case when old and s is not null and c is not null and len(list_filter(b, lambda x: x is null)) = 0 and len(list_filter(g, lambda x: x is null)) = 0 then list_sum(b) end as box_sum, case when old and s is not null and c is not null and len(list_filter(b, lambda x: x is null)) = 0 and len(list_filter(g, lambda x: x is null)) = 0 then s + c + list_sum(g)::bigint end as frames from o"""
 )
 def legacy_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chosen(spark, sf_dir, ACTIONS).select("event_id", contracts.legacy_query(F.col("t")).alias("q"))
+    rows = chosen(spark, sf_dir, ACTIONS).select("record_id", contracts.legacy_query(F.col("t")).alias("q"))
     q = F.from_json("q", "bbox_2d_1000 array<double>, t_src bigint, t_tgt array<bigint>, t_cam bigint")
     total = lambda a, zero: F.aggregate(a, zero, lambda x, y: x + y)
-    return rows.select("event_id", total(q["bbox_2d_1000"], F.lit(0.0)).alias("box_sum"), (q["t_src"] + q["t_cam"] + total(q["t_tgt"], F.lit(0).cast("bigint"))).alias("frames"))
+    return rows.select("record_id", total(q["bbox_2d_1000"], F.lit(0.0)).alias("box_sum"), (q["t_src"] + q["t_cam"] + total(q["t_tgt"], F.lit(0).cast("bigint"))).alias("frames"))
 
 
 @query(
     _from(ACTIONS)
-    + """n as (select *, coalesce(json_extract_string(j, '$.action'), json_extract_string(j, '$.name')) as name from k), r as (select event_id, case when name = 'query_d4rt' and json_type(a, '$.grounding_id') = 'VARCHAR' then [json_extract_string(a, '$.grounding_id')]
+    + """n as (select *, coalesce(json_extract_string(j, '$.action'), json_extract_string(j, '$.name')) as name from k), r as (select record_id, case when name = 'query_d4rt' and json_type(a, '$.grounding_id') = 'VARCHAR' then [json_extract_string(a, '$.grounding_id')]
     when name = 'python_math' then list_transform(list_filter(json_extract(a, '$.bindings.*.evidence_id'), lambda x: json_type(x) = 'VARCHAR'), lambda x: x->>'$')
     when name = 'final_answer' and json_type(a, '$.evidence_ids') = 'ARRAY' then list_transform(list_filter(json_extract(a, '$.evidence_ids[*]'), lambda x: json_type(x) = 'VARCHAR'), lambda x: x->>'$') else [] end as ids from n)
-  select event_id, array_to_string(list_sort(list_distinct(ids)), ',') as cited from r"""
+  select record_id, array_to_string(list_sort(list_distinct(ids)), ',') as cited from r"""
 )
 def cited_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chosen(spark, sf_dir, ACTIONS).select("event_id", F.array_join(contracts.cited_evidence(F.col("t")), ",").alias("cited"))
+    return chosen(spark, sf_dir, ACTIONS).select("record_id", F.array_join(contracts.cited_evidence(F.col("t")), ",").alias("cited"))

@@ -330,7 +330,7 @@ def cached_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def contained_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row that fails carries its error; the others go on."""
     rows = table(spark, sf_dir, "events").select("event_id", "value", F.get_json_object("props", "$.k").cast("long").alias("k"))
-    return stages.contained(rows, ["value", "k"], lambda value, k: round(value / (k % 10), 6), "outcome", "double").select("event_id", "outcome", "error")
+    return stages.tried(rows, "outcome", F.round(F.try_divide("value", F.col("k") % 10), 6), ("ZeroDivisionError", F.col("k") % 10 == 0)).select("event_id", "outcome", "error")
 
 
 @query(

@@ -46,3 +46,20 @@ def test_wrapped_lines(spark):
             assert all(len(x) <= 10 for x in lines) and "".join(lines).replace(" ", "") == "".join(t.split())
             if max(map(len, t.split()), default=0) <= 10:
                 assert lines == (textwrap.wrap(" ".join(t.split()), 10) or [""])
+
+
+def test_work_that_fails_in_columns(spark):
+    from marlspan.operators import stages
+
+    df = spark.createDataFrame([("8", 2), ("x", 2), ("8", 0), (None, 1), ("x", 0)], "t string, k int")
+    out = stages.tried(df, "v", F.try_divide(F.expr("try_cast(t as double)"), "k"), ("ValueError", F.col("t").isNotNull() & F.expr("try_cast(t as double)").isNull()), ("ZeroDivisionError", F.col("k") == 0))
+    assert [(r.v, r.error) for r in out.collect()] == [(4.0, None), (None, "ValueError"), (None, "ZeroDivisionError"), (None, None), (None, "ValueError")]
+
+
+def test_places_of_equal_values(spark):
+    """One value in all rows: the ranges are cut by the ties, none has all rows."""
+    from marlspan.operators import sampling
+
+    df = spark.range(5000).select("id", F.lit(7).alias("v")).repartition(7)
+    out = sampling.ordered_index(df, "v", "id", buckets=16)
+    assert [(r.id, r["index"]) for r in out.orderBy("id").collect()] == [(k, k) for k in range(5000)]
