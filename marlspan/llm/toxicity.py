@@ -288,10 +288,20 @@ def learn_lexicon(train: DataFrame, p: Params) -> Lexicon:
     return Lexicon([(r["length"], r["term"], r["odds"]) for r in best.collect()])
 
 
+def _one_text_each(train: DataFrame) -> DataFrame:
+    """Where rows share a sampled id, the least of their texts alone: so the sample bounds what is learned from, whatever repeats."""
+    counts = train.groupBy("doc_id", "toxic", "part").agg(F.count("*").alias("__n"))
+    shared = cut(counts.where("__n > 1").drop("__n"))
+    if shared.isEmpty():
+        return train
+    one = train.join(F.broadcast(shared), ["doc_id", "toxic", "part"]).groupBy("doc_id", "toxic", "part").agg(F.min("text").alias("text"))
+    return cut(train.join(F.broadcast(shared), ["doc_id", "toxic", "part"], "left_anti").unionByName(one))
+
+
 def learn(docs: DataFrame, labels: DataFrame, p: Params) -> Model:
     spark = docs.sparkSession
     sample = sample_of(labels, p)
-    train = cut(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"))
+    train = _one_text_each(cut(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")))
     sizes = {(r.toxic, r["part"] < 2): r["n"] for r in train.groupBy("toxic", "part").agg(F.count("*").alias("n")).collect()}
     ones = sum(n for (t, _), n in sizes.items() if t == 1)
     total = sum(sizes.values())

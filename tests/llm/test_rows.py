@@ -93,3 +93,18 @@ def test_quality_as_its_sql(spark, tmp_path):
     for a, b in zip(sorted((r.asDict() for r in found), key=key), sorted(expected, key=key), strict=True):
         assert a == b, rows[a["doc_id"]]
     assert {r["kept"] for r in expected} == {True, False} and len({r["n_lines_removed"] for r in expected}) > 8
+
+
+def test_toxicity_fetches_no_more_than_its_sample(spark):
+    """An id that a thousand rows share is one labelled row, whatever their order."""
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join(rng.choice(words) for _ in range(25)) + (" vequlo moron" if k % 4 == 0 else "")) for k in range(400)]
+    shared = [(8, f"copy {k % 7} of one id") for k in range(1000)]
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(400)], "doc_id long, toxic int")
+    frame = lambda r, n: spark.createDataFrame(r, "doc_id long, text string").repartition(n)
+    small = toxicity.learn(frame(rows, 3), labels, toxicity.Params())
+    large = toxicity.learn(frame(rows[:8] + [(8, min(t for _, t in [rows[8], *shared]))] + rows[9:], 3), labels, toxicity.Params())
+    again = toxicity.learn(frame([*rows, *shared], 5), labels, toxicity.Params())
+    texts = tk.text_buffer(pa.array([t for _, t in rows]))
+    assert np.array_equal(again.score(*texts), large.score(*texts)) and not np.array_equal(small.knots, np.zeros(0))
