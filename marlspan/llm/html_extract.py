@@ -6,7 +6,8 @@ bidirectional LSTM in numpy reads the whole sequence and decides for every block
 sides of it, whether it belongs to the article.
 
 The labeller is trained where it is used, on pages made by a generator with known labels (many
-layouts of menus, headers, footers, sidebars, notices, adverts, forms and reader comments), by
+layouts of menus, headers, footers, sidebars, notices, adverts, forms and reader comments, with names that
+say what they are and without, in nested elements and in tables), by
 Adam on the driver, from fixed seeds; its size and its training set are parameters.
 
 Defined results.  Null and empty html: empty text.  Scripts, styles, comments and the head are no blocks.
@@ -35,11 +36,11 @@ from .cluster import small_batches
 @dataclass(frozen=True)
 class Params:
     hidden: int = 16
-    path_cells: int = 64
-    word_cells: int = 32
-    pages: int = 600
-    epochs: int = 6
-    rate: float = 0.01
+    path_cells: int = 256
+    word_cells: int = 64
+    pages: int = 1500
+    epochs: int = 7
+    rate: float = 0.008
     seed: int = 5
     threshold: float = 0.5
     batch: int = 64
@@ -336,8 +337,14 @@ class PageMaker:
 
     def __init__(self, seed: int):
         self.rng = random.Random(seed)
+        self.unnamed = 0.0
 
     def word(self) -> str:
+        kind = self.rng.random()
+        if kind < 0.3:  # letters as they come: no word is known for what it is
+            return "".join(self.rng.choice("etaoinshrdlucmfwygpbvk") for _ in range(self.rng.randint(1, 9)))
+        if kind < 0.34:
+            return self.rng.choice(self.FURNITURE)
         return "".join(self.rng.choice(self.SYLLABLES) for _ in range(self.rng.randint(1, 4)))
 
     def sentence(self, least: int, most: int) -> str:
@@ -367,16 +374,46 @@ class PageMaker:
         prose = "comment" in wrapper or self.rng.random() < 0.35
         return f"<{wrapper}>" + "".join(self.inside(shape, self.prose() if prose else self.small()) for _ in range(count)) + f"</{wrapper.split()[0]}>"
 
+    def name(self) -> str:
+        """A class or id that says nothing."""
+        return "-".join(self.rng.choice(self.SYLLABLES) + self.rng.choice(("", "", str(self.rng.randint(1, 99)))) for _ in range(self.rng.randint(1, 2)))
+
+    def plain(self, tag: str = "div") -> str:
+        """An element without a name, or with one that says nothing."""
+        kind = self.rng.random()
+        return tag if kind < 0.4 else f"{tag} class='{self.name()}'" if kind < 0.8 else f"{tag} id='{self.name()}'"
+
+    def within(self, html: str, most: int) -> str:
+        """In up to so many plain elements."""
+        for _ in range(self.rng.randint(0, most)):
+            html = f"<{self.plain()}>{html}</div>"
+        return html
+
+    def links(self) -> str:
+        """A menu that nothing names: links, side by side or in a list."""
+        texts = [self.small() for _ in range(self.rng.randint(2, 8))]
+        if self.rng.random() < 0.5:
+            return "<ul>" + "".join(f'<li><a href="/x">{t}</a></li>' for t in texts) + "</ul>"
+        return self.rng.choice((" ", " | ")).join(f'<a href="/x">{t}</a>' for t in texts)
+
+    def around(self) -> str:
+        if self.rng.random() < self.unnamed:
+            return self.within(self.links() if self.rng.random() < 0.7 else self.small(), 2) if self.rng.random() < 0.3 else f"<{self.plain()}>{self.links()}</div>"
+        return self.part(*self.rng.choice(self.AROUND))
+
     def article(self) -> str:
         mark = "\x02"
         parts = []
+        # of paragraphs: p, or div alone, or both
+        block = self.rng.choice(("p", "p", "p", "p", "div", "mixed"))
         if self.rng.random() < 0.85:
             parts.append(f"<{(t := self.rng.choice(('h1', 'h1', 'h2')))}>{mark}{self.sentence(1, 10)}</{t}>")
         for _ in range(self.rng.choice((1, 2, 3, 5, 8, 14, 25))):
             kind = self.rng.random()
             text = mark + self.prose()
             if kind < 0.75:
-                parts.append(f"<p>{text}</p>" if self.rng.random() < 0.8 else f"<p><b>{text}<br>")
+                tag = block if block != "mixed" else self.rng.choice(("p", "div"))
+                parts.append(f"<{self.plain() if tag == 'div' else tag}>{text}</{tag}>" if tag == "div" or self.rng.random() < 0.8 else f"<p><b>{text}<br>")
             elif kind < 0.82:
                 parts.append(f"<h{self.rng.randint(2, 4)}>{text}</h2>")
             elif kind < 0.92:
@@ -385,13 +422,27 @@ class PageMaker:
                 parts.append(f"<blockquote>{text}</blockquote>")
             if self.rng.random() < 0.06:
                 parts.append(self.part(*self.rng.choice([a for a in self.AROUND if "ad" in a[0].split("'")[-2:][0].split() or "share" in a[0]])))
+        if self.rng.random() < 0.12:  # readers' comments within the article
+            parts.append(self.part(*self.rng.choice([a for a in self.AROUND if "comment" in a[0]])))
+        inner = "".join(parts)
+        if self.rng.random() < self.unnamed:
+            return self.within(f"<{self.plain()}>{inner}</div>" if self.rng.random() < 0.85 else inner, 2)
         wrapper = self.rng.choice(self.WRAPPERS)
-        return f"<{wrapper}>" + "".join(parts) + f"</{wrapper.split()[0]}>"
+        return f"<{wrapper}>" + inner + f"</{wrapper.split()[0]}>"
 
     def page(self) -> tuple[list[Block], np.ndarray]:
-        before = [self.part(*self.rng.choice(self.AROUND)) for _ in range(self.rng.randint(0, 4))]
-        after = [self.part(*self.rng.choice(self.AROUND)) for _ in range(self.rng.randint(0, 4))]
-        html = f"<html><head><title>{self.small()}</title></head><body>" + "".join([*before, self.article(), *after]) + "</body></html>"
+        # of some pages most elements are named, of others few
+        self.unnamed = self.rng.choice((0.0, 0.0, 0.1, 0.8))
+        before = [self.around() for _ in range(self.rng.randint(0, 4))]
+        after = [self.around() for _ in range(self.rng.randint(0, 4))]
+        if self.rng.random() < 0.08:  # a table that lays the page out
+            cell = lambda inner: f"<{self.plain('td')}>{inner}</td>"
+            middle = "<table><tr>" + "".join(map(cell, [*before, self.article(), *after])) + "</tr></table>"
+        else:
+            middle = "".join([*before, self.article(), *after])
+        if self.rng.random() < 0.3:
+            middle = self.within(middle, 2)
+        html = f"<html><head><title>{self.small()}</title></head><body>" + middle + "</body></html>"
         blocks = blocks_of(html)
         labels = np.array([b.text.startswith("\x02") for b in blocks], np.float32)
         return [Block(b.path, b.text.replace("\x02", ""), b.linked) for b in blocks], labels
