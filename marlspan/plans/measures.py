@@ -116,7 +116,7 @@ def best_box_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """with m as (select label, row_number() over (partition by label order by vec_id) - 1 as frame, list_transform(embedding, lambda e: e > 0.05) as m, case when vec_id % 7 = 0 then 4 else 8 end as height from embeddings),
   p as (select r.frame, m.label, list_sum(list_transform(list_zip(r.m, m.m), lambda z: (z[1] and z[2])::int)) as common, list_sum(list_transform(list_zip(r.m, m.m), lambda z: (z[1] or z[2])::int)) as any_ from m r left join m on m.frame = r.frame and m.label <> 0 and m.height = r.height where r.label = 0),
-  i as (select frame, label, common / nullif(any_, 0) as iou from p)
+  i as (select frame, label, case when label is not null then common / nullif(any_, 0) end as iou from p)
   select frame, arg_max(label, (iou, -label)) filter (iou is not null) as matched, round(max(iou), 6) as iou, case when max(iou) is null then 'no object overlaps' else 'ok' end as status from i group by 1"""
 )
 def best_mask_match(spark: SparkSession, sf_dir: str) -> DataFrame:
