@@ -107,11 +107,11 @@ def latin_cells(rows: DataFrame, name: str, columns: int = 6, run: int = 5) -> D
     return place.select(name, "row", F.explode(F.sequence(F.lit(0), F.lit(run - 1))).alias("k")).select(name, "row", F.pmod(F.col("row") + F.col("k"), F.lit(columns)).cast("long").alias("cate"))
 
 
-def cell_rows(df: DataFrame, cell: str, cells: list[str], video: str, seed: int, key: str) -> DataFrame:
-    """One row of each cell, in the order of the cells, the first by digest whose video no earlier cell has; a cell without any is an error."""
+def cell_rows(df: DataFrame, cell: str, cells: list[str], video: str, seed: int, key: str, strict: bool = True) -> DataFrame:
+    """One row of each cell, in the order of the cells, the first by digest whose video no earlier cell has; a cell without any is an error, unless not strict."""
     ones = dict.fromkeys(cells, 1)
     drawn = distinct_draw(df.withColumn("__h", hash_order(seed, key)), cell, ones, video, ["__h"], key)
-    return _none_short(drawn, cell, ones).drop("__h", "turn")
+    return (_none_short(drawn, cell, ones) if strict else drawn).drop("__h", "turn")
 
 
 def water_fill(available: DataFrame, name: str, amount: str, total: int) -> DataFrame:

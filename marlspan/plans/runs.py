@@ -378,13 +378,13 @@ def number_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
   l as (select o.turn, any_value(cell) as cell, list({'d': doc_id, 'v': n_chars % 500} order by md5('5:' || doc_id), doc_id) as l from documents join o on o.cell = lang || '/' || source group by 1),
   r as (select 0::bigint as turn, null::struct(d bigint, v bigint) as got, []::bigint[] as used union all
     select turn + 1, got, list_append(used, got.v) from (select r.turn, r.used, list_filter(l.l, lambda x: not list_contains(r.used, x.v))[1] as got from r join l on l.turn = r.turn))
-  select l.cell, got.d as doc_id, got.v as video from r join l on l.turn = r.turn - 1 where r.turn > 0"""
+  select l.cell, got.d as doc_id, got.v as video from r join l on l.turn = r.turn - 1 where r.turn > 0 and got is not null"""
 )
 def cell_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One document for each language and source, no length (as a stand-in for a clip) twice."""
+    """One document for each language and source, no length (as a stand-in for a clip) twice; none where all lengths are taken."""
     rows = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "lang", "source").alias("cell"), (F.col("n_chars") % 500).cast("long").alias("video"))
     cells = [r.cell for r in rows.select("cell").distinct().orderBy("cell").collect()]  # a design: a few dozen
-    return sampling.cell_rows(rows, "cell", cells, "video", 5, "doc_id").select("cell", "doc_id", "video")
+    return sampling.cell_rows(rows, "cell", cells, "video", 5, "doc_id", strict=False).select("cell", "doc_id", "video")
 
 
 @query('select doc_id, row_number() over (order by n_chars, doc_id) - 1 as "index", (row_number() over (order by n_chars, doc_id) - 1) % 4 as shard from documents')
