@@ -127,7 +127,8 @@ def call_rules(key: str = "question_id", step: str = "step") -> list[Rule]:
 
     Columns: span_text (the action's own text) and parsed (the action that was run), as JSON; status; kind (ground, query, math) of an accepted call;
     evidence_id that it made; ledger (JSON with last_action and new_id); cache_hit and reuse_of; result and registered (the result as
-    kept elsewhere), provenance, as JSON; first_action (text of the first action in the raw reply).
+    kept elsewhere), provenance, as JSON; registered_clip (the clip that the registry keeps with the step's evidence, whatever the
+    provenance in the trace says); first_action (text of the first action in the raw reply).
     """
     w = Window.partitionBy(key).orderBy(step)
     made = F.collect_list("evidence_id").over(w.rowsBetween(Window.unboundedPreceding, -1))
@@ -139,8 +140,8 @@ def call_rules(key: str = "question_id", step: str = "step") -> list[Rule]:
     lacks = lambda r, fields: ~_all(r.filled(f"$.{f}") | r.is_number(f"$.{f}") for f in fields)
     cited = source.at("$.grounding_id", "string")
     clip = source.at("$.clip", "string")
-    # the clip of the grounding that a query cites
-    clips = F.collect_list(F.when((F.col("kind") == "ground") & F.col("evidence_id").isNotNull(), F.struct(F.col("evidence_id").alias("id"), clip.alias("clip")))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    # the clip of the grounding that a query cites, by the registry
+    clips = F.collect_list(F.when((F.col("kind") == "ground") & F.col("evidence_id").isNotNull(), F.struct(F.col("evidence_id").alias("id"), F.col("registered_clip").alias("clip")))).over(w.rowsBetween(Window.unboundedPreceding, -1))
     known = F.get(F.filter(clips, lambda c: c["id"] == cited), F.lit(0))
     grounded, queried = ok & (F.col("kind") == "ground"), ok & (F.col("kind") == "query")
     return [

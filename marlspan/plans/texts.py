@@ -421,6 +421,7 @@ def tool_trace_audit(spark, sf_dir):
         "ledger": F.when(e % 41 == 0, "[]").otherwise(F.to_json(F.struct(F.when(e % 43 == 0, "lost").otherwise(F.element_at(status, F.col("status"))).alias("last_action"), F.when(e % 47 == 0, "other_1").otherwise(F.col("evidence_id")).alias("new_id")))),
         "result": F.concat(F.lit('{"a": 1, "b": '), F.col("step").cast("string"), F.lit("}")), "registered": F.concat(F.lit('{"b": '), (F.col("step") + F.when(e % 53 == 0, 1).otherwise(0)).cast("string"), F.lit(', "a": 1}')),
         "provenance": F.to_json(F.struct(F.when((e % 59 > 0) & ((e % 61 > 0) | (F.col("status") != "error")), "m").alias("model"), F.when(e % 59 > 0, clip).alias("clip"), F.lit(3).alias("frame"), F.when(F.col("kind") == "query", "g_1").alias("grounding_id"))),
+        "registered_clip": clip,
     })
     found = audit.violations(rows, audit.call_rules(), "question_id", "step")
     return found.groupBy("code").agg(F.count("*").alias("n"), F.countDistinct("key").alias("questions"))
