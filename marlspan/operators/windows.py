@@ -18,20 +18,22 @@ def _by(key: str, order: str = "frame") -> WindowSpec:
     return Window.partitionBy(key).orderBy(order)
 
 
-def filled(value: Column, key: str, order: str = "frame") -> Column:
+def filled(value: str, key: str, order: str = "frame") -> Column:
     """Nulls replaced on the line between the neighbours that have a value; constant at the ends."""
+    v, at = F.col(value), F.when(F.col(value).isNotNull(), F.col(order))
     before = _by(key, order).rowsBetween(Window.unboundedPreceding, 0)
-    after = _by(key, order).rowsBetween(0, Window.unboundedFollowing)
-    at = F.when(value.isNotNull(), F.col(order))
-    v0, t0 = F.last(value, True).over(before), F.last(at, True).over(before)
-    v1, t1 = F.first(value, True).over(after), F.first(at, True).over(after)
+    v0, t0 = F.last(v, True).over(before), F.last(at, True).over(before)
+    # the next row with a value in one pass: a frame up to the end of the key would be read anew for every row
+    following = f"ignore nulls over (partition by `{key}` order by `{order}`)"
+    v1 = F.coalesce(v, F.expr(f"lead(`{value}`) {following}"))
+    t1 = F.coalesce(at, F.expr(f"lead(if(`{value}` is not null, `{order}`, null)) {following}"))
     line = v0 + (v1 - v0) * F.try_divide(F.col(order) - t0, t1 - t0)
-    return F.coalesce(value, line, v0, v1)
+    return F.coalesce(v, line, v0, v1)
 
 
 def running_mean(df: DataFrame, value: str, key: str, out: str, half: int = 2) -> DataFrame:
     """Centred mean over 2 half + 1 frames of the gap-filled signal; the window shrinks at the ends, gaps stay null."""
-    df = df.withColumn("__filled", filled(F.col(value), key))
+    df = df.withColumn("__filled", filled(value, key))
     mean = F.avg("__filled").over(_by(key).rowsBetween(-half, half))
     return df.withColumn(out, F.when(F.col(value).isNotNull(), mean)).drop("__filled")
 
@@ -52,7 +54,7 @@ def savgol(df: DataFrame, value: str, key: str, out: str) -> DataFrame:
     values stay as they are.
     """
     w, whole = _by(key), Window.partitionBy(key)
-    df = df.withColumns({"__v": filled(F.col(value), key), "__n": F.count("*").over(whole), "__given": F.count(value).over(whole)})
+    df = df.withColumns({"__v": filled(value, key), "__n": F.count("*").over(whole), "__given": F.count(value).over(whole)})
     v, n = F.col("__v"), F.col("__n")
     centre = sum((c * F.lag(v, 3 - k).over(w) if k < 3 else c * (v if k == 3 else F.lead(v, k - 3).over(w)) for k, c in enumerate(SAVGOL)), F.lit(0.0)) / 21
     all_ = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

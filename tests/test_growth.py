@@ -3,7 +3,9 @@
 import datetime
 
 import duckdb
+import numpy as np
 
+from marlspan.operators import windows
 from marlspan.plans.catalog import QUERIES, SQL
 from test_plans import rows
 
@@ -20,3 +22,18 @@ def test_a_cited_grounding_without_a_clip_of_its_own(spark, tmp_path):
     got = rows(found.columns, found.collect())
     assert got == rows(want.columns, want.fetchall())
     assert ("invalid_query_provenance", 1, 1) in {(r.code, r.n, r.questions) for r in found.collect()}
+
+
+def test_gaps_are_filled_in_one_pass(spark):
+    """As numpy fills them, and without a frame that is read anew for every row up to the end of its key."""
+    n, rng = 5000, np.random.default_rng(3)
+    values = [None if hole else float(v) for v, hole in zip(rng.normal(size=n), rng.random(n) < 0.4)]
+    df = spark.createDataFrame([(1, k, v) for k, v in enumerate(values)] + [(2, 0, None), (2, 1, None)], "k int, frame long, v double")
+    out = df.withColumn("f", windows.filled("v", "k"))
+    assert "unboundedfollowing" not in out._jdf.queryExecution().executedPlan().toString().lower()
+    got = {(r.k, r.frame): r.f for r in out.collect()}
+    there = [k for k, v in enumerate(values) if v is not None]
+    want = np.interp(range(n), there, [values[k] for k in there])
+    assert np.allclose([got[1, k] for k in range(n)], want) and got[2, 0] is None and got[2, 1] is None
+    plan = windows.running_mean(df, "v", "k", "m")._jdf.queryExecution().executedPlan().toString().lower()
+    assert "unboundedfollowing" not in plan
