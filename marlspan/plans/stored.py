@@ -118,10 +118,10 @@ def file_head_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, path, most = F.col("s_suppkey"), scratch(spark, "heads"), 4096
     kind = F.when(key % 5 > 0, "global_median_scale").otherwise("none")
     value = F.concat(F.lit('{"meta": {"trackAlignment": {"type": "'), kind, F.lit('", "scale": '), F.col("s_acctbal").cast("string"), F.lit('}},\n  "tracks": ["'), F.repeat(F.lit("x"), 50_000), F.lit('"]}'))
-    files.write_record_files(table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), key.cast("string")).alias("key"), value.alias("value")), path, "key")
-    clip = F.regexp_extract("path", r"([^/]+)\.json$", 1).alias("clip")
-    read = files.file_heads(spark, f"{path}/*.json", most).select(clip, ((F.octet_length("head") == most) & (F.col("length") > 10 * most)).alias("within"))
-    return readers.alignment_scale(spark, f"{path}/*.json", most).select(clip, "scale").join(read, "clip").select("clip", "scale", "within")
+    files.write_record_files(table(spark, sf_dir, "supplier").select(key, "s_acctbal", F.concat(F.lit("s"), key.cast("string")).alias("key")), path, "key", value)
+    heads = files.file_heads(spark, f"{path}/*.json", most)
+    within = (F.octet_length("head") == most) & (F.col("length") > 10 * most)
+    return heads.select(F.regexp_extract("path", r"([^/]+)\.json$", 1).alias("clip"), readers.head_scale("head").alias("scale"), within.alias("within"))
 
 
 @query("""with n as (select n_name, n_regionkey, row_number() over (order by n_nationkey) - 1 as row from nation), c as (select row, 0 as "column", 'n_name' as name, n_name as text, null::double as value from n union all select row, 1, 'n_regionkey', case when n_regionkey > 0 then n_regionkey::varchar end, case when n_regionkey > 0 then n_regionkey::double end from n) select * from c""")

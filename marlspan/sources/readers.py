@@ -86,16 +86,20 @@ def labels(content: Column | str, field: str, allowed: tuple[str, ...], other: s
     return F.when(value.isin(*allowed), value).otherwise(F.lit(other))
 
 
+def head_scale(head: Column | str) -> Column:
+    """The positive scale of a global median alignment in the head of a large JSON file, before its tracks; null if there is none."""
+    text = F.substring_index(F.decode(head, "UTF-8"), '\n  "tracks":', 1)
+    pattern = r'(?s)"trackAlignment"\s*:\s*\{.*?"type"\s*:\s*"global_median_scale".*?"scale"\s*:\s*([-+0-9.eE]+)'
+    scale = F.regexp_extract(text, pattern, 1).try_cast("double")
+    return F.when((scale > 0) & (scale < float("inf")), scale)
+
+
 def alignment_scale(spark: SparkSession, path: str, prefix: int = HEAD) -> DataFrame:
-    """path, scale: the positive scale of a global median alignment, from the head of each large JSON file, before its tracks; null if there is none.
+    """path, scale: head_scale() of each file.
 
     No more than the prefix of a file is read.
     """
-    head = F.substring_index(F.decode("head", "UTF-8"), '\n  "tracks":', 1)
-    pattern = r'(?s)"trackAlignment"\s*:\s*\{.*?"type"\s*:\s*"global_median_scale".*?"scale"\s*:\s*([-+0-9.eE]+)'
-    rows = file_heads(spark, path, prefix).select("path", F.regexp_extract(head, pattern, 1).alias("found"))
-    scale = F.expr("try_cast(found AS double)")
-    return rows.select("path", F.when((scale > 0) & (scale < float("inf")), scale).alias("scale"))
+    return file_heads(spark, path, prefix).select("path", head_scale("head").alias("scale"))
 
 
 def markdown_table(spark: SparkSession, path: str, heading: str) -> DataFrame:
@@ -123,7 +127,8 @@ def npz_values(spark: SparkSession, path: str, names: tuple[str, ...], chunk: in
             for file, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 with np.load(io.BytesIO(content), allow_pickle=False) as arrays:
                     for name in [n for n in names if n in arrays]:
-                        flat, shape = arrays[name].astype(np.float64).ravel(), arrays[name].shape
+                        whole = arrays[name]  # each look into the archive inflates it anew
+                        flat, shape = whole.astype(np.float64, copy=False).ravel(), whole.shape
                         for k in range(0, len(flat), chunk):
                             part = flat[k : k + chunk]
                             at = np.stack(np.unravel_index(np.arange(k, k + len(part)), shape), 1) if shape else np.zeros((len(part), 0), np.int64)
