@@ -200,6 +200,5 @@ def retained_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, key = scratch(spark, "kept"), F.col("s_suppkey")
     rows = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), key.cast("string")).alias("stem"), F.lit("{}").alias("value"), (key % 3 == 0).alias("kept"))
     files.write_record_files(rows, path, "stem")
-    keep = tuple(f"{r.stem}.json" for r in rows.where("kept").select("stem").collect())  # the names of one run's folder
-    writers.discard(spark, path, keep)
-    return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.lit(True).alias("kept"))
+    writers.discard_others(path, rows.where("kept").select(F.concat("stem", F.lit(".json")).alias("name")))
+    return files.entries(spark, path).select(F.col("name").alias("file"), F.lit(True).alias("kept"))

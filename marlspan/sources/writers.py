@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from html import escape
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .files import entries, located
+
 
 def without_nan(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c, t in df.dtypes if t in ("double", "float")})
@@ -48,18 +53,40 @@ def write_tensors(df: DataFrame, path: str, codec: str = "zstd") -> None:
 
 
 def discard(spark: SparkSession, folder: str, keep: tuple[str, ...]) -> list[str]:
-    """Deletes what lies in the folder but for the names to keep, once a run's results are written; the names that went."""
+    """Deletes what lies in the folder but for the names to keep, once a run's results are written; the names that went.
+
+    For a few names: it works through the folder in the driver.
+    """
+    kept = set(keep)
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(folder)
     files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     gone = []
     for status in files.listStatus(root):
         name = status.getPath().getName()
-        if name not in keep and files.delete(status.getPath(), True):
+        if name not in kept and files.delete(status.getPath(), True):
             gone.append(name)
     return sorted(gone)
 
 
+def discard_others(folder: str, keep: DataFrame) -> int:
+    """discard() by tasks, for folders of many files; keep: (name); how many went."""
+    root, _ = located(folder)
+
+    def delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for info in root.get_file_info(batch.column(0).to_pylist()):
+                # a task that is run again finds some gone
+                if info.type == fs.FileType.Directory:
+                    root.delete_dir(info.path)
+                elif info.type != fs.FileType.NotFound:
+                    root.delete_file(info.path)
+            yield batch
+
+    gone = entries(keep.sparkSession, folder).join(keep.select("name"), "name", "left_anti")
+    return gone.select("path").mapInArrow(delete, "path string").count()
+
+
 def _cells(df: DataFrame, most: int) -> tuple[list[list[str]], bool]:
     """The first rows as texts, and whether there are more."""
     rows = df.limit(most + 1).collect()

@@ -1,12 +1,17 @@
 """Faults that show only on larger tables or on rows that the smallest ones lack."""
 
 import datetime
+import io
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
 from marlspan.operators import windows
 from marlspan.plans.catalog import QUERIES, SQL
+from marlspan.sources import files, writers
 from test_plans import rows
 
 
@@ -37,3 +42,47 @@ def test_gaps_are_filled_in_one_pass(spark):
     assert np.allclose([got[1, k] for k in range(n)], want) and got[2, 0] is None and got[2, 1] is None
     plan = windows.running_mean(df, "v", "k", "m")._jdf.queryExecution().executedPlan().toString().lower()
     assert "unboundedfollowing" not in plan
+
+
+def test_many_files_share_partitions(spark, tmp_path):
+    """A task for each of many small files takes as long as there are files; each is still read within its bound."""
+    for k in range(1000):
+        (tmp_path / f"f{k}.json").write_text("x" * (k + 1))
+    heads = files.file_heads(spark, f"{tmp_path}/*.json", 700)
+    assert heads.rdd.getNumPartitions() <= files.MOST_PARTS
+    got = sorted((r.length, len(r.head)) for r in heads.collect())
+    assert got == [(k + 1, min(k + 1, 700)) for k in range(1000)]
+
+
+def test_texts_of_record_files_are_not_shuffled(spark, tmp_path):
+    """A value that is made of a row's columns is made where its file is written, and a key that comes twice is an error still."""
+    df = spark.createDataFrame([(k, k % 7) for k in range(50)], "k long, n int")
+    made = F.concat(F.lit("v"), F.repeat(F.lit("x"), F.col("n")))
+    files.write_record_files(df, str(tmp_path / "a"), "k", made)
+    assert {f.stem: f.read_text() for f in (tmp_path / "a").glob("*.json")} == {str(k): "v" + "x" * (k % 7) for k in range(50)}
+    with pytest.raises(Exception, match="ValueError"):
+        files.write_record_files(df.unionAll(df), str(tmp_path / "b"), "k", made)
+
+
+def test_archives_keep_numbers_only(spark, tmp_path):
+    """What a writer holds of a batch is flat arrays, a few bytes for each value, and the archive is as before."""
+    n = 20_000
+    batch = pa.RecordBatch.from_pydict({"key": ["a"] * n, "name": ["xyz"] * n, "index": [[k // 3, k % 3] for k in range(n)], "value": [None if k % 5 == 0 else float(k) for k in range(n)]})
+    writer = files.NpzWriter(str(tmp_path), ".npz")
+    parts = [writer.gathered(batch.slice(a, 7000)) for a in (0, 7000, 14000)]
+    held = sum(x.nbytes for p in parts for pair in p.values() for x in pair)
+    assert held <= 16 * n and all(x.base is None or x.base.nbytes <= 2 * x.nbytes for p in parts for pair in p.values() for x in pair)
+    with np.load(io.BytesIO(writer.content(parts))) as found:
+        flat = found["xyz"].ravel()[:n]
+    assert np.array_equal(flat, [np.nan if k % 5 == 0 else k for k in range(n)], equal_nan=True)
+
+
+def test_files_that_a_run_does_not_keep_are_deleted_by_tasks(spark, tmp_path):
+    for k in range(600):
+        (tmp_path / f"f{k}.json").write_text("{}")
+    (tmp_path / "masks").mkdir()
+    (tmp_path / "masks" / "m.txt").write_text("m")
+    keep = spark.range(0, 600, 3).select(F.concat(F.lit("f"), "id", F.lit(".json")).alias("name"))
+    assert writers.discard_others(str(tmp_path), keep) == 401
+    assert {f.name for f in tmp_path.iterdir()} == {f"f{k}.json" for k in range(0, 600, 3)}
+    assert {r.name for r in files.entries(spark, str(tmp_path)).collect()} == {f"f{k}.json" for k in range(0, 600, 3)}
