@@ -110,7 +110,7 @@ def trace_rules(key: str = "question_id", step: str = "step") -> list[Rule]:
         Rule("simulated_host_in_effective_history", effective.rlike(HOST_TURN)),
         Rule("accepted_unknown_evidence", (F.col("status") == "ok") & (F.size(F.array_except("refs", made)) > 0)),
         Rule("missing_call_id", (F.col("status") == "ok") & (F.col("action") == "query") & F.col("evidence_id").isNull()),
-        Rule("duplicate_evidence_id", F.col("evidence_id").isNotNull() & (F.row_number().over(Window.partitionBy(key, "evidence_id").orderBy(step)) > 1)),
+        Rule("duplicate_evidence_id", F.array_contains(made, F.col("evidence_id"))),  # by what was made before: a window of its own would sort the texts and lists
         Rule("rejection_created_evidence", (F.col("status") != "ok") & F.col("evidence_id").isNotNull()),
         Rule("ledger_registry_mismatch", F.col("available") != made),
         Rule("evidence_counter_gap", gap, whole=True),

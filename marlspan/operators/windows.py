@@ -14,6 +14,15 @@ def framed(df: DataFrame, key: str, *order: str, name: str = "frame") -> DataFra
     return df.withColumn(name, (F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1).cast("long"))
 
 
+def spread(df: DataFrame, key: str, most: int = 250_000) -> DataFrame:
+    """Rows brought together by key, in as many partitions as give each about `most` rows.
+
+    For narrow rows that grow wide in their task: by the bytes of the shuffle, partitions would be made few and large.
+    """
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // most))
+    return df.repartition(parts, key)
+
+
 def _by(key: str, order: str = "frame") -> WindowSpec:
     return Window.partitionBy(key).orderBy(order)
 

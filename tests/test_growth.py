@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from marlspan.operators import windows
+from marlspan.operators import audit, windows
 from marlspan.plans.catalog import QUERIES, SQL
 from marlspan.sources import files, writers
 from test_plans import rows
@@ -86,3 +86,15 @@ def test_files_that_a_run_does_not_keep_are_deleted_by_tasks(spark, tmp_path):
     assert writers.discard_others(str(tmp_path), keep) == 401
     assert {f.name for f in tmp_path.iterdir()} == {f"f{k}.json" for k in range(0, 600, 3)}
     assert {r.name for r in files.entries(spark, str(tmp_path)).collect()} == {f"f{k}.json" for k in range(0, 600, 3)}
+
+
+def test_trace_rules_sort_no_wide_rows(spark):
+    """A repeated id is found by what its trace made before: no window by id, for which texts and lists would be sorted; and keys are spread by rows."""
+    ids = ["query_1", None, "query_2", "query_1", None, "query_1"]
+    df = spark.createDataFrame([(q, k, "x", "x", "", "ok", i) for q, n in ((1, 6), (2, 3)) for k, i in enumerate(ids[:n])], "question_id long, step long, raw string, effective string, suffix string, status string, evidence_id string")
+    none = F.lit(None).cast("int")
+    df = df.withColumns({"span_start": none, "span_end": none, "action": F.lit(None).cast("string"), "refs": F.array().cast("array<string>"), "available": F.array().cast("array<string>")})
+    found = audit.violations(df, audit.trace_rules(), "question_id", "step")
+    assert sorted((r.key, r.step) for r in found.where("code = 'duplicate_evidence_id'").collect()) == [(1, 3), (1, 5)]
+    assert "row_number" not in found._jdf.queryExecution().executedPlan().toString()
+    assert windows.spread(spark.range(1000), "id", 50).rdd.getNumPartitions() == 20
