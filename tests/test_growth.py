@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from marlspan.operators import audit, windows
+from marlspan.operators import audit, programs, windows
 from marlspan.plans.catalog import QUERIES, SQL
 from marlspan.sources import files, writers
 from test_plans import rows
@@ -98,3 +98,12 @@ def test_trace_rules_sort_no_wide_rows(spark):
     assert sorted((r.key, r.step) for r in found.where("code = 'duplicate_evidence_id'").collect()) == [(1, 3), (1, 5)]
     assert "row_number" not in found._jdf.queryExecution().executedPlan().toString()
     assert windows.spread(spark.range(1000), "id", 50).rdd.getNumPartitions() == 20
+
+
+def test_plain_numbers_are_bound_without_an_array_each():
+    """An array for each number took more than half of a short program's time; the codes of bad bindings are as before."""
+    assert type(programs.bound('{"a": 1.5}')["a"]) is float
+    assert [programs.bound(t) for t in ('{"a": NaN}', '{"a": -Infinity}', '{"_a": 1.5}', '{"a": "x"}')] == ["binding_value", "binding_value", "binding_name", "binding_value"]
+    given = ['{"a": 1.5, "b": 2}', '{"a": 3, "b": 0.5}', '{"a": [1.5, 2], "b": 1.0}', '{"a": true, "b": 1e308}']
+    found = programs.run_rows(["m = a * 2 + b"] * 4, given)
+    assert [x and x["m"] for x, _ in found] == [5.0, 6.5, [4.0, 5.0], 1e308] and not any(e for _, e in found)
